@@ -40,12 +40,14 @@ SPAN = MIN_WORDS - K + 1
 #: Words to either side that a match of MIN_WORDS around a K-gram may need.
 REACH = MIN_WORDS - K
 NEAR = 4
+#: Distance in words up to which a repeated gram counts as a run.
+TIGHT = 4
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def minimisers(grams: np.ndarray, span: int = SPAN) -> np.ndarray:
     """Positions of the smallest of every ``span`` consecutive hashes (the
-    leftmost of equal ones, and equal ones only once in a span)."""
+    leftmost of equal ones; of a run of equal ones, one in a span)."""
     n = len(grams)
     if n == 0:
         return np.empty(0, np.int64)
@@ -54,8 +56,8 @@ def minimisers(grams: np.ndarray, span: int = SPAN) -> np.ndarray:
     else:
         best = np.lib.stride_tricks.sliding_window_view(grams, span).argmin(1)
         at = np.unique(best + np.arange(len(best)))
-    equal = (grams[at[1:]] == grams[at[:-1]]) & (np.diff(at) < span)
-    if equal.any():  # runs of one repeated gram: keep one in every span
+    equal = (grams[at[1:]] == grams[at[:-1]]) & (np.diff(at) <= TIGHT)
+    if equal.any():  # a gram that repeats at once (one word over and over): keep one in every span
         keep, last = [int(at[0])], int(at[0])
         for p, same in zip(at[1:].tolist(), equal.tolist(), strict=True):
             if not same or p - last >= span:
