@@ -23,8 +23,8 @@ SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Rows up to which a table of ids is broadcast (16 bytes each, so 32 MB at most).
-BROADCAST_ROWS = 2_000_000
+#: Rows up to which a table of ids is broadcast (a few numbers each: tens of MB at most).
+BROADCAST_ROWS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -16,9 +16,12 @@ Jaccard similarity is at least ``NUM``/``DEN``.  The join is exact:
 So that a block of many near copies never yields all its pairs, each set is first held
 against the block's first set and against the one before it; what links is one
 component, and the R-trees then look only for pairs between components.  Blocks
-are cut in chunks, and chunks meet pairwise in tasks of their own.  The trees run
-twice: first for the best candidates of each set, then for all that remain between
-components, so that no link between components is lost.
+are cut in chunks, and chunks meet pairwise in tasks of their own.  A shared shingle at
+positions i and j of two orders leaves min(n - i, m - j) for the overlap if it is
+the first they share, which rules out most pairs before any point is read; a pair
+that links passes at its first.  The trees first give the best candidates of each set;
+where that left some out, they run again for all between components, so that no
+link between components is lost.
 
 Edge cases: null and empty texts have no shingle, link with nothing, and are their own
 component; fewer than five words make one shingle.  Rows with a null id get a
@@ -114,33 +117,33 @@ def _points(frequent: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, n, h1, id) -> (key, id, n, leader, leader_n, prior,
+    """Rows sorted by (key, n, h1, id) -> (key, id, n, pos, leader, leader_n, prior,
     prior_n) for the distinct sets of keys that have several.  Only one row is
     carried from batch to batch, whatever the size of a block."""
-    carry = None  # (key, n, h1, id, leader, leader_n, already given)
-    names = ["key", "id", "n", "leader", "leader_n", "prior", "prior_n"]
+    carry = None  # (key, n, h1, id, pos, leader, leader_n, already given)
+    names = ["key", "id", "n", "pos", "leader", "leader_n", "prior", "prior_n"]
     for batch in batches:
         if not batch.num_rows:
             continue
-        key, n, h1, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "n", "h1", "id"))
+        key, n, h1, ids, pos = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "n", "h1", "id", "pos"))
         if carry:
-            key, n, h1, ids = (np.concatenate([[c], x]) for c, x in zip(carry[:4], (key, n, h1, ids), strict=True))
+            key, n, h1, ids, pos = (np.concatenate([[c], x]) for c, x in zip(carry[:5], (key, n, h1, ids, pos), strict=True))
         new_key = np.concatenate([[True], key[1:] != key[:-1]])
         fresh = new_key | np.concatenate([[True], (n[1:] != n[:-1]) | (h1[1:] != h1[:-1])])
-        key, n, h1, ids, new_key = key[fresh], n[fresh], h1[fresh], ids[fresh], new_key[fresh]
+        key, n, h1, ids, pos, new_key = key[fresh], n[fresh], h1[fresh], ids[fresh], pos[fresh], new_key[fresh]
         group = np.cumsum(new_key) - 1
         leader, leader_n = ids[new_key][group], n[new_key][group]
         several = np.bincount(group)[group] > 1
         given = np.zeros(len(key), bool)
         if carry:
-            leader[group == 0], leader_n[group == 0] = carry[4], carry[5]
-            several[group == 0] |= carry[6]
-            given[0] = carry[6]
+            leader[group == 0], leader_n[group == 0] = carry[5], carry[6]
+            several[group == 0] |= carry[7]
+            given[0] = carry[7]
         prior, prior_n = np.concatenate([[0], ids[:-1]]), np.concatenate([[0], n[:-1]])
         prior[new_key], prior_n[new_key] = ids[new_key], n[new_key]
         out = several & ~given
-        yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (key, ids, n, leader, leader_n, prior, prior_n)], names)
-        carry = (key[-1], n[-1], h1[-1], ids[-1], leader[-1], leader_n[-1], bool(several[-1]))
+        yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (key, ids, n, pos, leader, leader_n, prior, prior_n)], names)
+        carry = (key[-1], n[-1], h1[-1], ids[-1], pos[-1], leader[-1], leader_n[-1], bool(several[-1]))
 
 
 def _load(points: list[bytes]) -> np.ndarray:
@@ -160,65 +163,113 @@ class RTree:
             cuts = np.arange(0, len(least), FANOUT)
             self.levels.append((np.maximum.reduceat(top, cuts), np.minimum.reduceat(least, cuts)))
 
-    def search(self, point: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Entries whose overlap with the point can reach what a link needs:
-        (DEN + NUM) * overlap >= NUM * (n + m); and the bound."""
-        at = np.arange(len(self.levels[-1][1]))
+    def search(self, points: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, entry, bound) where the overlap can reach what a link needs:
+        (DEN + NUM) * overlap >= NUM * (n + m)."""
+        k = len(self.levels[-1][1])
+        q, at = np.repeat(np.arange(len(n)), k), np.tile(np.arange(k), len(n))
         for depth in range(len(self.levels) - 1, -1, -1):
             top, least = self.levels[depth]
-            bound = np.minimum(top[at], point).sum(1)
-            ok = ((DEN + NUM) * bound >= NUM * (n + least[at])) & (NUM * least[at] <= DEN * n)
-            at, bound = at[ok], bound[ok]
+            ok = NUM * least[at] <= DEN * n[q]
+            q, at = q[ok], at[ok]
+            bound = _bounds(top, at, points, q)
+            ok = (DEN + NUM) * bound >= NUM * (n[q] + least[at])
+            q, at, bound = q[ok], at[ok], bound[ok]
             if depth:
-                at = (at[:, None] * FANOUT + np.arange(FANOUT)).ravel()
-                at = at[at < len(self.levels[depth - 1][1])]
-        return self.order[at], bound
+                q, at = np.repeat(q, FANOUT), (at[:, None] * FANOUT + np.arange(FANOUT)).ravel()
+                ok = at < len(self.levels[depth - 1][1])
+                q, at = q[ok], at[ok]
+        return q, self.order[at], bound
+
+
+def _bounds(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray, step: int = 1 << 14) -> np.ndarray:
+    """Summed minima of a[i] and b[j]."""
+    parts = [np.minimum(a[i[s : s + step]], b[j[s : s + step]]).sum(1) for s in range(0, len(i), step)]
+    return np.concatenate(parts) if parts else np.empty(0, np.int64)
 
 
 def _candidates(best: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows of units (two chunks of a block), sorted by unit -> pairs (a, b) of
-    different components that the trees cannot rule out; the ``best`` of each set
-    or all.  A unit has few thousand rows at most."""
-
-    def pairs(unit: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        ids, n, comp, own = (unit.column(c).to_numpy() for c in ("id", "n", "component", "side"))
-        points = _load(unit.column("point").to_pylist())
-        one = bool((own == own[0]).all())
-        right = np.arange(len(ids)) if one else np.flatnonzero(own == 1)
-        left = right if one else np.flatnonzero(own == 0)
+    """Rows of units (two chunks of a block), sorted by unit -> (a, b, key): pairs
+    of different components that the trees cannot rule out, the ``best`` of each
+    set or all; without a and b, a unit in which some were left out.  A unit has
+    a few thousand rows at most."""
+
+    def open_(t: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Pairs that components, sizes and positions allow."""
+        n, m = t["n"][i], t["n"][j]
+        left = np.minimum(n - t["pos"][i], m - t["pos"][j])
+        return (t["component"][i] != t["component"][j]) & (NUM * np.maximum(n, m) <= DEN * np.minimum(n, m)) & ((DEN + NUM) * left >= NUM * (n + m))
+
+    def small(t: dict[str, np.ndarray], unit: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All units of one node at once: pairs of rows 1, 2, ... places apart."""
+        out_i, out_j = [], []
+        for d in range(1, FANOUT):
+            same = unit[rows[:-d]] == unit[rows[d:]] if len(rows) > d else np.zeros(0, bool)
+            if not same.any():
+                break
+            i, j = rows[:-d][same], rows[d:][same]
+            ok = open_(t, i, j)
+            ok &= ~((t["side"][i] == t["side"][j]) & (t["lo"][i] != t["hi"][i]))
+            out_i.append(i[ok])
+            out_j.append(j[ok])
+        i, j = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (out_i, out_j))
+        bound = _bounds(t["point"], i, t["point"], j)
+        ok = (DEN + NUM) * bound >= NUM * (t["n"][i] + t["n"][j])
+        return i[ok], j[ok], bound[ok]
+
+    def large(t: dict[str, np.ndarray], rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        one = t["lo"][rows[0]] == t["hi"][rows[0]]
+        right = rows if one else rows[t["side"][rows] == 1]
+        left = rows if one else rows[t["side"][rows] == 0]
         if not len(left) or not len(right):
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        tree, out_a, out_b = RTree(points[right], n[right]), [], []
-        for i in left.tolist():
-            hit, bound = tree.search(points[i], int(n[i]))
-            j = right[hit]
-            ok = (comp[j] != comp[i]) & ((ids[j] > ids[i]) if one and best is None else (ids[j] != ids[i]))
-            j, bound = j[ok], bound[ok]
-            if best is not None and len(j) > best:
-                j = j[np.argsort(-(bound / (n[j] + n[i])), kind="stable")[:best]]
-            out_a.append(np.full(len(j), ids[i]))
-            out_b.append(ids[j])
-        a, b = np.concatenate(out_a), np.concatenate(out_b)
-        return np.minimum(a, b), np.maximum(a, b)
+            return (np.empty(0, np.int64),) * 3
+        tree, got = RTree(t["point"][right], t["n"][right]), []
+        for a in range(0, len(left), 64):
+            q = left[a : a + 64]
+            k, hit, bound = tree.search(t["point"][q], t["n"][q])
+            i, j = q[k], right[hit]
+            ok = open_(t, i, j) & ((t["id"][i] < t["id"][j]) if one else (t["id"][i] != t["id"][j]))
+            got.append((i[ok], j[ok], bound[ok]))
+        return tuple(np.concatenate(x) for x in zip(*got, strict=True))
+
+    def pairs(table: pa.Table) -> pa.RecordBatch:
+        t = {c: table.column(c).to_numpy() for c in ("key", "lo", "hi", "side", "id", "n", "pos", "component")}
+        t["point"] = _load(table.column("point").to_pylist())
+        new = np.ones(len(t["key"]), bool)
+        new[1:] = np.any([t[c][1:] != t[c][:-1] for c in ("key", "lo", "hi")], axis=0)
+        unit = np.cumsum(new) - 1
+        size = np.bincount(unit)
+        got = [small(t, unit, np.flatnonzero(size[unit] <= FANOUT))]
+        first = np.flatnonzero(new)
+        got += [large(t, np.arange(first[u], first[u] + size[u])) for u in np.flatnonzero(size > FANOUT)]
+        i, j, bound = (np.concatenate(x) for x in zip(*got, strict=True))
+        cut = np.empty(0, np.int64)
+        if best is not None and len(i):  # of each set and unit, the candidates of the largest bounds
+            share = bound / (t["n"][i] + t["n"][j])
+            order = np.lexsort((-share, t["id"][i], unit[i]))
+            i, j = i[order], j[order]
+            start = np.ones(len(i), bool)
+            start[1:] = (i[1:] != i[:-1])
+            rank = np.arange(len(i)) - np.flatnonzero(start)[np.cumsum(start) - 1]
+            cut = np.unique(t["key"][i[rank >= best]])
+            i, j = i[rank < best], j[rank < best]
+        a, b, none = np.minimum(t["id"][i], t["id"][j]), np.maximum(t["id"][i], t["id"][j]), pa.nulls(len(cut), pa.int64())
+        key = pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(cut, pa.int64())])
+        return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(a, pa.int64()), none]), pa.concat_arrays([pa.array(b, pa.int64()), none]), key], ["a", "b", "key"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []
-
-        def units(table: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal waiting
-            mark = np.stack([table.column(c).to_numpy() for c in ("key", "lo", "hi")], 1)
-            cuts = [0, *(np.flatnonzero((mark[1:] != mark[:-1]).any(1)) + 1).tolist(), len(mark)]
-            whole = cuts if last else cuts[:-1]
-            got = [pairs(table.slice(a, b - a)) for a, b in zip(whole, whole[1:], strict=False)]
-            waiting = [] if last else table.slice(cuts[-2]).combine_chunks().to_batches()
-            if got:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([g[k] for g in got]), pa.int64()) for k in (0, 1)], ["a", "b"])
-
         for batch in batches:
-            if batch.num_rows:
-                yield from units(pa.Table.from_batches([*waiting, batch]).combine_chunks(), False)
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([*waiting, batch]).combine_chunks()
+            mark = np.stack([table.column(c).to_numpy() for c in ("key", "lo", "hi")], 1)
+            last = int(np.flatnonzero((mark != mark[-1]).any(1))[-1]) + 1 if (mark != mark[-1]).any() else 0
+            if last:
+                yield pairs(table.slice(0, last))
+            waiting = table.slice(last).combine_chunks().to_batches()
         if waiting:
-            yield from units(pa.Table.from_batches(waiting), True)
+            yield pairs(pa.Table.from_batches(waiting).combine_chunks())
 
     return run
 
@@ -237,29 +288,34 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(c).filter(keep) for c in ("a", "b")], ["a", "b"])
 
 
-def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts link.  Both joins are plain equi-joins that Spark
-    splits where one text has many partners."""
+def linked(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose texts link; only the texts of ``pairs`` (stashed) are
+    shuffled.  Both joins are plain equi-joins that Spark splits where one text
+    has many partners."""
+    ids = stash(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "jaccard-ids")
+    texts = rows.join(broadcast_if_small(ids), "id", "left_semi").dropDuplicates(["id"])
     a, b = (texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
     return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long")
 
 
 def _between(blocks: DataFrame, labels: DataFrame, sets: DataFrame, best: int | None) -> DataFrame:
-    """Candidate pairs between components."""
+    """Candidate pairs between components (a, b), and the keys of blocks that left some out."""
     label = labels.select(F.col("id").alias("_i"), "component")
-    rows = blocks.join(broadcast_if_small(label), blocks["id"] == F.col("_i"), "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
+    rows = blocks.join(broadcast_if_small(label), blocks["id"] == F.col("_i"), "left").select("key", "id", "n", "pos", F.coalesce("component", "id").alias("component"))
     rows = stash(rows, "jaccard-rows")
-    mixed = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key", "size")
-    mixed = stash(mixed, "jaccard-mixed")
+    # of two that link, the smaller has its first shared shingle at a position that leaves what the overlap needs
+    early = F.max(F.expr(f"({DEN} + {NUM}) * (n - pos) >= 2 * {NUM} * n"))
+    mixed = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"), early.alias("early"))
+    mixed = stash(mixed.where("lo <> hi and early").select("key", "size"), "jaccard-mixed")
     point = sets.select(F.col("id").alias("_p"), "point")
     some = rows.join(broadcast_if_small(mixed), "key")
     some = some.join(point, some["id"] == point["_p"]).drop("_p")
     n_chunks = F.ceil(F.col("size") / CHUNK)
     own = F.pmod(F.xxhash64("id"), n_chunks)
     units = some.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), n_chunks.cast("long") - 1)))
-    units = units.select("key", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"), (F.col("own") > F.col("with")).cast("int").alias("side"), "id", "n", "component", "point")
+    units = units.select("key", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"), (F.col("own") > F.col("with")).cast("int").alias("side"), "id", "n", "pos", "component", "point")
     mark = ["key", "lo", "hi"]
-    return units.repartition(*mark).sortWithinPartitions(*mark).mapInArrow(_candidates(best), "a long, b long").distinct()
+    return units.repartition(*mark).sortWithinPartitions(*mark).mapInArrow(_candidates(best), "a long, b long, key long").distinct()
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -275,27 +331,30 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     sets = stash(rows.mapInArrow(_points(frequent), "id long, n long, h1 long, h2 long, keys array<long>, point binary"), "jaccard-sets")
 
     key_order = ["key", "n", "h1", "id"]
-    keyed = sets.where("id is not null and n > 0").select(F.explode("keys").alias("key"), "n", "h1", "id")
-    blocks = stash(keyed.repartition("key").sortWithinPartitions(*key_order).mapInArrow(_blocks, "key long, id long, n long, leader long, leader_n long, prior long, prior_n long"), "jaccard-blocks")
+    keyed = sets.where("id is not null and n > 0").select(F.posexplode("keys").alias("pos", "key"), "n", "h1", "id").withColumn("pos", F.col("pos").cast("long"))
+    blocks = stash(keyed.repartition("key").sortWithinPartitions(*key_order).mapInArrow(_blocks, "key long, id long, n long, pos long, leader long, leader_n long, prior long, prior_n long"), "jaccard-blocks")
 
     def best(other: str) -> DataFrame:
         """The partner that a set meets in most blocks, if their sizes allow a link."""
         pairs = blocks.where(f"id <> {other} and {NUM} * n <= {DEN} * {other}_n").groupBy("id", other).count()
         return pairs.groupBy("id").agg(F.max(F.struct("count", F.col(other).alias("o"))).alias("m")).select(F.least("id", "m.o").alias("a"), F.greatest("id", "m.o").alias("b"))
 
-    ids = stash(blocks.select("id").distinct(), "jaccard-ids")
-    texts = stash(rows.join(broadcast_if_small(ids), "id", "left_semi").dropDuplicates(["id"]), "jaccard-texts")
     tried = stash(best("leader").union(best("prior")).distinct(), "jaccard-pairs")
-    links = stash(linked(tried, texts), "jaccard-links")
+    links = stash(linked(tried, rows), "jaccard-links")
     labels = components(links)
     points = sets.select("id", "point").where("id is not null").dropDuplicates(["id"])
+    left = blocks
     for most in (BEST, None):
-        more = stash(_between(blocks, labels, points, most).join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
-        if more.isEmpty():
-            continue
-        tried = tried.union(more)
-        links = links.union(stash(linked(more, texts), "jaccard-links"))
-        labels = components(links)
+        found = stash(_between(left, labels, points, most), "jaccard-found")
+        more = stash(found.where("a is not null").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
+        if not more.isEmpty():
+            tried = tried.union(more)
+            links = links.union(stash(linked(more, rows), "jaccard-links"))
+            labels = components(links)
+        cut = found.where("a is null").select("key").distinct()
+        if cut.isEmpty():
+            break
+        left = blocks.join(broadcast_if_small(cut), "key", "left_semi")
 
     # equal sets are one class; its smallest id stands for it
     classes = sets.where("n > 0 and id is not null").groupBy("h1", "h2", "n").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("size"))
