@@ -335,8 +335,9 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     blocks = stash(keyed.repartition("key").sortWithinPartitions(*key_order).mapInArrow(_blocks, "key long, id long, n long, pos long, leader long, leader_n long, prior long, prior_n long"), "jaccard-blocks")
 
     def best(other: str) -> DataFrame:
-        """The partner that a set meets in most blocks, if their sizes allow a link."""
-        pairs = blocks.where(f"id <> {other} and {NUM} * n <= {DEN} * {other}_n").groupBy("id", other).count()
+        """The partner that a set meets in most blocks, if their sizes allow a link and
+        they share an eighth of what a prefix holds (the trees see to the others)."""
+        pairs = blocks.where(f"id <> {other} and {NUM} * n <= {DEN} * {other}_n").groupBy("id", other).agg(F.count(F.lit(1)).alias("count"), F.first("n").alias("n")).where("count * 32 >= n")
         return pairs.groupBy("id").agg(F.max(F.struct("count", F.col(other).alias("o"))).alias("m")).select(F.least("id", "m.o").alias("a"), F.greatest("id", "m.o").alias("b"))
 
     tried = stash(best("leader").union(best("prior")).distinct(), "jaccard-pairs")

@@ -36,7 +36,7 @@ MAX_SEGMENTS = 512
 MAX_LOSS = 2048
 POOL = 512
 END_ID = 1
-REMEMBER = 400_000
+REMEMBER = 1_000_000
 
 
 class WordIds:
