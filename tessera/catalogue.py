@@ -1,21 +1,665 @@
-"""The registered queries of the graph library and their SQL."""
+"""The registered queries of the graph library, each next to its SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import text
+from .functions.storage import stash
+from .operators import context, mining, refresh, resolve, store, traverse, validate
+from .sources import graph_view as view
+from .sources.graph_view import VIEW_SQL, table
 
 Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
 
+#: Starts of the traversals.
+CUSTOMER, NATION = 4_000_000_007, 2_000_000_003
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+
+def _query(sql: str | None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _view(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return view.nodes(spark, sf_dir), view.edges(spark, sf_dir)
+
+
+def _start(spark: SparkSession, id_: int) -> DataFrame:
+    return spark.range(1).select(F.lit(id_).cast("long").alias("start_id"))
+
+
+# -- tables -----------------------------------------------------------------
+
+
+@_query(f"WITH {VIEW_SQL} SELECT kind, count(*) AS n FROM nodes GROUP BY kind")
+def nodes_by_kind_count(spark: SparkSession, d: str) -> DataFrame:
+    return view.nodes(spark, d).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query(f"WITH {VIEW_SQL} SELECT 'nodes' AS what, count(*) AS n FROM nodes UNION ALL SELECT 'edges', count(*) FROM edges")
+def graph_stats(spark: SparkSession, d: str) -> DataFrame:
+    return store.counts(*_view(spark, d))
+
+
+@_query(f"WITH {VIEW_SQL} SELECT relationship, layer, metadata, count(*) AS n FROM edges GROUP BY ALL")
+def edge_natural_key_dedupe(spark: SparkSession, d: str) -> DataFrame:
+    none = view.raw_edges(spark, d).limit(0)
+    return store.insert_absent(none, view.raw_edges(spark, d)).groupBy("relationship", "layer", "metadata").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query(
+    """SELECT user_id, event_type, arg_max(value, struct_pack(ts := ts, id := event_id)) AS value, max(event_id) AS last_id, min(event_id) AS id
+    FROM events GROUP BY user_id, event_type"""
+)
+def node_upsert_last_wins(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "events").select("user_id", "event_type", F.struct("ts", "event_id").alias("seq"), F.col("event_id").alias("id"), "value", F.col("event_id").alias("last_id"))
+    half = F.col("id") % 2 == 0
+    out = store.upsert(rows.where(half), rows.where(~half), ["user_id", "event_type"], "seq")
+    return out.groupBy("user_id", "event_type").agg(F.max_by("value", "seq").alias("value"), F.max("seq.event_id").alias("m"), F.min("id").alias("id"), F.max("last_id").alias("l")).join(
+        rows.groupBy("user_id", "event_type").agg(F.max("last_id").alias("last_id")), ["user_id", "event_type"]
+    ).select("user_id", "event_type", "value", "last_id", "id")
+
+
+@_query(
+    f"""WITH {VIEW_SQL}, gone AS (SELECT id FROM nodes WHERE file_path LIKE 'parties/customers/BUILDING/%')
+    SELECT relationship, count(*) AS n FROM edges WHERE source_id NOT IN (SELECT id FROM gone) AND target_id NOT IN (SELECT id FROM gone) GROUP BY relationship"""
+)
+def delete_file_cascade(spark: SparkSession, d: str) -> DataFrame:
+    nodes, edges = _view(spark, d)
+    files = store.prefix_scan(nodes, "parties/customers/BUILDING/").select("file_path").distinct()
+    return store.delete_files(nodes, edges, files)[1].groupBy("relationship").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query(f"WITH {VIEW_SQL} SELECT id, file_path FROM nodes WHERE file_path ILIKE 'PARTIES/customers/auto%'")
+def prefix_scan_ci(spark: SparkSession, d: str) -> DataFrame:
+    return store.prefix_scan(view.nodes(spark, d), "PARTIES/customers/auto").select("id", "file_path")
+
+
+@_query(f"""WITH {VIEW_SQL} SELECT id, CASE WHEN id % 2 = 0 THEN '{{"even":true}}' ELSE metadata END AS metadata FROM nodes WHERE kind = 'supplier'""")
+def replace_node_metadata(spark: SparkSession, d: str) -> DataFrame:
+    nodes = store.by_kind(view.nodes(spark, d), "supplier")
+    updates = nodes.where("id % 2 = 0").select("id", F.lit('{"even":true}').alias("metadata"))
+    return store.replace_metadata(nodes, updates).select("id", "metadata")
+
+
+# -- traversal --------------------------------------------------------------
+
+DEGREE_SQL = "degree AS (SELECT id, count(*) AS degree FROM (SELECT source_id AS id FROM edges UNION ALL SELECT target_id FROM edges) GROUP BY id)"
+
+
+@_query(f"WITH {VIEW_SQL}, {DEGREE_SQL} SELECT id, degree, degree >= 50 AS hub FROM degree")
+def degree_and_hubs(spark: SparkSession, d: str) -> DataFrame:
+    return traverse.degrees(view.edges(spark, d)).withColumn("hub", F.col("degree") >= traverse.HUB)
+
+
+@_query(f"WITH {VIEW_SQL}, {DEGREE_SQL} SELECT file_path, CAST(sum(degree) AS BIGINT) AS degree FROM nodes JOIN degree USING (id) GROUP BY file_path HAVING sum(degree) >= 60")
+def high_fanout_files(spark: SparkSession, d: str) -> DataFrame:
+    return traverse.fanout_files(*_view(spark, d))
+
+
+BALL_SQL = f"""RECURSIVE {VIEW_SQL}, {DEGREE_SQL},
+adj AS (SELECT source_id AS at, target_id AS nxt FROM edges UNION SELECT target_id, source_id FROM edges),
+walk(id, depth) AS (
+  SELECT CAST({CUSTOMER} AS BIGINT), 0
+  UNION SELECT adj.nxt, depth + 1 FROM walk JOIN adj ON adj.at = walk.id
+  WHERE depth < 3 AND (depth = 0 OR walk.id NOT IN (SELECT id FROM degree WHERE degree >= 50))
+), ball AS (SELECT id, min(depth) AS depth FROM walk GROUP BY id)"""
+
+
+@_query(f"WITH {BALL_SQL} SELECT CAST({CUSTOMER} AS BIGINT) AS start_id, id, depth FROM ball")
+def ball_depth3_hubstop(spark: SparkSession, d: str) -> DataFrame:
+    return traverse.ball(view.edges(spark, d), _start(spark, CUSTOMER))
+
+
+PRUNE_SQL = f"""{BALL_SQL}, costed AS (
+  SELECT b.id, depth, 60 + 4 * least(line_end - line_start + 1, 120) AS cost FROM ball b JOIN nodes USING (id)
+), pruned AS (
+  SELECT id, depth, cost, CAST(sum(cost) OVER (ORDER BY depth, id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running, row_number() OVER (ORDER BY depth, id) AS rank FROM costed
+  QUALIFY running <= 4000 OR rank = 1
+)"""
+
+
+def _pruned(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    nodes, edges = _view(spark, d)
+    found = traverse.ball(edges, _start(spark, CUSTOMER))
+    return traverse.prune(found.join(nodes.select("id", "line_start", "line_end"), "id")), edges
+
+
+@_query(f"WITH {PRUNE_SQL} SELECT id, depth, cost, running FROM pruned")
+def token_budget_prune(spark: SparkSession, d: str) -> DataFrame:
+    return _pruned(spark, d)[0].select("id", "depth", "cost", "running")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_budget_prune(spark, sf_dir)
+
+
+@_query(f"WITH {PRUNE_SQL} SELECT source_id, target_id, relationship, layer, metadata FROM edges WHERE source_id IN (SELECT id FROM pruned) AND target_id IN (SELECT id FROM pruned)")
+def induced_subgraph(spark: SparkSession, d: str) -> DataFrame:
+    kept, edges = _pruned(spark, d)
+    return traverse.induced(edges, kept).select(*view.EDGE_KEY)
+
+
+@_query(f"""WITH {PRUNE_SQL}, n AS (SELECT count(*) AS n FROM pruned)
+SELECT n AS n_nodes, CAST(greatest(20, floor(greatest(200, 4000 - 60 * n) / 24)) AS BIGINT) AS max_edges, CAST(least(120, greatest(20, floor(4000 / greatest(n, 1) / 4))) AS BIGINT) AS snippet_lines FROM n""")
+def subgraph_budgets(spark: SparkSession, d: str) -> DataFrame:
+    n = _pruned(spark, d)[0].agg(F.count(F.lit(1)).alias("n_nodes"))
+    return n.select("n_nodes", traverse.edge_budget(F.col("n_nodes")).alias("max_edges"), traverse.snippet_lines(F.col("n_nodes")).alias("snippet_lines"))
+
+
+CLOSURE_SQL = f"""RECURSIVE {VIEW_SQL}, walk(id) AS (
+  SELECT CAST({NATION} AS BIGINT) UNION SELECT source_id FROM walk JOIN edges ON target_id = walk.id
+)"""
+
+
+@_query(f"WITH {CLOSURE_SQL} SELECT id, kind, file_path FROM walk JOIN nodes USING (id)")
+def impact_reverse_closure(spark: SparkSession, d: str) -> DataFrame:
+    nodes, edges = _view(spark, d)
+    found = traverse.closure(edges, _start(spark, NATION))
+    return nodes.join(found.select("id"), "id", "left_semi").select("id", "kind", "file_path")
+
+
+@_query(
+    f"""WITH RECURSIVE {VIEW_SQL}, walk(id) AS (
+  SELECT id FROM (SELECT CAST({CUSTOMER} AS BIGINT) AS id UNION SELECT target_id FROM edges WHERE source_id = {CUSTOMER})
+  UNION SELECT source_id FROM walk JOIN edges ON target_id = walk.id
+) SELECT kind, count(*) AS n FROM walk JOIN nodes USING (id) GROUP BY kind"""
+)
+def impact_with_outgoing(spark: SparkSession, d: str) -> DataFrame:
+    nodes, edges = _view(spark, d)
+    found = traverse.closure(edges, _start(spark, CUSTOMER), outgoing_first=True)
+    return nodes.join(found.select("id"), "id", "left_semi").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+CROSS_SQL = f"""{CLOSURE_SQL}, crossing AS (
+  SELECT e.*, s.file_path AS source_file, s.kind AS source_kind, t.file_path AS target_file, t.kind AS target_kind,
+         CASE relationship WHEN 'routes_to' THEN 10 WHEN 'renders' THEN 8 WHEN 'calls' THEN 6 WHEN 'belongs_to' THEN 4 ELSE 3 END AS w
+  FROM edges e JOIN nodes s ON s.id = source_id JOIN nodes t ON t.id = target_id
+  WHERE source_id IN (SELECT id FROM walk) AND target_id IN (SELECT id FROM walk) AND s.file_path <> t.file_path
+)"""
+
+
+def _crossing(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    nodes, edges = _view(spark, d)
+    return traverse.cross_file(edges, nodes, traverse.closure(edges, _start(spark, NATION))), nodes
+
+
+@_query(f"WITH {CROSS_SQL} SELECT relationship, count(*) AS n_edges, count(DISTINCT source_file) AS n_files FROM crossing GROUP BY relationship")
+def impact_cross_file(spark: SparkSession, d: str) -> DataFrame:
+    return _crossing(spark, d)[0].groupBy("relationship").agg(F.count(F.lit(1)).alias("n_edges"), F.count_distinct("source_file").alias("n_files"))
+
+
+@_query(
+    f"""WITH {CROSS_SQL}, ends AS (SELECT source_file AS file, source_kind AS kind, relationship FROM crossing UNION ALL SELECT target_file, target_kind, relationship FROM crossing)
+    SELECT file, count(*) AS n_edges, array_to_string(list_sort(list(DISTINCT kind)), ',') AS kinds, array_to_string(list_sort(list(DISTINCT relationship)), ',') AS relationships
+    FROM ends GROUP BY file ORDER BY n_edges DESC, file LIMIT 20"""
+)
+def impact_top_files(spark: SparkSession, d: str) -> DataFrame:
+    return traverse.top_files(_crossing(spark, d)[0])
+
+
+@_query(
+    f"""WITH {CROSS_SQL}, ends AS (SELECT source_id AS id, w FROM crossing UNION ALL SELECT target_id, w FROM crossing)
+    SELECT id, kind, file_path, line_start, CAST(sum(w) AS BIGINT) AS weight,
+           CAST(CASE kind WHEN 'order' THEN 10 WHEN 'customer' THEN 9 WHEN 'supplier' THEN 8 ELSE 1 END AS BIGINT) AS priority
+    FROM ends JOIN nodes USING (id) GROUP BY id, kind, file_path, line_start"""
+)
+def impact_rank_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return traverse.rank_nodes(*_crossing(spark, d))
+
+
+@_query(
+    f"""WITH {CLOSURE_SQL} SELECT kind, count(*) FILTER (id IN (SELECT id FROM walk)) AS shown, count(*) AS total FROM nodes GROUP BY kind"""
+)
+def impact_kind_breakdown(spark: SparkSession, d: str) -> DataFrame:
+    nodes, edges = _view(spark, d)
+    shown = nodes.join(traverse.closure(edges, _start(spark, NATION)).select("id"), "id", "left_semi")
+    return traverse.kind_breakdown(shown, nodes)
+
+
+@_query(f"WITH {VIEW_SQL} SELECT source_id, target_id, relationship FROM edges WHERE relationship IN ('calls', 'renders') OR target_id % 3 = 0 GROUP BY ALL")
+def subgraph_union_dedupe(spark: SparkSession, d: str) -> DataFrame:
+    e = view.edges(spark, d).select("source_id", "target_id", "relationship")
+    return traverse.union_subgraphs(e.where("relationship = 'calls'"), e.where("relationship = 'renders'"), e.where("target_id % 3 = 0"))
+
+
+@_query(
+    f"""WITH {VIEW_SQL}, crossing AS (
+      SELECT s.file_path AS file, t.file_path AS partner, relationship, CASE relationship WHEN 'routes_to' THEN 10 WHEN 'renders' THEN 8 WHEN 'calls' THEN 6 WHEN 'belongs_to' THEN 4 ELSE 3 END AS w
+      FROM edges JOIN nodes s ON s.id = source_id JOIN nodes t ON t.id = target_id WHERE s.file_path <> t.file_path
+    ), best AS (SELECT file, partner, max(struct_pack(p := w, r := relationship)) AS b FROM crossing GROUP BY ALL)
+    SELECT file, partner, b.r AS relationship, CAST(b.p AS BIGINT) AS priority, CAST(row_number() OVER (PARTITION BY file ORDER BY b.p DESC, partner) AS INTEGER) AS rank,
+           greatest(count(*) OVER (PARTITION BY file) - 8, 0) AS omitted FROM best QUALIFY rank <= 8"""
+)
+def edge_summary_topk(spark: SparkSession, d: str) -> DataFrame:
+    nodes, edges = _view(spark, d)
+    return traverse.edge_summaries(edges, nodes)
+
+
+RANGES_SQL = "ranges AS (SELECT o_orderkey AS q, CAST(o_orderkey % 500 AS INTEGER) AS q_start, CAST(o_orderkey % 500 + 5 AS INTEGER) AS q_end FROM orders WHERE o_orderstatus = 'O')"
+
+
+def _ranges(spark: SparkSession, d: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    return table(spark, d, "orders").where("o_orderstatus = 'O'").select(key.alias("q"), (key % 500).cast("int").alias("q_start"), (key % 500 + 5).cast("int").alias("q_end"))
+
+
+@_query(
+    f"""WITH {VIEW_SQL}, {RANGES_SQL}
+    SELECT q, id, line_start, line_end, CAST(row_number() OVER (PARTITION BY q ORDER BY line_end - line_start, abs(line_start - q_start), id) AS INTEGER) AS rank
+    FROM ranges JOIN nodes ON kind = 'part' AND line_start <= q_end AND line_end >= q_start QUALIFY rank <= 3"""
+)
+def line_overlap_top3(spark: SparkSession, d: str) -> DataFrame:
+    return traverse.line_matches(store.by_kind(view.nodes(spark, d), "part"), _ranges(spark, d))
+
+
+@_query(
+    f"""WITH {VIEW_SQL}, {RANGES_SQL}
+    SELECT q, id, line_start, line_end FROM ranges JOIN nodes ON kind = 'part' AND line_start <= q_start AND line_end >= q_start
+    QUALIFY row_number() OVER (PARTITION BY q ORDER BY line_end - line_start, abs(line_start - q_start), id) = 1"""
+)
+def enclosing_range_join(spark: SparkSession, d: str) -> DataFrame:
+    points = _ranges(spark, d).select("q", F.col("q_start").alias("line"))
+    return traverse.enclosing(store.by_kind(view.nodes(spark, d), "part"), points).select("q", "id", "line_start", "line_end")
+
+
+@_query(None)
+def traversal_parity_mode(spark: SparkSession, d: str) -> DataFrame:
+    edges = view.edges(spark, d)
+    starts = table(spark, d, "nation").select(view.node_id("nation", "n_nationkey").alias("start_id"))
+    found = stash(traverse.ball(edges, starts, 2), "ball")
+    return traverse.replay(edges, found, starts, 2)
+
+
+# -- resolution -------------------------------------------------------------
+
+
+@_query(
+    f"""WITH {VIEW_SQL}, refs AS (SELECT id AS ref_id, file_path, CASE WHEN id % 3 = 0 THEN 'lib.' || symbol_name WHEN id % 3 = 1 THEN symbol_name ELSE symbol_name || 'x' END AS name FROM nodes WHERE kind IN ('part', 'nation')),
+    keyed AS (SELECT ref_id, file_path, name, 1 AS step FROM refs UNION ALL SELECT ref_id, file_path, regexp_extract(name, '([^.:\\\\]+)$', 1), 3 FROM refs),
+    found AS (
+      SELECT ref_id, step, max(n.id) AS node_id FROM keyed k JOIN nodes n ON n.file_path = k.file_path AND n.symbol_name = k.name GROUP BY ALL
+      UNION ALL SELECT ref_id, step + 1, min(n.id) FROM keyed k JOIN nodes n ON n.symbol_name = k.name GROUP BY ALL
+    ) SELECT ref_id, arg_min(node_id, step) AS node_id, min(step) AS step FROM found GROUP BY ref_id"""
+)
+def resolve_symbol_cascade(spark: SparkSession, d: str) -> DataFrame:
+    nodes = view.nodes(spark, d)
+    name = F.when(F.col("id") % 3 == 0, F.concat(F.lit("lib."), "symbol_name")).when(F.col("id") % 3 == 1, F.col("symbol_name")).otherwise(F.concat("symbol_name", F.lit("x")))
+    refs = nodes.where("kind in ('part', 'nation')").select(F.col("id").alias("ref_id"), "file_path", "language", name.alias("name"))
+    return resolve.resolve_symbols(refs, nodes)
+
+
+@_query(
+    f"""WITH {VIEW_SQL} SELECT c.id AS ref_id, min(p.id) AS node_id FROM nodes c JOIN nodes p ON p.kind = 'customer' AND list_contains(regexp_split_to_array(p.file_path, '[/.]'), c.symbol_name)
+    WHERE c.kind = 'customer' GROUP BY c.id"""
+)
+def resolve_by_path_contains(spark: SparkSession, d: str) -> DataFrame:
+    nodes = view.nodes(spark, d)
+    return resolve.by_path_part(store.by_kind(nodes, "customer").select(F.col("id").alias("ref_id"), F.col("symbol_name").alias("name")), nodes, "customer")
+
+
+@_query(f"WITH {VIEW_SQL} SELECT a.id AS source_id, b.id AS target_id FROM nodes a, nodes b WHERE a.kind = 'supplier' AND b.kind = 'region'")
+def kind_fanout(spark: SparkSession, d: str) -> DataFrame:
+    nodes = view.nodes(spark, d)
+    return resolve.all_of_kind(store.by_kind(nodes, "supplier").select(F.col("id").alias("source_id")), nodes, "region")
+
+
+@_query(
+    f"""WITH {VIEW_SQL}, filed AS (SELECT *, regexp_extract(file_path, '^([^/]+/)', 1) AS top FROM nodes)
+    SELECT top AS file_path, id, kind FROM filed QUALIFY row_number() OVER (PARTITION BY top ORDER BY CASE kind WHEN 'nation' THEN 3 WHEN 'supplier' THEN 2 ELSE 1 END DESC, line_start, id) = 1"""
+)
+def preferred_kind_per_file(spark: SparkSession, d: str) -> DataFrame:
+    nodes = view.nodes(spark, d).withColumn("file_path", F.regexp_extract("file_path", "^([^/]+/)", 1))
+    return resolve.preferred_in_file(nodes, {"nation": 3, "supplier": 2})
+
+
+# -- conventions ------------------------------------------------------------
+
+MATCH_SQL = f"""{VIEW_SQL}, matches AS (
+  SELECT n.id, n.kind, 'structural' AS type, 'extends ' || t.symbol_name AS property, count(*) AS n
+  FROM edges JOIN nodes t ON t.id = target_id JOIN nodes n ON n.id = source_id WHERE relationship = 'extends' GROUP BY ALL
+  UNION ALL SELECT DISTINCT n.id, n.kind, 'edge_out', 'out ' || relationship, 1 FROM edges JOIN nodes n ON n.id = source_id WHERE relationship <> 'extends'
+  UNION ALL SELECT DISTINCT n.id, n.kind, 'edge_in', 'in ' || relationship, 1 FROM edges JOIN nodes n ON n.id = target_id
+  UNION ALL SELECT id, kind, 'naming', 'prefix ' || regexp_extract(symbol_name, '^([a-z]+)[A-Z]', 1), 1 FROM nodes WHERE regexp_matches(symbol_name, '^([a-z]+)[A-Z]')
+  UNION ALL SELECT id, kind, 'naming', 'suffix ' || regexp_extract(symbol_name, '([A-Z][a-z]+)$', 1), 1 FROM nodes WHERE regexp_matches(symbol_name, '([A-Z][a-z]+)$')
+  UNION ALL SELECT id, kind, 'location', 'in ' || regexp_extract(file_path, '^(.+/)', 1), 1 FROM nodes WHERE regexp_matches(file_path, '^(.+/)')
+  UNION ALL SELECT id, kind, 'metadata', k || '=' || regexp_extract(metadata, '"' || k || '":"?([^",}}]*)', 1), 1
+  FROM nodes, (VALUES ('positive'), ('segment'), ('small'), ('type'), ('status')) AS keys(k)
+  WHERE metadata LIKE '%"' || k || '":%' AND regexp_extract(metadata, '"' || k || '":"?([^",}}]*)', 1) NOT IN ('', 'none', 'false')
+  UNION ALL SELECT DISTINCT a.id, a.kind, 'relationship', relationship || ' with ' || b.kind, 1
+  FROM (SELECT source_id AS x, target_id AS y, relationship FROM edges UNION ALL SELECT target_id, source_id, relationship FROM edges) JOIN nodes a ON a.id = x JOIN nodes b ON b.id = y
+), conventions AS (
+  SELECT kind, type, property, CAST(sum(n) AS BIGINT) AS frequency, any_value(total) AS total, CAST(sum(n) AS DOUBLE) / any_value(total) AS confidence
+  FROM matches JOIN (SELECT kind, count(*) AS total FROM nodes GROUP BY kind HAVING count(*) >= 2) USING (kind)
+  GROUP BY kind, type, property HAVING sum(n) >= 2 AND (type NOT IN ('naming', 'location', 'metadata') OR sum(n) >= 0.5 * any_value(total))
+)"""
+
+
+def _conventions_of(name: str, where: str) -> None:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        nodes, edges = _view(spark, d)
+        found = {
+            "structural": lambda: mining.extends(nodes, edges),
+            "edge_out": lambda: mining.edge_types(nodes, edges, "out"),
+            "edge_in": lambda: mining.edge_types(nodes, edges, "in"),
+            "naming_prefix": lambda: mining.naming(nodes, "prefix"),
+            "naming_suffix": lambda: mining.naming(nodes, "suffix"),
+            "location": lambda: mining.location(nodes),
+            "metadata": lambda: mining.metadata(nodes),
+            "relationship": lambda: mining.neighbour_kinds(nodes, edges),
+            "all": lambda: mining.matches(nodes, edges),
+        }[name]()
+        return mining.conventions(nodes, found)
+
+    key = "conventions_all" if name == "all" else f"conv_{name}"
+    _QUERIES[key] = run
+    _SQL[key] = f"WITH {MATCH_SQL} SELECT kind, type, property, frequency, total, confidence FROM conventions WHERE {where}"
+
+
+for _name, _where in (
+    ("structural", "type = 'structural'"), ("edge_out", "type = 'edge_out'"), ("edge_in", "type = 'edge_in'"), ("naming_prefix", "property LIKE 'prefix %'"),
+    ("naming_suffix", "property LIKE 'suffix %'"), ("location", "type = 'location'"), ("metadata", "type = 'metadata'"), ("relationship", "type = 'relationship'"), ("all", "true"),
+):
+    _conventions_of(_name, _where)
+
+
+@_query(
+    f"""WITH {MATCH_SQL}, {DEGREE_SQL}, scored AS (
+      SELECT m.id, m.kind, round(sum(confidence) + 0.01 * any_value(COALESCE(degree, 0)), 6) AS score
+      FROM (SELECT DISTINCT id, kind, property FROM matches) m JOIN conventions USING (kind, property) LEFT JOIN degree ON degree.id = m.id GROUP BY m.id, m.kind
+    ) SELECT kind, id AS exemplar_id, score FROM scored QUALIFY row_number() OVER (PARTITION BY kind ORDER BY score DESC, id) = 1"""
+)
+def exemplar_per_kind(spark: SparkSession, d: str) -> DataFrame:
+    nodes, edges = _view(spark, d)
+    return mining.exemplars(nodes, edges, *mining.mined(nodes, edges))
+
+
+@_query(
+    f"""WITH {MATCH_SQL}, rel AS (SELECT DISTINCT id, relationship FROM (SELECT source_id AS id, relationship FROM edges UNION ALL SELECT target_id, relationship FROM edges)),
+    shared AS (SELECT id, count(*) AS shared FROM rel WHERE relationship IN (SELECT relationship FROM rel WHERE id = {CUSTOMER}) GROUP BY id),
+    scored AS (
+      SELECT m.id, m.kind, round(sum(confidence) + 2 * any_value(COALESCE(shared, 0)), 6) AS score
+      FROM (SELECT DISTINCT id, kind, property FROM matches) m JOIN conventions USING (kind, property) LEFT JOIN shared ON shared.id = m.id WHERE m.id <> {CUSTOMER} GROUP BY m.id, m.kind
+    ) SELECT kind, id, score FROM scored QUALIFY row_number() OVER (PARTITION BY kind ORDER BY score DESC, id) = 1"""
+)
+def exemplar_closest(spark: SparkSession, d: str) -> DataFrame:
+    nodes, edges = _view(spark, d)
+    return mining.closest(nodes, edges, *mining.mined(nodes, edges), CUSTOMER)
+
+
+@_query(
+    f"""WITH {VIEW_SQL}, overrides AS (
+      SELECT CASE WHEN s_suppkey % 2 = 0 THEN 'parties/suppliers/' || s_name END AS file, CASE WHEN s_suppkey % 3 = 0 THEN 'supplier' END AS kind, s_name AS symbol, CASE WHEN s_suppkey % 5 > 0 THEN 'legacy' END AS reason FROM supplier
+    ) SELECT kind, count(*) AS n FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM overrides o WHERE o.reason IS NOT NULL AND (o.file IS NULL OR o.file = n.file_path) AND (o.kind IS NULL OR o.kind = n.kind) AND (o.symbol IS NULL OR o.symbol = n.symbol_name)) GROUP BY kind"""
+)
+def override_wildcard_exclusion(spark: SparkSession, d: str) -> DataFrame:
+    nodes = view.nodes(spark, d)
+    key = F.col("s_suppkey")
+    overrides = table(spark, d, "supplier").select(
+        F.when(key % 2 == 0, F.concat(F.lit("parties/suppliers/"), "s_name")).alias("file"), F.when(key % 3 == 0, "supplier").alias("kind"), F.col("s_name").alias("symbol"), F.when(key % 5 > 0, "legacy").alias("reason")
+    )
+    return mining.without_overrides(nodes, overrides).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+# -- validation -------------------------------------------------------------
+
+
+@_query(
+    f"""WITH {MATCH_SQL} SELECT n.id, n.kind, c.property, c.confidence FROM nodes n JOIN conventions c ON c.kind = n.kind AND c.confidence >= 0.9
+    WHERE NOT EXISTS (SELECT 1 FROM matches m WHERE m.id = n.id AND m.property = c.property)"""
+)
+def violations(spark: SparkSession, d: str) -> DataFrame:
+    nodes, edges = _view(spark, d)
+    return validate.violations(nodes, *mining.mined(nodes, edges)).select("id", "kind", "property", "confidence")
+
+
+CHECKS_SQL = f"""{MATCH_SQL}, checks AS (
+  SELECT n.file_path, n.kind, c.property, count(*) AS checked, count(*) FILTER (NOT EXISTS (SELECT 1 FROM matches m WHERE m.id = n.id AND m.property = c.property)) AS failed
+  FROM nodes n JOIN conventions c ON c.kind = n.kind AND c.confidence >= 0.9 GROUP BY ALL)"""
+
+
+@_query(f"WITH {CHECKS_SQL} SELECT *, CASE WHEN failed > 0 THEN 'fail' ELSE 'pass' END AS status FROM checks")
+def rule_checks(spark: SparkSession, d: str) -> DataFrame:
+    nodes, edges = _view(spark, d)
+    return validate.rule_checks(nodes, *mining.mined(nodes, edges))
+
+
+@_query(
+    f"""WITH {CHECKS_SQL} SELECT count(*) AS n_checks, count(*) FILTER (failed > 0) AS n_failed,
+    CASE WHEN count(*) = 0 THEN 'nothing to check' WHEN count(*) FILTER (failed > 0) = 0 THEN 'all conventions hold' ELSE 'conventions are violated' END AS message FROM checks"""
+)
+def validation_summary(spark: SparkSession, d: str) -> DataFrame:
+    nodes, edges = _view(spark, d)
+    return validate.summary(validate.rule_checks(nodes, *mining.mined(nodes, edges)))
+
+
+@_query(
+    f"""WITH {MATCH_SQL}, files AS (SELECT DISTINCT file_path, CASE WHEN id % 7 = 0 THEN NULL WHEN id % 7 = 1 THEN 'page' ELSE kind END AS kind FROM nodes),
+    best AS (SELECT kind, max(confidence) AS best FROM conventions GROUP BY kind), rows AS (
+      SELECT file_path, kind, CASE WHEN kind IS NULL THEN 'unknown_kind' WHEN kind NOT IN (SELECT kind FROM nodes) THEN 'no_indexed_nodes' WHEN COALESCE(best, 0) < 0.9 THEN 'no_high_confidence_conventions' END AS reason FROM files LEFT JOIN best USING (kind))
+    SELECT * FROM rows WHERE reason IS NOT NULL"""
+)
+def evidence_gaps(spark: SparkSession, d: str) -> DataFrame:
+    nodes, edges = _view(spark, d)
+    kind = F.when(F.col("id") % 7 == 0, F.lit(None)).when(F.col("id") % 7 == 1, "page").otherwise(F.col("kind"))
+    files = nodes.select("file_path", kind.alias("kind")).distinct()
+    return validate.evidence_gaps(files, nodes, mining.mined(nodes, edges)[1])
+
+
+@_query(
+    """WITH paths AS (SELECT regexp_replace(url, '^[a-z]+://', '') AS path FROM pages UNION ALL SELECT 'catalog/' || p_brand FROM part UNION ALL SELECT 'geo/' || n_name FROM nation UNION ALL SELECT 'geo/nations/' || n_name FROM nation)
+    SELECT path, CASE WHEN path LIKE 'geo/nations/%' THEN 'nation' WHEN path LIKE 'geo/%' THEN 'region' WHEN path LIKE 'catalog/%' THEN 'part' END AS kind, count(*) AS n FROM paths GROUP BY ALL"""
+)
+def planned_kind_inference(spark: SparkSession, d: str) -> DataFrame:
+    paths = (
+        table(spark, d, "pages").select(F.regexp_replace("url", "^[a-z]+://", "").alias("path"))
+        .union(table(spark, d, "part").select(F.concat(F.lit("catalog/"), "p_brand")))
+        .union(table(spark, d, "nation").select(F.concat(F.lit("geo/"), "n_name")))
+        .union(table(spark, d, "nation").select(F.concat(F.lit("geo/nations/"), "n_name")))
+    )
+    return paths.groupBy("path", validate.planned_kind(F.col("path")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query(
+    """WITH l AS (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS field FROM orders WHERE o_orderstatus = 'O'), r AS (SELECT DISTINCT CAST(c_custkey AS VARCHAR) AS field FROM customer WHERE c_acctbal > 0)
+    (SELECT field, 'left' AS side FROM l EXCEPT SELECT field, 'left' FROM r) UNION ALL (SELECT field, 'right' FROM r EXCEPT SELECT field, 'right' FROM l)"""
+)
+def set_difference_fields(spark: SparkSession, d: str) -> DataFrame:
+    left = table(spark, d, "orders").where("o_orderstatus = 'O'").select(F.col("o_custkey").cast("string").alias("field"))
+    right = table(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").cast("string").alias("field"))
+    return validate.one_sided(left, right)
+
+
+# -- context ----------------------------------------------------------------
+
+
+@_query(
+    f"""WITH {PRUNE_SQL}, inside AS (SELECT * FROM edges WHERE source_id IN (SELECT id FROM pruned) AND target_id IN (SELECT id FROM pruned)),
+    parts AS (
+      SELECT file_path, 5 AS score, 'symbol' AS reason FROM pruned JOIN nodes USING (id)
+      UNION ALL SELECT file_path, 100, 'start' FROM nodes WHERE id = {CUSTOMER}
+      UNION ALL SELECT s.file_path, 20, 'edge' FROM inside JOIN nodes s ON s.id = source_id JOIN nodes t ON t.id = target_id WHERE s.file_path <> t.file_path
+      UNION ALL SELECT t.file_path, 10, 'edge' FROM inside JOIN nodes s ON s.id = source_id JOIN nodes t ON t.id = target_id WHERE s.file_path <> t.file_path
+    ) SELECT file_path, CAST(sum(score) AS BIGINT) AS score, array_to_string(list_sort(list(DISTINCT reason)), ',') AS reasons FROM parts GROUP BY file_path ORDER BY score DESC, file_path LIMIT 8"""
+)
+def working_set_rank(spark: SparkSession, d: str) -> DataFrame:
+    kept, edges = _pruned(spark, d)
+    nodes = view.nodes(spark, d)
+    return context.working_set(stash(kept, "kept"), traverse.induced(edges, kept), nodes, [CUSTOMER])
+
+
+@_query(
+    f"""WITH {MATCH_SQL} SELECT kind, property, confidence, CAST(rank AS INTEGER) AS rank FROM (
+      SELECT *, row_number() OVER (PARTITION BY kind ORDER BY confidence DESC, frequency DESC, property) AS rank FROM conventions WHERE confidence >= 0.9) WHERE rank <= 3
+    ORDER BY confidence DESC, kind, property LIMIT 6"""
+)
+def constraints_topk_per_kind(spark: SparkSession, d: str) -> DataFrame:
+    nodes, edges = _view(spark, d)
+    return context.constraints(mining.mined(nodes, edges)[1])
+
+
+@_query(
+    f"""WITH {VIEW_SQL}, active AS (SELECT DISTINCT target_id AS id FROM edges WHERE source_id IN (SELECT source_id FROM edges WHERE target_id = {CUSTOMER}) AND relationship = 'renders'),
+    users AS (SELECT source_id, count(*) AS w FROM edges WHERE relationship = 'renders' AND target_id IN (SELECT id FROM active) GROUP BY source_id)
+    SELECT target_id AS id, CAST(sum(w) AS BIGINT) AS weight FROM edges JOIN users USING (source_id) WHERE relationship = 'renders' AND target_id NOT IN (SELECT id FROM active)
+    GROUP BY target_id ORDER BY weight DESC, id LIMIT 3"""
+)
+def peer_two_hop(spark: SparkSession, d: str) -> DataFrame:
+    edges = view.edges(spark, d)
+    orders = edges.where(F.col("target_id") == CUSTOMER).select("source_id")
+    renders = edges.where("relationship = 'renders'").select("source_id", "target_id")
+    active = renders.join(orders, "source_id", "left_semi").select(F.col("target_id").alias("id")).distinct()
+    return context.peers(renders, active)
+
+
+@_query(
+    """WITH scored AS (SELECT doc_id, CAST(length(text) - length(replace(lower(text), 'the', '')) AS BIGINT) AS score FROM documents)
+    SELECT doc_id, score FROM scored WHERE score >= greatest(12, 0.18 * (SELECT max(score) FROM scored))"""
+)
+def score_floor_filter(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    scored = docs.select("doc_id", (text.occurrences(F.col("text"), "the") * 3).alias("score"))
+    return context.score_floor(scored)
+
+
+# -- text -------------------------------------------------------------------
+
+_STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
+_STEM_SQL = """CASE WHEN t LIKE '%ies' AND length(t) > 4 THEN left(t, length(t) - 3) || 'y' WHEN t LIKE '%ing' AND length(t) > 5 THEN left(t, length(t) - 3)
+WHEN t LIKE '%ed' AND length(t) > 4 THEN left(t, length(t) - 2) WHEN t LIKE '%s' AND t NOT LIKE '%ss' AND length(t) > 3 THEN left(t, length(t) - 1) ELSE t END"""
+TOKENS_SQL = f"""raw AS (SELECT doc_id, unnest(regexp_split_to_array(lower(regexp_replace(text, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+')) AS t FROM documents),
+stemmed AS (SELECT doc_id, {_STEM_SQL} AS term FROM raw WHERE length(t) >= 3), terms AS (SELECT doc_id, term FROM stemmed WHERE length(term) >= 3 AND term NOT IN ({_STOP}))"""
+
+
+def _terms(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.explode(text.tokens(F.col("text"))).alias("term"))
+
+
+@_query(f"WITH {TOKENS_SQL} SELECT term, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM terms GROUP BY term")
+def tokenize_stem_documents(spark: SparkSession, d: str) -> DataFrame:
+    per = _terms(spark, d).groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("c"))
+    return per.groupBy("term").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("n_docs"))
+
+
+@_query(
+    """SELECT doc_id, CAST(least(((length(text) - length(replace(lower(text), 'tion', ''))) // 4) * 32, 120) + least(((length(text) - length(replace(lower(text), 'license', ''))) // 7) * 32, 120) AS BIGINT) AS score FROM documents"""
+)
+def term_occurrence_score(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", text.occurrence_score(F.col("text"), ["tion", "license"]).alias("score"))
+
+
+@_query(
+    """WITH s AS (SELECT page_id, unnest(string_split(lower(regexp_extract(url, '://[^/?#]*([^?#]*)', 1)), '/')) AS segment FROM pages)
+    SELECT segment, count(*) AS n, count(DISTINCT page_id) AS n_pages FROM s WHERE segment <> '' AND NOT regexp_matches(segment, '^[{:]') AND NOT regexp_matches(segment, '^[0-9]+$') GROUP BY segment"""
+)
+def endpoint_segments_urls(spark: SparkSession, d: str) -> DataFrame:
+    path = F.regexp_extract("url", "://[^/?#]*([^?#]*)", 1)
+    rows = table(spark, d, "pages").select("page_id", F.explode(text.path_segments(path)).alias("segment"))
+    return rows.groupBy("segment").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("page_id").alias("n_pages"))
+
+
+@_query(
+    """WITH c AS (SELECT user_id AS file, event_type AS source, value AS score FROM events), best AS (
+      SELECT file, max(struct_pack(score := score, source := source)) AS b, count(DISTINCT source) AS n_sources FROM c GROUP BY file)
+    SELECT file, b.source AS source, round(b.score, 6) AS score, n_sources, round(greatest(0.55, least(0.98, b.score / (SELECT max(b.score) FROM best))), 6) AS confidence
+    FROM best ORDER BY b.score DESC, file LIMIT 16"""
+)
+def candidate_merge_max(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "events").select(F.col("user_id").alias("file"), F.col("event_type").alias("source"), F.col("value").alias("score"))
+    return context.merge_candidates(rows, 16)
+
+
+@_query(
+    f"""WITH {TOKENS_SQL}, l AS (SELECT DISTINCT term FROM terms WHERE doc_id % 2 = 0), r AS (SELECT DISTINCT term FROM terms WHERE doc_id % 2 = 1),
+    k AS (SELECT term, n, left(term, n) AS p FROM r, (VALUES (5), (6), (7)) AS s(n) WHERE length(term) >= 6),
+    j AS (SELECT term, n, left(term, n) AS p FROM l, (VALUES (5), (6), (7)) AS s(n) WHERE length(term) >= 6)
+    SELECT term FROM l WHERE term NOT IN (SELECT j.term FROM j JOIN k ON j.n = k.n AND j.p = k.p WHERE j.n = least(least(7, length(j.term) - 1), least(7, length(k.term) - 1)))"""
+)
+def fuzzy_prefix_antijoin(spark: SparkSession, d: str) -> DataFrame:
+    terms = _terms(spark, d)
+    return text.fuzzy_prefix_anti(terms.where("doc_id % 2 = 0"), terms.where("doc_id % 2 = 1"))
+
+
+@_query(
+    """WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages) SELECT page_id, href, count(*) AS n FROM l GROUP BY ALL"""
+)
+def html_link_edges(spark: SparkSession, d: str) -> DataFrame:
+    links = table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href"))
+    return links.groupBy("page_id", "href").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query(
+    """WITH r AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9_./-]+\\.[a-z]{2,5}(?::[0-9]+(?:-[0-9]+)?)?')) AS ref FROM documents)
+    SELECT DISTINCT doc_id, regexp_extract(ref, '^([^:]+)', 1) AS path, regexp_extract(ref, ':([0-9]+)', 1) AS line_start, regexp_extract(ref, '-([0-9]+)$', 1) AS line_end FROM r"""
+)
+def text_path_refs(spark: SparkSession, d: str) -> DataFrame:
+    return context.path_references(table(spark, d, "documents"))
+
+
+@_query(
+    f"""WITH {VIEW_SQL}, seg AS (SELECT DISTINCT id, unnest(regexp_split_to_array(lower(file_path), '[^a-z0-9]+')) AS s FROM nodes WHERE kind IN ('supplier', 'part')),
+    pairs AS (SELECT a.id AS planned, b.id AS existing, count(*) AS shared FROM seg a JOIN seg b ON a.s = b.s AND a.s <> '' WHERE a.id BETWEEN 3000000000 AND 3999999999 AND b.id >= 5000000000 GROUP BY ALL)
+    SELECT planned, existing, shared, CAST(row_number() OVER (PARTITION BY planned ORDER BY shared DESC, existing) AS INTEGER) AS rank FROM pairs QUALIFY rank <= 3"""
+)
+def path_similarity_topk(spark: SparkSession, d: str) -> DataFrame:
+    nodes = view.nodes(spark, d)
+    return context.similar_paths(store.by_kind(nodes, "supplier"), store.by_kind(nodes, "part"), 3)
+
+
+@_query(
+    f"""WITH {VIEW_SQL}, have AS (SELECT DISTINCT regexp_extract(file_path, '^([^/]+/)', 1) AS dir FROM nodes WHERE kind <> 'part' UNION SELECT DISTINCT regexp_extract(file_path, '^([^/]+/[^/]+/)', 1) FROM nodes WHERE kind <> 'part'),
+    want AS (SELECT DISTINCT file_path AS path, regexp_extract(file_path, '^([^/]+/)', 1) AS d1, regexp_extract(file_path, '^([^/]+/[^/]+/)', 1) AS d2 FROM nodes WHERE kind IN ('part', 'nation'))
+    SELECT path, CASE WHEN d1 NOT IN (SELECT dir FROM have) THEN d1 ELSE d2 END AS first_missing FROM want WHERE d1 NOT IN (SELECT dir FROM have) OR d2 NOT IN (SELECT dir FROM have)"""
+)
+def novel_prefixes(spark: SparkSession, d: str) -> DataFrame:
+    nodes = view.nodes(spark, d).select("kind", F.col("file_path").alias("path"))
+    return text.novel_prefixes(nodes.where("kind in ('part', 'nation')").select("path").distinct(), nodes.where("kind <> 'part'").select("path").distinct())
+
+
+# -- maintenance ------------------------------------------------------------
+
+
+@_query(
+    """WITH cache AS (SELECT doc_id AS path, CAST(n_chars AS DOUBLE) AS mtime, sha256(text) AS hash FROM documents WHERE doc_id % 11 <> 0),
+    now AS (SELECT doc_id AS path, CAST(n_chars AS DOUBLE) + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS mtime, sha256(CASE WHEN doc_id % 10 = 0 THEN text || '!' ELSE text END) AS hash FROM documents WHERE doc_id % 13 <> 0)
+    SELECT COALESCE(cache.path, now.path) AS path, CASE WHEN now.path IS NULL THEN 'deleted' WHEN cache.path IS NULL THEN 'new' WHEN cache.mtime = now.mtime THEN 'unchanged' WHEN cache.hash = now.hash THEN 'touched' ELSE 'changed' END AS status
+    FROM cache FULL JOIN now ON cache.path = now.path"""
+)
+def stale_files_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    size = F.col("n_chars").cast("double")
+    cache = docs.where("doc_id % 11 <> 0").select(F.col("doc_id").alias("path"), size.alias("mtime"), F.sha2("text", 256).alias("hash"))
+    changed = F.when(F.col("doc_id") % 10 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    now = docs.where("doc_id % 13 <> 0").select(F.col("doc_id").alias("path"), (size + F.when(F.col("doc_id") % 5 == 0, 1).otherwise(0)).alias("mtime"), F.sha2(changed, 256).alias("hash"))
+    return refresh.compare(cache, now)
+
+
+@_query(
+    """SELECT user_id, count(*) AS events, count(*) FILTER (event_type = 'click') AS clicks, count(*) FILTER (value > 50) AS high, max(event_id) AS last_event FROM events GROUP BY user_id"""
+)
+def diagnostics_rollup(spark: SparkSession, d: str) -> DataFrame:
+    return refresh.diagnostics(table(spark, d, "events"), "user_id", {"clicks": F.col("event_type") == "click", "high": F.col("value") > 50}, "event_id", "events", "last_event")
+
+
+@_query("SELECT concat_ws(' / ', event_type, CAST(user_id % 10 AS VARCHAR)) AS issue, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, issue LIMIT 8")
+def issue_breakdown_top8(spark: SparkSession, d: str) -> DataFrame:
+    return refresh.breakdown(table(spark, d, "events"), F.concat_ws(" / ", "event_type", (F.col("user_id") % 10).cast("string")), 8)
