@@ -7,6 +7,7 @@ an Arrow batch and never decodes a text merely to find its words.
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -25,6 +26,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Rows up to which a table of ids is broadcast (a few numbers each: tens of MB at most).
 BROADCAST_ROWS = 500_000
+#: Rows of an Arrow batch.
+BATCH_ROWS = 2_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -75,6 +78,29 @@ def chunks(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator
         yield batch.slice(a, b - a)
 
 
+def lean(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``fn`` that gives a worker's free memory back when its task ends: workers are
+    reused, and several stages of a job share an executor's memory."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ctypes
+
+        try:
+            yield from fn(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """Texts are long: let Spark hand them to Python BATCH_ROWS at a time."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
+
+
 def annotate(
     df: DataFrame,
     fn: Callable[[list[bytes]], dict[str, object]],
@@ -101,7 +127,7 @@ def annotate(
                 )
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), made], [*carry, name])
 
-    return df.select(*(F.col(f"`{c}`") for c in need)).mapInArrow(run, schema)
+    return small_batches(df).select(*(F.col(f"`{c}`") for c in need)).mapInArrow(lean(run), schema)
 
 
 def _arrow(kind: T.DataType) -> pa.DataType:

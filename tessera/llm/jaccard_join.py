@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, broadcast_if_small, chunks, gram_hashes, stash, text_bytes
+from .common import WordHashes, broadcast_if_small, chunks, gram_hashes, lean, small_batches, stash, text_bytes
 from .components import components
 
 SHINGLE = 5
@@ -295,7 +295,7 @@ def linked(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     ids = stash(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "jaccard-ids")
     texts = rows.join(broadcast_if_small(ids), "id", "left_semi").dropDuplicates(["id"])
     a, b = (texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(lean(_verify), "a long, b long")
 
 
 def _between(blocks: DataFrame, labels: DataFrame, sets: DataFrame, best: int | None) -> DataFrame:
@@ -308,27 +308,27 @@ def _between(blocks: DataFrame, labels: DataFrame, sets: DataFrame, best: int |
     mixed = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"), early.alias("early"))
     mixed = stash(mixed.where("lo <> hi and early").select("key", "size"), "jaccard-mixed")
     point = sets.select(F.col("id").alias("_p"), "point")
-    some = rows.join(broadcast_if_small(mixed), "key")
+    some = rows.join(mixed, "key")
     some = some.join(point, some["id"] == point["_p"]).drop("_p")
     n_chunks = F.ceil(F.col("size") / CHUNK)
     own = F.pmod(F.xxhash64("id"), n_chunks)
     units = some.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), n_chunks.cast("long") - 1)))
     units = units.select("key", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"), (F.col("own") > F.col("with")).cast("int").alias("side"), "id", "n", "pos", "component", "point")
     mark = ["key", "lo", "hi"]
-    return units.repartition(*mark).sortWithinPartitions(*mark).mapInArrow(_candidates(best), "a long, b long, key long").distinct()
+    return units.repartition(*mark).sortWithinPartitions(*mark).mapInArrow(lean(_candidates(best)), "a long, b long, key long").distinct()
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id) for every row of ``docs``: the size of its set
     and the smallest id that links reach.  ``key`` must be an integer."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    seen = rows.select("text").mapInArrow(_frequent, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN)
+    rows = small_batches(docs).select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
+    seen = rows.select("text").mapInArrow(lean(_frequent), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN)
     top = seen.orderBy(F.desc("n"), "h").limit(FREQUENT).toPandas()
     known = top["h"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(known)
     frequent = spark.sparkContext.broadcast((known[order], top["n"].to_numpy(np.int64)[order]))
-    sets = stash(rows.mapInArrow(_points(frequent), "id long, n long, h1 long, h2 long, keys array<long>, point binary"), "jaccard-sets")
+    sets = stash(rows.mapInArrow(lean(_points(frequent)), "id long, n long, h1 long, h2 long, keys array<long>, point binary"), "jaccard-sets")
 
     key_order = ["key", "n", "h1", "id"]
     keyed = sets.where("id is not null and n > 0").select(F.posexplode("keys").alias("pos", "key"), "n", "h1", "id").withColumn("pos", F.col("pos").cast("long"))
@@ -355,7 +355,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         cut = found.where("a is null").select("key").distinct()
         if cut.isEmpty():
             break
-        left = blocks.join(broadcast_if_small(cut), "key", "left_semi")
+        left = blocks.join(cut, "key", "left_semi")
 
     # equal sets are one class; its smallest id stands for it
     classes = sets.where("n > 0 and id is not null").groupBy("h1", "h2", "n").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("size"))

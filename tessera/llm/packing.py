@@ -21,7 +21,8 @@ from __future__ import annotations
 import unicodedata
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +30,26 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, text_bytes
+from .common import chunks, lean, small_batches, text_bytes
 
 MAX_TOKENS = 2048
 MAX_SEGMENTS = 512
 MAX_LOSS = 2048
 POOL = 512
 END_ID = 1
-REMEMBER = 1_000_000
+REMEMBER = 500_000
+
+
+class _Numbers(dict):
+    """Word -> its number; a new word is encoded on the way."""
+
+    def __init__(self, add: Callable[[bytes], int]):
+        super().__init__()
+        self.add = add
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = self.add(word)
+        return n
 
 
 class WordIds:
@@ -59,7 +72,7 @@ class WordIds:
         self.reset()
 
     def reset(self) -> None:
-        self.number: dict[bytes, int] = {}
+        self.number = _Numbers(self._add)
         self.runs: dict[bytes, int] = {}  # of letters: place and length in flat
         self.starts, self.lengths = array("q"), array("q")
         self.flat = np.empty(1 << 20, np.uint32)
@@ -93,19 +106,19 @@ class WordIds:
             return self.flat[self.starts[at] : self.starts[at] + self.lengths[at]].tolist()
         return self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
 
+    def _add(self, word: bytes) -> int:
+        ids = self._encode(word)
+        self.starts.append(self._put(ids))
+        self.lengths.append(len(ids))
+        return len(self.starts) - 1
+
     def of(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each text."""
         if len(self.number) > REMEMBER:
             self.reset()
         words = [t.lower().split() if self._plain(t) else None for t in texts]
-        flat = [w for ws in words if ws for w in ws]
-        known = self.number
-        for w in set(flat).difference(known):
-            ids = self._encode(w)
-            self.starts.append(self._put(ids))
-            self.lengths.append(len(ids))
-            known[w] = len(known)
-        at = np.fromiter(map(known.__getitem__, flat), np.int64, len(flat))
+        flat = list(chain.from_iterable(ws for ws in words if ws))
+        at = np.fromiter(map(self.number.__getitem__, flat), np.int64, len(flat))
         start, length = np.array(self.starts, np.int64)[at], np.array(self.lengths, np.int64)[at]
         end = np.cumsum(length)
         ids = self.flat[np.repeat(start - end + length, length) + np.arange(end[-1] if len(end) else 0)]
@@ -243,4 +256,4 @@ def pack(
             packer.pack(0)
             yield out()
 
-    return docs.select(F.col(f"`{key}`"), F.col(f"`{text}`")).mapInArrow(run, schema)
+    return small_batches(docs).select(F.col(f"`{key}`"), F.col(f"`{text}`")).mapInArrow(lean(run), schema)

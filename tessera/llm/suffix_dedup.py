@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, broadcast_if_small, chunks, gram_hashes, stash, text_bytes
+from .common import WordHashes, chunks, gram_hashes, lean, small_batches, stash, text_bytes
 
 MIN_WORDS = 50
 K = 10
@@ -196,14 +196,14 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text")
     """(key, start_word, end_word, n_words, other_<key>): the passages of at least
     MIN_WORDS words that occur elsewhere, and the smallest id among the
     neighbours that hold them.  ``key`` must be an integer."""
-    rows = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).where("id is not null and text is not null")
-    all_ = stash(rows.mapInArrow(_rows_of_minimisers, "id long, pos long, gram long"), "suffix-minimisers")
+    rows = small_batches(docs).select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).where("id is not null and text is not null")
+    all_ = stash(rows.mapInArrow(lean(_rows_of_minimisers), "id long, pos long, gram long"), "suffix-minimisers")
     # one text may count a gram once: rows repeated with the same id are no match
     again = stash(all_.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "suffix-repeated")
-    kept = all_.join(broadcast_if_small(again), "gram", "left_semi")
+    kept = all_.join(again, "gram", "left_semi")
     places = stash(kept.groupBy("id").agg(F.collect_list(F.struct("pos")).alias("at")), "suffix-places")
-    wanted = rows.join(broadcast_if_small(places, 20_000), "id").dropDuplicates(["id"]) if _repeats(places, rows) else rows.join(broadcast_if_small(places, 20_000), "id")
-    suffixes = stash(wanted.select("id", "text", "at").mapInArrow(_rows_of_contexts, _SUFFIX), "suffix-contexts")
+    wanted = rows.join(places, "id").dropDuplicates(["id"]) if _repeats(places, rows) else rows.join(places, "id")
+    suffixes = stash(wanted.select("id", "text", "at").mapInArrow(lean(_rows_of_contexts), _SUFFIX), "suffix-contexts")
     order = ["gram", "after", "before", "id", "pos"]
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = suffixes.repartitionByRange(n, *order).sortWithinPartitions(*order)

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from .common import annotate, free_name
 
 LIMIT = 512
-REMEMBER = 800_000
+REMEMBER = 500_000
 RESULT = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())])
 
 #: Fixed: the pattern of the byte-level tokenizer, with white space spelled out as Unicode's property.
