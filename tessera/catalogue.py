@@ -616,13 +616,13 @@ def text_path_refs(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query(
-    f"""WITH {VIEW_SQL}, seg AS (SELECT DISTINCT id, unnest(regexp_split_to_array(lower(file_path), '[^a-z0-9]+')) AS s FROM nodes WHERE kind IN ('supplier', 'part')),
-    pairs AS (SELECT a.id AS planned, b.id AS existing, count(*) AS shared FROM seg a JOIN seg b ON a.s = b.s AND a.s <> '' WHERE a.id BETWEEN 3000000000 AND 3999999999 AND b.id >= 5000000000 GROUP BY ALL)
+    f"""WITH {VIEW_SQL}, seg AS (SELECT DISTINCT id, unnest(regexp_split_to_array(lower(file_path), '[^a-z0-9]+')) AS s FROM nodes WHERE kind IN ('nation', 'region')),
+    pairs AS (SELECT a.id AS planned, b.id AS existing, count(*) AS shared FROM seg a JOIN seg b ON a.s = b.s AND a.s <> '' WHERE a.id >= 2000000000 AND b.id < 2000000000 GROUP BY ALL)
     SELECT planned, existing, shared, CAST(row_number() OVER (PARTITION BY planned ORDER BY shared DESC, existing) AS INTEGER) AS rank FROM pairs QUALIFY rank <= 3"""
 )
 def path_similarity_topk(spark: SparkSession, d: str) -> DataFrame:
     nodes = view.nodes(spark, d)
-    return context.similar_paths(store.by_kind(nodes, "supplier"), store.by_kind(nodes, "part"), 3)
+    return context.similar_paths(store.by_kind(nodes, "nation"), store.by_kind(nodes, "region"), 3)
 
 
 @_query(
