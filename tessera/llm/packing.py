@@ -18,10 +18,11 @@ gives no rows.  A task's last pieces form a few short sequences.
 
 from __future__ import annotations
 
+import string
 import unicodedata
 import zlib
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -38,28 +39,30 @@ MAX_LOSS = 2048
 POOL = 512
 END_ID = 1
 REMEMBER = 500_000
+KEEP_IDS = 1 << 24
+PUNCTUATION = string.punctuation.encode()
 
 
-class _Numbers(dict):
-    """Word -> its number; a new word is encoded on the way."""
+class _Places(dict):
+    """Word -> where its ids lie (start and length in one integer); a new word is
+    encoded on the way."""
 
     def __init__(self, add: Callable[[bytes], int]):
         super().__init__()
         self.add = add
 
     def __missing__(self, word: bytes) -> int:
-        self[word] = n = self.add(word)
-        return n
+        self[word] = at = self.add(word)
+        return at
 
 
 class WordIds:
     """Ids of words, as the tokenizer gives them for any text that is cut at white
     space (its own first step).  Words are looked up with A-Z lower-cased, which the
-    tokenizer's normalizer does as well.  A word of letters, with or without final
-    punctuation, goes straight to the tokenizer's merge model; any other word goes
-    through the whole tokenizer.  Memory is bounded by REMEMBER words."""
-
-    FINAL = b".,|:;!?"
+    tokenizer's normalizer does as well.  A word of letters goes straight to the
+    tokenizer's merge model, and ASCII punctuation after a letter or digit is a piece of
+    its own; any other word goes through the whole tokenizer.  Memory is bounded by
+    REMEMBER words and KEEP_IDS ids, besides those of one slice."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -72,56 +75,42 @@ class WordIds:
         self.reset()
 
     def reset(self) -> None:
-        self.number = _Numbers(self._add)
-        self.runs: dict[bytes, int] = {}  # of letters: place and length in flat
-        self.starts, self.lengths = array("q"), array("q")
-        self.flat = np.empty(1 << 20, np.uint32)
-        self.used = 0
-
-    def _put(self, ids: list[int]) -> int:
-        if self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.empty(max(len(self.flat), len(ids)), np.uint32)])
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.used += len(ids)
-        return self.used - len(ids)
-
-    def _merge(self, run: bytes) -> list[int] | None:
-        """Ids of a run of letters; None if normalizing makes it anything else."""
-        text = unicodedata.normalize("NFC", run.decode())
-        low = "".join(c.lower() for c in text) if not text.isascii() else text
-        if not low.isalpha():
-            return None
-        return [t.id for t in self.model.tokenize(low.encode().decode("latin-1").translate(self.letters))]
-
-    def _encode(self, word: bytes) -> list[int]:
-        run = word.rstrip(self.FINAL)
-        if run and run.decode().isalpha():
-            if (at := self.runs.get(run)) is not None:
-                ids = self.flat[at >> 20 : (at >> 20) + (at & 0xFFFFF)].tolist()
-            elif (ids := self._merge(run)) is not None and len(run) < 64:
-                self.runs[run] = self._put(ids) << 20 | len(ids)
-            if ids is not None:
-                return ids + self._encode(word[len(run) :]) if len(run) < len(word) else ids
-        if (at := self.number.get(word)) is not None:
-            return self.flat[self.starts[at] : self.starts[at] + self.lengths[at]].tolist()
-        return self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
+        self.places = _Places(self._add)
+        self.flat = array("I", [0])
+
+    def _put(self, ids: Iterable[int]) -> int:
+        start = len(self.flat)
+        self.flat.extend(ids)
+        return start << 32 | len(self.flat) - start
+
+    def _known(self, word: bytes) -> array:
+        at = self.places[word]
+        return self.flat[at >> 32 : (at >> 32) + (at & 0xFFFFFFFF)]
 
     def _add(self, word: bytes) -> int:
-        ids = self._encode(word)
-        self.starts.append(self._put(ids))
-        self.lengths.append(len(ids))
-        return len(self.starts) - 1
+        if word.isalpha():  # ASCII letters
+            return self._put([t.id for t in self.model.tokenize(word.decode())])
+        run = word.rstrip(PUNCTUATION)
+        if run:
+            text = unicodedata.normalize("NFC", run.decode())
+            low = "".join(c.lower() for c in text)
+            if len(run) < len(word):
+                if low[-1].isalnum():
+                    return self._put(self._known(run) + self._known(word[len(run) :]))
+            elif low.isalpha():
+                return self._put([t.id for t in self.model.tokenize(low.encode().decode("latin-1").translate(self.letters))])
+        return self._put(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids)
 
     def of(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each text."""
-        if len(self.number) > REMEMBER:
+        if len(self.places) > REMEMBER or len(self.flat) > KEEP_IDS:
             self.reset()
         words = [t.lower().split() if self._plain(t) else None for t in texts]
         flat = list(chain.from_iterable(ws for ws in words if ws))
-        at = np.fromiter(map(self.number.__getitem__, flat), np.int64, len(flat))
-        start, length = np.array(self.starts, np.int64)[at], np.array(self.lengths, np.int64)[at]
+        at = np.fromiter(map(self.places.__getitem__, flat), np.int64, len(flat))
+        start, length = at >> 32, at & 0xFFFFFFFF
         end = np.cumsum(length)
-        ids = self.flat[np.repeat(start - end + length, length) + np.arange(end[-1] if len(end) else 0)]
+        ids = np.frombuffer(self.flat, np.uint32)[np.repeat(start - end + length, length) + np.arange(end[-1] if len(end) else 0)]
         edges = np.concatenate([[0], end])
         out, n = [], 0
         for text, ws in zip(texts, words, strict=True):
@@ -175,47 +164,45 @@ class Packer:
 
     def pack(self, keep: int) -> None:
         """Close sequences until at most ``keep`` items wait."""
-        while len(self.items) > keep:
-            self._fill()
-
-    def _fill(self) -> None:
-        n = len(self.items)
-        size = np.fromiter((len(i[2]) for i in self.items), np.float64, n)
-        demand = np.stack([size, np.ones(n), size], 1) / self.cap
-        left, open_, chosen = np.ones(3), np.ones(n, bool), []
-        while True:
-            fits = open_ & (demand <= left + 1e-9).all(1)
-            if not fits.any():
-                break
-            best = int(np.argmax(np.where(fits, demand @ left, -1.0)))
+        items = self.items
+        size = np.fromiter((len(i[2]) for i in items), np.float64, len(items))
+        demand = np.stack([size, np.ones(len(items)), size], 1) / self.cap
+        open_ = np.ones(len(items), bool)
+        while np.count_nonzero(open_) > keep:
+            self._fill(items, demand, open_)
+        self.items = [items[i] for i in np.flatnonzero(open_)]
+
+    def _fill(self, items: list[tuple], demand: np.ndarray, open_: np.ndarray) -> None:
+        """Close one sequence: full, or at the largest power of two.  What it does not take
+        of an item stays open."""
+        left, chosen = np.ones(3), []
+        at = np.flatnonzero(open_)
+        while len(at := at[(demand[at] <= left + 1e-9).all(1)]):
+            k = int(np.argmax(demand[at] @ left))
+            best = int(at[k])
             chosen.append(best)
             open_[best] = False
             left = left - demand[best]
-        pieces = [self.items[i] for i in chosen]
-        rest = [self.items[i] for i in np.flatnonzero(open_)]
-        room = int(round(left[0] * self.cap[0]))
-        if room and rest and len(pieces) < self.cap[1]:  # nothing fits whole: cut one
-            key, start, ids, total = rest.pop()
-            room = min(room, int(round(left[2] * self.cap[2])))
-            pieces.append((key, start, ids[:room], total))
-            rest.append((key, start + room, ids[room:], total))
-        self.items = rest
-        self._finish(pieces)
-
-    def _finish(self, pieces: list[tuple]) -> None:
-        """Close a full sequence as it is, else at the largest power of two; what
-        is beyond goes back."""
-        total = sum(len(p[2]) for p in pieces)
+            at = np.delete(at, k)
+        room = int(round(min(left[0] * self.cap[0], left[2] * self.cap[2])))
+        rest = np.flatnonzero(open_)
+        if room and len(rest) and len(chosen) < self.cap[1]:  # nothing fits whole: cut one
+            chosen.append(int(rest[-1]))
+            open_[rest[-1]] = False
+        total = min(sum(len(items[i][2]) for i in chosen), int(min(self.cap[0], self.cap[2])))
         target = total if total == self.cap[0] else 1 << (total.bit_length() - 1)
-        out, have = [], 0
-        for key, start, ids, all_ in pieces:
+        pieces, have = [], 0
+        for i in chosen:
+            key, start, ids, all_ = items[i]
             take = min(len(ids), target - have)
             if take:
-                out.append((key, start, ids[:take], all_))
+                pieces.append((key, start, ids[:take], all_))
                 have += take
             if take < len(ids):
-                self.items.append((key, start + take, ids[take:], all_))
-        self._close(out)
+                items[i] = (key, start + take, ids[take:], all_)
+                demand[i, 0], demand[i, 2] = (len(ids) - take) / self.cap[0], (len(ids) - take) / self.cap[2]
+                open_[i] = True
+        self._close(pieces)
 
 
 def pack(
