@@ -663,3 +663,6 @@ def diagnostics_rollup(spark: SparkSession, d: str) -> DataFrame:
 @_query("SELECT concat_ws(' / ', event_type, CAST(user_id % 10 AS VARCHAR)) AS issue, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, issue LIMIT 8")
 def issue_breakdown_top8(spark: SparkSession, d: str) -> DataFrame:
     return refresh.breakdown(table(spark, d, "events"), F.concat_ws(" / ", "event_type", (F.col("user_id") % 10).cast("string")), 8)
+
+
+from . import catalogue_text  # noqa: E402, F401  (registers its queries)
