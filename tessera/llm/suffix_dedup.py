@@ -12,7 +12,11 @@ wherever it occurs.
 3. Suffixes are sorted over the cluster by range of (K-gram, following words), so
    a passage that a third of all texts share is spread over many tasks.
    Neighbours in the array (up to ``NEAR`` apart) are compared and extended to the right
-   and left; the first and last suffixes of every task are compared once more together.
+   and left.  Where more suffixes than that begin with one K-gram, the best partner may
+   stand farther off, so the windows of MIN_WORDS around each suffix are held against
+   those of all others of the K-gram; of K-grams that several tasks hold, each task
+   gives the windows of its smallest id to a join between tasks.  No repeated
+   window is lost.
 4. Spans of a text are united.
 
 Edge cases: null and empty texts and those below MIN_WORDS have no spans.  A row
@@ -24,15 +28,14 @@ no rows.  Columns other than id and text are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, chunks, gram_hashes, lean, small_batches, stash, text_bytes
+from .common import WordHashes, chunks, gram_hashes, lean, mix64, small_batches, stash, text_bytes
 
 MIN_WORDS = 50
 K = 10
@@ -40,14 +43,18 @@ SPAN = MIN_WORDS - K + 1
 #: Words to either side that a match of MIN_WORDS around a K-gram may need.
 REACH = MIN_WORDS - K
 NEAR = 4
+#: Suffixes that a task compares at a time.
+PIECE = 20_000
 #: Distance in words up to which a repeated gram counts as a run.
 TIGHT = 4
-_MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Words at either end of such a run where all suffixes stay.
+RIM = 2 * MIN_WORDS + K
 
 
 def minimisers(grams: np.ndarray, span: int = SPAN) -> np.ndarray:
     """Positions of the smallest of every ``span`` consecutive hashes (the
-    leftmost of equal ones; of a run of equal ones, one in a span)."""
+    leftmost of equal ones).  Inside a long run of equal ones, one in a span stays:
+    all windows there are alike, and the run's ends hold a partner for each."""
     n = len(grams)
     if n == 0:
         return np.empty(0, np.int64)
@@ -57,12 +64,15 @@ def minimisers(grams: np.ndarray, span: int = SPAN) -> np.ndarray:
         best = np.lib.stride_tricks.sliding_window_view(grams, span).argmin(1)
         at = np.unique(best + np.arange(len(best)))
     equal = (grams[at[1:]] == grams[at[:-1]]) & (np.diff(at) <= TIGHT)
-    if equal.any():  # a gram that repeats at once (one word over and over): keep one in every span
-        keep, last = [int(at[0])], int(at[0])
-        for p, same in zip(at[1:].tolist(), equal.tolist(), strict=True):
-            if not same or p - last >= span:
+    if equal.any():  # a gram that repeats at once (one word over and over): thin out what is far from both ends
+        run = np.concatenate([[0], np.cumsum(~equal)])
+        first, last = at[np.searchsorted(run, run)], at[np.searchsorted(run, run, "right") - 1]
+        inner = (at - first > RIM) & (last - at > RIM)
+        keep, before = [], -span
+        for p, thin in zip(at.tolist(), inner.tolist(), strict=True):
+            if not thin or p - before > span - TIGHT:
                 keep.append(p)
-                last = p
+                before = p
         at = np.array(keep, np.int64)
     return at
 
@@ -124,7 +134,7 @@ class _Rows:
         self.after, self.before = _words(batch.column("after")), _words(batch.column("before"))
 
     def spans(self) -> tuple[np.ndarray, ...]:
-        """Per row: start, end (0 if there is no match) and the smallest id matched."""
+        """(id, start, end, smallest id matched) of the rows that match a near neighbour."""
         n = len(self.gram)
         left, right = np.zeros(n, np.int64), np.zeros(n, np.int64)
         other = np.full(n, np.iinfo(np.int64).max)
@@ -139,41 +149,111 @@ class _Rows:
                 np.maximum.at(left, x, l_[ok])
                 np.maximum.at(right, x, r[ok])
                 np.minimum.at(other, x, self.id[y])
-        hit = np.flatnonzero(left + right + K >= MIN_WORDS)
-        hit = hit[other[hit] < np.iinfo(np.int64).max]
+        hit = np.flatnonzero(other < np.iinfo(np.int64).max)
         return self.id[hit], self.pos[hit] - left[hit], self.pos[hit] + K + right[hit], other[hit]
 
+    def windows(self, split: np.ndarray) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+        """Spans as above from the windows of MIN_WORDS around the rows of K-grams that
+        more than NEAR + 1 rows hold; and (gram, window, id, pos, right) of the smallest
+        ids' windows in K-grams of ``split``, which other tasks may hold too."""
+        run = np.cumsum(np.concatenate([[True], self.gram[1:] != self.gram[:-1]])) - 1
+        shared = np.isin(self.gram, split)
+        rows = np.flatnonzero((np.bincount(run)[run] > NEAR + 1) | shared)
+        after, before = _prefix_hashes(self.after[rows], self.gram[rows]), _prefix_hashes(self.before[rows], ~self.gram[rows])
+        window = mix64(after ^ (before[:, ::-1] * np.uint64(0xD6E8FEB86659FD93)))
+        at = np.arange(REACH + 1)
+        row, right = np.nonzero((at <= self.n_after[rows][:, None]) & (REACH - at <= self.n_before[rows][:, None]))
+        h, row = window[row, right], rows[row]
+        order = np.argsort(h)
+        twice = np.concatenate([[False], h[order][1:] == h[order][:-1], [False]])
+        order = order[twice[1:] | twice[:-1] | shared[row[order]]]
+        h, row, right = h[order], row[order], right[order]
+        order = np.lexsort((self.pos[row], self.id[row], h))
+        h, row, right = h[order], row[order], right[order]
+        id_, pos = self.id[row], self.pos[row]
+        if not len(h):
+            none = np.empty(0, np.int64)
+            return (none,) * 4, (none,) * 5
+        new = np.concatenate([[True], h[1:] != h[:-1]])
+        group, first = np.cumsum(new) - 1, np.flatnonzero(new)
+        last = np.append(first[1:], len(h)) - 1
+        least = id_[first][group]
+        second = np.full(len(first), np.iinfo(np.int64).max)
+        np.minimum.at(second, group[id_ != least], id_[id_ != least])
+        second = np.where(second == np.iinfo(np.int64).max, least[first], second)
+        far = np.maximum(pos - pos[first][group], pos[last][group] - pos) >= MIN_WORDS
+        ok = (id_[last] != id_[first])[group] | far
+        spans = (id_[ok], pos[ok] - REACH + right[ok], pos[ok] + K + right[ok], np.where(id_ == least, second[group], least)[ok])
+        give = (id_ == least) & shared[row]
+        return _united(*spans), (self.gram[row[give]], h[give].view(np.int64), id_[give], pos[give], right[give])
+
+
+def _prefix_hashes(words: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """Hashes of the first 0, 1, ... REACH words of each row."""
+    out = np.empty((len(words), REACH + 1), np.uint64)
+    out[:, 0] = mix64(seed.view(np.uint64))
+    for i in range(REACH):
+        out[:, i + 1] = mix64(out[:, i] + words[:, i].astype(np.uint64))
+    return out
+
+
+def _united(id_: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Overlapping spans of an id that share ``other``, united."""
+    order = np.lexsort((start, other, id_))
+    id_, start, end, other = id_[order], start[order], end[order], other[order]
+    new = np.ones(len(id_), bool)  # windows have one length, so ends ascend with starts
+    new[1:] = (id_[1:] != id_[:-1]) | (other[1:] != other[:-1]) | (start[1:] > end[:-1])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(id_)) - 1 if len(id_) else first
+    return id_[first], start[first], end[last], other[first]
+
 
 _SUFFIX = "gram long, after binary, before binary, id long, pos long, n_after long, n_before long"
 _NAMES = ["gram", "after", "before", "id", "pos", "n_after", "n_before"]
-
-
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Neighbours of a task's sorted suffixes.  Rows with ``end`` are spans; the
-    others are the task's first and last suffixes, for the comparison between tasks."""
-    task, tail, first = TaskContext.get().partitionId(), None, True
-
-    def spans(rows: pa.RecordBatch) -> pa.RecordBatch:
-        i, a, b, o = _Rows(rows).spans()
-        n = len(i)
-        empty = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())]
-        return pa.RecordBatch.from_arrays([*empty, pa.array(i), pa.array(a), *[pa.nulls(n, pa.int64())] * 2, pa.array(b), pa.array(o), pa.nulls(n, pa.int64())], [*_NAMES, "end", "other", "task"])
-
-    def edge(rows: pa.RecordBatch) -> pa.RecordBatch:
-        n = rows.num_rows
-        return pa.RecordBatch.from_arrays([*(rows.column(c) for c in _NAMES), *[pa.nulls(n, pa.int64())] * 2, pa.array(np.full(n, task, np.int64))], [*_NAMES, "end", "other", "task"])
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        if first:
-            yield edge(batch.slice(0, NEAR))
-            first = False
-        rows = pa.Table.from_batches([tail, batch]).combine_chunks().to_batches()[0] if tail is not None else batch
-        yield spans(rows)
-        tail = rows.slice(max(0, rows.num_rows - NEAR))
-    if tail is not None:
-        yield edge(tail)
+#: A span has an end; a window for the join between tasks has a hash instead.
+_FOUND = "id long, start long, end long, other long, gram long, window long, pos long, right long"
+
+
+def _compare(piece: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Spans of a task's sorted suffixes, and windows for the join between tasks.  Rows
+    are taken up to ``piece`` at a time, whole K-grams if they are shorter than that."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def compared(table: pa.Table, split: list[int]) -> pa.RecordBatch:
+            rows = _Rows(table.combine_chunks().to_batches()[0])
+            more, windows = rows.windows(np.array(split, np.int64))
+            spans = [np.concatenate(x) for x in zip(rows.spans(), more, strict=True)]
+            n, m = len(spans[0]), len(windows[0])
+            gram, window, id_, pos, right = (pa.array(x, pa.int64()) for x in windows)
+            i, a, b, o = (pa.array(x, pa.int64()) for x in spans)
+            no, nm = pa.nulls(n, pa.int64()), pa.nulls(m, pa.int64())
+            cols = [(i, id_), (a, nm), (b, nm), (o, nm), (no, gram), (no, window), (no, pos), (no, right)]
+            return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in cols], ["id", "start", "end", "other", "gram", "window", "pos", "right"])
+
+        waiting: list[pa.RecordBatch] = []
+        held, open_gram, started = 0, None, False
+        for batch in (b.slice(at, piece) for b in batches for at in range(0, b.num_rows, piece)):
+            if not started:
+                started, open_gram = True, batch.column("gram")[0].as_py()
+            waiting.append(batch)
+            held += batch.num_rows
+            if held < piece:
+                continue
+            table = pa.Table.from_batches(waiting)
+            gram = table.column("gram").to_numpy()
+            cut = int(np.searchsorted(gram, gram[-1]))
+            if cut:
+                yield compared(table.slice(0, cut), [open_gram])
+                waiting = table.slice(cut).combine_chunks().to_batches()
+            else:  # one K-gram fills the piece
+                open_gram = int(gram[-1])
+                yield compared(table, [open_gram])
+                waiting = []
+            held = sum(x.num_rows for x in waiting)
+        if waiting:
+            yield compared(pa.Table.from_batches(waiting), [open_gram, waiting[-1].column("gram")[-1].as_py()])
+
+    return run
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,27 +272,41 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["id", "start_word", "end_word", "n_words", "other"])
 
 
-def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, start_word, end_word, n_words, other_<key>): the passages of at least
-    MIN_WORDS words that occur elsewhere, and the smallest id among the
-    neighbours that hold them.  ``key`` must be an integer."""
+def _spans(docs: DataFrame, key: str, text: str, piece: int = PIECE) -> DataFrame:
+    """(id, a, b, o): repeated spans, which may overlap, and another id that holds
+    them: the smallest, or the next if that is the row's own."""
     rows = small_batches(docs).select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).where("id is not null and text is not null")
     all_ = stash(rows.mapInArrow(lean(_rows_of_minimisers), "id long, pos long, gram long"), "suffix-minimisers")
-    # one text may count a gram once: rows repeated with the same id are no match
     again = stash(all_.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "suffix-repeated")
     kept = all_.join(again, "gram", "left_semi")
+    # one text may count a gram once: rows repeated with the same id are no match
     places = stash(kept.groupBy("id").agg(F.collect_list(F.struct("pos")).alias("at")), "suffix-places")
     wanted = rows.join(places, "id").dropDuplicates(["id"]) if _repeats(places, rows) else rows.join(places, "id")
     suffixes = stash(wanted.select("id", "text", "at").mapInArrow(lean(_rows_of_contexts), _SUFFIX), "suffix-contexts")
     order = ["gram", "after", "before", "id", "pos"]
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = suffixes.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    found = stash(ranged.mapInArrow(_compare, f"{_SUFFIX}, end long, other long, task long"), "suffix-spans")
-    # 2 * NEAR suffixes a task: bounded by the number of tasks
-    edges = found.where("task is not null").select(*_NAMES).distinct().coalesce(1).sortWithinPartitions(*order)
-    between = edges.mapInArrow(_compare, f"{_SUFFIX}, end long, other long, task long")
-    spans = found.unionByName(between).where("end is not null").select("id", F.struct(F.col("pos").alias("a"), F.col("end").alias("b"), F.col("other").alias("o")).alias("s")).distinct()
-    merged = spans.groupBy("id").agg(F.collect_list("s").alias("spans")).mapInArrow(_merge, "id long, start_word long, end_word long, n_words long, other long")
+    found = stash(ranged.mapInArrow(lean(_compare(piece)), _FOUND), "suffix-spans")
+    windows = found.where("end is null").select("gram", "window", "id", "pos", "right")
+    held = windows.groupBy("gram", "window").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+    held = held.where(f"least <> most or last - first >= {MIN_WORDS}")
+    far = f"least <> most or last - pos >= {MIN_WORDS} or pos - first >= {MIN_WORDS}"
+    between = windows.join(held, ["gram", "window"]).where(far).select(
+        "id", (F.col("pos") + F.col("right") - REACH).alias("a"), (F.col("pos") + F.col("right") + K).alias("b"), F.when(F.col("id") == F.col("least"), F.col("most")).otherwise(F.col("least")).alias("o")
+    )
+    return found.where("end is not null").select("id", F.col("start").alias("a"), F.col("end").alias("b"), F.col("other").alias("o")).union(between).distinct()
+
+
+def _united_spans(spans: DataFrame) -> DataFrame:
+    grouped = spans.groupBy("id").agg(F.collect_list(F.struct("a", "b", "o")).alias("spans"))
+    return grouped.mapInArrow(lean(_merge), "id long, start_word long, end_word long, n_words long, other long")
+
+
+def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", piece: int = PIECE) -> DataFrame:
+    """(key, start_word, end_word, n_words, other_<key>): the passages of at least
+    MIN_WORDS words that occur elsewhere, and the smallest id that holds one of
+    their parts (another one if that is the row's own).  ``key`` must be an integer."""
+    merged = _united_spans(_spans(docs, key, text, piece))
     return merged.select(F.col("id").alias(key), "start_word", "end_word", "n_words", F.col("other").alias(f"other_{key}"))
 
 
@@ -224,8 +318,8 @@ def _repeats(places: DataFrame, rows: DataFrame) -> bool:
 def cut(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with every repeated passage cut out but for the one in the
     smallest id; the words that stay are joined by single spaces where a text changes."""
-    spans = repeated_passages(docs, key, text).where(F.col(f"other_{key}") < F.col(f"`{key}`"))
-    spans = spans.groupBy(F.col(f"`{key}`").alias("_id")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("_spans"))
+    spans = _united_spans(_spans(docs, key, text).where("o < id"))
+    spans = spans.groupBy(F.col("id").alias("_id")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("_spans"))
     words = F.filter(F.split(F.col(f"`{text}`"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     keep = F.filter(words, lambda w, i: ~F.exists("_spans", lambda s: (s["start_word"] <= i) & (i < s["end_word"])))
     changed = F.when(F.col("_spans").isNull(), F.col(f"`{text}`")).otherwise(F.array_join(keep, " "))

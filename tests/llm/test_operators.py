@@ -253,3 +253,34 @@ def test_pipeline_keeps_columns_and_packs_what_is_left(spark):
     plain = ["".join(texts[i].split()) for i in final]
     assert len(set(plain)) == len(plain)
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, sf).select("doc_id").collect()} == final
+
+
+def test_suffix_dedup_finds_every_repeated_window(spark):
+    """Runs of words, loops, and a passage that many texts share with different neighbours."""
+    rng = random.Random(11)
+    words = lambda n, v=50_000: [f"w{rng.randrange(v)}" for _ in range(n)]
+    passage, core = words(80), words(14)
+    texts = [["as"] * n + words(20) for n in (55, 61, 104, 180, 700)]
+    texts += [("a b c d".split() * n)[:m] + ["end"] for n, m in ((20, 77), (60, 233))]
+    texts += [words(rng.randrange(30)) + passage[rng.randrange(25) : 80 - rng.randrange(25)] + words(30) for _ in range(60)]
+    texts += [words(12) + core + words(12) for _ in range(40)]
+    texts += [words(10) + passage[33:47] + words(9) for _ in range(20)]
+    size = suffix_dedup.MIN_WORDS
+    where = collections.defaultdict(list)
+    for i, t in enumerate(texts):
+        for p in range(len(t) - size + 1):
+            where[tuple(t[p : p + size])].append((i, p))
+    want = collections.defaultdict(set)
+    for places in where.values():
+        for i, p in places:
+            if any(j != i or abs(p - q) >= size for j, q in places):
+                want[i] |= set(range(p, p + size))
+    docs = docs_of(spark, [" ".join(t) for t in texts])
+    for piece in (suffix_dedup.PIECE, 7):  # in a few tasks, and with every K-gram cut into pieces
+        got = collections.defaultdict(set)
+        for r in suffix_dedup.repeated_passages(docs, piece=piece).collect():
+            got[r["doc_id"]] |= set(range(r["start_word"], r["end_word"]))
+        assert dict(got) == dict(want)
+    cut = {r["doc_id"]: r["text"].split() for r in suffix_dedup.cut(docs).collect()}
+    assert sorted(cut) == list(range(len(texts)))
+    assert len(cut[0]) == len(texts[0]) and len(cut[1]) < len(texts[1])
