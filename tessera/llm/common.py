@@ -169,23 +169,16 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class WordHashes(dict):
-    """Word -> 64-bit hash; at most ``limit`` words are remembered."""
+class WordHashes:
+    """64-bit hashes of words."""
 
-    def __init__(self, limit: int = 300_000):
-        super().__init__()
-        self.limit = limit
-
-    def __missing__(self, word: bytes) -> int:
+    def __init__(self) -> None:
         import xxhash
 
-        if len(self) >= self.limit:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
+        self.one = xxhash.xxh3_64_intdigest
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+        return np.fromiter(map(self.one, words), np.uint64, len(words))
 
 
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:

@@ -58,7 +58,8 @@ _ENDLESS = 1 << 30
 def shingles(words: np.ndarray) -> np.ndarray:
     """Distinct shingle hashes, sorted."""
     n = len(words)
-    return np.unique(gram_hashes(words, SHINGLE if n >= SHINGLE else max(n, 1))) if n else np.empty(0, np.uint64)
+    found = np.sort(gram_hashes(words, SHINGLE if n >= SHINGLE else max(n, 1))) if n else np.empty(0, np.uint64)
+    return found[np.append(True, found[1:] != found[:-1])] if n else found
 
 
 def prefix_length(n: int) -> int:
@@ -340,8 +341,17 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         pairs = blocks.where(f"id <> {other} and {NUM} * n <= {DEN} * {other}_n").groupBy("id", other).agg(F.count(F.lit(1)).alias("count"), F.first("n").alias("n")).where("count * 32 >= n")
         return pairs.groupBy("id").agg(F.max(F.struct("count", F.col(other).alias("o"))).alias("m")).select(F.least("id", "m.o").alias("a"), F.greatest("id", "m.o").alias("b"))
 
-    tried = stash(best("leader").union(best("prior")).distinct(), "jaccard-pairs")
+    tried = stash(best("leader"), "jaccard-pairs")
     links = stash(linked(tried, rows), "jaccard-links")
+    # two that both linked to their leaders are nearly always in one component; the trees see to the rest
+    settled = stash(links.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "jaccard-settled")
+    second = best("prior")
+    for x in "ab":
+        second = second.join(broadcast_if_small(settled.select(F.col("id").alias(x), F.lit(True).alias(f"settled_{x}"))), x, "left")
+    second = second.where("settled_a is null or settled_b is null").select("a", "b")
+    second = stash(second.join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
+    tried = tried.union(second)
+    links = links.union(stash(linked(second, rows), "jaccard-links"))
     labels = components(links)
     points = sets.select("id", "point").where("id is not null").dropDuplicates(["id"])
     left = blocks
