@@ -236,10 +236,11 @@ def impact_kind_breakdown(spark: SparkSession, d: str) -> DataFrame:
     return traverse.kind_breakdown(shown, nodes)
 
 
-@_query(f"WITH {VIEW_SQL} SELECT source_id, target_id, relationship FROM edges WHERE relationship IN ('calls', 'renders') OR target_id % 3 = 0 GROUP BY ALL")
+@_query(f"WITH {VIEW_SQL} SELECT source_id, target_id, relationship FROM edges WHERE relationship IN ('calls', 'renders') OR layer = 3 GROUP BY ALL")
 def subgraph_union_dedupe(spark: SparkSession, d: str) -> DataFrame:
-    e = view.edges(spark, d).select("source_id", "target_id", "relationship")
-    return traverse.union_subgraphs(e.where("relationship = 'calls'"), e.where("relationship = 'renders'"), e.where("target_id % 3 = 0"))
+    e = view.edges(spark, d)
+    parts = (e.where(x).select("source_id", "target_id", "relationship") for x in ("relationship = 'calls'", "relationship = 'renders'", "layer = 3"))
+    return traverse.union_subgraphs(*parts)
 
 
 @_query(
@@ -639,17 +640,24 @@ def novel_prefixes(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query(
-    """WITH cache AS (SELECT doc_id AS path, CAST(n_chars AS DOUBLE) AS mtime, sha256(text) AS hash FROM documents WHERE doc_id % 11 <> 0),
-    now AS (SELECT doc_id AS path, CAST(n_chars AS DOUBLE) + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS mtime, sha256(CASE WHEN doc_id % 10 = 0 THEN text || '!' ELSE text END) AS hash FROM documents WHERE doc_id % 13 <> 0)
+    """WITH toxic AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1), good AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1),
+    cache AS (SELECT doc_id AS path, CAST(n_chars AS DOUBLE) AS mtime, sha256(text) AS hash FROM documents),
+    now AS (SELECT d.doc_id AS path, CAST(n_chars AS DOUBLE) + CASE WHEN good.doc_id IS NULL THEN 0 ELSE 1 END AS mtime, sha256(regexp_replace(text, '[0-9]', '#', 'g')) AS hash
+      FROM documents d LEFT JOIN good ON d.doc_id = good.doc_id WHERE NOT EXISTS (SELECT 1 FROM toxic WHERE toxic.doc_id = d.doc_id)
+      UNION ALL SELECT -1 - page_id, CAST(length(html) AS DOUBLE), sha256(html) FROM pages)
     SELECT COALESCE(cache.path, now.path) AS path, CASE WHEN now.path IS NULL THEN 'deleted' WHEN cache.path IS NULL THEN 'new' WHEN cache.mtime = now.mtime THEN 'unchanged' WHEN cache.hash = now.hash THEN 'touched' ELSE 'changed' END AS status
     FROM cache FULL JOIN now ON cache.path = now.path"""
 )
 def stale_files_snapshot(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
+    """A snapshot in which toxic documents are gone, good ones touched, digits masked, and pages new."""
+    docs, labels, pages = (table(spark, d, t) for t in ("documents", "labels", "pages"))
+    toxic = labels.where("toxic = 1").select("doc_id").distinct()
+    good = labels.where("quality = 1").select("doc_id", F.lit(1).alias("good")).distinct()
     size = F.col("n_chars").cast("double")
-    cache = docs.where("doc_id % 11 <> 0").select(F.col("doc_id").alias("path"), size.alias("mtime"), F.sha2("text", 256).alias("hash"))
-    changed = F.when(F.col("doc_id") % 10 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
-    now = docs.where("doc_id % 13 <> 0").select(F.col("doc_id").alias("path"), (size + F.when(F.col("doc_id") % 5 == 0, 1).otherwise(0)).alias("mtime"), F.sha2(changed, 256).alias("hash"))
+    cache = docs.select(F.col("doc_id").alias("path"), size.alias("mtime"), F.sha2("text", 256).alias("hash"))
+    left = docs.join(toxic, "doc_id", "left_anti").join(good, "doc_id", "left")
+    now = left.select(F.col("doc_id").alias("path"), (size + F.coalesce("good", F.lit(0))).alias("mtime"), F.sha2(F.regexp_replace("text", "[0-9]", "#"), 256).alias("hash"))
+    now = now.union(pages.select(-1 - F.col("page_id"), F.length("html").cast("double"), F.sha2("html", 256)))
     return refresh.compare(cache, now)
 
 
