@@ -1,8 +1,8 @@
 """Toxicity by nearest labelled examples.
 
 * Examples: at most ``PER_LABEL`` labelled texts of each label, chosen by a hash of
-  the id (a documented bound), of which at most ``EXAMPLE_CHARS`` characters are
-  used; ids never enter a score.
+  the id (a documented bound).  Tasks count the terms of the whole texts; ids never
+  enter a score.
 * Terms: runs of letters.  Those whose presence depends on the label by a
   chi-square test at a Bonferroni level make the vector space (``MAX_TERMS`` at
   most); inverse document frequencies are counted over all documents.
@@ -39,7 +39,6 @@ from pyspark.sql import types as T
 from .common import annotate, chunks, free_name, lean, small_batches, text_bytes
 
 PER_LABEL = 3_000
-EXAMPLE_CHARS = 20_000
 MAX_TERMS = 4_096
 #: Chi-square with one degree of freedom at p = 0.05 / 1,000,000 terms.
 CHI_SQUARE = 29.7
@@ -91,10 +90,10 @@ class Index:
     rates: np.ndarray = field(default_factory=lambda: np.zeros(0))
     none: float = 0.0
 
-    def vector(self, words: list[bytes]) -> tuple[tuple[int, ...], np.ndarray]:
-        """Terms and unit weights: (1 + ln tf) * idf."""
+    def vector(self, words: list[bytes] | dict[bytes, int]) -> tuple[tuple[int, ...], np.ndarray]:
+        """Terms and unit weights: (1 + ln tf) * idf.  ``words``: a text's, or their counts."""
         get = self.vocabulary
-        tf = Counter(get[w] for w in words if w in get)
+        tf = {get[w]: n for w, n in Counter(words).items() if w in get}
         at = tuple(sorted(tf))
         w = np.array([(1 + math.log(tf[t])) for t in at]) * self.idf[list(at)] if at else np.empty(0)
         return at, w / (np.linalg.norm(w) or 1.0)
@@ -191,33 +190,44 @@ def document_frequencies(docs: DataFrame, vocabulary: dict[bytes, int], text: st
     return out[:-1], int(out[-1])
 
 
+def example_terms(docs: DataFrame, chosen: list[tuple], key: str = "doc_id", text: str = "text") -> list[dict]:
+    """(_id, _y, terms, counts) of the rows whose ids are in ``chosen`` (id, label), over
+    their whole texts."""
+    id_ = T.StructField("_id", docs.schema[key].dataType)
+    picked = F.broadcast(docs.sparkSession.createDataFrame(chosen, T.StructType([id_, T.StructField("_y", T.IntegerType())])))
+    schema = T.StructType([id_, T.StructField("_y", T.IntegerType()), T.StructField("terms", T.ArrayType(T.BinaryType())), T.StructField("counts", T.ArrayType(T.LongType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, "_t"):
+                own = [sorted(Counter(terms(t)).items()) for t in text_bytes(part.column("_t"))]
+                lists = [pa.array([[x[i] for x in o] for o in own], pa.list_(kind)) for i, kind in enumerate((pa.binary(), pa.int64()))]
+                yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_y"), *lists], ["_id", "_y", "terms", "counts"])
+
+    rows = docs.select(F.col(f"`{key}`").alias("_id"), F.col(f"`{text}`").alias("_t")).join(picked, "_id").select("_id", "_t", "_y")
+    return sorted(small_batches(rows).mapInArrow(lean(run), schema).toArrow().to_pylist(), key=lambda r: (r["_id"], r["terms"], r["counts"]))
+
+
 def learn(docs: DataFrame, labels: DataFrame, teach: Column, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Index:
     """Build the index from labelled rows that ``teach`` (a condition on the
     key) allows.  Ids are chosen first, with a rank filter per label that Spark
-    applies before it shuffles; only the chosen texts come to the driver."""
-    spark = docs.sparkSession
+    applies before it shuffles; only the term counts of the chosen texts come to the driver."""
     marked = labels.where(teach & F.col(f"`{label}`").isNotNull()).groupBy(F.col(f"`{key}`").alias("_id")).agg(F.max(F.when(F.col(f"`{label}`") == 1, 1).otherwise(0)).alias("_y"))
     totals = {r["_y"]: r["count"] for r in marked.groupBy("_y").count().collect()}
     everything = sum(totals.values())
     rate = totals.get(1, 0) / everything if everything else 0.0
     order = Window.partitionBy("_y").orderBy(F.xxhash64("_id"), "_id")
     chosen = [(r["_id"], r["_y"]) for r in marked.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= PER_LABEL).collect()]
-    rows = []
-    if chosen:
-        kind = T.StructType([T.StructField("_id", docs.schema[key].dataType), T.StructField("_y", T.IntegerType())])
-        picked = F.broadcast(spark.createDataFrame(chosen, kind))
-        cut = F.coalesce(F.substring(F.col(f"`{text}`"), 1, EXAMPLE_CHARS), F.lit(""))
-        rows = docs.select(F.col(f"`{key}`").alias("_id"), cut.alias("_t")).join(picked, "_id").select("_id", "_t", "_y").collect()
-    rows.sort(key=lambda r: (r["_id"], r["_t"]))
-    words, toxic = [terms(r["_t"].encode()) for r in rows], np.array([r["_y"] for r in rows], np.int64)
+    rows = example_terms(docs, chosen, key, text) if chosen else []
+    counts, toxic = [dict(zip(r["terms"], r["counts"], strict=True)) for r in rows], np.array([r["_y"] for r in rows], np.int64)
     ids = np.array([r["_id"] for r in rows])
-    vocabulary = {w: i for i, w in enumerate(select_terms([set(w) for w in words], toxic))}
+    vocabulary = {w: i for i, w in enumerate(select_terms([set(c) for c in counts], toxic))}
     df, n = document_frequencies(docs, vocabulary, text) if vocabulary else (np.empty(0), 0)
     part = toxic.mean() if len(toxic) else 0.0
     vote = np.where(toxic == 1, rate / part if part else 0.0, (1 - rate) / (1 - part) if part < 1 else 0.0)
     index = Index(vocabulary, np.log((1 + n) / (1 + df)) + 1.0, ids, toxic, vote, rate, none=rate)
     if vocabulary:
-        vectors = [index.vector(w) for w in words]
+        vectors = [index.vector(c) for c in counts]
         # neighbours in the index share their heaviest term, which keeps block maxima tight
         near = sorted(range(len(vectors)), key=lambda i: (vectors[i][0][int(np.argmax(vectors[i][1]))] if vectors[i][0] else -1, i))
         vectors = [vectors[i] for i in near]
