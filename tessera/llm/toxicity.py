@@ -3,12 +3,13 @@
 * Examples: at most ``PER_LABEL`` labelled texts of each label, chosen by a hash of
   the id (a documented bound).  Tasks count the terms of the whole texts; ids never
   enter a score.
-* Terms: runs of letters.  Those whose presence depends on the label by a
-  chi-square test at a Bonferroni level make the vector space (``MAX_TERMS`` at
-  most); inverse document frequencies are counted over all documents.
+* Terms: runs of letters.  All terms of the examples make the vector space (others
+  would scale a document's cosines alike); inverse document frequencies are counted
+  over all documents.
 * Search: the ``NEIGHBOURS`` examples with the largest TF-IDF cosine, exactly, by
-  an inverted index in blocks.  Each term keeps its largest weight per block; blocks
-  are visited by their bound until it falls below the k-th best score.
+  an inverted index in blocks.  Each term keeps its largest weight for each block that
+  has it; blocks are visited by their bound, in steps that double, until it falls below
+  the k-th best score.
 * Score: the neighbours vote with their cosine as weight, and votes are
   calibrated (monotone bins) on the examples themselves, each left out of its
   own vote.  The ids of the neighbours are the evidence.
@@ -25,13 +26,14 @@ repeated rows are scored alike; an empty table gives no rows.
 
 from __future__ import annotations
 
-import math
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,8 +46,10 @@ MAX_TERMS = 4_096
 CHI_SQUARE = 29.7
 NEIGHBOURS = 15
 BLOCK = 32
+#: Blocks that the first step of a search visits.
+FIRST = 4
 BINS = 10
-REMEMBER = 200_000
+REMEMBER = 50_000
 
 RESULT = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("evidence", T.ArrayType(T.LongType()))])
 
@@ -57,8 +61,16 @@ def terms(text: bytes) -> list[bytes]:
     return text.translate(_TERM_BYTES).split()
 
 
+def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers lo .. hi - 1 of every row, one after the other, and how many each has."""
+    n = hi - lo
+    end = np.cumsum(n)
+    return np.repeat(lo - end + n, n) + np.arange(end[-1] if len(end) else 0), n
+
+
 def select_terms(words: list[set[bytes]], toxic: np.ndarray, limit: int = MAX_TERMS) -> list[bytes]:
-    """The terms that depend most on the label, by chi-square of presence."""
+    """The terms that depend most on the label, by chi-square of presence (for reports: the
+    index holds all terms)."""
     n, pos = len(words), int(toxic.sum())
     if not 0 < pos < n:
         return []
@@ -82,50 +94,66 @@ class Index:
     toxic: np.ndarray
     vote: np.ndarray  # an example's class weight
     rate: float
-    starts: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # postings of a term
-    example: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
+    starts: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # blocks of a term
+    block: np.ndarray = field(default_factory=lambda: np.empty(0, np.int32))
+    block_max: np.ndarray = field(default_factory=lambda: np.empty(0))
+    block_starts: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # postings of a term in a block
+    example: np.ndarray = field(default_factory=lambda: np.empty(0, np.int32))
     weight: np.ndarray = field(default_factory=lambda: np.empty(0))
-    block_max: np.ndarray = field(default_factory=lambda: np.empty((0, 0)))
     edges: np.ndarray = field(default_factory=lambda: np.zeros(0))
     rates: np.ndarray = field(default_factory=lambda: np.zeros(0))
     none: float = 0.0
 
-    def vector(self, words: list[bytes] | dict[bytes, int]) -> tuple[tuple[int, ...], np.ndarray]:
-        """Terms and unit weights: (1 + ln tf) * idf.  ``words``: a text's, or their counts."""
+    def counts(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Terms of a text, ascending, and how often each occurs."""
         get = self.vocabulary
-        tf = {get[w]: n for w, n in Counter(words).items() if w in get}
-        at = tuple(sorted(tf))
-        w = np.array([(1 + math.log(tf[t])) for t in at]) * self.idf[list(at)] if at else np.empty(0)
+        tf = sorted((get[w], n) for w, n in Counter(words).items() if w in get)
+        return np.array([t for t, _ in tf], np.int64), np.array([n for _, n in tf], np.int64)
+
+    def weigh(self, at: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Terms and unit weights: (1 + ln tf) * idf."""
+        w = (1 + np.log(tf)) * self.idf[at]
         return at, w / (np.linalg.norm(w) or 1.0)
 
-    def build(self, vectors: list[tuple[tuple[int, ...], np.ndarray]]) -> None:
-        n, blocks = len(vectors), -(-len(vectors) // BLOCK)
-        own = [(t, i, w) for i, (at, ws) in enumerate(vectors) for t, w in zip(at, ws, strict=True)]
-        own.sort(key=lambda x: x[:2])
-        term = np.array([x[0] for x in own], np.int64)
-        self.example, self.weight = np.array([x[1] for x in own], np.int64), np.array([x[2] for x in own])
-        self.starts = np.searchsorted(term, np.arange(len(self.vocabulary) + 1))
-        self.block_max = np.zeros((len(self.vocabulary), max(1, blocks)))
-        if n:
-            np.maximum.at(self.block_max, (term, self.example // BLOCK), self.weight)
-
-    def nearest(self, at: tuple[int, ...], w: np.ndarray, k: int = NEIGHBOURS, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    def vector(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        return self.weigh(*self.counts(words))
+
+    def build(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        term = np.concatenate([at for at, _ in vectors]) if vectors else np.empty(0, np.int64)
+        example = np.repeat(np.arange(len(vectors), dtype=np.int32), [len(at) for at, _ in vectors])
+        order = np.lexsort((example, term))
+        term, self.example = term[order], example[order]
+        self.weight = np.concatenate([w for _, w in vectors])[order] if vectors else np.empty(0)
+        block = self.example // BLOCK
+        first = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])])) if len(term) else np.empty(0, np.int64)
+        self.block, self.block_starts = block[first], np.append(first, len(term))
+        self.block_max = np.maximum.reduceat(self.weight, first) if len(term) else np.empty(0)
+        self.starts = np.searchsorted(term[first], np.arange(len(self.vocabulary) + 1))
+
+    def nearest(self, at: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest cosine (above 0), and their cosines."""
-        bound = w @ self.block_max[list(at)]
+        own, n = _ranges(self.starts[at], self.starts[at + 1])
+        q, block = np.repeat(w, n), self.block[own]
+        bound = np.bincount(block, q * self.block_max[own], -(-len(self.ids) // BLOCK))
         order = np.argsort(-bound, kind="stable")
         best_at, best = np.empty(0, np.int64), np.empty(0)
-        for b in order:
-            if bound[b] <= 0 or (len(best) == k and bound[b] < best[-1] - 1e-12):
+        done, step = 0, FIRST
+        while done < len(order):
+            visit = order[done : done + step]
+            least = best[-1] - 1e-12 if len(best) == k else 0
+            visit = visit[(bound[visit] > 0) & (bound[visit] >= least)]
+            if not len(visit):
                 break
-            score, first = np.zeros(BLOCK), b * BLOCK
-            for t, q in zip(at, w, strict=True):
-                lo, hi = self.starts[t], self.starts[t + 1]
-                lo, hi = lo + np.searchsorted(self.example[lo:hi], (first, first + BLOCK))
-                score[self.example[lo:hi] - first] += q * self.weight[lo:hi]
-            if 0 <= skip - first < BLOCK:
-                score[skip - first] = 0
+            done, step = done + step, 2 * step
+            wanted = np.zeros(len(bound), bool)
+            wanted[visit] = True
+            here = np.flatnonzero(wanted[block])
+            postings, m = _ranges(self.block_starts[own[here]], self.block_starts[own[here] + 1])
+            score = np.bincount(self.example[postings], np.repeat(q[here], m) * self.weight[postings], len(self.ids))
+            if skip >= 0:
+                score[skip] = 0
             hit = np.flatnonzero(score > 0)
-            all_at, all_ = np.concatenate([best_at, hit + first]), np.concatenate([best, score[hit]])
+            all_at, all_ = np.concatenate([best_at, hit]), np.concatenate([best, score[hit]])
             keep = np.lexsort((all_at, -all_))[:k]
             best_at, best = all_at[keep], all_[keep]
         return best_at, best
@@ -134,16 +162,16 @@ class Index:
         w = cosine * self.vote[near]
         return float((w * self.toxic[near]).sum() / w.sum())
 
-    def calibrate(self, vectors: list[tuple[tuple[int, ...], np.ndarray]]) -> None:
+    def calibrate(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
         """Monotone bins of leave-one-out votes -> weighted share of toxic examples."""
         raw = np.full(len(vectors), -1.0)
         for i, (at, w) in enumerate(vectors):
-            if at:
+            if len(at):
                 near, cosine = self.nearest(at, w, skip=i)
                 if len(near):
                     raw[i] = self.votes(near, cosine)
         share = lambda m: float(((self.vote * self.toxic)[m].sum() + self.rate) / (self.vote[m].sum() + 1))
-        empty = np.array([not at for at, _ in vectors], bool)
+        empty = np.array([not len(at) for at, _ in vectors], bool)
         self.none = share(empty)
         seen = raw >= 0
         self.edges = np.unique(np.quantile(raw[seen], np.linspace(0, 1, BINS + 1)[1:-1])) if seen.any() else np.zeros(0)
@@ -157,8 +185,8 @@ class Index:
                 merged.append([(a[0] * a[1] + b[0] * b[1]) / (a[1] + b[1]), a[1] + b[1], a[2] + b[2]])
         self.rates = np.array([r for r, _, n in merged for _ in range(int(n))])
 
-    def score(self, at: tuple[int, ...], w: np.ndarray) -> tuple[float, list[int]]:
-        if not at:
+    def score(self, at: np.ndarray, w: np.ndarray) -> tuple[float, list[int]]:
+        if not len(at):
             return self.none, []
         near, cosine = self.nearest(at, w)
         if not len(near):
@@ -190,22 +218,24 @@ def document_frequencies(docs: DataFrame, vocabulary: dict[bytes, int], text: st
     return out[:-1], int(out[-1])
 
 
-def example_terms(docs: DataFrame, chosen: list[tuple], key: str = "doc_id", text: str = "text") -> list[dict]:
+def example_terms(docs: DataFrame, chosen: list[tuple], key: str = "doc_id", text: str = "text") -> pa.Table:
     """(_id, _y, terms, counts) of the rows whose ids are in ``chosen`` (id, label), over
     their whole texts."""
     id_ = T.StructField("_id", docs.schema[key].dataType)
     picked = F.broadcast(docs.sparkSession.createDataFrame(chosen, T.StructType([id_, T.StructField("_y", T.IntegerType())])))
-    schema = T.StructType([id_, T.StructField("_y", T.IntegerType()), T.StructField("terms", T.ArrayType(T.BinaryType())), T.StructField("counts", T.ArrayType(T.LongType()))])
+    schema = T.StructType([id_, T.StructField("_y", T.IntegerType()), T.StructField("terms", T.ArrayType(T.BinaryType())), T.StructField("counts", T.ArrayType(T.LongType())), T.StructField("digest", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "_t"):
-                own = [sorted(Counter(terms(t)).items()) for t in text_bytes(part.column("_t"))]
+                texts = text_bytes(part.column("_t"))
+                own = [sorted(Counter(terms(t)).items()) for t in texts]
                 lists = [pa.array([[x[i] for x in o] for o in own], pa.list_(kind)) for i, kind in enumerate((pa.binary(), pa.int64()))]
-                yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_y"), *lists], ["_id", "_y", "terms", "counts"])
+                digest = pa.array([hashlib.md5(t).digest() for t in texts], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_y"), *lists, digest], ["_id", "_y", "terms", "counts", "digest"])
 
     rows = docs.select(F.col(f"`{key}`").alias("_id"), F.col(f"`{text}`").alias("_t")).join(picked, "_id").select("_id", "_t", "_y")
-    return sorted(small_batches(rows).mapInArrow(lean(run), schema).toArrow().to_pylist(), key=lambda r: (r["_id"], r["terms"], r["counts"]))
+    return small_batches(rows).mapInArrow(lean(run), schema).toArrow().sort_by([("_id", "ascending"), ("digest", "ascending")]).combine_chunks()
 
 
 def learn(docs: DataFrame, labels: DataFrame, teach: Column, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Index:
@@ -218,18 +248,25 @@ def learn(docs: DataFrame, labels: DataFrame, teach: Column, key: str = "doc_id"
     rate = totals.get(1, 0) / everything if everything else 0.0
     order = Window.partitionBy("_y").orderBy(F.xxhash64("_id"), "_id")
     chosen = [(r["_id"], r["_y"]) for r in marked.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= PER_LABEL).collect()]
-    rows = example_terms(docs, chosen, key, text) if chosen else []
-    counts, toxic = [dict(zip(r["terms"], r["counts"], strict=True)) for r in rows], np.array([r["_y"] for r in rows], np.int64)
-    ids = np.array([r["_id"] for r in rows])
-    vocabulary = {w: i for i, w in enumerate(select_terms([set(c) for c in counts], toxic))}
+    rows = example_terms(docs, chosen, key, text) if chosen else None
+    ids, toxic = (np.array(rows.column(c).to_pylist() if rows else []) for c in ("_id", "_y"))
+    vocabulary, counts = {}, []
+    if 0 < toxic.sum() < len(toxic):
+        lists = rows.column("terms").combine_chunks()
+        coded = lists.flatten().dictionary_encode()
+        vocabulary = {w: i for i, w in enumerate(sorted(coded.dictionary.to_pylist()))}
+        number = np.array([vocabulary[w] for w in coded.dictionary.to_pylist()], np.int64)
+        at, tf = number[coded.indices.to_numpy()], rows.column("counts").combine_chunks().flatten().to_numpy()
+        cuts = np.cumsum(pa.compute.list_value_length(lists).to_numpy())[:-1]
+        counts = list(zip(np.split(at, cuts), np.split(tf, cuts), strict=True))
     df, n = document_frequencies(docs, vocabulary, text) if vocabulary else (np.empty(0), 0)
     part = toxic.mean() if len(toxic) else 0.0
     vote = np.where(toxic == 1, rate / part if part else 0.0, (1 - rate) / (1 - part) if part < 1 else 0.0)
     index = Index(vocabulary, np.log((1 + n) / (1 + df)) + 1.0, ids, toxic, vote, rate, none=rate)
     if vocabulary:
-        vectors = [index.vector(c) for c in counts]
+        vectors = [index.weigh(*c) for c in counts]
         # neighbours in the index share their heaviest term, which keeps block maxima tight
-        near = sorted(range(len(vectors)), key=lambda i: (vectors[i][0][int(np.argmax(vectors[i][1]))] if vectors[i][0] else -1, i))
+        near = sorted(range(len(vectors)), key=lambda i: (vectors[i][0][int(np.argmax(vectors[i][1]))] if len(vectors[i][0]) else -1, i))
         vectors = [vectors[i] for i in near]
         index.ids, index.toxic, index.vote = ids[near], toxic[near], vote[near]
         index.build(vectors)
@@ -241,17 +278,17 @@ def score(docs: DataFrame, index: Index, text: str = "text", carry: list[str] |
     """``docs`` (or its columns ``carry``) with a struct (score, predicted,
     evidence), and the name of that column."""
     shared = docs.sparkSession.sparkContext.broadcast(index)
-    known: dict[tuple, tuple[float, list[int]]] = {}
+    known: dict[bytes, tuple[float, list[int]]] = {}
 
     def run(texts: list[bytes]) -> dict[str, object]:
         index, out = shared.value, []
         for t in texts:
-            at, w = index.vector(terms(t))
-            key = (at, w.tobytes())
+            at, tf = index.counts(terms(t))
+            key = hashlib.md5(np.concatenate([at, tf]).tobytes()).digest()
             if key not in known:
                 if len(known) >= REMEMBER:
                     known.clear()
-                known[key] = index.score(at, w)
+                known[key] = index.score(*index.weigh(at, tf))
             out.append(known[key])
         scores = [min(1.0, max(0.0, s)) for s, _ in out]
         return {"score": scores, "predicted": [int(s >= 0.5) for s in scores], "evidence": [e for _, e in out]}

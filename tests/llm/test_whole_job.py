@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import collections
 import random
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from tessera.llm import language_id, toxicity
+from tessera.llm import language_id, packing, queries, suffix_dedup, toxicity
 
 LABELS = "doc_id long, toxic int"
 
@@ -41,3 +42,33 @@ def test_language_id_takes_the_most_frequent_languages(spark, monkeypatch):
     langs = ["aa"] + ["zz"] * 5 + ["mm"] * 4
     docs = spark.createDataFrame([(i, f"word {x}", x) for i, x in enumerate(langs)], "doc_id long, text string, lang string")
     assert language_id.learn(docs, F.lit(True)).languages == ["mm", "zz"]
+
+
+def test_toxicity_neighbours_are_those_of_all_terms(spark):
+    """Few examples whose toxic words are all rare: each finds its copy, which is held out."""
+    rng = random.Random(9)
+    words = [letters(rng, 40) + [f"rude{'abcdefghij'[i % 10]}" if i < 10 else "kind"] for i in range(20)]
+    texts = [" ".join(w) for w in words]
+    rows = [*enumerate(texts), *enumerate(texts, 100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    index = toxicity.learn(docs, spark.createDataFrame([(i, int(i < 10)) for i in range(20)], LABELS), F.lit(True))
+    scored, name = toxicity.score(docs, index)
+    got = {r["doc_id"]: r[name]["evidence"] for r in scored.collect()}
+    assert all(got[i][0] == got[i + 100][0] == i for i in range(20))
+
+
+def test_toxicity_index_equals_all_cosines():
+    """More blocks than a search's first steps visit."""
+    rng = np.random.default_rng(5)
+    vocabulary = {f"t{i}".encode(): i for i in range(400)}
+    words = [[f"t{i}".encode() for i in rng.zipf(1.3, 40) % 400] for _ in range(1_000)]
+    index = toxicity.Index(vocabulary, rng.uniform(1, 5, 400), np.arange(1_000), np.zeros(1_000), np.ones(1_000), 0.0)
+    vectors = [index.vector(w) for w in words]
+    index.build(vectors)
+    dense = np.zeros((1_000, 400))
+    for i, (at, w) in enumerate(vectors):
+        dense[i, at] = w
+    for i in range(0, 1_000, 50):
+        cosine = dense @ dense[i]
+        cosine[i] = 0
+        assert np.allclose(index.nearest(*vectors[i], skip=i)[1], np.sort(cosine)[::-1][: toxicity.NEIGHBOURS])
