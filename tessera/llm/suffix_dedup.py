@@ -134,23 +134,22 @@ class _Rows:
         self.after, self.before = _words(batch.column("after")), _words(batch.column("before"))
 
     def spans(self) -> tuple[np.ndarray, ...]:
-        """(id, start, end, smallest id matched) of the rows that match a near neighbour."""
+        """(id, start, end, id matched) for each near neighbour that a row matches.  Rows
+        of K-grams that more than NEAR + 1 hold are left to :meth:`windows`."""
         n = len(self.gram)
-        left, right = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        other = np.full(n, np.iinfo(np.int64).max)
+        run = np.cumsum(np.concatenate([[True], self.gram[1:] != self.gram[:-1]])) - 1
+        few = np.bincount(run)[run] <= NEAR + 1
+        found = [(np.empty(0, np.int64),) * 4]
         for d in range(1, min(NEAR, n - 1) + 1):
-            i = np.flatnonzero(self.gram[:-d] == self.gram[d:])
+            i = np.flatnonzero((self.gram[:-d] == self.gram[d:]) & few[d:])
             j = i + d
             r = _common(self.after[i], self.after[j], np.minimum(self.n_after[i], self.n_after[j]))
             l_ = _common(self.before[i], self.before[j], np.minimum(self.n_before[i], self.n_before[j]))
             whole = r + l_ + K
             ok = (whole >= MIN_WORDS) & ((self.id[i] != self.id[j]) | (np.abs(self.pos[i] - self.pos[j]) >= MIN_WORDS))
             for x, y in ((i[ok], j[ok]), (j[ok], i[ok])):
-                np.maximum.at(left, x, l_[ok])
-                np.maximum.at(right, x, r[ok])
-                np.minimum.at(other, x, self.id[y])
-        hit = np.flatnonzero(other < np.iinfo(np.int64).max)
-        return self.id[hit], self.pos[hit] - left[hit], self.pos[hit] + K + right[hit], other[hit]
+                found.append((self.id[x], self.pos[x] - l_[ok], self.pos[x] + K + r[ok], self.id[y]))
+        return _united(*(np.concatenate(x) for x in zip(*found, strict=True)))
 
     def windows(self, split: np.ndarray) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
         """Spans as above from the windows of MIN_WORDS around the rows of K-grams that
@@ -198,14 +197,19 @@ def _prefix_hashes(words: np.ndarray, seed: np.ndarray) -> np.ndarray:
 
 
 def _united(id_: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Overlapping spans of an id that share ``other``, united."""
+    """Spans of an id that share ``other``, united where that leaves no window of
+    MIN_WORDS that none of them holds: ``other`` has every window of the result."""
     order = np.lexsort((start, other, id_))
     id_, start, end, other = id_[order], start[order], end[order], other[order]
-    new = np.ones(len(id_), bool)  # windows have one length, so ends ascend with starts
-    new[1:] = (id_[1:] != id_[:-1]) | (other[1:] != other[:-1]) | (start[1:] > end[:-1])
+    if not len(id_):
+        return id_, start, end, other
+    pair = np.cumsum(np.concatenate([[True], (id_[1:] != id_[:-1]) | (other[1:] != other[:-1])]))
+    reach = np.maximum.accumulate(end + (pair << 32)) - (pair << 32)  # largest end so far
+    new = np.ones(len(id_), bool)
+    new[1:] = (pair[1:] != pair[:-1]) | (start[1:] > reach[:-1] - MIN_WORDS + 1)
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(id_)) - 1 if len(id_) else first
-    return id_[first], start[first], end[last], other[first]
+    last = np.append(first[1:], len(id_)) - 1
+    return id_[first], start[first], reach[last], other[first]
 
 
 _SUFFIX = "gram long, after binary, before binary, id long, pos long, n_after long, n_before long"
@@ -273,8 +277,8 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _spans(docs: DataFrame, key: str, text: str, piece: int = PIECE) -> DataFrame:
-    """(id, a, b, o): repeated spans, which may overlap, and another id that holds
-    them: the smallest, or the next if that is the row's own."""
+    """(id, a, b, o): repeated spans, which may overlap, and another id that holds every
+    window of MIN_WORDS in them.  Of a window's other ids the smallest is always named."""
     rows = small_batches(docs).select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).where("id is not null and text is not null")
     all_ = stash(rows.mapInArrow(lean(_rows_of_minimisers), "id long, pos long, gram long"), "suffix-minimisers")
     again = stash(all_.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "suffix-repeated")
@@ -315,10 +319,37 @@ def _repeats(places: DataFrame, rows: DataFrame) -> bool:
     return not rows.select("id").join(places.select("id"), "id", "left_semi").groupBy("id").count().where("count > 1").isEmpty()
 
 
+def _superfluous(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of each text that lie in a window which a smaller id holds, and in no repeated
+    window of which the text is itself the smallest id."""
+    for batch in batches:
+        out = []
+        for i, spans in zip(batch.column("id").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            n = max(s["b"] for s in spans)
+            starts, gone, keep = np.zeros((2, n + 1), np.int64), np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
+            for s in spans:
+                smaller = int(s["o"] < i)
+                starts[smaller, s["a"]] += 1
+                starts[smaller, s["b"] - MIN_WORDS + 1] -= 1
+                if smaller:
+                    gone[s["a"]] += 1
+                    gone[s["b"]] -= 1
+            held = starts.cumsum(1) > 0
+            first = np.flatnonzero(held[0] & ~held[1])  # windows that stay
+            np.add.at(keep, first, 1)
+            np.add.at(keep, first + MIN_WORDS, -1)
+            cut = np.diff(((gone.cumsum() > 0) & (keep.cumsum() == 0)).astype(np.int8), prepend=0)
+            out += [(i, a, b) for a, b in zip(np.flatnonzero(cut == 1).tolist(), np.flatnonzero(cut == -1).tolist(), strict=True)]
+        cols = list(zip(*out, strict=True)) if out else [[]] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["id", "start_word", "end_word"])
+
+
 def cut(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with every repeated passage cut out but for the one in the
-    smallest id; the words that stay are joined by single spaces where a text changes."""
-    spans = _united_spans(_spans(docs, key, text).where("o < id"))
+    smallest id, where each window of MIN_WORDS stays whole, also if a smaller id has a
+    part of it; the words that stay are joined by single spaces where a text changes."""
+    grouped = _spans(docs, key, text).groupBy("id").agg(F.collect_list(F.struct("a", "b", "o")).alias("spans")).where(F.exists("spans", lambda s: s["o"] < F.col("id")))
+    spans = grouped.mapInArrow(lean(_superfluous), "id long, start_word long, end_word long")
     spans = spans.groupBy(F.col("id").alias("_id")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("_spans"))
     words = F.filter(F.split(F.col(f"`{text}`"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     keep = F.filter(words, lambda w, i: ~F.exists("_spans", lambda s: (s["start_word"] <= i) & (i < s["end_word"])))

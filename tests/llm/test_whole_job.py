@@ -72,3 +72,26 @@ def test_toxicity_index_equals_all_cosines():
         cosine = dense @ dense[i]
         cosine[i] = 0
         assert np.allclose(index.nearest(*vectors[i], skip=i)[1], np.sort(cosine)[::-1][: toxicity.NEIGHBOURS])
+
+
+def test_cut_keeps_every_window_in_its_smallest_id(spark):
+    """Passages that overlap others at a K-gram, the neighbours in smaller and larger ids."""
+    rng = random.Random(12)
+    new = lambda n: [f"w{rng.randrange(1_000_000)}" for _ in range(n)]
+    left, core, right = new(40), new(10), new(40)
+    texts = [new(60), left + core + new(30), left + core + right, new(30) + core + right]
+    pieces = [new(rng.randrange(20, 60)) for _ in range(12)]
+    texts += [sum((rng.choice(pieces) for _ in range(6)), new(5)) for _ in range(40)]
+    size, first = suffix_dedup.MIN_WORDS, {}
+    holders = collections.defaultdict(set)
+    for i, t in enumerate(texts):
+        for p in range(len(t) - size + 1):
+            first.setdefault(tuple(t[p : p + size]), i)
+            holders[tuple(t[p : p + size])].add(i)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    cut = {r["doc_id"]: f" {r['text']} " for r in suffix_dedup.cut(docs).collect()}
+    for window, ids in holders.items():
+        if len(ids) > 1:
+            assert f" {' '.join(window)} " in cut[first[window]]
+    assert set(right) <= set(cut[2].split()) and not set(right) & set(cut[3].split())
+    assert not set(left) & set(cut[2].split())
