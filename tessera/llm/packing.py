@@ -136,27 +136,48 @@ def word_ids(path: str) -> WordIds:
     return _loaded[path]
 
 
+def _loss(item: tuple) -> int:
+    """Loss-bearing tokens of an item or piece."""
+    return len(item[2]) if item[4] is None else int(item[4][-1] - item[4][0])
+
+
+def _fitting(ids: np.ndarray, loss: np.ndarray | None, tokens: int, most: int) -> int:
+    """How many of the ids, from the first, are ``tokens`` at most and bear no more loss
+    than ``most``."""
+    n = min(len(ids), tokens)
+    return min(n, most) if loss is None else min(n, int(np.searchsorted(loss, loss[0] + most, "right")) - 1)
+
+
 class Packer:
     """Pieces of one task.  Items are (row of the slice's bookkeeping, start, ids,
-    doc_tokens); ``loss`` per token is a share, 1 for documents."""
+    doc_tokens, loss); ``loss`` counts the loss-bearing tokens before each of the ids and
+    after the last, or is None where all bear loss."""
 
     def __init__(self, max_tokens: int, max_segments: int, max_loss: int, first_id: int):
         self.cap = np.array([max_tokens, max_segments, max_loss], np.float64)
         self.next_id = first_id
         self.items: list[tuple] = []  # key, start, ids, total
         self.rows: list[tuple] = []
-
-    def add(self, key: object, ids: np.ndarray) -> None:
-        step = int(min(self.cap[0], self.cap[2]))
-        whole = len(ids) // step * step
-        for a in range(0, whole, step):
-            self._close([(key, a, ids[a : a + step], len(ids))])
-        if whole < len(ids):
-            self.items.append((key, whole, ids[whole:], len(ids)))
+        self.losses: list[int] = []  # of the rows
+
+    def add(self, key: object, ids: np.ndarray, bears: np.ndarray | None = None) -> None:
+        """``bears``: whether each token bears loss (default: all do)."""
+        loss = None if bears is None else np.concatenate([[0], np.cumsum(bears)])
+        tokens, most, at, total = int(self.cap[0]), int(self.cap[2]), 0, len(ids)
+        while at < total:
+            n = _fitting(ids[at:], None if loss is None else loss[at:], tokens, most)
+            own = (key, at, ids[at : at + n], total, None if loss is None else loss[at : at + n + 1])
+            if at + n == total and n < tokens and _loss(own) < most:
+                self.items.append(own)
+            else:
+                self._close([own])
+            at += n
 
     def _close(self, pieces: list[tuple]) -> None:
         offset = 0
-        for key, start, ids, total in pieces:
+        for piece in pieces:
+            key, start, ids, total, _ = piece
+            self.losses.append(_loss(piece))
             crc = zlib.crc32(ids.astype("<u4", copy=False).tobytes())
             self.rows.append((key, start, len(ids), crc, total, self.next_id, offset))
             offset += len(ids)
@@ -166,7 +187,7 @@ class Packer:
         """Close sequences until at most ``keep`` items wait."""
         items = self.items
         size = np.fromiter((len(i[2]) for i in items), np.float64, len(items))
-        demand = np.stack([size, np.ones(len(items)), size], 1) / self.cap
+        demand = np.stack([size, np.ones(len(items)), np.fromiter(map(_loss, items), np.float64, len(items))], 1) / self.cap
         open_ = np.ones(len(items), bool)
         while np.count_nonzero(open_) > keep:
             self._fill(items, demand, open_)
@@ -184,27 +205,37 @@ class Packer:
             open_[best] = False
             left = left - demand[best]
             at = np.delete(at, k)
-        room = int(round(min(left[0] * self.cap[0], left[2] * self.cap[2])))
+        total, loss = sum(len(items[i][2]) for i in chosen), sum(_loss(items[i]) for i in chosen)
         rest = np.flatnonzero(open_)
-        if room and len(rest) and len(chosen) < self.cap[1]:  # nothing fits whole: cut one
-            chosen.append(int(rest[-1]))
-            open_[rest[-1]] = False
-        total = min(sum(len(items[i][2]) for i in chosen), int(min(self.cap[0], self.cap[2])))
+        if total < self.cap[0] and len(rest) and len(chosen) < self.cap[1]:  # nothing fits whole: cut one
+            cut = items[rest[-1]]
+            if n := _fitting(cut[2], cut[4], int(self.cap[0]) - total, int(self.cap[2]) - loss):
+                chosen.append(int(rest[-1]))
+                open_[rest[-1]] = False
+                total += n
         target = total if total == self.cap[0] else 1 << (total.bit_length() - 1)
         pieces, have = [], 0
         for i in chosen:
-            key, start, ids, all_ = items[i]
+            key, start, ids, all_, loss = items[i]
             take = min(len(ids), target - have)
             if take:
-                pieces.append((key, start, ids[:take], all_))
+                pieces.append((key, start, ids[:take], all_, None if loss is None else loss[: take + 1]))
                 have += take
             if take < len(ids):
-                items[i] = (key, start + take, ids[take:], all_)
-                demand[i, 0], demand[i, 2] = (len(ids) - take) / self.cap[0], (len(ids) - take) / self.cap[2]
+                items[i] = (key, start + take, ids[take:], all_, None if loss is None else loss[take:])
+                demand[i, 0], demand[i, 2] = (len(ids) - take) / self.cap[0], _loss(items[i]) / self.cap[2]
                 open_[i] = True
         self._close(pieces)
 
 
+def _bears(n: int, spans: list) -> np.ndarray:
+    """Whether each of n tokens lies in one of the spans (start, end)."""
+    out = np.zeros(n, bool)
+    for a, b in (s.values() for s in spans):
+        out[a:b] = True
+    return out
+
+
 def pack(
     docs: DataFrame,
     path: str,
@@ -213,29 +244,37 @@ def pack(
     max_tokens: int = MAX_TOKENS,
     max_segments: int = MAX_SEGMENTS,
     max_loss: int = MAX_LOSS,
+    loss: str | None = None,
 ) -> DataFrame:
     """One row per piece: (key, start, length, ids_crc32, doc_tokens, sequence_id,
-    offset).  ``path``: the tokenizer's file, on every executor."""
+    offset).  ``path``: the tokenizer's file, on every executor.  ``loss``: a column of
+    arrays of (start, end), the token places of a row that bear loss, as in the answers of
+    a conversation (the end token stands after the text's last); where it is null, or without
+    such a column, all do.  With it, rows also have ``loss_tokens``."""
     kind = docs.schema[key].dataType
     schema = f"`{key}` {kind.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    schema += ", loss_tokens long" if loss else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = word_ids(path)
         packer = Packer(max_tokens, max_segments, max_loss, TaskContext.get().partitionId() << 36)
-        names = [key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+        names = [key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *(["loss_tokens"] if loss else [])]
         types = None
 
         def out() -> pa.RecordBatch:
-            columns = zip(*packer.rows, strict=True) if packer.rows else [[]] * 7
-            packer.rows = []
+            columns = list(zip(*packer.rows, strict=True)) if packer.rows else [[]] * 7
+            columns += [packer.losses] if loss else []
+            packer.rows, packer.losses = [], []
             return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types, strict=True)], names)
 
         for batch in batches:
-            types = types or [batch.schema.field(key).type, *[pa.int64()] * 6]
+            types = types or [batch.schema.field(key).type, *[pa.int64()] * (len(names) - 1)]
             for part in chunks(batch, text):
                 keys = part.column(key).to_pylist()
-                for k, own in zip(keys, ids.of(text_bytes(part.column(text))), strict=True):
-                    packer.add(k, np.append(own, np.uint32(END_ID)))
+                spans = part.column(loss).to_pylist() if loss else [None] * len(keys)
+                for k, own, bearing in zip(keys, ids.of(text_bytes(part.column(text))), spans, strict=True):
+                    own = np.append(own, np.uint32(END_ID))
+                    packer.add(k, own, None if bearing is None else _bears(len(own), bearing))
                     if len(packer.items) >= 2 * POOL:
                         packer.pack(POOL)
                 yield out()
@@ -243,4 +282,5 @@ def pack(
             packer.pack(0)
             yield out()
 
-    return small_batches(docs).select(F.col(f"`{key}`"), F.col(f"`{text}`")).mapInArrow(lean(run), schema)
+    need = list(dict.fromkeys([key, text, *([loss] if loss else [])]))
+    return small_batches(docs).select(*(F.col(f"`{c}`") for c in need)).mapInArrow(lean(run), schema)

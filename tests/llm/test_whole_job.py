@@ -95,3 +95,27 @@ def test_cut_keeps_every_window_in_its_smallest_id(spark):
             assert f" {' '.join(window)} " in cut[first[window]]
     assert set(right) <= set(cut[2].split()) and not set(right) & set(cut[3].split())
     assert not set(left) & set(cut[2].split())
+
+
+def test_packer_counts_loss_apart_from_tokens(spark):
+    """Prompts without loss and answers with it: a sequence may be full of tokens, not of loss."""
+    packer = packing.Packer(64, 8, 16, 0)
+    bears = {i: np.arange(20 + i % 60) >= 15 + i % 50 for i in range(300)}
+    for i, own in bears.items():
+        packer.add(i, np.arange(len(own), dtype=np.uint32), own)
+    packer.pack(0)
+    tokens, loss, seen = collections.Counter(), collections.Counter(), collections.Counter()
+    for (key, start, length, _, _, seq, _), n in zip(packer.rows, packer.losses, strict=True):
+        assert n == bears[key][start : start + length].sum()
+        tokens[seq] += length
+        loss[seq] += n
+        seen[key] += length
+    assert seen == {i: len(own) for i, own in bears.items()}
+    assert max(loss.values()) == 16 and max(tokens.values()) == 64
+
+    rows = [(0, "a b c d e f g h", [(4, 9)]), (1, "a b c d e f g h", None), (2, "a b", [])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, answer array<struct<start:long,end:long>>")
+    got = collections.Counter()
+    for r in packing.pack(docs, queries.tokenizer_path("word_bpe_49k.json"), max_loss=4, loss="answer").collect():
+        got[r["doc_id"]] += r["loss_tokens"]
+    assert got == {0: 5, 1: 9, 2: 0}
