@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel  # noqa: F401  (re-exported for callers that persist)
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,6 +59,17 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def named_rows(docs: DataFrame, key: str) -> tuple[DataFrame, str]:
+    """``docs`` and a column that names each of its rows by a whole number: ``key`` if it
+    does, else the row's number in a written copy, under a name that is free."""
+    if isinstance(docs.schema[key].dataType, T.IntegralType):
+        per_id = docs.groupBy(F.col(f"`{key}`").alias("_id")).agg(F.count(F.lit(1)).alias("_n"))
+        if per_id.where("_n > 1 or _id is null").isEmpty():
+            return docs, key
+    name = free_name(docs, "_row")
+    return stash(docs.withColumn(name, F.monotonically_increasing_id()), "named-rows"), name
+
+
 def text_bytes(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     """The texts of an Arrow column in UTF-8; null becomes empty."""
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]

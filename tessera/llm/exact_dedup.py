@@ -11,8 +11,8 @@ The row with the most code points in its original text stays, then the smallest
 id (a null id comes last).
 
 Edge cases: a null text counts as empty; all empty texts are one group.  Rows
-that repeat with the same id and text are all marked with the id's verdict,
-since the id alone names a row.  An empty table gives no rows.  Columns other
+that repeat with the same id and text are all marked with the id's verdict by
+:func:`decide`, whose result names rows by their ids alone; :func:`keep_first` keeps one of them.  An empty table gives no rows.  Columns other
 than id and text are not read, and their names may clash with the result's.
 """
 
@@ -21,44 +21,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, broadcast_if_small, stash
+from .common import SPACE, broadcast_if_small, named_rows, stash
 
 
-def decide(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, keep_id, group_size, kept, text_sha256) for every row of ``docs``."""
+def _decided(docs: DataFrame, key: str, text: str, row: str) -> DataFrame:
+    """(_id, _row, _sha, keep, keep_row, size) for every row of ``docs``, which ``row`` names."""
     whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    rows = docs.select(F.col(f"`{key}`").alias("_id"), whole.alias("_text"))
+    rows = docs.select(F.col(f"`{key}`").alias("_id"), F.col(f"`{row}`").alias("_row"), whole.alias("_text"))
     rows = rows.withColumn("_norm", F.regexp_replace("_text", SPACE, ""))
-    hashed = rows.select(
-        "_id",
-        F.unhex(F.md5("_norm")).alias("_md5"),
-        F.unhex(F.sha2("_norm", 256)).alias("_sha"),
-        F.length("_text").alias("_chars"),
-    )
-    base = stash(hashed, "exact-keys")
+    md5 = F.unhex(F.md5("_norm")).alias("_md5")
+    base = stash(rows.select("_id", "_row", md5, F.unhex(F.sha2("_norm", 256)).alias("_sha")), "exact-keys")
     repeated = stash(base.groupBy("_md5").count().where("count > 1").select("_md5"), "exact-repeated")
-    suspects = rows.select(
-        "_id", "_norm", F.unhex(F.md5("_norm")).alias("_md5"), F.length("_text").alias("_chars")
-    ).join(broadcast_if_small(repeated), "_md5", "left_semi")
-    first = F.min(F.struct((-F.col("_chars")).alias("a"), F.col("_id").isNull().alias("b"), F.col("_id").alias("id")))
+    suspects = rows.select("_id", "_row", "_norm", md5, F.length("_text").alias("_chars")).join(broadcast_if_small(repeated), "_md5", "left_semi")
+    first = F.min(F.struct((-F.col("_chars")).alias("a"), F.col("_id").isNull().alias("b"), F.col("_id").alias("id"), F.col("_row").alias("row")))
     groups = stash(
         suspects.groupBy("_md5", "_norm")  # here bytes are compared
         .agg(first.alias("first"), F.count(F.lit(1)).alias("size"))
-        .select("_md5", F.unhex(F.sha2("_norm", 256)).alias("_sha"), F.col("first.id").alias("keep"), "size", F.lit(True).alias("grouped")),
+        .select("_md5", F.unhex(F.sha2("_norm", 256)).alias("_sha"), F.col("first.id").alias("keep"), F.col("first.row").alias("keep_row"), "size", F.lit(True).alias("grouped")),
         "exact-groups",
     )
     joined = base.join(broadcast_if_small(groups), ["_md5", "_sha"], "left")
-    keep = F.when(F.col("grouped"), F.col("keep")).otherwise(F.col("_id"))
-    return joined.select(
+    of = lambda found, own: F.when(F.col("grouped"), F.col(found)).otherwise(F.col(own)).alias(found)
+    return joined.select("_id", "_row", "_sha", of("keep", "_id"), of("keep_row", "_row"), F.coalesce("size", F.lit(1)).cast("long").alias("size"))
+
+
+def decide(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, keep_id, group_size, kept, text_sha256) for every row of ``docs``."""
+    return _decided(docs, key, text, key).select(
         F.col("_id").alias(key),
-        keep.alias("keep_id"),
-        F.coalesce("size", F.lit(1)).cast("long").alias("group_size"),
-        F.col("_id").eqNullSafe(keep).alias("kept"),
+        F.col("keep").alias("keep_id"),
+        F.col("size").alias("group_size"),
+        F.col("_id").eqNullSafe(F.col("keep")).alias("kept"),
         F.lower(F.hex("_sha")).alias("text_sha256"),
     )
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the rows whose text another row stands for."""
-    gone = stash(decide(docs, key, text).where("not kept").select(F.col(f"`{key}`").alias("_gone")).distinct(), "exact-gone")
-    return docs.join(broadcast_if_small(gone), docs[f"`{key}`"].eqNullSafe(F.col("_gone")), "left_anti")
+    """``docs`` with one row of each group of equal texts, the one that stays; where its id
+    repeats, the first such row of the group."""
+    named, row = named_rows(docs, key)
+    gone = stash(_decided(named, key, text, row).where("_row <> keep_row").select(F.col("_row").alias("_gone")), "exact-gone")
+    left = named.join(broadcast_if_small(gone), F.col(f"`{row}`") == F.col("_gone"), "left_anti")
+    return left.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -3,35 +3,40 @@
 A text's set holds its distinct 5-word shingles.  Two texts link when their
 Jaccard similarity is at least ``NUM``/``DEN``.  The join is exact:
 
-1. *Blocks.*  Two sets that link share a shingle among the first
-   n - ceil(t n) + 1 of each, in any one order of shingles.  The order puts
-   shingles that look frequent last (a table of bounded size, which changes
-   speed alone) and else goes by hash.  Sets that are alone in a block are done with.
-   Equal sets count as one.
-2. *Points.*  Shingles are hashed into ``GROUPS`` groups; the counts per group are a
-   set's point.  Within a block the points stand in an R-tree; the summed minima
-   of a point and a node's upper corner bound the overlap with anything below.
-3. *Verification.*  Pairs that survive are verified on the whole texts.
-
-So that a block of many near copies never yields all its pairs, each set is first held
-against the block's first set and against the one before it; what links is one
-component, and the R-trees then look only for pairs between components.  Blocks
-are cut in chunks, and chunks meet pairwise in tasks of their own.  A shared shingle at
-positions i and j of two orders leaves min(n - i, m - j) for the overlap if it is
-the first they share, which rules out most pairs before any point is read; a pair
-that links passes at its first.  The trees first give the best candidates of each set;
-where that left some out, they run again for all between components, so that no
-link between components is lost.
+1. *Points.*  Shingles are hashed into ``GROUPS`` groups; the counts per group are a
+   set's point.  Equal sets are one class, for which the smallest id stands.
+2. *Units.*  Trees over a whole corpus rule nothing out, so sets meet in blocks first.  Two
+   sets that link share a shingle among the first n - ceil(t n) + 1 of each, in any
+   one order of shingles.  The order puts shingles that look frequent last (a table of
+   bounded size, which changes speed alone) and else goes by hash.  A block has the
+   sets with one such shingle; blocks of equal members are one unit, with the number of
+   shingles it stands for.
+3. *Search.*  In each unit the points stand in an R-tree; the summed minima of a point and
+   a node's upper corner bound the overlap with anything below.  Units of FANOUT
+   sets (one node) give all pairs that the bound leaves; larger ones give the BEST of
+   each set, and those of over CHUNK sets are cut in chunks for this.
+4. *Counts.*  Pairs are added up over units.  How many shingles two prefixes share, with
+   what is left behind them, bounds the overlap as well; most pairs end here.
+5. *Verification.*  Pairs that survive are verified on the whole texts, and links give
+   components.
+6. *The rest.*  Units in which candidates were left out are searched again, now for
+   pairs of components: a component is a node with its members' upper corner, so a
+   group of near copies is one entry, whatever its size.  Members of components that the
+   bound can't keep apart are searched against each other, in chunks, and all pairs that
+   are left are verified.  No link between components is lost.
 
 Edge cases: null and empty texts have no shingle, link with nothing, and are their own
-component; fewer than five words make one shingle.  Rows with a null id get a
-null component; rows that repeat with an id are one text (their links unite).
-Very long texts form slices of their own.  An empty table gives no rows.
-Columns other than id and text are not read.
+component; fewer than five words make one shingle.  Rows that repeat with an id are
+one document: what links with any of its texts is in its component.  A row with a
+null id is a document of its own; its component is the smallest id that it reaches, null
+if there is none.  Ids may be of any type that has an order.  Very long texts form
+slices of their own.  An empty table gives no rows.  Columns other than id and text
+are not read.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -39,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, broadcast_if_small, chunks, gram_hashes, lean, small_batches, stash, text_bytes
+from .common import WordHashes, broadcast_if_small, chunks, gram_hashes, lean, mix64, named_rows, small_batches, stash, text_bytes
 from .components import components
 
 SHINGLE = 5
@@ -47,10 +52,12 @@ NUM, DEN = 75, 100
 GROUPS = 128
 #: Shingles that the order may know as frequent, and how often they must be seen.
 FREQUENT, OFTEN = 1 << 18, 8
-#: Sets in a chunk of a block, and entries of an R-tree's node.
-CHUNK = 1024
+#: Texts from which on a shingle's block is not formed in one task.
+HOT = 1 << 16
+#: Sets in a chunk of a unit, and entries of an R-tree's node.
+CHUNK = 512
 FANOUT = 16
-#: Candidates of a set that the first run of the trees verifies in a chunk.
+#: Candidates that a set has at most in a unit of more than one node, before components are known.
 BEST = 4
 _ENDLESS = 1 << 30
 
@@ -118,33 +125,43 @@ def _points(frequent: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, n, h1, id) -> (key, id, n, pos, leader, leader_n, prior,
-    prior_n) for the distinct sets of keys that have several.  Only one row is
-    carried from batch to batch, whatever the size of a block."""
-    carry = None  # (key, n, h1, id, pos, leader, leader_n, already given)
-    names = ["key", "id", "n", "pos", "leader", "leader_n", "prior", "prior_n"]
-    for batch in batches:
-        if not batch.num_rows:
+    """Rows sorted by (key, n, id) -> (unit, id, n, pos, size) of the keys that several sets
+    have.  The unit of a block of up to CHUNK sets is a hash of its members, so that
+    blocks of equal members fall together; a larger block goes by its key, with size 0.
+    At most CHUNK rows are carried from batch to batch."""
+    columns = ["key", "id", "n", "pos"]
+    held = [np.empty(0, np.int64)] * 4
+    going_on = None  # key of a large block whose rows have gone out so far
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None and not batch.num_rows:
+            continue
+        new = [] if batch is None else [[batch.column(c).to_numpy(zero_copy_only=False) for c in columns]]
+        rows = [np.concatenate(x) for x in zip(held, *new, strict=True)]
+        key, ids = rows[0], rows[1]
+        if not len(key):
             continue
-        key, n, h1, ids, pos = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "n", "h1", "id", "pos"))
-        if carry:
-            key, n, h1, ids, pos = (np.concatenate([[c], x]) for c, x in zip(carry[:5], (key, n, h1, ids, pos), strict=True))
-        new_key = np.concatenate([[True], key[1:] != key[:-1]])
-        fresh = new_key | np.concatenate([[True], (n[1:] != n[:-1]) | (h1[1:] != h1[:-1])])
-        key, n, h1, ids, pos, new_key = key[fresh], n[fresh], h1[fresh], ids[fresh], pos[fresh], new_key[fresh]
-        group = np.cumsum(new_key) - 1
-        leader, leader_n = ids[new_key][group], n[new_key][group]
-        several = np.bincount(group)[group] > 1
-        given = np.zeros(len(key), bool)
-        if carry:
-            leader[group == 0], leader_n[group == 0] = carry[5], carry[6]
-            several[group == 0] |= carry[7]
-            given[0] = carry[7]
-        prior, prior_n = np.concatenate([[0], ids[:-1]]), np.concatenate([[0], n[:-1]])
-        prior[new_key], prior_n[new_key] = ids[new_key], n[new_key]
-        out = several & ~given
-        yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (key, ids, n, pos, leader, leader_n, prior, prior_n)], names)
-        carry = (key[-1], n[-1], h1[-1], ids[-1], pos[-1], leader[-1], leader_n[-1], bool(several[-1]))
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(np.append(starts, len(key)))
+        large = size > CHUNK
+        large[0] |= going_on is not None and key[0] == going_on
+        out = large | (size > 1)
+        going_on, keep = None, len(key)
+        if batch is not None:  # the last key may go on
+            if large[-1]:
+                going_on = key[-1]
+            else:
+                out[-1], keep = False, starts[-1]
+        held = [x[keep:] for x in rows]
+        members = mix64(np.add.reduceat(mix64(ids.view(np.uint64)), starts) + size.astype(np.uint64)).view(np.int64)
+        unit, shown = np.where(large, key[starts], members), np.where(large, 0, size)
+        rows_out = np.repeat(out, size)
+        arrays = [np.repeat(unit, size), *rows[1:], np.repeat(shown, size)]
+        yield pa.RecordBatch.from_arrays([pa.array(x[rows_out]) for x in arrays], ["unit", "id", "n", "pos", "size"])
+
+
+def _needed(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """The overlap from which sets of n and m shingles link."""
+    return -(-NUM * (n + m) // (NUM + DEN))
 
 
 def _load(points: list[bytes]) -> np.ndarray:
@@ -164,14 +181,16 @@ class RTree:
             cuts = np.arange(0, len(least), FANOUT)
             self.levels.append((np.maximum.reduceat(top, cuts), np.minimum.reduceat(least, cuts)))
 
-    def search(self, points: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def search(self, points: np.ndarray, n: np.ndarray, most: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, entry, bound) where the overlap can reach what a link needs:
-        (DEN + NUM) * overlap >= NUM * (n + m)."""
+        (DEN + NUM) * overlap >= NUM * (n + m).  A query may stand for several sets of
+        n to ``most`` shingles."""
+        most = n if most is None else most
         k = len(self.levels[-1][1])
         q, at = np.repeat(np.arange(len(n)), k), np.tile(np.arange(k), len(n))
         for depth in range(len(self.levels) - 1, -1, -1):
             top, least = self.levels[depth]
-            ok = NUM * least[at] <= DEN * n[q]
+            ok = NUM * least[at] <= DEN * most[q]
             q, at = q[ok], at[ok]
             bound = _bounds(top, at, points, q)
             ok = (DEN + NUM) * bound >= NUM * (n[q] + least[at])
@@ -189,74 +208,20 @@ def _bounds(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray, step: in
     return np.concatenate(parts) if parts else np.empty(0, np.int64)
 
 
-def _candidates(best: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows of units (two chunks of a block), sorted by unit -> (a, b, key): pairs
-    of different components that the trees cannot rule out, the ``best`` of each
-    set or all; without a and b, a unit in which some were left out.  A unit has
-    a few thousand rows at most."""
-
-    def open_(t: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Pairs that components, sizes and positions allow."""
-        n, m = t["n"][i], t["n"][j]
-        left = np.minimum(n - t["pos"][i], m - t["pos"][j])
-        return (t["component"][i] != t["component"][j]) & (NUM * np.maximum(n, m) <= DEN * np.minimum(n, m)) & ((DEN + NUM) * left >= NUM * (n + m))
-
-    def small(t: dict[str, np.ndarray], unit: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All units of one node at once: pairs of rows 1, 2, ... places apart."""
-        out_i, out_j = [], []
-        for d in range(1, FANOUT):
-            same = unit[rows[:-d]] == unit[rows[d:]] if len(rows) > d else np.zeros(0, bool)
-            if not same.any():
-                break
-            i, j = rows[:-d][same], rows[d:][same]
-            ok = open_(t, i, j)
-            ok &= ~((t["side"][i] == t["side"][j]) & (t["lo"][i] != t["hi"][i]))
-            out_i.append(i[ok])
-            out_j.append(j[ok])
-        i, j = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (out_i, out_j))
-        bound = _bounds(t["point"], i, t["point"], j)
-        ok = (DEN + NUM) * bound >= NUM * (t["n"][i] + t["n"][j])
-        return i[ok], j[ok], bound[ok]
-
-    def large(t: dict[str, np.ndarray], rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        one = t["lo"][rows[0]] == t["hi"][rows[0]]
-        right = rows if one else rows[t["side"][rows] == 1]
-        left = rows if one else rows[t["side"][rows] == 0]
-        if not len(left) or not len(right):
-            return (np.empty(0, np.int64),) * 3
-        tree, got = RTree(t["point"][right], t["n"][right]), []
-        for a in range(0, len(left), 64):
-            q = left[a : a + 64]
-            k, hit, bound = tree.search(t["point"][q], t["n"][q])
-            i, j = q[k], right[hit]
-            ok = open_(t, i, j) & ((t["id"][i] < t["id"][j]) if one else (t["id"][i] != t["id"][j]))
-            got.append((i[ok], j[ok], bound[ok]))
-        return tuple(np.concatenate(x) for x in zip(*got, strict=True))
-
-    def pairs(table: pa.Table) -> pa.RecordBatch:
-        t = {c: table.column(c).to_numpy() for c in ("key", "lo", "hi", "side", "id", "n", "pos", "component")}
-        t["point"] = _load(table.column("point").to_pylist())
-        new = np.ones(len(t["key"]), bool)
-        new[1:] = np.any([t[c][1:] != t[c][:-1] for c in ("key", "lo", "hi")], axis=0)
-        unit = np.cumsum(new) - 1
-        size = np.bincount(unit)
-        got = [small(t, unit, np.flatnonzero(size[unit] <= FANOUT))]
-        first = np.flatnonzero(new)
-        got += [large(t, np.arange(first[u], first[u] + size[u])) for u in np.flatnonzero(size > FANOUT)]
-        i, j, bound = (np.concatenate(x) for x in zip(*got, strict=True))
-        cut = np.empty(0, np.int64)
-        if best is not None and len(i):  # of each set and unit, the candidates of the largest bounds
-            share = bound / (t["n"][i] + t["n"][j])
-            order = np.lexsort((-share, t["id"][i], unit[i]))
-            i, j = i[order], j[order]
-            start = np.ones(len(i), bool)
-            start[1:] = (i[1:] != i[:-1])
-            rank = np.arange(len(i)) - np.flatnonzero(start)[np.cumsum(start) - 1]
-            cut = np.unique(t["key"][i[rank >= best]])
-            i, j = i[rank < best], j[rank < best]
-        a, b, none = np.minimum(t["id"][i], t["id"][j]), np.maximum(t["id"][i], t["id"][j]), pa.nulls(len(cut), pa.int64())
-        key = pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(cut, pa.int64())])
-        return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(a, pa.int64()), none]), pa.concat_arrays([pa.array(b, pa.int64()), none]), key], ["a", "b", "key"])
+def _behind(n: np.ndarray) -> np.ndarray:
+    """Shingles behind the prefix."""
+    return -(-NUM * n // DEN) - 1
+
+
+def _runs(table: pa.Table, marks: list[str]) -> np.ndarray:
+    """Where rows with other ``marks`` than the row before begin."""
+    m = np.stack([table.column(c).to_numpy() for c in marks], 1)
+    return np.flatnonzero(np.concatenate([[True], (m[1:] != m[:-1]).any(1)]))
+
+
+def _by_unit(fn: Callable[[pa.Table, np.ndarray], Iterator[pa.RecordBatch]], marks: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``fn`` over whole units of rows sorted by ``marks``, given where units begin.  A unit
+    has a few chunks of rows at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []
@@ -264,17 +229,125 @@ def _candidates(best: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterat
             if not batch.num_rows:
                 continue
             table = pa.Table.from_batches([*waiting, batch]).combine_chunks()
-            mark = np.stack([table.column(c).to_numpy() for c in ("key", "lo", "hi")], 1)
-            last = int(np.flatnonzero((mark != mark[-1]).any(1))[-1]) + 1 if (mark != mark[-1]).any() else 0
-            if last:
-                yield pairs(table.slice(0, last))
+            starts = _runs(table, marks)
+            if last := int(starts[-1]):
+                yield from fn(table.slice(0, last), starts[:-1])
             waiting = table.slice(last).combine_chunks().to_batches()
         if waiting:
-            yield pairs(pa.Table.from_batches(waiting).combine_chunks())
+            table = pa.Table.from_batches(waiting).combine_chunks()
+            yield from fn(table, _runs(table, marks))
 
     return run
 
 
+def _pairs(table: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Units (chunks of them, if large) -> (a, b, shared, left, spare): pairs that the trees
+    cannot rule out, with the number of shared prefix shingles that the unit shows, what
+    positions leave beyond the overlap needed, and what may be shared elsewhere beyond it;
+    (unit) alone where pairs were left out."""
+    t = {c: table.column(c).to_numpy() for c in ("unit", "id", "n", "pos", "mult", "apart", "size")}
+    points = _load(table.column("point").to_pylist())
+    count = np.diff(np.append(starts, len(t["id"])))
+    block = np.repeat(np.arange(len(count)), count)
+    one_node = (t["size"][starts] > 0) & (t["size"][starts] <= FANOUT)
+    got, cut = [], [t["unit"][starts[t["size"][starts] == 0]]]
+
+    rows = np.flatnonzero(one_node[block])
+    for d in range(1, int(count[one_node].max(initial=1))):  # the entries of each node, d places apart
+        same = block[rows[:-d]] == block[rows[d:]]
+        i, j = rows[:-d][same], rows[d:][same]
+        ok = (NUM * np.maximum(t["n"][i], t["n"][j]) <= DEN * np.minimum(t["n"][i], t["n"][j])) & (t["id"][i] != t["id"][j])
+        i, j = i[ok], j[ok]
+        ok = _bounds(points, i, points, j) >= _needed(t["n"][i], t["n"][j])
+        got.append((i[ok], j[ok], t["mult"][i[ok]]))
+
+    for u in np.flatnonzero(~one_node & (count > 1)):
+        rows = np.arange(starts[u], starts[u] + count[u])
+        tree = RTree(points[rows], t["n"][rows])
+        for first in range(0, len(rows), 64):
+            q = rows[first : first + 64]
+            k, hit, bound = tree.search(points[q], t["n"][q])
+            i, j = q[k], rows[hit]
+            left = np.minimum(t["n"][i] - t["pos"][i], t["n"][j] - t["pos"][j])
+            ok = (i != j) & (left >= _needed(t["n"][i], t["n"][j]))
+            i, j, share = i[ok], j[ok], (bound[ok] / (t["n"][i[ok]] + t["n"][j[ok]]))
+            order = np.lexsort((t["id"][j], -share, i))
+            i, j = i[order], j[order]
+            new = np.concatenate([[True], i[1:] != i[:-1]]) if len(i) else np.empty(0, bool)
+            rank = np.arange(len(i)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+            if (rank >= BEST).any():
+                cut.append(t["unit"][rows[:1]])
+            i, j = i[rank < BEST], j[rank < BEST]
+            got.append((i, j, np.zeros(len(i), np.int64)))
+
+    i, j, mult = (np.concatenate([*x, np.empty(0, np.int64)]).astype(np.int64) for x in (zip(*got, strict=True) if got else ((), (), ())))
+    n, m = t["n"][i], t["n"][j]
+    need = _needed(n, m)
+    left = np.minimum(n - t["pos"][i], m - t["pos"][j]) - need
+    spare = np.minimum(t["apart"][i], t["apart"][j]) + np.maximum(_behind(n), _behind(m)) - need
+    cols = [np.minimum(t["id"][i], t["id"][j]), np.maximum(t["id"][i], t["id"][j]), mult, left, spare]
+    cut_units = np.unique(np.concatenate(cut))
+    none = pa.nulls(len(cut_units), pa.int64())
+    arrays = [pa.concat_arrays([pa.array(c, pa.int64()), none]) for c in cols]
+    unit = pa.concat_arrays([pa.nulls(len(i), pa.int64()), pa.array(cut_units, pa.int64())])
+    yield pa.RecordBatch.from_arrays([*arrays, unit], ["a", "b", "shared", "left", "spare", "unit"])
+
+
+def _corners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (component, least, most, members, point) -> one for each component of a batch and,
+    if rows are sorted, of a task: smallest and largest n, and the upper corner of the points."""
+    names = ["component", "least", "most", "members", "point"]
+    held: list[pa.RecordBatch] = []
+    for rows in batches:
+        if not rows.num_rows:
+            continue
+        batch = pa.Table.from_batches([x.cast(rows.schema) for x in held] + [rows]).combine_chunks().to_batches()[0]
+        component, least, most, members = (batch.column(c).to_numpy() for c in ("component", "least", "most", "members"))
+        order = np.argsort(component, kind="stable")
+        component = component[order]
+        starts = np.flatnonzero(np.concatenate([[True], component[1:] != component[:-1]]))
+        points = np.frombuffer(b"".join(batch.column("point").to_pylist()), "<u2").reshape(-1, GROUPS)[order]
+        top = np.maximum.reduceat(points, starts)
+        cols = [component[starts], np.minimum.reduceat(least[order], starts), np.maximum.reduceat(most[order], starts), np.add.reduceat(members[order], starts)]
+        made = pa.RecordBatch.from_arrays([*(pa.array(c) for c in cols), pa.array([x.tobytes() for x in top], pa.binary())], names)
+        yield made.slice(0, made.num_rows - 1)
+        held = [made.slice(made.num_rows - 1)]
+    yield from held
+
+
+def _node_pairs(table: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Components of a unit, or members of two components -> (a, b) that the tree can't keep
+    apart, nor, of members, what their prefixes share.  Where ``lo`` and ``hi`` are equal all
+    meet, else only rows of other sides."""
+    keys: list[np.ndarray] = []
+    if "keys" in table.column_names:
+        lists = table.column("keys").combine_chunks()
+        edges, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+        keys = [np.sort(values[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
+    t = {c: table.column(c).to_numpy() for c in ("lo", "hi", "side", "node", "least", "most")}
+    points = _load(table.column("point").to_pylist())
+    for first, end in zip(starts, [*starts[1:], len(t["node"])], strict=True):
+        rows = np.arange(first, end)
+        alike = t["lo"][first] == t["hi"][first]
+        left, right = (rows, rows) if alike else (rows[t["side"][rows] == 0], rows[t["side"][rows] == 1])
+        if not len(left) or not len(right):
+            continue
+        tree = RTree(points[right], t["least"][right])
+        for at in range(0, len(left), 64):
+            q = left[at : at + 64]
+            k, hit, _ = tree.search(points[q], t["least"][q], t["most"][q])
+            i, j = q[k], right[hit]
+            a, b = t["node"][i], t["node"][j]
+            ok = (a < b) if alike else (a != b)
+            ok &= NUM * t["least"][i] <= DEN * t["most"][j]
+            if keys:
+                n, m = t["least"][i], t["least"][j]
+                least = _needed(n, m) - np.maximum(_behind(n), _behind(m))
+                for x in np.flatnonzero(ok):
+                    ok[x] = len(np.intersect1d(keys[i[x]], keys[j[x]], assume_unique=True)) >= least[x]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[ok]), pa.array(np.maximum(a, b)[ok])], ["a", "b"])
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for batch in batches:
@@ -290,92 +363,144 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def linked(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts link; only the texts of ``pairs`` (stashed) are
-    shuffled.  Both joins are plain equi-joins that Spark splits where one text
-    has many partners."""
-    ids = stash(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "jaccard-ids")
-    texts = rows.join(broadcast_if_small(ids), "id", "left_semi").dropDuplicates(["id"])
-    a, b = (texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(lean(_verify), "a long, b long")
-
-
-def _between(blocks: DataFrame, labels: DataFrame, sets: DataFrame, best: int | None) -> DataFrame:
-    """Candidate pairs between components (a, b), and the keys of blocks that left some out."""
+    """The pairs (a, b), stashed, whose texts link.  Texts of ``b`` move once for each pair,
+    those of ``a`` once; Spark splits the join where one text has many partners."""
+    ids = broadcast_if_small(pairs.select("a").distinct())
+    hubs = rows.join(ids, rows["id"] == ids["a"], "left_semi").select(F.col("id").alias("a"), F.col("text").alias("text_a"))
+    some = broadcast_if_small(pairs)
+    movers = rows.join(some, rows["id"] == some["b"]).select("a", "b", F.col("text").alias("text_b"))
+    return movers.join(hubs, "a").select("a", "b", "text_a", "text_b").mapInArrow(lean(_verify), "a long, b long")
+
+
+def _of_components(cut: DataFrame, units: DataFrame, labels: DataFrame, points: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets in other components that meet in a ``cut`` unit."""
+    rows = units.join(broadcast_if_small(cut), "unit", "left_semi").select("unit", "id", "n")
     label = labels.select(F.col("id").alias("_i"), "component")
-    rows = blocks.join(broadcast_if_small(label), blocks["id"] == F.col("_i"), "left").select("key", "id", "n", "pos", F.coalesce("component", "id").alias("component"))
-    rows = stash(rows, "jaccard-rows")
-    # of two that link, the smaller has its first shared shingle at a position that leaves what the overlap needs
-    early = F.max(F.expr(f"({DEN} + {NUM}) * (n - pos) >= 2 * {NUM} * n"))
-    mixed = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"), early.alias("early"))
-    mixed = stash(mixed.where("lo <> hi and early").select("key", "size"), "jaccard-mixed")
-    point = sets.select(F.col("id").alias("_p"), "point")
-    some = rows.join(mixed, "key")
-    some = some.join(point, some["id"] == point["_p"]).drop("_p")
-    n_chunks = F.ceil(F.col("size") / CHUNK)
-    own = F.pmod(F.xxhash64("id"), n_chunks)
-    units = some.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), n_chunks.cast("long") - 1)))
-    units = units.select("key", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"), (F.col("own") > F.col("with")).cast("int").alias("side"), "id", "n", "pos", "component", "point")
-    mark = ["key", "lo", "hi"]
-    return units.repartition(*mark).sortWithinPartitions(*mark).mapInArrow(lean(_candidates(best)), "a long, b long, key long").distinct()
-
-
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_shingles, component_id) for every row of ``docs``: the size of its set
-    and the smallest id that links reach.  ``key`` must be an integer."""
-    spark = docs.sparkSession
-    rows = small_batches(docs).select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
+    rows = stash(rows.join(broadcast_if_small(label), F.col("id") == F.col("_i"), "left").select("unit", "id", "n", F.coalesce("component", "id").alias("component")), "jaccard-rows")
+    mixed = rows.groupBy("unit").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.approx_count_distinct("component").alias("nodes")).where("x <> y")
+    mixed = stash(mixed.select("unit", "nodes"), "jaccard-mixed")
+    if mixed.isEmpty():
+        return rows.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+    rows = rows.join(broadcast_if_small(mixed), "unit")
+    members = stash(rows.select("component", "id", "n").distinct().join(points.withColumnRenamed("id", "_p"), F.col("id") == F.col("_p")).select("component", "id", "n", "point", "keys"), "jaccard-members")
+    shape = "component long, least long, most long, members long, point binary"
+    corners = members.select("component", F.col("n").alias("least"), F.col("n").alias("most"), F.lit(1).cast("long").alias("members"), "point").mapInArrow(_corners, shape)
+    corners = stash(corners.repartition("component").sortWithinPartitions("component").mapInArrow(_corners, shape), "jaccard-corners")
+
+    kind = "a long, b long"
+    marks = ["unit", "lo", "hi"]
+    nodes = rows.select("unit", "component", "nodes").distinct().join(corners, "component")
+    n_chunks = F.ceil(F.col("nodes") / CHUNK)
+    nodes = nodes.withColumn("own", F.pmod(F.xxhash64("component"), n_chunks)).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), n_chunks - 1)))
+    nodes = nodes.select("unit", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"), (F.col("own") > F.col("with")).cast("int").alias("side"), F.col("component").alias("node"), "least", "most", "point")
+    close = stash(nodes.repartition(*marks).sortWithinPartitions(*marks).mapInArrow(lean(_by_unit(_node_pairs, marks)), kind).distinct(), "jaccard-close")
+
+    # the larger of two components is searched by the members of all that are close to it
+    number = corners.select("component", "members")
+    for x in "ab":
+        close = close.join(number.select(F.col("component").alias(x), F.col("members").alias(f"n_{x}")), x)
+    a_first = F.col("n_a") >= F.col("n_b")
+    close = close.select(F.when(a_first, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(a_first, F.col("b")).otherwise(F.col("a")).alias("component"))
+    partners = stash(close.join(members.select("component", "id"), "component").select("hub", "id"), "jaccard-partners")
+    hubs = partners.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("p")).join(number, F.col("hub") == F.col("component"))
+    hubs = stash(hubs.select("hub", "p", F.ceil(F.col("members") / CHUNK).alias("m")), "jaccard-hubs")
+    chunk = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    row = [F.col("id").alias("node"), F.col("n").alias("least"), F.col("n").alias("most"), "point", "keys"]
+    mine = hubs.join(members, F.col("hub") == F.col("component")).withColumn("own", chunk("m")).withColumn("with", every("p"))
+    theirs = partners.join(hubs, "hub").join(members, "id").withColumn("own", chunk("p")).withColumn("with", every("m"))
+    # chunks of the two sides are numbered apart: lo and hi differ
+    mine = mine.select("hub", F.col("own").alias("lo"), (-1 - F.col("with")).alias("hi"), F.lit(0).alias("side"), *row)
+    theirs = theirs.select("hub", F.col("with").alias("lo"), (-1 - F.col("own")).alias("hi"), F.lit(1).alias("side"), *row)
+    marks = ["hub", "lo", "hi"]
+    return mine.union(theirs).repartition(*marks).sortWithinPartitions(*marks).mapInArrow(lean(_by_unit(_node_pairs, marks)), kind).distinct()
+
+
+def _components_of(rows: DataFrame, united: DataFrame | None = None) -> DataFrame:
+    """(id, n, component) of every row of ``rows`` (id, text), whose ids are different whole
+    numbers.  Rows in ``united`` (a, b) are in one component anyway."""
+    spark = rows.sparkSession
     seen = rows.select("text").mapInArrow(lean(_frequent), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN)
     top = seen.orderBy(F.desc("n"), "h").limit(FREQUENT).toPandas()
     known = top["h"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(known)
     frequent = spark.sparkContext.broadcast((known[order], top["n"].to_numpy(np.int64)[order]))
     sets = stash(rows.mapInArrow(lean(_points(frequent)), "id long, n long, h1 long, h2 long, keys array<long>, point binary"), "jaccard-sets")
-
-    key_order = ["key", "n", "h1", "id"]
-    keyed = sets.where("id is not null and n > 0").select(F.posexplode("keys").alias("pos", "key"), "n", "h1", "id").withColumn("pos", F.col("pos").cast("long"))
-    blocks = stash(keyed.repartition("key").sortWithinPartitions(*key_order).mapInArrow(_blocks, "key long, id long, n long, pos long, leader long, leader_n long, prior long, prior_n long"), "jaccard-blocks")
-
-    def best(other: str) -> DataFrame:
-        """The partner that a set meets in most blocks, if their sizes allow a link and
-        they share an eighth of what a prefix holds (the trees see to the others)."""
-        pairs = blocks.where(f"id <> {other} and {NUM} * n <= {DEN} * {other}_n").groupBy("id", other).agg(F.count(F.lit(1)).alias("count"), F.first("n").alias("n")).where("count * 32 >= n")
-        return pairs.groupBy("id").agg(F.max(F.struct("count", F.col(other).alias("o"))).alias("m")).select(F.least("id", "m.o").alias("a"), F.greatest("id", "m.o").alias("b"))
-
-    tried = stash(best("leader"), "jaccard-pairs")
+    same = ["h1", "h2", "n"]
+    classes = stash(sets.where("n > 0").groupBy(*same).agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size"), "jaccard-classes")
+    copies = stash(sets.select("id", *same).join(broadcast_if_small(classes), same).where("id <> first").select("id", "first"), "jaccard-copies")
+    one = sets.where("n > 0").join(broadcast_if_small(copies), "id", "left_anti")
+
+    keyed = one.select(F.posexplode("keys").alias("pos", "key"), "id", "n").select("key", "id", "n", F.col("pos").cast("long").alias("pos"))
+    form = "unit long, id long, n long, pos long, size long"
+    hot = [(int(h),) for h in top["h"][top["n"] >= HOT]]
+    hot_keys = F.broadcast(spark.createDataFrame(hot, "key long"))  # at most FREQUENT
+    cold = keyed.join(hot_keys, "key", "left_anti") if hot else keyed
+    blocks = cold.repartition("key").sortWithinPartitions("key", "n", "id").mapInArrow(lean(_blocks), form)
+    if hot:
+        blocks = blocks.union(keyed.join(hot_keys, "key").select(F.col("key").alias("unit"), "id", "n", "pos", F.lit(0).cast("long").alias("size")))
+    units = blocks.groupBy("unit", "id").agg(F.first("n").alias("n"), F.min("pos").alias("pos"), F.min("size").alias("size"), F.count(F.lit(1)).alias("mult"))
+    units = stash(units, "jaccard-units")
+    large = units.where(f"size = 0 or size > {FANOUT}")
+    apart = large.groupBy("id").agg(F.sum("mult").alias("apart"))
+    total = stash(large.where("size = 0").groupBy("unit").agg(F.count(F.lit(1)).alias("total")), "jaccard-totals")
+    points = sets.select("id", "point")
+    some = units.join(points.join(apart, "id", "left"), "id").join(broadcast_if_small(total), "unit", "left")
+    n_chunks = F.coalesce(F.ceil(F.col("total") / CHUNK), F.lit(1))
+    some = some.select("unit", F.pmod(F.xxhash64("unit", "id"), n_chunks).alias("chunk"), "id", "n", "pos", "mult", F.coalesce("apart", F.lit(0)).cast("long").alias("apart"), "size", "point")
+    marks = ["unit", "chunk"]
+    search = lean(_by_unit(_pairs, marks))
+    found = stash(some.repartition(*marks).sortWithinPartitions(*marks).mapInArrow(search, "a long, b long, shared long, left long, spare long, unit long"), "jaccard-found")
+
+    summed = found.where("a is not null").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("left").alias("left"), F.max("spare").alias("spare"))
+    tried = stash(summed.where("left >= 0 and shared + spare >= 0").select("a", "b"), "jaccard-pairs")
     links = stash(linked(tried, rows), "jaccard-links")
-    # two that both linked to their leaders are nearly always in one component; the trees see to the rest
-    settled = stash(links.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "jaccard-settled")
-    second = best("prior")
-    for x in "ab":
-        second = second.join(broadcast_if_small(settled.select(F.col("id").alias(x), F.lit(True).alias(f"settled_{x}"))), x, "left")
-    second = second.where("settled_a is null or settled_b is null").select("a", "b")
-    second = stash(second.join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
-    tried = tried.union(second)
-    links = links.union(stash(linked(second, rows), "jaccard-links"))
     labels = components(links)
-    points = sets.select("id", "point").where("id is not null").dropDuplicates(["id"])
-    left = blocks
-    for most in (BEST, None):
-        found = stash(_between(left, labels, points, most), "jaccard-found")
-        more = stash(found.where("a is not null").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
-        if not more.isEmpty():
-            tried = tried.union(more)
-            links = links.union(stash(linked(more, rows), "jaccard-links"))
+    cut = stash(found.where("a is null").select("unit").distinct(), "jaccard-cut")
+    if not cut.isEmpty():
+        more = _of_components(cut, units, labels, sets.select("id", "point", "keys"))
+        more = stash(more.join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
+        late = stash(linked(more, rows), "jaccard-links")
+        if not late.isEmpty():
+            links = links.union(late)
             labels = components(links)
-        cut = found.where("a is null").select("key").distinct()
-        if cut.isEmpty():
-            break
-        left = blocks.join(cut, "key", "left_semi")
+    if united is not None:
+        for x in "ab":
+            united = united.join(copies.select(F.col("id").alias(x), F.col("first").alias(f"first_{x}")), x, "left")
+        labels = components(links.union(united.select(F.coalesce("first_a", "a").alias("a"), F.coalesce("first_b", "b").alias("b"))))
+
+    out = sets.select("id", "n").join(broadcast_if_small(copies), "id", "left").withColumn("_of", F.coalesce("first", "id"))
+    label = broadcast_if_small(labels.select(F.col("id").alias("_l"), "component"))
+    return out.join(label, F.col("_of") == F.col("_l"), "left").select("id", "n", F.coalesce("component", "_of").alias("component"))
+
 
-    # equal sets are one class; its smallest id stands for it
-    classes = sets.where("n > 0 and id is not null").groupBy("h1", "h2", "n").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("size"))
-    reached = classes.join(broadcast_if_small(labels), F.col("first") == labels["id"], "left").select("h1", "h2", "n", "first", "size", F.coalesce("component", "first").alias("component"))
-    changed = stash(reached.where("size > 1 or component <> first").select("h1", "h2", "n", "component"), "jaccard-classes")
-    out = sets.select("id", "n", "h1", "h2").join(broadcast_if_small(changed), ["h1", "h2", "n"], "left")
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
+def _rows(docs: DataFrame, row: str, text: str) -> DataFrame:
+    return small_batches(docs).select(F.col(f"`{row}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
+
+
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_shingles, component_id) for every row of ``docs``: the size of its set
+    and the smallest id that links reach."""
+    named, row = named_rows(docs.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias(text)), key)
+    if row == key:
+        return _components_of(_rows(named, row, text)).select(F.col("id").cast(docs.schema[key].dataType).alias(key), F.col("n").alias("n_shingles"), F.col("component").cast(docs.schema[key].dataType).alias("component_id"))
+    own = named.select(F.col(f"`{row}`").alias("id"), F.col(f"`{key}`").alias("_name"))
+    first = own.where("_name is not null").groupBy("_name").agg(F.min("id").alias("a"))
+    united = stash(own.join(first, "_name").where("id <> a").select("a", F.col("id").alias("b")), "jaccard-united")
+    found = stash(_components_of(_rows(named, row, text), united), "jaccard-components").join(own, "id")
+    least = found.groupBy("component").agg(F.min("_name").alias("_least"))
+    return found.join(least, "component").select(F.col("_name").alias(key), F.col("n").alias("n_shingles"), F.col("_least").alias("component_id"))
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each component, the one with the smallest id."""
-    gone = stash(join(docs, key, text).where(f"component_id <> `{key}`").select(F.col(f"`{key}`").alias("_gone")).distinct(), "jaccard-gone")
-    return docs.join(broadcast_if_small(gone), docs[f"`{key}`"] == F.col("_gone"), "left_anti")
+    """``docs`` with one row of each group of linked texts: the one with the smallest id (nulls
+    last), whether ids repeat or not."""
+    named, row = named_rows(docs, key)
+    found = _components_of(_rows(named, row, text))
+    if row == key:
+        gone = stash(found.where("component <> id").select(F.col("id").alias("_gone")), "jaccard-gone")
+        return docs.join(broadcast_if_small(gone), F.col(f"`{key}`") == F.col("_gone"), "left_anti")
+    own = named.select(F.col(f"`{row}`").alias("id"), F.col(f"`{key}`").alias("_name"))
+    first = F.min(F.struct(F.col("_name").isNull().alias("x"), F.col("_name").alias("y"), F.col("id").alias("stays")))
+    stay = stash(found.join(own, "id").groupBy("component").agg(first.alias("m")).select(F.col("m.stays").alias("_stays")), "jaccard-stay")
+    return named.join(stay, F.col(f"`{row}`") == F.col("_stays"), "left_semi").drop(row)
