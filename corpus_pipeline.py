@@ -3,6 +3,11 @@ sources, packing.  Counted as part of the subpackage ``llm``.
 
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor
 kept; all but the last return the columns of ``documents``.
+
+Edge cases: null and empty texts have too few words and go in the first stage, with an
+empty table nothing is packed.  Of rows with equal or linked texts exactly one stays, whether
+ids repeat, are null or not; rows that are left with one id are mixed alike.  Very long
+texts are worked on whole.  Further columns pass through to the last stage.
 """
 
 from __future__ import annotations
