@@ -12,18 +12,28 @@ def components(links: DataFrame) -> DataFrame:
     """(id, component) for every id in ``links`` (a, b); the component is its
     smallest id.
 
-    Each round gives an id the smallest label among its neighbours' and its own,
-    then follows labels twice (pointer jumping), until nothing changes.  Minima are
-    aggregated before the shuffle, so a hub costs one row per task."""
-    both = stash(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct(), "links")
-    labels = stash(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("component")), "labels")
+    Each round hangs an id on its smallest neighbour if that is smaller, follows these
+    pointers to their roots by doubling, and goes on with the links between roots.
+    At least half of the ids that have links are gone after a round, and so are the links
+    inside a group; minima are aggregated before the shuffle, so a hub costs one row
+    per task."""
+    edges = stash(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    labels = None
     while True:
-        near = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("component").alias("m"))
-        hooked = labels.join(near, labels["id"] == near["a"], "left").select("id", F.col("component").alias("old"), F.least("component", "m").alias("c"))
-        for _ in range(2):
-            up = labels.select(F.col("id").alias("p"), F.col("component").alias("up"))
-            hooked = hooked.join(up, hooked["c"] == up["p"], "left").select("id", "old", F.least("c", "up").alias("c"))
-        new = stash(hooked, "labels")
-        labels = new.select("id", F.col("c").alias("component"))
-        if new.where("c <> old").isEmpty():
+        ends = edges.select(F.col("a").alias("id"), F.col("b").alias("root")).union(edges.select("b", "b"))
+        roots = stash(ends.groupBy("id").agg(F.min("root").alias("root")), "roots")
+        while True:
+            up = roots.select(F.col("id").alias("_at"), F.col("root").alias("_up"))
+            farther = stash(roots.join(up, F.col("root") == F.col("_at")).select("id", F.col("_up").alias("root"), (F.col("_up") != F.col("root")).alias("moved")), "roots")
+            roots = farther.select("id", "root")
+            if farther.where("moved").isEmpty():
+                break
+        of = lambda x: roots.select(F.col("id").alias(x), F.col("root").alias(f"root_{x}"))
+        if labels is None:
+            labels = roots.withColumnRenamed("root", "component")
+        else:
+            labels = stash(labels.join(of("component"), "component", "left").select("id", F.coalesce("root_component", "component").alias("component")), "labels")
+        between = edges.join(of("a"), "a").join(of("b"), "b").where("root_a <> root_b")
+        edges = stash(between.select(F.greatest("root_a", "root_b").alias("a"), F.least("root_a", "root_b").alias("b")).distinct(), "links")
+        if edges.isEmpty():
             return labels

@@ -119,3 +119,21 @@ def test_texts_of_one_huge_word(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r["doc_id"]: r["component_id"] for r in jaccard_join.join(docs).collect()} == {0: 0, 1: 0, 2: 2}
     assert {r["doc_id"] for r in exact_dedup.keep_first(docs).collect()} == {0, 2}
+
+
+def test_components(spark):
+    """Paths, stars and loops, numbered in all orders."""
+    from tessera.llm.components import components
+
+    rng = random.Random(4)
+    links = [(i, i + 1) for i in range(60)] + [(200 - i, 199 - i) for i in range(60)] + [(300, 300 + i) for i in range(40)] + [(450, 450)]
+    names = rng.sample(range(1_000), 100)
+    links += [(1_000 + names[rng.randrange(100)], 1_000 + names[rng.randrange(100)]) for _ in range(90)]
+    least = {x: x for pair in links for x in pair if pair[0] != pair[1]}
+    for _ in range(len(least)):
+        for a, b in links:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    got = components(spark.createDataFrame(links, "a long, b long"))
+    assert {r["id"]: r["component"] for r in got.collect()} == least
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
