@@ -131,7 +131,7 @@ def ball_depth3_hubstop(spark: SparkSession, d: str) -> DataFrame:
 
 
 PRUNE_SQL = f"""{BALL_SQL}, costed AS (
-  SELECT b.id, depth, 60 + 4 * least(line_end - line_start + 1, 120) AS cost FROM ball b JOIN nodes USING (id)
+  SELECT b.id, depth, 60 + 4 * least(greatest(line_end - line_start + 1, 0), 120) AS cost FROM ball b JOIN nodes USING (id)
 ), pruned AS (
   SELECT id, depth, cost, CAST(sum(cost) OVER (ORDER BY depth, id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running, row_number() OVER (ORDER BY depth, id) AS rank FROM costed
   QUALIFY running <= 4000 OR rank = 1
@@ -192,7 +192,7 @@ def impact_with_outgoing(spark: SparkSession, d: str) -> DataFrame:
 
 CROSS_SQL = f"""{CLOSURE_SQL}, crossing AS (
   SELECT e.*, s.file_path AS source_file, s.kind AS source_kind, t.file_path AS target_file, t.kind AS target_kind,
-         CASE relationship WHEN 'routes_to' THEN 10 WHEN 'renders' THEN 8 WHEN 'calls' THEN 6 WHEN 'belongs_to' THEN 4 ELSE 3 END AS w
+         CASE WHEN relationship IN ('renders', 'routes_to') THEN 10 WHEN relationship = 'calls' THEN 3 ELSE 4 END AS w
   FROM edges e JOIN nodes s ON s.id = source_id JOIN nodes t ON t.id = target_id
   WHERE source_id IN (SELECT id FROM walk) AND target_id IN (SELECT id FROM walk) AND s.file_path <> t.file_path
 )"""
@@ -220,7 +220,7 @@ def impact_top_files(spark: SparkSession, d: str) -> DataFrame:
 @_query(
     f"""WITH {CROSS_SQL}, ends AS (SELECT source_id AS id, w FROM crossing UNION ALL SELECT target_id, w FROM crossing)
     SELECT id, kind, file_path, line_start, CAST(sum(w) AS BIGINT) AS weight,
-           CAST(CASE kind WHEN 'order' THEN 10 WHEN 'customer' THEN 9 WHEN 'supplier' THEN 8 ELSE 1 END AS BIGINT) AS priority
+           CAST(1 AS BIGINT) AS priority
     FROM ends JOIN nodes USING (id) GROUP BY id, kind, file_path, line_start"""
 )
 def impact_rank_nodes(spark: SparkSession, d: str) -> DataFrame:
@@ -245,42 +245,54 @@ def subgraph_union_dedupe(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(
     f"""WITH {VIEW_SQL}, crossing AS (
-      SELECT s.file_path AS file, t.file_path AS partner, relationship, CASE relationship WHEN 'routes_to' THEN 10 WHEN 'renders' THEN 8 WHEN 'calls' THEN 6 WHEN 'belongs_to' THEN 4 ELSE 3 END AS w
+      SELECT DISTINCT relationship, s.file_path AS source_file, s.symbol_name AS source_symbol, t.file_path AS target_file, t.symbol_name AS target_symbol
       FROM edges JOIN nodes s ON s.id = source_id JOIN nodes t ON t.id = target_id WHERE s.file_path <> t.file_path
-    ), best AS (SELECT file, partner, max(struct_pack(p := w, r := relationship)) AS b FROM crossing GROUP BY ALL)
-    SELECT file, partner, b.r AS relationship, CAST(b.p AS BIGINT) AS priority, CAST(row_number() OVER (PARTITION BY file ORDER BY b.p DESC, partner) AS INTEGER) AS rank,
-           greatest(count(*) OVER (PARTITION BY file) - 8, 0) AS omitted FROM best QUALIFY rank <= 8"""
+    ), sides AS (SELECT source_file AS file, 'outgoing' AS direction, * FROM crossing UNION ALL SELECT target_file, 'incoming', * FROM crossing),
+    weighed AS (SELECT *, CAST(2 + CASE relationship WHEN 'renders' THEN 100 WHEN 'routes_to' THEN 96 WHEN 'belongs_to' THEN 66 WHEN 'calls' THEN 58 ELSE 40 END AS BIGINT) AS priority FROM sides)
+    SELECT file, direction, priority, relationship, source_file, source_symbol, target_file, target_symbol,
+           CAST(row_number() OVER (PARTITION BY file ORDER BY priority DESC, relationship, direction, source_file, source_symbol, target_file, target_symbol) AS INTEGER) AS rank,
+           greatest(count(*) OVER (PARTITION BY file) - 8, 0) AS omitted FROM weighed QUALIFY rank <= 8"""
 )
 def edge_summary_topk(spark: SparkSession, d: str) -> DataFrame:
     nodes, edges = _view(spark, d)
     return traverse.edge_summaries(edges, nodes)
 
 
-RANGES_SQL = "ranges AS (SELECT o_orderkey AS q, CAST(o_orderkey % 500 AS INTEGER) AS q_start, CAST(o_orderkey % 500 + 5 AS INTEGER) AS q_end FROM orders WHERE o_orderstatus = 'O')"
+#: A place in a part's file for every line item: near the part itself, near the next one, or beyond all.
+RANGES_SQL = """ranges AS (SELECT l_orderkey * 8 + l_linenumber AS q, n.file_path, CAST(l_partkey + CASE l_linenumber % 3 WHEN 0 THEN 1000000 ELSE l_linenumber END AS INTEGER) AS q_start,
+  CAST(l_partkey + CASE l_linenumber % 3 WHEN 0 THEN 1000000 ELSE l_linenumber END + l_suppkey % 40 AS INTEGER) AS q_end FROM lineitem JOIN nodes n ON n.id = 5000000000 + l_partkey)"""
 
 
-def _ranges(spark: SparkSession, d: str) -> DataFrame:
-    key = F.col("o_orderkey")
-    return table(spark, d, "orders").where("o_orderstatus = 'O'").select(key.alias("q"), (key % 500).cast("int").alias("q_start"), (key % 500 + 5).cast("int").alias("q_end"))
+def _ranges(spark: SparkSession, d: str, nodes: DataFrame) -> DataFrame:
+    lines = table(spark, d, "lineitem")
+    start = F.col("l_partkey") + F.when(F.col("l_linenumber") % 3 == 0, 1_000_000).otherwise(F.col("l_linenumber"))
+    rows = lines.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("q"), view.node_id("part", "l_partkey").alias("id"), start.cast("int").alias("q_start"), (start + F.col("l_suppkey") % 40).cast("int").alias("q_end"))
+    return rows.join(nodes.select("id", "file_path"), "id").select("q", "file_path", "q_start", "q_end")
 
 
 @_query(
-    f"""WITH {VIEW_SQL}, {RANGES_SQL}
-    SELECT q, id, line_start, line_end, CAST(row_number() OVER (PARTITION BY q ORDER BY line_end - line_start, abs(line_start - q_start), id) AS INTEGER) AS rank
-    FROM ranges JOIN nodes ON kind = 'part' AND line_start <= q_end AND line_end >= q_start QUALIFY rank <= 3"""
+    f"""WITH {VIEW_SQL}, {RANGES_SQL},
+    met AS (SELECT q, id, line_start, line_end, greatest(1, line_end - line_start + 1) AS first, kind FROM ranges JOIN nodes USING (file_path) WHERE line_start <= q_end AND line_end >= q_start),
+    far AS (SELECT q, id, line_start, line_end, CASE WHEN line_end < q_start THEN q_start - line_end ELSE line_start - q_end END AS first, '' AS kind FROM ranges JOIN nodes USING (file_path) WHERE q NOT IN (SELECT q FROM met))
+    SELECT q, id, line_start, line_end, CAST(row_number() OVER (PARTITION BY q ORDER BY first, kind, id) AS INTEGER) AS rank FROM (SELECT * FROM met UNION ALL SELECT * FROM far) QUALIFY rank <= 3"""
 )
 def line_overlap_top3(spark: SparkSession, d: str) -> DataFrame:
-    return traverse.line_matches(store.by_kind(view.nodes(spark, d), "part"), _ranges(spark, d))
+    nodes = view.nodes(spark, d)
+    return traverse.line_matches(nodes, _ranges(spark, d, nodes))
 
 
 @_query(
-    f"""WITH {VIEW_SQL}, {RANGES_SQL}
-    SELECT q, id, line_start, line_end FROM ranges JOIN nodes ON kind = 'part' AND line_start <= q_start AND line_end >= q_start
-    QUALIFY row_number() OVER (PARTITION BY q ORDER BY line_end - line_start, abs(line_start - q_start), id) = 1"""
+    f"""WITH {VIEW_SQL}, {RANGES_SQL}, points AS (SELECT q, q_start AS line, CASE WHEN q % 5 = 0 THEN 'nowhere' WHEN q % 5 = 1 THEN 'geo/ASIA.region' ELSE file_path END AS file_path FROM ranges),
+    held AS (SELECT q, arg_min(id, (line_end - line_start) * 100000000000 + id) AS id FROM points JOIN nodes USING (file_path) WHERE kind = 'part' AND line_start <= line AND line_end >= line GROUP BY q),
+    heads AS (SELECT file_path, min(id) AS head FROM nodes GROUP BY file_path)
+    SELECT q, COALESCE(held.id, head) AS id, CASE WHEN held.id IS NOT NULL THEN 'symbol' WHEN head IS NOT NULL THEN 'first in file' ELSE 'file' END AS found
+    FROM points LEFT JOIN held USING (q) LEFT JOIN heads USING (file_path)"""
 )
 def enclosing_range_join(spark: SparkSession, d: str) -> DataFrame:
-    points = _ranges(spark, d).select("q", F.col("q_start").alias("line"))
-    return traverse.enclosing(store.by_kind(view.nodes(spark, d), "part"), points).select("q", "id", "line_start", "line_end")
+    nodes = view.nodes(spark, d)
+    file = F.when(F.col("q") % 5 == 0, "nowhere").when(F.col("q") % 5 == 1, "geo/ASIA.region").otherwise(F.col("file_path"))
+    points = _ranges(spark, d, nodes).select("q", F.col("q_start").alias("line"), file.alias("file_path"))
+    return traverse.enclosing(nodes, points, ("part",))
 
 
 @_query(None)
@@ -294,18 +306,28 @@ def traversal_parity_mode(spark: SparkSession, d: str) -> DataFrame:
 # -- resolution -------------------------------------------------------------
 
 
+#: References of every node, written in seven ways.
+REFS_SQL = r"""refs AS (SELECT id AS ref_id, file_path, CASE id % 7 WHEN 0 THEN 'lib.' || symbol_name WHEN 1 THEN symbol_name WHEN 2 THEN symbol_name || 'x' WHEN 3 THEN 'App\' || symbol_name
+  WHEN 4 THEN symbol_name || '::missing' WHEN 5 THEN 'App\Auth::' || symbol_name ELSE 'a/b.c/' || symbol_name || '.run::x' END AS name FROM nodes)"""
+
+
 @_query(
-    f"""WITH {VIEW_SQL}, refs AS (SELECT id AS ref_id, file_path, CASE WHEN id % 3 = 0 THEN 'lib.' || symbol_name WHEN id % 3 = 1 THEN symbol_name ELSE symbol_name || 'x' END AS name FROM nodes WHERE kind IN ('part', 'nation')),
-    keyed AS (SELECT ref_id, file_path, name, 1 AS step FROM refs UNION ALL SELECT ref_id, file_path, regexp_extract(name, '([^.:\\\\]+)$', 1), 3 FROM refs),
-    found AS (
-      SELECT ref_id, step, max(n.id) AS node_id FROM keyed k JOIN nodes n ON n.file_path = k.file_path AND n.symbol_name = k.name GROUP BY ALL
-      UNION ALL SELECT ref_id, step + 1, min(n.id) FROM keyed k JOIN nodes n ON n.symbol_name = k.name GROUP BY ALL
-    ) SELECT ref_id, arg_min(node_id, step) AS node_id, min(step) AS step FROM found GROUP BY ref_id"""
+    rf"""WITH {VIEW_SQL}, {REFS_SQL},
+    named AS (SELECT *, CASE WHEN contains(name, '.') AND NOT contains(name, '::') THEN name ELSE regexp_extract(regexp_extract(name, '([^\\/]*)$', 1), '^([^.]*)', 1) END AS short,
+      CASE WHEN contains(name, '::') AND NOT starts_with(name, '::') THEN regexp_extract(regexp_extract(string_split(name, '::')[1], '([^\\/]*)$', 1), '^([^.]*)', 1) END AS owner FROM refs),
+    keyed AS (SELECT ref_id, file_path, name AS key, 1 AS step FROM named UNION ALL SELECT ref_id, file_path, short, 3 FROM named WHERE short <> name UNION ALL SELECT ref_id, file_path, owner, 5 FROM named WHERE owner NOT IN ('Auth', 'parent')),
+    locals AS (SELECT file_path, symbol_name AS key, max(id) AS node_id FROM nodes GROUP BY ALL), world AS (SELECT symbol_name AS key, min(id) AS node_id FROM nodes GROUP BY ALL),
+    found AS (SELECT ref_id, step, node_id FROM keyed JOIN locals USING (file_path, key) UNION ALL SELECT ref_id, step + 1, node_id FROM keyed JOIN world USING (key))
+    SELECT ref_id, arg_min(node_id, step) AS node_id, min(step) AS step FROM found GROUP BY ref_id"""
 )
 def resolve_symbol_cascade(spark: SparkSession, d: str) -> DataFrame:
     nodes = view.nodes(spark, d)
-    name = F.when(F.col("id") % 3 == 0, F.concat(F.lit("lib."), "symbol_name")).when(F.col("id") % 3 == 1, F.col("symbol_name")).otherwise(F.concat("symbol_name", F.lit("x")))
-    refs = nodes.where("kind in ('part', 'nation')").select(F.col("id").alias("ref_id"), "file_path", "language", name.alias("name"))
+    symbol, way = F.col("symbol_name"), F.col("id") % 7
+    name = (
+        F.when(way == 0, F.concat(F.lit("lib."), symbol)).when(way == 1, symbol).when(way == 2, F.concat(symbol, F.lit("x"))).when(way == 3, F.concat(F.lit("App\\"), symbol))
+        .when(way == 4, F.concat(symbol, F.lit("::missing"))).when(way == 5, F.concat(F.lit("App\\Auth::"), symbol)).otherwise(F.concat(F.lit("a/b.c/"), symbol, F.lit(".run::x")))
+    )
+    refs = nodes.select(F.col("id").alias("ref_id"), "file_path", "language", name.alias("name"))
     return resolve.resolve_symbols(refs, nodes)
 
 
@@ -352,6 +374,12 @@ MATCH_SQL = f"""{VIEW_SQL}, matches AS (
   SELECT kind, type, property, CAST(sum(n) AS BIGINT) AS frequency, any_value(total) AS total, CAST(sum(n) AS DOUBLE) / any_value(total) AS confidence
   FROM matches JOIN (SELECT kind, count(*) AS total FROM nodes GROUP BY kind HAVING count(*) >= 2) USING (kind)
   GROUP BY kind, type, property HAVING sum(n) >= 2 AND (type NOT IN ('naming', 'location', 'metadata') OR sum(n) >= 0.5 * any_value(total))
+), satisfied AS (
+  SELECT DISTINCT id, kind, property FROM matches WHERE type NOT IN ('naming', 'location')
+  UNION ALL SELECT id, kind, property FROM nodes JOIN conventions USING (kind) WHERE CASE
+    WHEN type = 'location' THEN starts_with(file_path, substr(property, 4))
+    WHEN property LIKE 'prefix %' THEN regexp_matches(symbol_name, '^' || substr(property, 8) || '[A-Z]')
+    WHEN property LIKE 'suffix %' THEN regexp_matches(symbol_name, '[A-Z].*' || substr(property, 8) || '$') ELSE false END
 )"""
 
 
@@ -369,7 +397,7 @@ def _conventions_of(name: str, where: str) -> None:
             "relationship": lambda: mining.neighbour_kinds(nodes, edges),
             "all": lambda: mining.matches(nodes, edges),
         }[name]()
-        return mining.conventions(nodes, found)
+        return mining.conventions(nodes, found).drop("value_type")
 
     key = "conventions_all" if name == "all" else f"conv_{name}"
     _QUERIES[key] = run
@@ -384,9 +412,8 @@ for _name, _where in (
 
 
 @_query(
-    f"""WITH {MATCH_SQL}, {DEGREE_SQL}, scored AS (
-      SELECT m.id, m.kind, round(sum(confidence) + 0.01 * any_value(COALESCE(degree, 0)), 6) AS score
-      FROM (SELECT DISTINCT id, kind, property FROM matches) m JOIN conventions USING (kind, property) LEFT JOIN degree ON degree.id = m.id GROUP BY m.id, m.kind
+    f"""WITH {MATCH_SQL}, {DEGREE_SQL}, sums AS (SELECT id, sum(confidence) AS s FROM satisfied JOIN conventions USING (kind, property) GROUP BY id), scored AS (
+      SELECT n.id, n.kind, round(COALESCE(s, 0) + 0.01 * COALESCE(degree, 0), 6) AS score FROM nodes n LEFT JOIN sums USING (id) LEFT JOIN degree USING (id) WHERE kind IN (SELECT kind FROM conventions)
     ) SELECT kind, id AS exemplar_id, score FROM scored QUALIFY row_number() OVER (PARTITION BY kind ORDER BY score DESC, id) = 1"""
 )
 def exemplar_per_kind(spark: SparkSession, d: str) -> DataFrame:
@@ -397,9 +424,8 @@ def exemplar_per_kind(spark: SparkSession, d: str) -> DataFrame:
 @_query(
     f"""WITH {MATCH_SQL}, rel AS (SELECT DISTINCT id, relationship FROM (SELECT source_id AS id, relationship FROM edges UNION ALL SELECT target_id, relationship FROM edges)),
     shared AS (SELECT id, count(*) AS shared FROM rel WHERE relationship IN (SELECT relationship FROM rel WHERE id = {CUSTOMER}) GROUP BY id),
-    scored AS (
-      SELECT m.id, m.kind, round(sum(confidence) + 2 * any_value(COALESCE(shared, 0)), 6) AS score
-      FROM (SELECT DISTINCT id, kind, property FROM matches) m JOIN conventions USING (kind, property) LEFT JOIN shared ON shared.id = m.id WHERE m.id <> {CUSTOMER} GROUP BY m.id, m.kind
+    sums AS (SELECT id, sum(confidence) AS s FROM satisfied JOIN conventions USING (kind, property) GROUP BY id), scored AS (
+      SELECT n.id, n.kind, round(COALESCE(s, 0) + 2 * COALESCE(shared, 0), 6) AS score FROM nodes n LEFT JOIN sums USING (id) LEFT JOIN shared USING (id) WHERE n.id <> {CUSTOMER} AND kind IN (SELECT kind FROM conventions)
     ) SELECT kind, id, score FROM scored QUALIFY row_number() OVER (PARTITION BY kind ORDER BY score DESC, id) = 1"""
 )
 def exemplar_closest(spark: SparkSession, d: str) -> DataFrame:
@@ -407,6 +433,11 @@ def exemplar_closest(spark: SparkSession, d: str) -> DataFrame:
     return mining.closest(nodes, edges, *mining.mined(nodes, edges), CUSTOMER)
 
 
+@_query(f"WITH {MATCH_SQL} SELECT kind, greatest(0.7, max(confidence)) AS confidence FROM conventions GROUP BY kind")
+def kind_confidence(spark: SparkSession, d: str) -> DataFrame:
+    return mining.confidence_of_kind(mining.mined(*_view(spark, d))[1])
+
+
 @_query(
     f"""WITH {VIEW_SQL}, overrides AS (
       SELECT CASE WHEN s_suppkey % 2 = 0 THEN 'parties/suppliers/' || s_name END AS file, CASE WHEN s_suppkey % 3 = 0 THEN 'supplier' END AS kind, s_name AS symbol, CASE WHEN s_suppkey % 5 > 0 THEN 'legacy' END AS reason FROM supplier
@@ -424,18 +455,46 @@ def override_wildcard_exclusion(spark: SparkSession, d: str) -> DataFrame:
 # -- validation -------------------------------------------------------------
 
 
+DUE_SQL = f"{MATCH_SQL}, due AS (SELECT n.id, n.kind, n.file_path, n.symbol_name, c.property, c.confidence, EXISTS (SELECT 1 FROM satisfied m WHERE m.id = n.id AND m.property = c.property) AS met FROM nodes n JOIN conventions c ON c.kind = n.kind AND c.confidence >= 0.9)"
+
+
+@_query(f"WITH {DUE_SQL} SELECT id, kind, property, confidence FROM due WHERE NOT met")
+def violations(spark: SparkSession, d: str) -> DataFrame:
+    nodes, edges = _view(spark, d)
+    return validate.violations(nodes, *mining.mined(nodes, edges))
+
+
+#: An override for every supplier and customer: by file, by symbol or by kind, some without a reason.
+OVERRIDES_SQL = """overrides AS (
+  SELECT CASE WHEN s_suppkey % 2 = 0 THEN 'parties/suppliers/' || s_name END AS file, CASE WHEN s_suppkey % 3 = 0 THEN 'supplier' END AS kind, s_name AS symbol,
+         CASE WHEN s_suppkey % 5 > 0 THEN 'legacy' END AS reason, 'positive=true' AS skipped FROM supplier
+  UNION ALL SELECT NULL, 'customer', c_name, CASE WHEN c_custkey % 3 = 0 THEN 'legacy' WHEN c_custkey % 3 = 1 THEN '' END, CASE WHEN c_custkey % 2 = 0 THEN 'positive=true' ELSE 'in calls' END FROM customer)"""
+
+
+def _overrides(spark: SparkSession, d: str) -> DataFrame:
+    key = F.col("s_suppkey")
+    suppliers = table(spark, d, "supplier").select(
+        F.when(key % 2 == 0, F.concat(F.lit("parties/suppliers/"), "s_name")).alias("file"), F.when(key % 3 == 0, "supplier").alias("kind"), F.col("s_name").alias("symbol"),
+        F.when(key % 5 > 0, "legacy").alias("reason"), F.array(F.lit("positive=true")).alias("skip"),
+    )
+    key = F.col("c_custkey")
+    return suppliers.union(
+        table(spark, d, "customer").select(
+            F.lit(None), F.lit("customer"), "c_name", F.when(key % 3 == 0, "legacy").when(key % 3 == 1, ""), F.array(F.when(key % 2 == 0, "positive=true").otherwise("in calls"))
+        )
+    )
+
+
 @_query(
-    f"""WITH {MATCH_SQL} SELECT n.id, n.kind, c.property, c.confidence FROM nodes n JOIN conventions c ON c.kind = n.kind AND c.confidence >= 0.9
-    WHERE NOT EXISTS (SELECT 1 FROM matches m WHERE m.id = n.id AND m.property = c.property)"""
+    f"""WITH {DUE_SQL}, {OVERRIDES_SQL} SELECT id, kind, property, confidence FROM due WHERE NOT met AND NOT EXISTS (SELECT 1 FROM overrides o WHERE COALESCE(o.reason, '') <> '' AND o.skipped = due.property
+    AND (o.file IS NULL OR o.file = due.file_path) AND (o.kind IS NULL OR o.kind = due.kind) AND (o.symbol IS NULL OR o.symbol = due.symbol_name))"""
 )
-def violations(spark: SparkSession, d: str) -> DataFrame:
+def violations_overridden(spark: SparkSession, d: str) -> DataFrame:
     nodes, edges = _view(spark, d)
-    return validate.violations(nodes, *mining.mined(nodes, edges)).select("id", "kind", "property", "confidence")
+    return validate.violations(nodes, *mining.mined(nodes, edges), _overrides(spark, d))
 
 
-CHECKS_SQL = f"""{MATCH_SQL}, checks AS (
-  SELECT n.file_path, n.kind, c.property, count(*) AS checked, count(*) FILTER (NOT EXISTS (SELECT 1 FROM matches m WHERE m.id = n.id AND m.property = c.property)) AS failed
-  FROM nodes n JOIN conventions c ON c.kind = n.kind AND c.confidence >= 0.9 GROUP BY ALL)"""
+CHECKS_SQL = f"{DUE_SQL}, checks AS (SELECT file_path, kind, property, count(*) AS checked, count(*) FILTER (NOT met) AS failed FROM due GROUP BY ALL)"
 
 
 @_query(f"WITH {CHECKS_SQL} SELECT *, CASE WHEN failed > 0 THEN 'fail' ELSE 'pass' END AS status FROM checks")
@@ -444,26 +503,51 @@ def rule_checks(spark: SparkSession, d: str) -> DataFrame:
     return validate.rule_checks(nodes, *mining.mined(nodes, edges))
 
 
+#: Files with the kind that their path suggests: none for customers, a wrong one for every seventh.
+GAPS_SQL = """files AS (SELECT DISTINCT file_path, CASE WHEN id % 7 = 0 THEN 'page' WHEN kind NOT IN ('customer', 'supplier') THEN kind END AS inferred FROM nodes UNION ALL SELECT 'nowhere', NULL UNION ALL SELECT 'planned', 'part'),
+  held AS (SELECT file_path, inferred, CASE WHEN EXISTS (SELECT 1 FROM nodes n WHERE n.file_path = f.file_path AND n.kind = inferred) THEN inferred
+             WHEN inferred IS NULL THEN (SELECT min(n.kind) FROM nodes n WHERE n.file_path = f.file_path AND n.kind = 'customer') END AS kind FROM files f),
+  gaps AS (SELECT file_path, COALESCE(kind, inferred) AS kind, CASE WHEN kind IS NULL AND inferred IS NULL THEN 'unknown_kind' WHEN kind IS NULL THEN 'no_indexed_nodes'
+             WHEN kind NOT IN (SELECT kind FROM conventions WHERE confidence >= 0.9) THEN 'no_high_confidence_conventions' END AS reason FROM held)"""
+
+
+def _gaps(spark: SparkSession, d: str, nodes: DataFrame, rules: DataFrame) -> DataFrame:
+    inferred = F.when(F.col("id") % 7 == 0, "page").when(~F.col("kind").isin("customer", "supplier"), F.col("kind"))
+    files = nodes.select("file_path", inferred.alias("inferred")).distinct()
+    return validate.evidence_gaps(files.union(spark.createDataFrame([("nowhere", None), ("planned", "part")], files.schema)), nodes, rules, ("customer",))
+
+
+@_query(f"WITH {MATCH_SQL}, {GAPS_SQL} SELECT * FROM gaps WHERE reason IS NOT NULL")
+def evidence_gaps(spark: SparkSession, d: str) -> DataFrame:
+    nodes, edges = _view(spark, d)
+    return _gaps(spark, d, nodes, mining.mined(nodes, edges)[1])
+
+
 @_query(
-    f"""WITH {CHECKS_SQL} SELECT count(*) AS n_checks, count(*) FILTER (failed > 0) AS n_failed,
-    CASE WHEN count(*) = 0 THEN 'nothing to check' WHEN count(*) FILTER (failed > 0) = 0 THEN 'all conventions hold' ELSE 'conventions are violated' END AS message FROM checks"""
+    f"""WITH {CHECKS_SQL}, {GAPS_SQL} SELECT count(DISTINCT file_path) AS n_files, count(*) AS n_checks, CAST(COALESCE(sum(checked), 0) AS BIGINT) AS n_nodes, CAST(COALESCE(sum(failed), 0) AS BIGINT) AS n_violations, CAST(0 AS BIGINT) AS n_pending,
+    (SELECT count(*) FROM gaps WHERE reason IS NOT NULL) AS n_gaps,
+    CASE WHEN sum(failed) > 0 THEN 'conventions are violated' WHEN (SELECT count(*) FROM gaps WHERE reason IS NOT NULL) > 0 THEN 'some files lack evidence' ELSE 'all conventions hold' END AS message FROM checks"""
 )
 def validation_summary(spark: SparkSession, d: str) -> DataFrame:
     nodes, edges = _view(spark, d)
-    return validate.summary(validate.rule_checks(nodes, *mining.mined(nodes, edges)))
+    met, rules = mining.mined(nodes, edges)
+    return validate.summary(validate.rule_checks(nodes, met, rules), _gaps(spark, d, nodes, rules))
 
 
 @_query(
-    f"""WITH {MATCH_SQL}, files AS (SELECT DISTINCT file_path, CASE WHEN id % 7 = 0 THEN NULL WHEN id % 7 = 1 THEN 'page' ELSE kind END AS kind FROM nodes),
-    best AS (SELECT kind, max(confidence) AS best FROM conventions GROUP BY kind), rows AS (
-      SELECT file_path, kind, CASE WHEN kind IS NULL THEN 'unknown_kind' WHEN kind NOT IN (SELECT kind FROM nodes) THEN 'no_indexed_nodes' WHEN COALESCE(best, 0) < 0.9 THEN 'no_high_confidence_conventions' END AS reason FROM files LEFT JOIN best USING (kind))
-    SELECT * FROM rows WHERE reason IS NOT NULL"""
+    f"""WITH {MATCH_SQL}, planned AS (SELECT CASE l_linenumber % 3 WHEN 0 THEN 'orders/new/' WHEN 1 THEN 'geo/nations/' ELSE 'geo/' END || l_orderkey AS file_path, CASE WHEN l_orderkey % 2 = 0 THEN 'orderNew' ELSE 'New' END AS symbol,
+      CASE l_linenumber % 3 WHEN 0 THEN 'order' WHEN 1 THEN 'nation' ELSE 'region' END AS kind FROM lineitem)
+    SELECT kind, property, status, count(*) AS n FROM (SELECT p.kind, property, CASE WHEN type NOT IN ('location', 'naming') THEN 'pending'
+      WHEN CASE WHEN type = 'location' THEN starts_with(file_path, substr(property, 4)) WHEN property LIKE 'prefix %' THEN regexp_matches(symbol, '^' || substr(property, 8) || '[A-Z]') ELSE regexp_matches(symbol, '[A-Z].*' || substr(property, 8) || '$') END
+      THEN 'pass' ELSE 'fail' END AS status FROM planned p JOIN conventions c ON c.kind = p.kind AND confidence >= 0.9) GROUP BY ALL"""
 )
-def evidence_gaps(spark: SparkSession, d: str) -> DataFrame:
-    nodes, edges = _view(spark, d)
-    kind = F.when(F.col("id") % 7 == 0, F.lit(None)).when(F.col("id") % 7 == 1, "page").otherwise(F.col("kind"))
-    files = nodes.select("file_path", kind.alias("kind")).distinct()
-    return validate.evidence_gaps(files, nodes, mining.mined(nodes, edges)[1])
+def planned_file_checks(spark: SparkSession, d: str) -> DataFrame:
+    which = F.col("l_linenumber") % 3
+    planned = table(spark, d, "lineitem").select(
+        F.concat(F.when(which == 0, "orders/new/").when(which == 1, "geo/nations/").otherwise("geo/"), F.col("l_orderkey").cast("string")).alias("file_path"),
+        F.when(F.col("l_orderkey") % 2 == 0, "orderNew").otherwise("New").alias("symbol"), F.when(which == 0, "order").when(which == 1, "nation").otherwise("region").alias("kind"),
+    )
+    return validate.planned_checks(planned, mining.mined(*_view(spark, d))[1]).groupBy("kind", "property", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
 @_query(
@@ -495,12 +579,12 @@ def set_difference_fields(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(
     f"""WITH {PRUNE_SQL}, inside AS (SELECT * FROM edges WHERE source_id IN (SELECT id FROM pruned) AND target_id IN (SELECT id FROM pruned)),
+    held AS (SELECT id, file_path, file_path IN (SELECT file_path FROM nodes WHERE id = {CUSTOMER}) AS start FROM pruned JOIN nodes USING (id)),
+    crossing AS (SELECT s.file_path AS a, t.file_path AS b, relationship, CASE WHEN s.start OR t.start THEN 20 ELSE 10 END AS score FROM inside JOIN held s ON s.id = source_id JOIN held t ON t.id = target_id WHERE s.file_path <> t.file_path),
     parts AS (
-      SELECT file_path, 5 AS score, 'symbol' AS reason FROM pruned JOIN nodes USING (id)
-      UNION ALL SELECT file_path, 100, 'start' FROM nodes WHERE id = {CUSTOMER}
-      UNION ALL SELECT s.file_path, 20, 'edge' FROM inside JOIN nodes s ON s.id = source_id JOIN nodes t ON t.id = target_id WHERE s.file_path <> t.file_path
-      UNION ALL SELECT t.file_path, 10, 'edge' FROM inside JOIN nodes s ON s.id = source_id JOIN nodes t ON t.id = target_id WHERE s.file_path <> t.file_path
-    ) SELECT file_path, CAST(sum(score) AS BIGINT) AS score, array_to_string(list_sort(list(DISTINCT reason)), ',') AS reasons FROM parts GROUP BY file_path ORDER BY score DESC, file_path LIMIT 8"""
+      SELECT file_path, 5 + CASE WHEN start THEN 100 ELSE 0 END AS score, CASE WHEN start THEN 'primary entry candidate' END AS reason FROM held
+      UNION ALL SELECT a, score, 'connected by ' || relationship FROM crossing UNION ALL SELECT b, score, 'connected by ' || relationship FROM crossing
+    ) SELECT file_path, CAST(sum(score) AS BIGINT) AS score, COALESCE(array_to_string(list_sort(list(DISTINCT reason) FILTER (reason IS NOT NULL)), ','), '') AS reasons FROM parts GROUP BY file_path ORDER BY score DESC, file_path LIMIT 8"""
 )
 def working_set_rank(spark: SparkSession, d: str) -> DataFrame:
     kept, edges = _pruned(spark, d)
@@ -509,13 +593,14 @@ def working_set_rank(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query(
-    f"""WITH {MATCH_SQL} SELECT kind, property, confidence, CAST(rank AS INTEGER) AS rank FROM (
-      SELECT *, row_number() OVER (PARTITION BY kind ORDER BY confidence DESC, frequency DESC, property) AS rank FROM conventions WHERE confidence >= 0.9) WHERE rank <= 3
-    ORDER BY confidence DESC, kind, property LIMIT 6"""
+    f"""WITH {PRUNE_SQL.replace(VIEW_SQL, MATCH_SQL)} SELECT kind, property, confidence, frequency, CAST(rank AS INTEGER) AS rank FROM (
+      SELECT *, row_number() OVER (PARTITION BY kind ORDER BY confidence DESC, frequency DESC, property) AS rank FROM conventions WHERE confidence >= 0.9 AND kind IN (SELECT kind FROM pruned JOIN nodes USING (id))) WHERE rank <= 3
+    ORDER BY confidence DESC, frequency DESC, kind, property LIMIT 6"""
 )
 def constraints_topk_per_kind(spark: SparkSession, d: str) -> DataFrame:
     nodes, edges = _view(spark, d)
-    return context.constraints(mining.mined(nodes, edges)[1])
+    kinds = nodes.join(_pruned(spark, d)[0].select("id"), "id", "left_semi").select("kind")
+    return context.constraints(mining.mined(nodes, edges)[1], kinds)
 
 
 @_query(
@@ -546,9 +631,10 @@ def score_floor_filter(spark: SparkSession, d: str) -> DataFrame:
 
 _STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
 _STEM_SQL = """CASE WHEN t LIKE '%ies' AND length(t) > 4 THEN left(t, length(t) - 3) || 'y' WHEN t LIKE '%ing' AND length(t) > 5 THEN left(t, length(t) - 3)
-WHEN t LIKE '%ed' AND length(t) > 4 THEN left(t, length(t) - 2) WHEN t LIKE '%s' AND t NOT LIKE '%ss' AND length(t) > 3 THEN left(t, length(t) - 1) ELSE t END"""
-TOKENS_SQL = f"""raw AS (SELECT doc_id, unnest(regexp_split_to_array(lower(regexp_replace(text, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+')) AS t FROM documents),
-stemmed AS (SELECT doc_id, {_STEM_SQL} AS term FROM raw WHERE length(t) >= 3), terms AS (SELECT doc_id, term FROM stemmed WHERE length(term) >= 3 AND term NOT IN ({_STOP}))"""
+WHEN t LIKE '%ed' AND length(t) > 4 THEN left(t, length(t) - 2) WHEN t LIKE '%s' AND length(t) > 4 THEN left(t, length(t) - 1) ELSE t END"""
+_ENDPOINT_SQL = text.ENDPOINT.replace("'", "''")
+TOKENS_SQL = rf"""raw AS (SELECT doc_id, unnest(regexp_split_to_array(lower(regexp_replace(regexp_replace(text, '{_ENDPOINT_SQL}', '\1 ', 'g'), '([a-z0-9])([A-Z])', '\1 \2', 'g')), '[^a-z0-9]+')) AS t FROM documents),
+stemmed AS (SELECT doc_id, {_STEM_SQL} AS term FROM raw), terms AS (SELECT doc_id, term FROM stemmed WHERE length(term) >= 3 AND term NOT IN ({_STOP}))"""
 
 
 def _terms(spark: SparkSession, d: str) -> DataFrame:
@@ -593,7 +679,7 @@ def candidate_merge_max(spark: SparkSession, d: str) -> DataFrame:
     f"""WITH {TOKENS_SQL}, l AS (SELECT DISTINCT term FROM terms WHERE doc_id % 2 = 0), r AS (SELECT DISTINCT term FROM terms WHERE doc_id % 2 = 1),
     k AS (SELECT term, n, left(term, n) AS p FROM r, (VALUES (5), (6), (7)) AS s(n) WHERE length(term) >= 6),
     j AS (SELECT term, n, left(term, n) AS p FROM l, (VALUES (5), (6), (7)) AS s(n) WHERE length(term) >= 6)
-    SELECT term FROM l WHERE term NOT IN (SELECT j.term FROM j JOIN k ON j.n = k.n AND j.p = k.p WHERE j.n = least(least(7, length(j.term) - 1), least(7, length(k.term) - 1)))"""
+    SELECT term FROM l WHERE term NOT IN (SELECT term FROM r) AND term NOT IN (SELECT j.term FROM j JOIN k ON j.n = k.n AND j.p = k.p WHERE j.n = least(least(7, length(j.term) - 1), least(7, length(k.term) - 1)))"""
 )
 def fuzzy_prefix_antijoin(spark: SparkSession, d: str) -> DataFrame:
     terms = _terms(spark, d)
@@ -608,22 +694,19 @@ def html_link_edges(spark: SparkSession, d: str) -> DataFrame:
     return links.groupBy("page_id", "href").agg(F.count(F.lit(1)).alias("n"))
 
 
-@_query(
-    """WITH r AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9_./-]+\\.[a-z]{2,5}(?::[0-9]+(?:-[0-9]+)?)?')) AS ref FROM documents)
-    SELECT DISTINCT doc_id, regexp_extract(ref, '^([^:]+)', 1) AS path, regexp_extract(ref, ':([0-9]+)', 1) AS line_start, regexp_extract(ref, '-([0-9]+)$', 1) AS line_end FROM r"""
-)
-def text_path_refs(spark: SparkSession, d: str) -> DataFrame:
-    return context.path_references(table(spark, d, "documents"))
+_IGNORED = ", ".join(f"'{w}'" for w in text.COMMON_DIRECTORIES)
 
 
 @_query(
-    f"""WITH {VIEW_SQL}, seg AS (SELECT DISTINCT id, unnest(regexp_split_to_array(lower(file_path), '[^a-z0-9]+')) AS s FROM nodes WHERE kind IN ('nation', 'region')),
-    pairs AS (SELECT a.id AS planned, b.id AS existing, count(*) AS shared FROM seg a JOIN seg b ON a.s = b.s AND a.s <> '' WHERE a.id >= 2000000000 AND b.id < 2000000000 GROUP BY ALL)
+    rf"""WITH {VIEW_SQL}, split AS (SELECT DISTINCT file_path AS path, unnest(regexp_split_to_array(lower(regexp_replace(regexp_replace(file_path, '\.[^.]+$', ''), '([a-z0-9])([A-Z])', '\1 \2', 'g')), '[\\/_.\s-]+')) AS t FROM nodes WHERE kind = 'part'),
+    seg AS (SELECT DISTINCT path, term FROM (SELECT path, {_STEM_SQL} AS term FROM split) WHERE length(term) >= 3 AND term NOT IN ({_IGNORED})),
+    pairs AS (SELECT a.path AS planned, b.path AS existing, count(*) AS shared FROM seg a JOIN seg b ON a.term = b.term AND a.path <> b.path GROUP BY ALL)
     SELECT planned, existing, shared, CAST(row_number() OVER (PARTITION BY planned ORDER BY shared DESC, existing) AS INTEGER) AS rank FROM pairs QUALIFY rank <= 3"""
 )
 def path_similarity_topk(spark: SparkSession, d: str) -> DataFrame:
-    nodes = view.nodes(spark, d)
-    return context.similar_paths(store.by_kind(nodes, "nation"), store.by_kind(nodes, "region"), 3)
+    """Files of parts against those of all parts: many share brands and words."""
+    paths = store.by_kind(view.nodes(spark, d), "part").select(F.col("file_path").alias("path"))
+    return context.similar_paths(paths, paths, 3)
 
 
 @_query(

@@ -31,6 +31,16 @@ def spec_facts(spark: SparkSession, d: str) -> DataFrame:
     return documents.specs(table(spark, d, "documents"))
 
 
+@_query(
+    rf"""WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(text, '[`| \t\n\r\f]+')) AS w FROM documents)
+    SELECT DISTINCT doc_id, regexp_replace(regexp_replace(w, '^(\./)+', ''), ':[0-9]+(-[0-9]+)?$', '') AS path,
+      COALESCE(TRY_CAST(NULLIF(regexp_extract(w, ':([0-9]{{1,9}})(?:-[0-9]+)?$', 1), '') AS INTEGER), 0) AS line_start, COALESCE(TRY_CAST(NULLIF(regexp_extract(w, ':[0-9]+-([0-9]{{1,9}})$', 1), '') AS INTEGER), 0) AS line_end
+    FROM w WHERE regexp_matches(w, '{documents.REFERENCE_WORD}') AND NOT starts_with(w, 'http')"""
+)
+def text_path_refs(spark: SparkSession, d: str) -> DataFrame:
+    return documents.line_references(table(spark, d, "documents"))
+
+
 _ENDPOINT_SQL = documents.ENDPOINT.replace("'", "''")
 
 

@@ -8,16 +8,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a narrow table of keys is broadcast (32 MB at most).
-BROADCAST_ROWS = 2_000_000
+#: Rows up to which a narrow table of keys is broadcast (a hashed relation of some tens of MB).
+BROADCAST_ROWS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, the folder that driver and executors share, or a
-    new temporary folder where the session has none (local tests)."""
+    """``spark.checkpoint.dir``, the folder that driver and executors share.  A local session
+    that has none gets a new temporary folder; on a cluster none would be shared."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().getOrElse(None)
     if not found:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="tessera-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")

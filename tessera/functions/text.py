@@ -6,30 +6,45 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words that carry no meaning in a task description.
-STOP_WORDS = ("the", "and", "for", "with", "that", "this", "from", "into", "are", "was", "not", "its", "has", "have", "will", "when", "should")
+STOP_WORDS = (
+    "a", "an", "and", "the", "to", "for", "of", "in", "on", "with", "without", "from", "into", "by", "or", "if", "is", "it", "this", "that",
+    "add", "update", "change", "fix", "make", "use", "new", "existing", "line", "text", "copy", "short", "small", "real", "task", "build", "create",
+    "implement", "scaffold", "wire", "wiring", "feature", "features", "composable", "composables", "action", "actions", "route", "routes", "api",
+    "endpoint", "endpoints", "doc", "docs", "section", "reference", "possible", "maybe", "note", "another", "other", "others", "their", "them",
+    "then", "there", "these", "those", "thing", "things", "which", "while",
+)
+#: An endpoint literal in a text, and segments of a path that say nothing of it.
+ENDPOINT = r"""(^|[ \t\n\r\f`'"])(/[A-Za-z0-9_$:{}./-]+)"""
+COMMON_DIRECTORIES = ("resources", "app", "js", "pages", "components", "actions")
 
 
 def tokens(text: Column) -> Column:
-    """Words of ``text``: camelCase split, lower-cased, cut at anything that is no
-    ASCII letter or digit, stemmed, at least 3 long, no stop words."""
-    split = F.split(F.lower(F.regexp_replace(text, r"([a-z0-9])([A-Z])", "$1 $2")), "[^a-z0-9]+")
-    stemmed = F.transform(F.filter(split, lambda t: F.length(t) >= 3), stem)
-    return F.filter(stemmed, lambda t: (F.length(t) >= 3) & ~t.isin(*STOP_WORDS))
+    """Words of ``text`` without its endpoint literals: camelCase split, lower-cased, cut at
+    anything that is no ASCII letter or digit, stemmed, at least 3 long, no stop words."""
+    plain = F.regexp_replace(text, ENDPOINT, "$1 ")
+    split = F.split(F.lower(F.regexp_replace(plain, r"([a-z0-9])([A-Z])", "$1 $2")), "[^a-z0-9]+")
+    return F.filter(F.transform(split, stem), lambda t: (F.length(t) >= 3) & ~t.isin(*STOP_WORDS))
 
 
 def stem(t: Column) -> Column:
-    """-ies to -y, then -ing, -ed and -s off, each where enough is left."""
+    """-ies to -y, then -ing, -ed or -s off, each where enough is left."""
     n = F.length(t)
     cut = lambda k: F.substring(t, F.lit(1), n - k)
     return (
         F.when(t.endswith("ies") & (n > 4), F.concat(cut(3), F.lit("y")))
         .when(t.endswith("ing") & (n > 5), cut(3))
         .when(t.endswith("ed") & (n > 4), cut(2))
-        .when(t.endswith("s") & ~t.endswith("ss") & (n > 3), cut(1))
+        .when(t.endswith("s") & (n > 4), cut(1))
         .otherwise(t)
     )
 
 
+def path_terms(path: Column) -> Column:
+    """Distinct telling segments of a path: extension off, camelCase split, stemmed, 3 letters or more."""
+    parts = F.split(F.lower(F.regexp_replace(F.regexp_replace(path, r"\.[^.]+$", ""), r"([a-z0-9])([A-Z])", "$1 $2")), r"[\\/_.\s-]+")
+    return F.array_distinct(F.filter(F.transform(parts, stem), lambda t: (F.length(t) >= 3) & ~t.isin(*COMMON_DIRECTORIES)))
+
+
 def occurrences(text: Column, term: str) -> Column:
     """How often ``term`` occurs, ASCII case aside, without overlap."""
     low, t = F.lower(text), term.lower()
@@ -64,8 +79,8 @@ def novel_prefixes(planned: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def fuzzy_prefix_anti(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Terms of ``left`` that share no prefix of min(7, length - 1) characters with a
-    term of ``right`` (both of 6 characters at least).
+    """Terms of ``left`` that neither stand in ``right`` nor share a prefix of
+    min(7, length - 1) characters with a term there (both of 6 characters at least).
 
     Of two terms the shorter sets the prefix, so each side offers its prefixes of 5, 6 and 7
     characters with its own length class, and the join is an equi-join."""
@@ -75,6 +90,7 @@ def fuzzy_prefix_anti(left: DataFrame, right: DataFrame) -> DataFrame:
         long_ = df.where(F.length("term") >= 6).select("term").distinct()
         return long_.select(F.col("term").alias(name), size("term").alias(f"{name}_k"), F.explode(F.sequence(F.lit(5), size("term"))).alias("k")).withColumn("p", F.substring(F.col(name), F.lit(1), F.col("k")))
 
-    a, b = keys(left, "a"), keys(right, "b")
+    unequal = left.select("term").distinct().join(right.select("term").distinct(), "term", "left_anti")
+    a, b = keys(unequal, "a"), keys(right, "b")
     near = a.join(b, ["k", "p"]).where("k = least(a_k, b_k)").select(F.col("a").alias("term")).distinct()
-    return left.select("term").distinct().join(near, "term", "left_anti")
+    return unequal.join(near, "term", "left_anti")

@@ -2,38 +2,45 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.storage import small, stash
+from ..functions.text import path_terms
 from .mining import PUBLIC
 
-#: Contributions to a file's score.
-SYMBOL, PRIMARY, OTHER_START, EDGE_OUT, EDGE_IN = 5, 100, 75, 20, 10
+#: What a symbol, a node of the first and of another start's file add to a file's
+#: score, and an edge to another file, where one of the two is a start's and else.
+SYMBOL, PRIMARY, OTHER_START, EDGE_AT_START, EDGE = 5, 100, 75, 20, 10
 MAX_FILES = 8
 
 
 def working_set(kept: DataFrame, edges: DataFrame, nodes: DataFrame, starts: list[int], k: int = MAX_FILES) -> DataFrame:
     """(file_path, score, reasons): the best ``k`` files of a subgraph.  All
     contributions are rows; one aggregation adds them up."""
-    files = nodes.select("id", "file_path")
-    inside = files.join(kept.select("id"), "id", "left_semi")
-    end = lambda x: files.select(F.col("id").alias(f"{x}_id"), F.col("file_path").alias(f"{x}_file"))
-    crossing = stash(edges.join(end("source"), "source_id").join(end("target"), "target_id").where("source_file <> target_file").select("source_file", "target_file"), "crossing")
-    part = lambda df, col, n, why: df.select(F.col(col).alias("file_path"), F.lit(n).alias("score"), F.lit(why).alias("reason"))
-    parts = [part(inside, "file_path", SYMBOL, "symbol"), part(crossing, "source_file", EDGE_OUT, "edge"), part(crossing, "target_file", EDGE_IN, "edge")]
-    parts += [part(files.where(F.col("id") == s), "file_path", PRIMARY if i == 0 else OTHER_START, "start") for i, s in enumerate(starts)]
-    rows = reduce(DataFrame.unionByName, parts).groupBy("file_path").agg(F.sum("score").alias("score"), F.array_join(F.sort_array(F.collect_set("reason")), ",").alias("reasons"))
+    at = {s: i for i, s in enumerate(starts)}
+    files = nodes.select("id", "file_path", "kind")
+    first = files.where(F.col("id").isin(*starts)).select("file_path", F.coalesce(*(F.when(F.col("id") == s, i) for s, i in at.items())).alias("at"))
+    first = first.groupBy("file_path").agg(F.min("at").alias("start"))  # one row per start at most
+    inside = stash(files.join(kept.select("id"), "id", "left_semi").join(F.broadcast(first), "file_path", "left"), "inside")
+    end = lambda x: inside.select(F.col("id").alias(f"{x}_id"), F.col("file_path").alias(f"{x}_file"), F.col("start").alias(f"{x}_start"))
+    crossing = edges.join(end("source"), "source_id").join(end("target"), "target_id").where("source_file <> target_file")
+    worth = F.when(F.col("source_start").isNotNull() | F.col("target_start").isNotNull(), EDGE_AT_START).otherwise(EDGE)
+    both = crossing.select(F.explode(F.array("source_file", "target_file")).alias("file_path"), worth.alias("score"), F.concat(F.lit("connected by "), "relationship").alias("reason"))
+    symbol = F.when(F.col("kind") == "file", 0).otherwise(SYMBOL)
+    entry = F.when(F.col("start") == 0, PRIMARY).when(F.col("start") > 0, OTHER_START).otherwise(0)
+    why = F.when(F.col("start") == 0, "primary entry candidate").when(F.col("start") > 0, "entry candidate")
+    rows = both.union(inside.select("file_path", symbol + entry, why))
+    rows = rows.groupBy("file_path").agg(F.sum("score").alias("score"), F.array_join(F.sort_array(F.collect_set("reason")), ",").alias("reasons"))
     return rows.orderBy(F.desc("score"), "file_path").limit(k)
 
 
-def constraints(rules: DataFrame, per_kind: int = 3, k: int = 6, least: float = PUBLIC) -> DataFrame:
-    """The best rules of each kind, then the best of all."""
+def constraints(rules: DataFrame, kinds: DataFrame, per_kind: int = 3, k: int = 6, least: float = PUBLIC) -> DataFrame:
+    """The best rules of each preferred kind (``kinds``: kind), then the best of all."""
     order = Window.partitionBy("kind").orderBy(F.desc("confidence"), F.desc("frequency"), "property")
-    top = rules.where(F.col("confidence") >= least).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_kind)
-    return top.orderBy(F.desc("confidence"), "kind", "property").limit(k).select("kind", "property", "confidence", "rank")
+    public = rules.where(F.col("confidence") >= least).join(kinds.select("kind").distinct(), "kind", "left_semi")
+    top = public.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_kind)
+    return top.orderBy(F.desc("confidence"), F.desc("frequency"), "kind", "property").limit(k).select("kind", "property", "confidence", "frequency", "rank")
 
 
 def peers(uses: DataFrame, active: DataFrame, k: int = 3) -> DataFrame:
@@ -63,20 +70,11 @@ def merge_candidates(rows: DataFrame, k: int) -> DataFrame:
     return top.select("file", "b.source", F.round("b.score", 6).alias("score"), "n_sources", confidence.alias("confidence"))
 
 
-#: A path with an extension and perhaps a line or a range of lines.
-REFERENCE = r"[A-Za-z0-9_./-]+\.[a-z]{2,5}(?::[0-9]+(?:-[0-9]+)?)?"
-
-
-def path_references(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, path, line_start, line_end) of the paths that texts name; no line is ''."""
-    refs = docs.select(key, F.explode(F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0))).alias("ref"))
-    return refs.select(key, F.regexp_extract("ref", r"^([^:]+)", 1).alias("path"), F.regexp_extract("ref", r":([0-9]+)", 1).alias("line_start"), F.regexp_extract("ref", r"-([0-9]+)$", 1).alias("line_end")).distinct()
-
-
 def similar_paths(planned: DataFrame, existing: DataFrame, k: int) -> DataFrame:
-    """(planned, existing, shared, rank): the existing nodes that share most path tokens.  Pairs
-    come from an inverted index on tokens and are counted before they are ranked."""
-    words = lambda df, name: df.select(F.col("id").alias(name), F.explode(F.array_distinct(F.split(F.lower("file_path"), "[^a-z0-9]+"))).alias("s")).where("s <> ''")
-    pairs = words(planned, "planned").join(words(existing, "existing"), "s").groupBy("planned", "existing").agg(F.count(F.lit(1)).alias("shared"))
+    """(planned, existing, shared, rank): the other paths (``path``) that share most telling segments
+    with a planned one.  Paths are made distinct, then pairs come from an inverted index on
+    segments and are counted before they are ranked."""
+    words = lambda df, name: df.select("path").distinct().select(F.col("path").alias(name), F.explode(path_terms(F.col("path"))).alias("s"))
+    pairs = words(planned, "planned").join(words(existing, "existing"), "s").where("planned <> existing").groupBy("planned", "existing").agg(F.count(F.lit(1)).alias("shared"))
     order = Window.partitionBy("planned").orderBy(F.desc("shared"), "existing")
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -8,12 +8,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import ENDPOINT
+
 #: Extensions that make a word a file reference, and segments that say nothing of an endpoint.
 EXTENSIONS = ("php", "vue", "js", "ts", "tsx", "jsx", "py", "md", "css", "scss", "json", "yaml", "yml", "sql")
 COMMON_SEGMENTS = ("api", "dev", "v1", "v2")
 
 REFERENCE_WORD = rf"^[A-Za-z0-9_./@-]+\.({'|'.join(EXTENSIONS)})(:[0-9]+(-[0-9]+)?)?$"
-ENDPOINT = r"""(^|[ \t\n\r\f`'"])(/[A-Za-z0-9_$:{}./-]+)"""
 
 
 def snippet(docs: DataFrame, start: int, end: int, most: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -34,6 +35,17 @@ def snippet(docs: DataFrame, start: int, end: int, most: int, key: str = "doc_id
     )
 
 
+def line_references(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, path, line_start, line_end): the distinct files that words of a text name, with
+    their lines; 0 where there are none.  Words are split first, since a reference ends at
+    white space, a backtick or a bar, and not every engine has lookahead."""
+    words = F.filter(F.split(F.col(text), r"[`| \t\n\r\f]+"), lambda w: w.rlike(REFERENCE_WORD) & ~w.startswith("http"))
+    line = lambda pattern: F.coalesce(F.try_to_number(F.nullif(F.regexp_extract("ref", pattern, 1), F.lit("")), F.lit("999999999")).cast("int"), F.lit(0))
+    refs = docs.select(key, F.explode(words).alias("ref"))
+    path = F.regexp_replace(F.regexp_replace("ref", r"^\./+", ""), r":[0-9]+(-[0-9]+)?$", "")
+    return refs.select(key, path.alias("path"), line(r":([0-9]{1,9})(?:-[0-9]+)?$").alias("line_start"), line(r":[0-9]+-([0-9]{1,9})$").alias("line_end")).distinct()
+
+
 def references(text: Column) -> Column:
     """The distinct files that words of ``text`` name, without lines and leading ./"""
     words = F.filter(F.split(text, r"[`| \t\n\r\f]+"), lambda w: w.rlike(REFERENCE_WORD) & ~w.startswith("http"))

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.storage import stash
+from ..functions.storage import small, stash
 from .traverse import degrees
 
 #: Types whose properties must hold for half of a kind; for the others two nodes do.
@@ -22,8 +22,9 @@ LEAST, SHARE, PUBLIC = 2, 0.5, 0.9
 PREFIX, SUFFIX, DIRECTORY = r"^([a-z]+)[A-Z]", r"([A-Z][a-z]+)$", r"^(.+/)"
 
 
-def _row(df: DataFrame, kind: str, prop: Column, n: Column | None = None) -> DataFrame:
-    return df.select("id", "kind", F.lit(kind).alias("type"), prop.alias("property"), (F.lit(1) if n is None else n).cast("long").alias("n"))
+def _row(df: DataFrame, kind: str, prop: Column, n: Column | None = None, value_type: Column | None = None) -> DataFrame:
+    made = (F.lit(None) if value_type is None else value_type).cast("string")
+    return df.select("id", "kind", F.lit(kind).alias("type"), prop.alias("property"), (F.lit(1) if n is None else n).cast("long").alias("n"), made.alias("value_type"))
 
 
 def extends(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -60,7 +61,7 @@ def metadata(nodes: DataFrame) -> DataFrame:
     each = rows.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()))
     typed = each.select("id", "kind", "key", F.schema_of_variant("value").alias("t"), F.col("value").cast("string").alias("value"))
     kept = typed.where("t in ('STRING', 'BOOLEAN') and value not in ('', 'none') and not (t = 'BOOLEAN' and value = 'false')")
-    return _row(kept, "metadata", F.concat("key", F.lit("="), "value"))
+    return _row(kept, "metadata", F.concat("key", F.lit("="), "value"), value_type=F.col("t"))
 
 
 def neighbour_kinds(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -73,15 +74,16 @@ def neighbour_kinds(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def matches(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, kind, type, property, n) for all types."""
+    """(id, kind, type, property, n, value_type) for all types; the last is that of a trait's value."""
     return reduce(DataFrame.unionByName, [extends(nodes, edges), edge_types(nodes, edges, "out"), edge_types(nodes, edges, "in"), naming(nodes, "prefix"), naming(nodes, "suffix"), location(nodes), metadata(nodes), neighbour_kinds(nodes, edges)])
 
 
 def conventions(nodes: DataFrame, found: DataFrame) -> DataFrame:
-    """(kind, type, property, frequency, total, confidence) from match rows."""
+    """(kind, type, property, frequency, value_type, total, confidence) from match rows; of a trait
+    whose values have several types the type is that of the last node."""
     total = nodes.groupBy("kind").agg(F.count(F.lit(1)).alias("total")).where(F.col("total") >= LEAST)
-    freq = found.groupBy("kind", "type", "property").agg(F.sum("n").alias("frequency")).where(F.col("frequency") >= LEAST)
-    rows = freq.join(F.broadcast(total), "kind")  # one row per kind
+    freq = found.groupBy("kind", "type", "property").agg(F.sum("n").alias("frequency"), F.max_by("value_type", "id").alias("value_type")).where(F.col("frequency") >= LEAST)
+    rows = freq.join(small(stash(total, "kinds")), "kind")
     enough = ~F.col("type").isin(*SHARE_TYPES) | (F.col("frequency") >= SHARE * F.col("total"))
     return rows.where(enough).withColumn("confidence", F.col("frequency") / F.col("total"))
 
@@ -93,28 +95,60 @@ def without_overrides(nodes: DataFrame, overrides: DataFrame) -> DataFrame:
     return nodes.join(o, fits[0] & fits[1] & fits[2], "left_anti")
 
 
-def exemplars(nodes: DataFrame, edges: DataFrame, found: DataFrame, rules: DataFrame) -> DataFrame:
+def satisfied(nodes: DataFrame, found: DataFrame, rules: DataFrame) -> DataFrame:
+    """(id, kind, property): the rules of its kind that a node meets.  Checks are not the
+    counts that rules come from: a location holds in directories below it too, a
+    suffix needs a capital letter before it, and a trait the type of the rule's value."""
+    shared = found.where(~F.col("type").isin(*SHARE_TYPES)).select("id", "kind", "property").distinct()
+    plain = rules.where("type in ('naming', 'location')").select("kind", "property", F.regexp_extract("property", "^([a-z]+) ", 1).alias("what"), F.regexp_extract("property", "^[a-z]+ (.*)$", 1).alias("part"))
+    each = nodes.select("id", "kind", "file_path", "symbol_name").join(small(stash(plain, "rules"), 100_000), "kind")
+    pattern = F.when(F.col("what") == "prefix", F.concat(F.lit("^"), "part", F.lit("[A-Z]"))).otherwise(F.concat(F.lit("[A-Z].*"), "part", F.lit("$")))
+    holds = F.when(F.col("what") == "in", F.col("file_path").startswith(F.col("part"))).otherwise(F.rlike("symbol_name", pattern))
+    typed = rules.where("type = 'metadata'").select("kind", "property", "value_type")
+    traits = found.where("type = 'metadata'").join(small(stash(typed, "rules"), 100_000), ["kind", "property", "value_type"])
+    columns = ["id", "kind", "property"]
+    return shared.union(each.where(holds).select(*columns)).union(traits.select(*columns).distinct())
+
+
+def _met(nodes: DataFrame, met: DataFrame, rules: DataFrame) -> DataFrame:
+    """(id, kind, s): of every node of a kind that has rules the confidences of those it meets."""
+    public = small(stash(rules.select("kind", "property", "confidence"), "rules"), 100_000)
+    sums = met.join(public, ["kind", "property"]).groupBy("id").agg(F.sum("confidence").alias("s"))
+    own = nodes.select("id", "kind").join(public.select("kind").distinct(), "kind", "left_semi")
+    return own.join(sums, "id", "left").withColumn("s", F.coalesce("s", F.lit(0.0)))
+
+
+def exemplars(nodes: DataFrame, edges: DataFrame, met: DataFrame, rules: DataFrame) -> DataFrame:
     """(kind, exemplar_id, score): the node with the largest sum of confidences of the
-    rules it meets, plus 0.01 per edge end; the smallest id of equal ones."""
-    met = found.select("id", "kind", "property").distinct().join(rules.select("kind", "property", "confidence"), ["kind", "property"])
-    score = met.groupBy("id", "kind").agg(F.sum("confidence").alias("s")).join(degrees(edges), "id", "left")
+    rules it meets (``met`` from :func:`satisfied`), plus 0.01 per edge end; the smallest id of equal ones."""
+    score = _met(nodes, met, rules).join(degrees(edges), "id", "left")
     score = score.withColumn("score", F.round(F.col("s") + 0.01 * F.coalesce("degree", F.lit(0)), 6))
     return score.groupBy("kind").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("exemplar_id"), F.max("score").alias("score"))
 
 
-def closest(nodes: DataFrame, edges: DataFrame, found: DataFrame, rules: DataFrame, context_id: int) -> DataFrame:
+def closest(nodes: DataFrame, edges: DataFrame, met: DataFrame, rules: DataFrame, context_id: int) -> DataFrame:
     """(kind, id, score): per kind the node nearest to a context node: twice the
     relationships they share, plus the confidences of the rules it meets."""
     rel = edges.select(F.explode(F.array("source_id", "target_id")).alias("id"), "relationship").distinct()
-    context = rel.where(F.col("id") == context_id).select("relationship")
-    shared = rel.where(F.col("id") != context_id).join(F.broadcast(context), "relationship", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("shared"))
-    met = found.select("id", "kind", "property").distinct().join(rules.select("kind", "property", "confidence"), ["kind", "property"])
-    score = met.where(F.col("id") != context_id).groupBy("id", "kind").agg(F.sum("confidence").alias("s")).join(shared, "id", "left")
+    context = small(stash(rel.where(F.col("id") == context_id).select("relationship"), "context"))
+    shared = rel.join(context, "relationship", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("shared"))
+    score = _met(nodes.where(F.col("id") != context_id), met, rules).join(shared, "id", "left")
     score = score.withColumn("score", F.round(F.col("s") + 2 * F.coalesce("shared", F.lit(0)), 6))
     return score.groupBy("kind").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("id"), F.max("score").alias("score"))
 
 
-def mined(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Matches and conventions, both stashed for repeated use."""
+def confidence_of_kind(rules: DataFrame, least: float = 0.7) -> DataFrame:
+    """(kind, confidence): that of a kind's best rule, ``least`` at least."""
+    return rules.groupBy("kind").agg(F.greatest(F.lit(least), F.max("confidence")).alias("confidence"))
+
+
+def mined(nodes: DataFrame, edges: DataFrame, overrides: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """What nodes meet (:func:`satisfied`) and conventions, both stashed for repeated use.  Nodes that
+    an override names don't count for conventions, but are checked."""
     found = stash(matches(nodes, edges), "matches")
-    return found, stash(conventions(nodes, found), "conventions")
+    counted, kept = found, nodes
+    if overrides is not None:
+        kept = without_overrides(nodes, overrides)
+        counted = found.join(kept.select("id"), "id", "left_semi")
+    rules = stash(conventions(kept, counted), "conventions")
+    return stash(satisfied(nodes, found, rules), "satisfied"), rules

@@ -19,10 +19,23 @@ DEPTH, HUB, TOKENS = 3, 50, 4_000
 #: Estimated tokens of a node, an edge, a line of a snippet, and the most lines.
 NODE_COST, EDGE_COST, LINE_COST, MAX_LINES = 60, 24, 4, 120
 #: Weights of relationships in an impact ranking (any other: the last).
-RELATIONSHIP_WEIGHT = {"routes_to": 10, "renders": 8, "calls": 6, "belongs_to": 4}
-OTHER_RELATIONSHIP = 3
+RELATIONSHIP_WEIGHT = {"renders": 10, "routes_to": 10, "uses_composable": 8, "renders_child": 8, "imports": 6, "calls": 3}
+OTHER_RELATIONSHIP = 4
 #: Priorities of kinds in an impact ranking (any other: 1).
-KIND_PRIORITY = {"order": 10, "customer": 9, "supplier": 8}
+KIND_PRIORITY = {
+    "action": 10, "inertia_page": 10, "component": 9, "composable": 9, "route_definition": 8,
+    "form_request": 8, "model": 8, "service": 8, "migration": 8, "test": 8,
+}
+#: Priorities of relationships in a file's edge summary (any other: the last), and what a
+#: convention adds, an end in the file adds, and an end of kind ``file`` takes off.
+SUMMARY_PRIORITY = {
+    "renders": 100, "routes_to": 96, "shares_data": 92, "navigates_to": 86, "renders_child": 82, "uses_composable": 78,
+    "imports": 70, "belongs_to": 66, "has_many": 66, "belongs_to_many": 66, "calls": 58,
+}
+OTHER_SUMMARY, OF_CONVENTION, OF_FILE, PLAIN_FILE = 40, 4, 2, -4
+#: Kinds that a line range selects last, and kinds that can enclose a line.
+LAST_KINDS = ("component", "file")
+ENCLOSING_KINDS = ("function", "method", "class", "action", "model", "service", "config_array", "component", "composable")
 
 
 def weight(value: Column, table: dict[str, int], other: int) -> Column:
@@ -87,16 +100,16 @@ def closure(edges: DataFrame, starts: DataFrame, outgoing_first: bool = False) -
 
 
 def node_cost() -> Column:
-    lines = F.col("line_end") - F.col("line_start") + 1
+    lines = F.coalesce(F.greatest(F.col("line_end") - F.col("line_start") + 1, F.lit(0)), F.lit(0))
     return F.lit(NODE_COST) + LINE_COST * F.least(lines, F.lit(MAX_LINES))
 
 
 def prune(found: DataFrame, tokens: int = TOKENS) -> DataFrame:
     """The prefix by (depth, id) per start whose costs fit ``tokens`` (the first row
-    always stays), with the running cost.  A node costs NODE_COST + LINE_COST at
-    least, so a rank limit that Spark applies before its shuffle bounds every group."""
+    always stays), with the running cost.  A node costs NODE_COST at least (no lines where
+    they are null or reversed), so a rank limit that Spark applies before its shuffle bounds every group."""
     order = Window.partitionBy("start_id").orderBy("depth", "id")
-    most = tokens // (NODE_COST + LINE_COST) + 1
+    most = tokens // NODE_COST + 1
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
     total = F.sum("cost").over(order.rowsBetween(Window.unboundedPreceding, 0))
     return ranked.withColumn("cost", node_cost()).withColumn("running", total.cast("long")).where((F.col("running") <= tokens) | (F.col("rank") == 1))
@@ -154,16 +167,23 @@ def kind_breakdown(shown: DataFrame, total: DataFrame) -> DataFrame:
 
 
 def edge_summaries(edges: DataFrame, nodes: DataFrame, k: int = 8) -> DataFrame:
-    """Per file and direction-free partner the heaviest relationship, the best ``k``, and how many are
-    left out.  Partners are aggregated before they are ranked."""
-    end = lambda x: nodes.select(F.col("id").alias(f"{x}_id"), F.col("file_path").alias(f"{x}_file"))
+    """Per file its ``k`` foremost edges to and from other files, and how many are left out.  Edges
+    of one direction, relationship, files and symbols are one entry of the largest priority;
+    equal priorities go by relationship, then by the ends."""
+    end = lambda x: nodes.select(F.col("id").alias(f"{x}_id"), F.col("file_path").alias(f"{x}_file"), F.col("symbol_name").alias(f"{x}_symbol"), F.col("kind").alias(f"{x}_kind"))
     crossing = edges.join(end("source"), "source_id").join(end("target"), "target_id").where("source_file <> target_file")
-    w = weight(F.col("relationship"), RELATIONSHIP_WEIGHT, OTHER_RELATIONSHIP)
-    pairs = crossing.groupBy(F.col("source_file").alias("file"), F.col("target_file").alias("partner")).agg(F.max(F.struct(w.alias("priority"), "relationship")).alias("best"))
-    total = pairs.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
-    order = Window.partitionBy("file").orderBy(F.desc("best.priority"), "partner")
-    top = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return top.join(total, "file").select("file", "partner", "best.relationship", F.col("best.priority").cast("long").alias("priority"), "rank", F.greatest(F.col("n") - k, F.lit(0)).alias("omitted"))
+    priority = weight(F.col("relationship"), SUMMARY_PRIORITY, OTHER_SUMMARY) + OF_FILE
+    priority += F.when((F.col("source_kind") == "file") | (F.col("target_kind") == "file"), PLAIN_FILE).otherwise(0)
+    if "convention" in edges.columns:
+        priority += F.when(F.col("convention").isNotNull(), OF_CONVENTION).otherwise(0)
+    ends = ["relationship", "source_file", "source_symbol", "target_file", "target_symbol"]
+    keyed = crossing.groupBy(*ends).agg(F.max(priority).cast("long").alias("priority"))
+    side = F.explode(F.array(F.struct(F.lit("outgoing").alias("direction"), F.col("source_file").alias("file")), F.struct(F.lit("incoming").alias("direction"), F.col("target_file").alias("file"))))
+    rows = stash(keyed.select(side.alias("s"), "priority", *ends).select("s.file", "s.direction", "priority", *ends), "summaries")
+    total = rows.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("file").orderBy(F.desc("priority"), "relationship", "direction", *ends[1:])
+    top = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return top.join(total, "file").select("file", "direction", "priority", *ends, "rank", F.greatest(F.col("n") - k, F.lit(0)).alias("omitted"))
 
 
 def union_subgraphs(*parts: DataFrame) -> DataFrame:
@@ -175,21 +195,42 @@ def union_subgraphs(*parts: DataFrame) -> DataFrame:
 
 
 def line_matches(nodes: DataFrame, ranges: DataFrame, k: int = 3, bucket: int = 64) -> DataFrame:
-    """For each query range (q, q_start, q_end) the ``k`` narrowest nodes that
-    overlap it.  An interval join: both sides go to buckets of lines, equal
-    buckets are joined, and a pair counts in the first bucket it shares."""
-    first, last = (F.floor(F.col(c) / bucket) for c in ("line_start", "line_end"))
-    n = nodes.withColumn("b", F.explode(F.sequence(first, last)))
-    r = ranges.withColumn("qb", F.explode(F.sequence(F.floor(F.col("q_start") / bucket), F.floor(F.col("q_end") / bucket))))
-    hit = n.join(r, n["b"] == r["qb"]).where("line_start <= q_end and line_end >= q_start and b = floor(greatest(line_start, q_start) / %d)" % bucket)
-    span = F.col("line_end") - F.col("line_start")
-    order = Window.partitionBy("q").orderBy(span, F.abs(F.col("line_start") - F.col("q_start")), "id")
-    return hit.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("q", "id", "line_start", "line_end", "rank")
-
+    """For each query (q, file_path, q_start, q_end) at most ``k`` nodes of its file: of those that
+    overlap the range the narrowest (a ``component`` or ``file`` only if all are such, and then
+    none that is far wider than the narrowest), else those nearest to it.  Ties go by kind,
+    then id.
 
-def enclosing(nodes: DataFrame, points: DataFrame, bucket: int = 64) -> DataFrame:
-    """For each point (q, line) the smallest node that holds it."""
-    return line_matches(nodes, points.select("q", F.col("line").alias("q_start"), F.col("line").alias("q_end")), 1, bucket).where("line_start <= line_end")
+    An interval join on file and bucket of lines; a pair counts in the first bucket it
+    shares.  Only queries that nothing overlaps meet all nodes of their file."""
+    first, last = (F.floor(F.col(c) / bucket) for c in ("line_start", "line_end"))
+    own = nodes.select("id", "kind", "file_path", "line_start", "line_end")
+    n = own.withColumn("b", F.explode(F.sequence(first, F.greatest(first, last))))
+    r = ranges.withColumn("b", F.explode(F.sequence(F.floor(F.col("q_start") / bucket), F.floor(F.col("q_end") / bucket))))
+    meet = "line_start <= q_end and line_end >= q_start and b = floor(greatest(line_start, q_start) / %d)" % bucket
+    span = F.greatest(F.lit(1), F.col("line_end") - F.col("line_start") + 1)
+    lesser = F.col("kind").isin(*LAST_KINDS)
+    hit = stash(n.join(r, ["file_path", "b"]).where(meet).select("q", "id", "kind", "line_start", "line_end", span.alias("span"), lesser.alias("lesser")), "overlaps")
+    best = hit.groupBy("q").agg(F.min("lesser").alias("all_lesser"), F.min("span").alias("narrowest"))
+    near = hit.join(best, "q").where("not lesser or (all_lesser and span <= greatest(4 * narrowest, narrowest + 20))")
+    distance = F.when(F.col("line_end") < F.col("q_start"), F.col("q_start") - F.col("line_end")).otherwise(F.col("line_start") - F.col("q_end"))
+    rest = own.join(ranges.join(hit.select("q").distinct(), "q", "left_anti"), "file_path")
+    columns = ["q", "id", "line_start", "line_end"]
+    every = near.select(*columns, "span", "kind").union(rest.select(*columns, distance.alias("span"), F.lit("").alias("kind")))
+    order = Window.partitionBy("q").orderBy("span", "kind", "id")
+    return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(*columns, "rank")
+
+
+def enclosing(nodes: DataFrame, points: DataFrame, kinds: tuple[str, ...] = ENCLOSING_KINDS, bucket: int = 64) -> DataFrame:
+    """(q, id, found) for each point (q, file_path, line): the smallest node of ``kinds`` in the file that
+    holds the line, else the file's first node, else null (``found`` says which)."""
+    first, last = (F.floor(F.col(c) / bucket) for c in ("line_start", "line_end"))
+    n = nodes.where(F.col("kind").isin(*kinds)).select("id", "file_path", "line_start", "line_end", F.explode(F.sequence(first, F.greatest(first, last))).alias("b"))
+    hit = n.join(points.withColumn("b", F.floor(F.col("line") / bucket)), ["file_path", "b"]).where("line_start <= line and line_end >= line")
+    inner = hit.groupBy("q").agg(F.min(F.struct(F.expr("line_end - line_start"), "id")).alias("m")).select("q", F.col("m.id").alias("inner"))
+    head = nodes.groupBy("file_path").agg(F.min("id").alias("head"))
+    out = points.join(inner, "q", "left").join(head, "file_path", "left")
+    found = F.when(F.col("inner").isNotNull(), "symbol").when(F.col("head").isNotNull(), "first in file").otherwise("file")
+    return out.select("q", F.coalesce("inner", "head").alias("id"), found.alias("found"))
 
 
 def replay(edges: DataFrame, found: DataFrame, starts: DataFrame, depth: int = DEPTH, hub: int = HUB) -> DataFrame:

@@ -9,11 +9,11 @@ import pytest
 
 from tessera import catalogue
 from tessera.functions import text
-from tessera.operators import mining, refresh, store, traverse
+from tessera.operators import context, mining, refresh, resolve, store, traverse, validate
 from tessera.sources import graph_view
 
 SF = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents pages".split()
+TABLES = "region nation customer supplier part orders lineitem events documents pages labels conversations benchmark embeddings".split()
 
 
 @pytest.fixture(scope="module")
@@ -104,6 +104,15 @@ def test_mining_traps(spark):
     assert found[("location", "in app/jobs/")] == (3, 4)  # the exact directory
     assert found[("naming", "suffix Job")] == (4, 4)
     assert not any("off" in p or "none" in p for _, p in found)
+    met, rules = mining.mined(nodes, edges)
+    missing = {(r["id"], r["property"]) for r in validate.violations(nodes, met, rules, least=0.7).collect()}
+    # below the directory is in it; a trait has the type of the last node's; a suffix needs a capital before it
+    assert missing == {(i, "queued=true") for i in (1, 2, 3)} | {(i, "suffix Job") for i in (1, 2, 3, 4)}
+    skip = [(None, "job", None, "legacy", ["suffix Job"]), ("app/jobs/f1", None, "send1Job", "legacy", ["queued=true"]), (None, None, None, None, ["queued=true"]), (None, None, "send2Job", "", ["queued=true"])]
+    overrides = spark.createDataFrame(skip, "file string, kind string, symbol string, reason string, skip array<string>")
+    assert {(r["id"], r["property"]) for r in validate.violations(nodes, met, rules, overrides, 0.7).collect()} == {(2, "queued=true"), (3, "queued=true")}
+    failed = {r["file_path"]: r["failed"] for r in validate.rule_checks(nodes, met, rules, overrides, 0.7).where("property = 'queued=true'").collect()}
+    assert failed == {"app/jobs/f1": 0, "app/jobs/f2": 1, "app/jobs/f3": 1, "app/jobs/deep/f4": 0}
 
 
 def test_snapshot_and_update(spark):
@@ -121,5 +130,66 @@ def test_snapshot_and_update(spark):
 
 
 def test_tokens(spark):
-    row = spark.createDataFrame([("getUserNames studies, theStopped parsing of boss",)], "t string").select(text.tokens(text.F.col("t")).alias("w")).head()
-    assert row["w"] == ["get", "user", "name", "study", "stopp", "pars", "boss"]
+    row = spark.createDataFrame([("getUserNames studies, theStopped parsing of boss class",)], "t string").select(text.tokens(text.F.col("t")).alias("w")).head()
+    assert row["w"] == ["get", "user", "name", "study", "stopp", "pars", "boss", "clas"]
+
+
+def test_symbols_resolve_in_six_steps(spark):
+    rows = [(1, "a.php", "run"), (2, "a.php", "run"), (3, "b.php", "run"), (4, "b.php", "Foo"), (5, "c.ts", "only"), (6, "c.ts", "Auth")]
+    nodes = spark.createDataFrame([(i, f, s, "k", "typescript" if f == "c.ts" else "php", 1, 2, None) for i, f, s in rows], NODE)
+    names = {
+        "run": (2, 1), "lib.run": None, "App\\Jobs\\run": (2, 3), "src/run.php": (2, 3), "Foo::missing": (4, 6), "App\\Foo::missing": (4, 6), "Auth::user": None, "only": None, "::x": None,
+    }
+    refs = spark.createDataFrame([(k, "a.php", "php", n) for k, n in enumerate(names)], "ref_id long, file_path string, language string, name string")
+    got = {r["ref_id"]: (r["node_id"], r["step"]) for r in resolve.resolve_symbols(refs, nodes).collect()}
+    # a dotted name stays whole, unless a slash or a scope comes with it
+    want = dict(enumerate(names.values()))
+    want[3] = None
+    assert got == {k: v for k, v in want.items() if v}
+    anywhere = spark.createDataFrame([(0, "z.vue", "vue", "only"), (1, "z", None, "Foo"), (2, "b.php", "php", "Foo::x")], refs.schema)
+    assert {r["ref_id"]: (r["node_id"], r["step"]) for r in resolve.resolve_symbols(anywhere, nodes).collect()} == {0: (5, 2), 1: (4, 2), 2: (4, 5)}
+
+
+def test_equal_terms_are_covered(spark):
+    terms = lambda *t: spark.createDataFrame([(x,) for x in t], "term string")
+    left = terms("query", "node", "graphs", "validation", "short", "planner")
+    assert {r["term"] for r in text.fuzzy_prefix_anti(left, terms("query", "node", "graphic", "validates", "shor")).collect()} == {"short", "planner"}
+
+
+def test_edge_summaries_have_both_directions(spark):
+    nodes = spark.createDataFrame([(1, "a", "A", "k", "php", 1, 2, None), (2, "b", "B", "k", "php", 1, 2, None), (3, "b", "C", "file", "php", 1, 2, None)], NODE)
+    got = {(r["file"], r["direction"], r["target_symbol"], r["priority"], r["rank"]) for r in traverse.edge_summaries(_edges(spark, [(1, 2, 2), (1, 3, 2), (2, 3, 2)]), nodes).collect()}
+    assert got == {("a", "outgoing", "B", 60, 1), ("a", "outgoing", "C", 56, 2), ("b", "incoming", "B", 60, 1), ("b", "incoming", "C", 56, 2)}
+
+
+def test_lines_select_nodes_of_one_file(spark):
+    rows = [(1, "a", "component", 1, 300), (2, "a", "method", 10, 20), (3, "a", "function", 12, 14), (4, "b", "method", 11, 13), (5, "c", "file", 1, 400), (6, "c", "component", 90, 110), (7, "c", "component", 95, 200)]
+    nodes = spark.createDataFrame([(i, f, "s", kind, "php", a, b, None) for i, f, kind, a, b in rows], NODE)
+    ranges = spark.createDataFrame([(1, "a", 12, 13), (2, "a", 250, 250), (3, "b", 40, 50), (4, "c", 100, 100), (5, "d", 1, 1)], "q int, file_path string, q_start int, q_end int")
+    got = {}
+    for r in sorted(traverse.line_matches(nodes, ranges).collect(), key=lambda r: (r["q"], r["rank"])):
+        got.setdefault(r["q"], []).append(r["id"])
+    assert got == {1: [3, 2], 2: [1], 3: [4], 4: [6]}  # 7 and 5 are far wider than 6
+    points = spark.createDataFrame([(1, "a", 13), (2, "a", 400), (3, "d", 1)], "q int, file_path string, line int")
+    assert {(r["q"], r["id"], r["found"]) for r in traverse.enclosing(nodes, points).collect()} == {(1, 3, "symbol"), (2, 1, "first in file"), (3, None, "file")}
+
+
+def test_evidence_of_a_file(spark):
+    nodes = spark.createDataFrame([(1, "a", "A", "model", "php", 1, 2, None), (2, "b", "B", "component", "vue", 1, 2, None), (3, "c", "C", "helper", "php", 1, 2, None)], NODE)
+    rules = spark.createDataFrame([("model", 0.95), ("component", 0.8)], "kind string, confidence double")
+    files = spark.createDataFrame([("a", "model"), ("a2", "model"), ("b", "inertia_page"), ("c", None), ("b", None)], "file_path string, inferred string")
+    got = {(r["file_path"], r["kind"], r["reason"]) for r in validate.evidence_gaps(files, nodes, rules).collect()}
+    none = "no_high_confidence_conventions"
+    assert got == {("a2", "model", "no_indexed_nodes"), ("b", "component", none), ("c", None, "unknown_kind")}
+
+
+def test_working_set_scores(spark):
+    nodes = spark.createDataFrame([(1, "a", "A", "k", "php", 1, 2, None), (2, "a", "A2", "file", "php", 1, 2, None), (3, "b", "B", "k", "php", 1, 2, None), (4, "c", "C", "k", "php", 1, 2, None)], NODE)
+    edges = _edges(spark, [(3, 1, 2), (3, 4, 2), (1, 2, 2)])
+    got = {r["file_path"]: r["score"] for r in context.working_set(nodes.select("id"), edges, nodes, [1, 4]).collect()}
+    assert got == {"a": 5 + 100 + 100 + 20, "b": 5 + 20 + 20, "c": 5 + 75 + 20}
+
+
+def test_broken_lines_cost_a_plain_node(spark):
+    rows = spark.createDataFrame([(1, 1, 0, 5, 9), (1, 2, 1, None, None), (1, 3, 1, 9, 2)], "start_id long, id long, depth int, line_start int, line_end int")
+    assert {r["id"]: r["running"] for r in traverse.prune(rows, 250).collect()} == {1: 80, 2: 140, 3: 200}
