@@ -259,14 +259,14 @@ def edge_summary_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 #: A place in a part's file for every line item: near the part itself, near the next one, or beyond all.
-RANGES_SQL = """ranges AS (SELECT l_orderkey * 8 + l_linenumber AS q, n.file_path, CAST(l_partkey + CASE l_linenumber % 3 WHEN 0 THEN 1000000 ELSE l_linenumber END AS INTEGER) AS q_start,
-  CAST(l_partkey + CASE l_linenumber % 3 WHEN 0 THEN 1000000 ELSE l_linenumber END + l_suppkey % 40 AS INTEGER) AS q_end FROM lineitem JOIN nodes n ON n.id = 5000000000 + l_partkey)"""
+RANGES_SQL = """ranges AS (SELECT (l_orderkey * 8 + l_linenumber) * 100000000 + l_partkey AS q, n.file_path, CAST(l_partkey + CASE l_linenumber % 3 WHEN 0 THEN 1000000 ELSE l_linenumber END AS INTEGER) AS q_start,
+  CAST(l_partkey + CASE l_linenumber % 3 WHEN 0 THEN 1000000 ELSE l_linenumber END + l_suppkey % 40 AS INTEGER) AS q_end FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, max(l_suppkey) AS l_suppkey FROM lineitem GROUP BY ALL) JOIN nodes n ON n.id = 5000000000 + l_partkey)"""
 
 
 def _ranges(spark: SparkSession, d: str, nodes: DataFrame) -> DataFrame:
-    lines = table(spark, d, "lineitem")
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber", "l_partkey").agg(F.max("l_suppkey").alias("l_suppkey"))
     start = F.col("l_partkey") + F.when(F.col("l_linenumber") % 3 == 0, 1_000_000).otherwise(F.col("l_linenumber"))
-    rows = lines.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("q"), view.node_id("part", "l_partkey").alias("id"), start.cast("int").alias("q_start"), (start + F.col("l_suppkey") % 40).cast("int").alias("q_end"))
+    rows = lines.select(((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 100_000_000 + F.col("l_partkey")).alias("q"), view.node_id("part", "l_partkey").alias("id"), start.cast("int").alias("q_start"), (start + F.col("l_suppkey") % 40).cast("int").alias("q_end"))
     return rows.join(nodes.select("id", "file_path"), "id").select("q", "file_path", "q_start", "q_end")
 
 
@@ -332,12 +332,62 @@ def resolve_symbol_cascade(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query(
-    f"""WITH {VIEW_SQL} SELECT c.id AS ref_id, min(p.id) AS node_id FROM nodes c JOIN nodes p ON p.kind = 'customer' AND list_contains(regexp_split_to_array(p.file_path, '[/.]'), c.symbol_name)
-    WHERE c.kind = 'customer' GROUP BY c.id"""
+    f"""WITH {VIEW_SQL}, refs AS (SELECT id AS ref_id, CASE WHEN kind = 'nation' THEN symbol_name ELSE left(symbol_name, length(symbol_name) - 1) END AS name FROM nodes WHERE kind IN ('customer', 'supplier', 'nation')
+      UNION ALL SELECT DISTINCT -length(c_mktsegment), c_mktsegment FROM customer),
+    here AS (SELECT ref_id, id AS node_id FROM refs JOIN nodes ON starts_with(file_path, 'parties/customers/') AND (contains(file_path, name) OR metadata LIKE '%"segment":"' || name || '"%')),
+    other AS (SELECT ref_id, id AS node_id FROM refs JOIN nodes ON kind = 'nation' AND contains(file_path, name) WHERE ref_id NOT IN (SELECT ref_id FROM here))
+    SELECT DISTINCT ref_id, node_id FROM (SELECT * FROM here UNION ALL SELECT * FROM other)"""
 )
 def resolve_by_path_contains(spark: SparkSession, d: str) -> DataFrame:
     nodes = view.nodes(spark, d)
-    return resolve.by_path_part(store.by_kind(nodes, "customer").select(F.col("id").alias("ref_id"), F.col("symbol_name").alias("name")), nodes, "customer")
+    symbol = F.col("symbol_name")
+    name = F.when(F.col("kind") == "nation", symbol).otherwise(F.substring(symbol, F.lit(1), F.length(symbol) - 1))
+    refs = nodes.where("kind in ('customer', 'supplier', 'nation')").select(F.col("id").alias("ref_id"), name.alias("name"))
+    segments = table(spark, d, "customer").select((-F.length("c_mktsegment")).cast("long"), "c_mktsegment").distinct()
+    return resolve.by_table(refs.union(segments), nodes, "parties/customers/", "nation", "segment").distinct()
+
+
+#: A fact for each line item: its order by name, and two parts, one part, none or a class as targets.
+FACTS_SQL = """facts AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS fact_id, o.file_path, CASE l_linenumber % 3 WHEN 0 THEN 'renders' ELSE 'calls' END AS relationship,
+    CASE WHEN l_linenumber = 5 THEN ['nobody'] ELSE [o.symbol_name] END AS sources,
+    CASE l_linenumber % 4 WHEN 0 THEN ['lib.' || p.symbol_name] WHEN 1 THEN [p.symbol_name, 'none'] WHEN 2 THEN [p.symbol_name, s.symbol_name] ELSE [s.symbol_name || '::get'] END AS targets
+  FROM lineitem JOIN nodes o ON o.id = 6000000000 + l_orderkey JOIN nodes p ON p.id = 5000000000 + l_partkey JOIN nodes s ON s.id = 3000000000 + l_suppkey),
+  locals AS (SELECT file_path, symbol_name, max(id) AS id FROM nodes GROUP BY ALL), world AS (SELECT symbol_name, min(id) AS id FROM nodes GROUP BY ALL),
+  named AS (SELECT DISTINCT fact_id, file_path, 'source' AS side, unnest(sources) AS name FROM facts UNION ALL SELECT fact_id, file_path, 'target', regexp_replace(unnest(targets), '::get$', '') FROM facts),
+  ends AS (SELECT DISTINCT fact_id, side, COALESCE(l.id, w.id) AS id FROM named n LEFT JOIN locals l ON l.file_path = n.file_path AND l.symbol_name = n.name LEFT JOIN world w ON w.symbol_name = n.name WHERE COALESCE(l.id, w.id) IS NOT NULL)"""
+
+
+def _facts(spark: SparkSession, d: str, nodes: DataFrame) -> DataFrame:
+    own = lambda kind, key: (view.node_id(kind, key).alias(kind), nodes.where(F.col("kind") == kind).select(F.col("id").alias(kind), F.col("symbol_name").alias(f"{kind}_name"), F.col("file_path").alias(f"{kind}_file")))
+    ends = [own("order", "l_orderkey"), own("part", "l_partkey"), own("supplier", "l_suppkey")]
+    rows = table(spark, d, "lineitem").select(F.concat_ws("-", *(F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))).alias("fact_id"), "l_linenumber", *(id_ for id_, _ in ends))
+    for kind, (_, names) in zip(("order", "part", "supplier"), ends, strict=True):
+        rows = rows.join(names, kind)
+    way = F.col("l_linenumber") % 4
+    targets = (
+        F.when(way == 0, F.array(F.concat(F.lit("lib."), "part_name"))).when(way == 1, F.array(F.col("part_name"), F.lit("none")))
+        .when(way == 2, F.array("part_name", "supplier_name")).otherwise(F.array(F.concat("supplier_name", F.lit("::get"))))
+    )
+    return rows.distinct().select(
+        "fact_id", F.col("order_file").alias("file_path"), F.lit("table").alias("language"), F.when(F.col("l_linenumber") % 3 == 0, "renders").otherwise("calls").alias("relationship"),
+        F.array(F.when(F.col("l_linenumber") == 5, "nobody").otherwise(F.col("order_name"))).alias("sources"), targets.alias("targets"),
+    )
+
+
+@_query(f"WITH {VIEW_SQL}, {FACTS_SQL} SELECT DISTINCT s.id AS source_id, t.id AS target_id, relationship FROM facts JOIN ends s ON s.fact_id = facts.fact_id AND s.side = 'source' JOIN ends t ON t.fact_id = facts.fact_id AND t.side = 'target'")
+def resolve_edges(spark: SparkSession, d: str) -> DataFrame:
+    nodes = view.nodes(spark, d)
+    return resolve.resolve_edges(_facts(spark, d, nodes), nodes)[0]
+
+
+@_query(
+    f"""WITH {VIEW_SQL}, {FACTS_SQL}, have AS (SELECT f.fact_id, relationship, bool_or(side = 'source') AS s, bool_or(side = 'target') AS t FROM (SELECT DISTINCT fact_id, relationship FROM facts) f LEFT JOIN ends USING (fact_id) GROUP BY ALL)
+    SELECT relationship, reason, count(*) AS n FROM (SELECT relationship, CASE WHEN NOT COALESCE(s, false) AND NOT COALESCE(t, false) THEN 'both_missing' WHEN NOT COALESCE(s, false) THEN 'source_missing' WHEN NOT COALESCE(t, false) THEN 'target_missing' END AS reason FROM have)
+    WHERE reason IS NOT NULL GROUP BY ALL"""
+)
+def edge_miss_reasons(spark: SparkSession, d: str) -> DataFrame:
+    nodes = view.nodes(spark, d)
+    return resolve.resolve_edges(_facts(spark, d, nodes), nodes)[1].groupBy("relationship", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 @_query(f"WITH {VIEW_SQL} SELECT a.id AS source_id, b.id AS target_id FROM nodes a, nodes b WHERE a.kind = 'supplier' AND b.kind = 'region'")
@@ -604,17 +654,20 @@ def constraints_topk_per_kind(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query(
-    f"""WITH {VIEW_SQL}, active AS (SELECT DISTINCT target_id AS id FROM edges WHERE source_id IN (SELECT source_id FROM edges WHERE target_id = {CUSTOMER}) AND relationship = 'renders'),
-    users AS (SELECT source_id, count(*) AS w FROM edges WHERE relationship = 'renders' AND target_id IN (SELECT id FROM active) GROUP BY source_id)
-    SELECT target_id AS id, CAST(sum(w) AS BIGINT) AS weight FROM edges JOIN users USING (source_id) WHERE relationship = 'renders' AND target_id NOT IN (SELECT id FROM active)
-    GROUP BY target_id ORDER BY weight DESC, id LIMIT 3"""
+    f"""WITH {VIEW_SQL}, ties AS (SELECT relationship, s.file_path AS source_file, t.file_path AS target_file, t.kind AS target_kind FROM edges JOIN nodes s ON s.id = source_id JOIN nodes t ON t.id = target_id WHERE relationship IN ('renders', 'routes_to')),
+    active AS (SELECT DISTINCT target_file AS f FROM ties WHERE relationship = 'renders' AND source_file IN (SELECT s.file_path FROM edges e JOIN nodes s ON s.id = e.source_id WHERE e.target_id = {CUSTOMER})),
+    users AS (SELECT source_file AS f, CASE relationship WHEN 'renders' THEN 22 ELSE 12 END + 0.5 AS score FROM ties WHERE source_file <> target_file AND target_file IN (SELECT f FROM active)),
+    used AS (SELECT target_file, CASE relationship WHEN 'routes_to' THEN 4 ELSE 0 END + CASE WHEN regexp_replace(target_file, '/[^/]*$', '') IN (SELECT regexp_replace(f, '/[^/]*$', '') FROM active) THEN 10 ELSE 0 END
+        + CASE WHEN target_kind = 'part' THEN 4 ELSE 0 END AS score FROM ties WHERE source_file IN (SELECT f FROM users))
+    SELECT f AS file_path, CAST(round(sum(score), 6) AS DOUBLE) AS score FROM (SELECT * FROM users UNION ALL SELECT * FROM used) WHERE f NOT IN (SELECT f FROM active) GROUP BY f HAVING sum(score) > 0 ORDER BY score DESC, f LIMIT 3"""
 )
 def peer_two_hop(spark: SparkSession, d: str) -> DataFrame:
-    edges = view.edges(spark, d)
+    nodes, edges = _view(spark, d)
     orders = edges.where(F.col("target_id") == CUSTOMER).select("source_id")
-    renders = edges.where("relationship = 'renders'").select("source_id", "target_id")
-    active = renders.join(orders, "source_id", "left_semi").select(F.col("target_id").alias("id")).distinct()
-    return context.peers(renders, active)
+    parts = edges.where("relationship = 'renders'").join(orders, "source_id", "left_semi").select(F.col("target_id").alias("id"))
+    active = nodes.join(parts, "id", "left_semi").select("file_path")
+    bonus = F.when(F.col("target_kind") == "part", 4).otherwise(0)
+    return context.peers(edges, nodes, active, active, {"renders": 22, "routes_to": 12}, {"routes_to": 4, "renders": 0}, F.lit(0.5), bonus)
 
 
 @_query(

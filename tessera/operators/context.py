@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.storage import small, stash
 from ..functions.text import path_terms
 from .mining import PUBLIC
+from .traverse import weight
 
 #: What a symbol, a node of the first and of another start's file add to a file's
 #: score, and an edge to another file, where one of the two is a start's and else.
@@ -43,14 +44,26 @@ def constraints(rules: DataFrame, kinds: DataFrame, per_kind: int = 3, k: int =
     return top.orderBy(F.desc("confidence"), F.desc("frequency"), "kind", "property").limit(k).select("kind", "property", "confidence", "frequency", "rank")
 
 
-def peers(uses: DataFrame, active: DataFrame, k: int = 3) -> DataFrame:
-    """(id, weight): what the users of the active nodes also use; a user weighs as
-    often as it uses active nodes."""
-    act = small(stash(active, "active"))
-    users = uses.join(act, uses["target_id"] == act["id"], "left_semi").groupBy("source_id").agg(F.count(F.lit(1)).alias("w"))
-    others = uses.join(act, uses["target_id"] == act["id"], "left_anti")
-    out = others.join(users, "source_id").groupBy(F.col("target_id").alias("id")).agg(F.sum("w").alias("weight"))
-    return out.orderBy(F.desc("weight"), "id").limit(k)
+def peers(edges: DataFrame, nodes: DataFrame, active: DataFrame, working: DataFrame, users: dict[str, int], used: dict[str, int], user_bonus: Column, used_bonus: Column, k: int = 3) -> DataFrame:
+    """(file_path, score): the files beside the working ones that use ``active`` files, or that their users use.
+
+    An edge of a relationship in ``users`` from a file to another, active one gives its weight and
+    ``user_bonus`` (over source_kind) to the using file; each edge of a relationship in ``used``
+    out of such a file gives its weight, ``used_bonus`` (over target_file, target_kind) and 10 for
+    a file in the directory of an active one."""
+    end = lambda x: nodes.select(F.col("id").alias(f"{x}_id"), F.col("file_path").alias(f"{x}_file"), F.col("kind").alias(f"{x}_kind"))
+    ties = edges.where(F.col("relationship").isin(*users, *used)).join(end("source"), "source_id").join(end("target"), "target_id")
+    act, work = (small(stash(x.select(F.col("file_path").alias("_f")).distinct(), "files")) for x in (active, working))
+    into = ties.where(F.col("relationship").isin(*users) & (F.col("source_file") != F.col("target_file"))).join(act, F.col("target_file") == F.col("_f"), "left_semi")
+    into = stash(into.select("source_file", (weight(F.col("relationship"), users, 0) + user_bonus).cast("double").alias("score")), "users")
+    using = into.select("source_file").distinct()
+    directory = lambda c: F.regexp_replace(c, "/[^/]*$", "")
+    near = small(stash(act.select(directory("_f").alias("_d"), F.lit(10).alias("near")).distinct(), "directories"))
+    out = ties.where(F.col("relationship").isin(*used)).join(using, "source_file", "left_semi").join(near, directory("target_file") == F.col("_d"), "left")
+    gain = weight(F.col("relationship"), used, 0) + F.coalesce("near", F.lit(0)) + used_bonus
+    rows = into.select(F.col("source_file").alias("file_path"), "score").union(out.select("target_file", gain.cast("double")))
+    best = rows.groupBy("file_path").agg(F.round(F.sum("score"), 6).alias("score")).where("score > 0")
+    return best.join(work, F.col("file_path") == F.col("_f"), "left_anti").orderBy(F.desc("score"), "file_path").limit(k)
 
 
 def score_floor(scored: DataFrame, least: float = 12, share: float = 0.18) -> DataFrame:
