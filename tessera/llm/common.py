@@ -8,8 +8,6 @@ an Arrow batch and never decodes a text merely to find its words.
 from __future__ import annotations
 
 import contextlib
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,6 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.storage import shared_dir, stash  # noqa: F401
+
 #: Java and RE2 class of the characters that separate words.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -30,28 +30,6 @@ BROADCAST_ROWS = 500_000
 BATCH_ROWS = 2_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``,
-    or a new temporary folder where the session has none (local tests)."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().getOrElse(None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="tessera-")
-        sc.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def stash(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
-
-    This cuts the lineage in storage that outlives executors, keeps column
-    pruning, and gives the optimizer real sizes for what comes next."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only after counting; a larger table is left to a
     shuffled join, which Spark splits where keys are skewed.  ``df`` must be
