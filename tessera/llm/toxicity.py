@@ -8,7 +8,7 @@
   over all documents.
 * Search: the ``NEIGHBOURS`` examples with the largest TF-IDF cosine, exactly, by
   an inverted index in blocks.  Each term keeps its largest weight for each block that
-  has it; blocks are visited by their bound, in steps that double, until it falls below
+  has it; blocks are visited by their bound, in growing steps, until it falls below
   the k-th best score.
 * Score: the neighbours vote with their cosine as weight, and votes are
   calibrated (monotone bins) on the examples themselves, each left out of its
@@ -46,8 +46,8 @@ MAX_TERMS = 4_096
 CHI_SQUARE = 29.7
 NEIGHBOURS = 15
 BLOCK = 32
-#: Blocks that the first step of a search visits.
-FIRST = 4
+#: Blocks that the first step of a search visits, and by how much a step is larger than the one before.
+FIRST, GROWTH = 32, 4
 BINS = 10
 REMEMBER = 50_000
 
@@ -144,7 +144,7 @@ class Index:
             visit = visit[(bound[visit] > 0) & (bound[visit] >= least)]
             if not len(visit):
                 break
-            done, step = done + step, 2 * step
+            done, step = done + step, GROWTH * step
             wanted = np.zeros(len(bound), bool)
             wanted[visit] = True
             here = np.flatnonzero(wanted[block])
@@ -152,7 +152,7 @@ class Index:
             score = np.bincount(self.example[postings], np.repeat(q[here], m) * self.weight[postings], len(self.ids))
             if skip >= 0:
                 score[skip] = 0
-            hit = np.flatnonzero(score > 0)
+            hit = np.flatnonzero(score >= least if least > 0 else score > 0)
             all_at, all_ = np.concatenate([best_at, hit]), np.concatenate([best, score[hit]])
             keep = np.lexsort((all_at, -all_))[:k]
             best_at, best = all_at[keep], all_[keep]
