@@ -7,9 +7,11 @@
   would scale a document's cosines alike); inverse document frequencies are counted
   over all documents.
 * Search: the ``NEIGHBOURS`` examples with the largest TF-IDF cosine, exactly, by
-  an inverted index in blocks.  Each term keeps its largest weight for each block that
-  has it; blocks are visited by their bound, in growing steps, until it falls below
-  the k-th best score.
+  a block-max inverted index.  The lists of the rarer terms are read in full; the ``HEAD``
+  longest lists are cut into blocks of examples and keep their largest weight in each.  A
+  block's bound is the best rare part in it plus the frequent terms' maxima; blocks are opened by
+  their bound, in growing steps, until it falls below the k-th best score.  Texts are searched
+  ``TOGETHER``, so that an opened block serves all that want it.
 * Score: the neighbours vote with their cosine as weight, and votes are
   calibrated (monotone bins) on the examples themselves, each left out of its
   own vote.  The ids of the neighbours are the evidence.
@@ -30,6 +32,7 @@ import hashlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -46,8 +49,14 @@ MAX_TERMS = 4_096
 CHI_SQUARE = 29.7
 NEIGHBOURS = 15
 BLOCK = 32
-#: Blocks that the first step of a search visits, and by how much a step is larger than the one before.
-FIRST, GROWTH = 32, 4
+#: Terms whose lists are kept in blocks, a weight for each example: 8 * HEAD * examples bytes.
+HEAD = 512
+#: Blocks that the first step of a search opens, and by how much a step is larger than the one before.
+FIRST, GROWTH = 8, 4
+#: Texts of one search.
+TOGETHER = 128
+#: Above the rounding of a sum; cosines are ranked in units of 1e-12.
+SLACK = 1e-9
 BINS = 10
 REMEMBER = 50_000
 
@@ -94,21 +103,24 @@ class Index:
     toxic: np.ndarray
     vote: np.ndarray  # an example's class weight
     rate: float
-    starts: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # blocks of a term
-    block: np.ndarray = field(default_factory=lambda: np.empty(0, np.int32))
-    block_max: np.ndarray = field(default_factory=lambda: np.empty(0))
-    block_starts: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # postings of a term in a block
+    starts: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # postings of a term, none in the head
     example: np.ndarray = field(default_factory=lambda: np.empty(0, np.int32))
     weight: np.ndarray = field(default_factory=lambda: np.empty(0))
+    place: np.ndarray = field(default_factory=lambda: np.empty(0, np.int32))  # of a term in the head, or -1
+    blocks: np.ndarray = field(default_factory=lambda: np.zeros((0, BLOCK, 0)))  # weights by block, example, head term
+    block_max: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
     edges: np.ndarray = field(default_factory=lambda: np.zeros(0))
     rates: np.ndarray = field(default_factory=lambda: np.zeros(0))
     none: float = 0.0
 
     def counts(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Terms of a text, ascending, and how often each occurs."""
-        get = self.vocabulary
-        tf = sorted((get[w], n) for w, n in Counter(words).items() if w in get)
-        return np.array([t for t, _ in tf], np.int64), np.array([n for _, n in tf], np.int64)
+        tf = Counter(words)
+        at = np.fromiter(map(self.vocabulary.get, tf, repeat(-1)), np.int64, len(tf))
+        n = np.fromiter(tf.values(), np.int64, len(tf))
+        order = np.argsort(at)
+        order = order[np.searchsorted(at[order], 0) :]
+        return at[order], n[order]
 
     def weigh(self, at: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Terms and unit weights: (1 + ln tf) * idf."""
@@ -119,44 +131,64 @@ class Index:
         return self.weigh(*self.counts(words))
 
     def build(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        size = len(self.vocabulary)
         term = np.concatenate([at for at, _ in vectors]) if vectors else np.empty(0, np.int64)
+        weight = np.concatenate([w for _, w in vectors]) if vectors else np.empty(0)
         example = np.repeat(np.arange(len(vectors), dtype=np.int32), [len(at) for at, _ in vectors])
-        order = np.lexsort((example, term))
-        term, self.example = term[order], example[order]
-        self.weight = np.concatenate([w for _, w in vectors])[order] if vectors else np.empty(0)
-        block = self.example // BLOCK
-        first = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])])) if len(term) else np.empty(0, np.int64)
-        self.block, self.block_starts = block[first], np.append(first, len(term))
-        self.block_max = np.maximum.reduceat(self.weight, first) if len(term) else np.empty(0)
-        self.starts = np.searchsorted(term[first], np.arange(len(self.vocabulary) + 1))
-
-    def nearest(self, at: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of largest cosine (above 0), and their cosines."""
-        own, n = _ranges(self.starts[at], self.starts[at + 1])
-        q, block = np.repeat(w, n), self.block[own]
-        bound = np.bincount(block, q * self.block_max[own], -(-len(self.ids) // BLOCK))
-        order = np.argsort(-bound, kind="stable")
-        best_at, best = np.empty(0, np.int64), np.empty(0)
+        head = np.argsort(-np.bincount(term, minlength=size), kind="stable")[:HEAD]
+        self.place = np.full(size, -1, np.int32)
+        self.place[head] = np.arange(len(head))
+        self.blocks = np.zeros((-(-len(vectors) // BLOCK), BLOCK, len(head)))
+        place = self.place[term]
+        top = place >= 0
+        self.blocks[example[top] // BLOCK, example[top] % BLOCK, place[top]] = weight[top]
+        self.block_max = self.blocks.max(axis=1)
+        order = np.flatnonzero(~top)
+        order = order[np.argsort(term[order], kind="stable")]
+        self.example, self.weight = example[order], weight[order]
+        self.starts = np.searchsorted(term[order], np.arange(size + 1))
+
+    def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS, skip: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each vector the k examples of largest cosine (above 0), and their cosines;
+        ``skip`` names an example for each that is not compared."""
+        n_blocks, rows = len(self.blocks), np.arange(len(vectors))
+        head = np.zeros((len(vectors), self.blocks.shape[2]))
+        rare = np.zeros((len(vectors), n_blocks, BLOCK))
+        for i, (at, w) in enumerate(vectors):
+            place = self.place[at]
+            head[i, place[place >= 0]] = w[place >= 0]
+            at, w = at[place < 0], w[place < 0]
+            postings, n = _ranges(self.starts[at], self.starts[at + 1])
+            rare[i] = np.bincount(self.example[postings], np.repeat(w, n) * self.weight[postings], n_blocks * BLOCK).reshape(n_blocks, BLOCK)
+        bound = rare.max(axis=2) + head @ self.block_max.T
+        order = np.argsort(-bound, axis=1, kind="stable")
+        score, least = np.zeros_like(rare), np.zeros(len(vectors))
+        flat = score.reshape(len(vectors), n_blocks * BLOCK)
         done, step = 0, FIRST
-        while done < len(order):
-            visit = order[done : done + step]
-            least = best[-1] - 1e-12 if len(best) == k else 0
-            visit = visit[(bound[visit] > 0) & (bound[visit] >= least)]
-            if not len(visit):
+        while done < n_blocks:
+            visit = order[:, done : done + step]
+            bounds = np.take_along_axis(bound, visit, axis=1)
+            of, column = np.nonzero((bounds > 0) & (bounds + SLACK >= least[:, None]))
+            if not len(of):
                 break
             done, step = done + step, GROWTH * step
-            wanted = np.zeros(len(bound), bool)
-            wanted[visit] = True
-            here = np.flatnonzero(wanted[block])
-            postings, m = _ranges(self.block_starts[own[here]], self.block_starts[own[here] + 1])
-            score = np.bincount(self.example[postings], np.repeat(q[here], m) * self.weight[postings], len(self.ids))
-            if skip >= 0:
-                score[skip] = 0
-            hit = np.flatnonzero(score >= least if least > 0 else score > 0)
-            all_at, all_ = np.concatenate([best_at, hit]), np.concatenate([best, score[hit]])
-            keep = np.lexsort((all_at, -all_))[:k]
-            best_at, best = all_at[keep], all_[keep]
-        return best_at, best
+            block = visit[of, column]
+            by_block = np.argsort(block, kind="stable")
+            cuts = np.flatnonzero(np.diff(block[by_block])) + 1
+            for own in np.split(by_block, cuts):
+                b, q = block[own[0]], of[own]
+                score[q, b] = rare[q, b] + head[q] @ self.blocks[b].T
+            if skip is not None:
+                flat[rows, skip] = 0
+            if flat.shape[1] > k:
+                least = np.partition(flat, -k, axis=1)[:, -k]
+        found = []
+        for row, bar in zip(flat, least, strict=True):
+            hit = np.flatnonzero(row >= bar - SLACK if bar > SLACK else row > 0)
+            cosine = np.round(row[hit], 12)
+            keep = np.lexsort((hit, -cosine))[:k]
+            found.append((hit[keep], cosine[keep]))
+        return found
 
     def votes(self, near: np.ndarray, cosine: np.ndarray) -> float:
         w = cosine * self.vote[near]
@@ -165,9 +197,9 @@ class Index:
     def calibrate(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
         """Monotone bins of leave-one-out votes -> weighted share of toxic examples."""
         raw = np.full(len(vectors), -1.0)
-        for i, (at, w) in enumerate(vectors):
-            if len(at):
-                near, cosine = self.nearest(at, w, skip=i)
+        for a in range(0, len(vectors), TOGETHER):
+            part = vectors[a : a + TOGETHER]
+            for i, (near, cosine) in enumerate(self.nearest(part, skip=np.arange(a, a + len(part))), a):
                 if len(near):
                     raw[i] = self.votes(near, cosine)
         share = lambda m: float(((self.vote * self.toxic)[m].sum() + self.rate) / (self.vote[m].sum() + 1))
@@ -185,14 +217,13 @@ class Index:
                 merged.append([(a[0] * a[1] + b[0] * b[1]) / (a[1] + b[1]), a[1] + b[1], a[2] + b[2]])
         self.rates = np.array([r for r, _, n in merged for _ in range(int(n))])
 
-    def score(self, at: np.ndarray, w: np.ndarray) -> tuple[float, list[int]]:
-        if not len(at):
-            return self.none, []
-        near, cosine = self.nearest(at, w)
-        if not len(near):
-            return self.none, []
-        p = self.rates[np.searchsorted(self.edges, self.votes(near, cosine), side="right")]
-        return float(p), self.ids[near].tolist()
+    def score(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, list[int]]]:
+        out = []
+        for a in range(0, len(vectors), TOGETHER):
+            for near, cosine in self.nearest(vectors[a : a + TOGETHER]):
+                p = self.rates[np.searchsorted(self.edges, self.votes(near, cosine), side="right")] if len(near) else self.none
+                out.append((float(p), self.ids[near].tolist()))
+        return out
 
 
 def document_frequencies(docs: DataFrame, vocabulary: dict[bytes, int], text: str = "text") -> tuple[np.ndarray, int]:
@@ -281,15 +312,17 @@ def score(docs: DataFrame, index: Index, text: str = "text", carry: list[str] |
     known: dict[bytes, tuple[float, list[int]]] = {}
 
     def run(texts: list[bytes]) -> dict[str, object]:
-        index, out = shared.value, []
+        index = shared.value
+        if len(known) >= REMEMBER:
+            known.clear()
+        keys, new = [], {}
         for t in texts:
             at, tf = index.counts(terms(t))
-            key = hashlib.md5(np.concatenate([at, tf]).tobytes()).digest()
-            if key not in known:
-                if len(known) >= REMEMBER:
-                    known.clear()
-                known[key] = index.score(*index.weigh(at, tf))
-            out.append(known[key])
+            keys.append(hashlib.md5(np.concatenate([at, tf]).tobytes()).digest())
+            if keys[-1] not in known:
+                new[keys[-1]] = index.weigh(at, tf)
+        known.update(zip(new, index.score(list(new.values())), strict=True))
+        out = [known[key] for key in keys]
         scores = [min(1.0, max(0.0, s)) for s, _ in out]
         return {"score": scores, "predicted": [int(s >= 0.5) for s in scores], "evidence": [e for _, e in out]}
 

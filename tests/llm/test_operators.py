@@ -209,10 +209,11 @@ def test_toxicity_search_is_exact():
     for i, (at, w) in enumerate(vectors):
         dense[i, list(at)] = w
     for i in range(0, 60, 3):
-        near, cosine = index.nearest(*vectors[i])
+        [(near, cosine)] = index.nearest([vectors[i]])
         assert np.allclose(np.sort(cosine), np.sort(dense @ dense[i])[-len(cosine) :])
     index.calibrate(vectors)
-    assert index.score(*vectors[0])[0] > 0.5 > index.score(*index.vector([b"nothing"]))[0]
+    (first, _), (none, evidence) = index.score([vectors[0], index.vector([b"nothing"])])
+    assert first > 0.5 > none and evidence == []
 
 
 def test_language_id(spark):

@@ -6,6 +6,7 @@ import collections
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import language_id, packing, queries, suffix_dedup, toxicity
@@ -57,8 +58,10 @@ def test_toxicity_neighbours_are_those_of_all_terms(spark):
     assert all(got[i][0] == got[i + 100][0] == i for i in range(20))
 
 
-def test_toxicity_index_equals_all_cosines():
-    """More blocks than a search's first steps visit."""
+@pytest.mark.parametrize("head", [0, 20, 512])
+def test_toxicity_index_equals_all_cosines(monkeypatch, head):
+    """More blocks than a search's first steps open; terms in blocks, in plain lists, and in both."""
+    monkeypatch.setattr(toxicity, "HEAD", head)
     rng = np.random.default_rng(5)
     vocabulary = {f"t{i}".encode(): i for i in range(400)}
     words = [[f"t{i}".encode() for i in rng.zipf(1.3, 40) % 400] for _ in range(1_000)]
@@ -68,10 +71,12 @@ def test_toxicity_index_equals_all_cosines():
     dense = np.zeros((1_000, 400))
     for i, (at, w) in enumerate(vectors):
         dense[i, at] = w
-    for i in range(0, 1_000, 50):
-        cosine = dense @ dense[i]
-        cosine[i] = 0
-        assert np.allclose(index.nearest(*vectors[i], skip=i)[1], np.sort(cosine)[::-1][: toxicity.NEIGHBOURS])
+    some = np.arange(0, 1_000, 50)
+    for i, (near, cosine) in zip(some, index.nearest([vectors[i] for i in some], skip=some), strict=True):
+        every = np.round(dense @ dense[i], 12)
+        every[i] = 0
+        best = np.lexsort((np.arange(1_000), -every))[: toxicity.NEIGHBOURS]
+        assert near.tolist() == best.tolist() and np.allclose(cosine, every[best])
 
 
 def test_cut_keeps_every_window_in_its_smallest_id(spark):
