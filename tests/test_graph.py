@@ -9,7 +9,7 @@ import pytest
 
 from tessera import catalogue
 from tessera.functions import text
-from tessera.operators import context, mining, refresh, resolve, store, traverse, validate
+from tessera.operators import context, impact, mining, refresh, resolve, store, traverse, validate
 from tessera.sources import graph_view
 
 SF = "/root/testdata/sf0.001"
@@ -193,3 +193,29 @@ def test_working_set_scores(spark):
 def test_broken_lines_cost_a_plain_node(spark):
     rows = spark.createDataFrame([(1, 1, 0, 5, 9), (1, 2, 1, None, None), (1, 3, 1, 9, 2)], "start_id long, id long, depth int, line_start int, line_end int")
     assert {r["id"]: r["running"] for r in traverse.prune(rows, 250).collect()} == {1: 80, 2: 140, 3: 200}
+
+
+def test_impact_report(spark):
+    rows = [(1, "a", "A", "function", 1), (2, "a", "B", "method", 5), (3, "a", "C", "component", 9), (4, "b", "D", "action", 1), (5, "c", "A", "model", 1), (6, "c", "E", "method", 2), (7, "d", "F", "file", 1)]
+    nodes = spark.createDataFrame([(i, f, s, kind, "php", a, a + 1, None) for i, f, s, kind, a in rows], NODE)
+    edge = [(4, 2, "calls"), (4, 2, "renders"), (5, 1, "imports"), (6, 5, "calls"), (1, 2, "calls"), (2, 6, "calls")]
+    edges = spark.createDataFrame([(a, b, r, 2, None) for a, b, r in edge], EDGE)
+    refs = spark.createDataFrame([(1, "a"), (2, "c:A"), (3, "c:none"), (4, "x:A"), (5, "A"), (6, "x:y:z"), (7, None)], "q int, value string")
+    got = {}
+    for r in impact.starts(nodes, refs).collect():
+        got.setdefault((r["q"], r["found"]), set()).add(r["id"])
+    assert got == {(1, "file"): {1, 2, 3}, (2, "symbol in file"): {5}, (3, "file of symbol"): {5, 6}, (4, "symbol"): {1, 5}, (5, "symbol"): {1, 5}}
+    found = spark.createDataFrame([(1, 1), (2, 6)], "q int, id long")
+    assert {tuple(r) for r in impact.augment(nodes, edges, found).collect()} == {(1, 1, False), (2, 6, False), (1, 2, True), (1, 3, True), (2, 5, True)}
+    assert {tuple(r) for r in impact.file_edges(nodes, edges, 4).collect()} == {("a", 5, True), ("b", 2, False), ("c", 3, False), ("d", 0, False)}
+    target = nodes.where("id = 1").select("file_path")
+    placed = impact.placed(edges, nodes, target)
+    assert [tuple(r) for r in impact.counts(nodes, placed, target).collect()] == [(4, 4, 1, False)]
+    limit = impact.budget(summary=True, nodes=2, edges=4)
+    kept = impact.kept_nodes(nodes, placed, target, limit)
+    assert {(r["id"], r["weight"]) for r in kept.collect()} == {(1, 6), (2, 16), (3, 0), (4, 13), (5, 6)}
+    assert [tuple(r) for r in impact.kept_edges(placed, kept, limit).collect()] == [(4, 2, "calls", 0), (4, 2, "renders", 0), (5, 1, "imports", 0), (1, 2, "calls", 1)]
+    assert impact.budget(tokens=1000) == impact.Budget(8, 12, None) and impact.budget(summary=True) == impact.Budget(20, 30, 10)
+    named = spark.createDataFrame([("s", 3, "a", 1, None), ("s", 1, "a", 1, 1), ("s", 2, "b", 1, None), ("s", 4, "z", 1, None)], "spec string, pos int, file_path string, line_start int, line_end int")
+    touched = impact.touchpoints(named, target, nodes)
+    assert {(r["pos"], r["line_end"], r["status"]) for r in touched.collect()} == {(1, 1, "target"), (2, None, "impacted"), (4, None, "spec_related_not_impacted")}
