@@ -14,6 +14,13 @@ from .traverse import weight
 #: score, and an edge to another file, where one of the two is a start's and else.
 SYMBOL, PRIMARY, OTHER_START, EDGE_AT_START, EDGE = 5, 100, 75, 20, 10
 MAX_FILES = 8
+#: What makes a node an anchor of its file: the end of a symbol, kinds, and any other.
+ENTRY_SYMBOL, ENTRY_ANCHOR = "::asController", 100
+ANCHOR_PRIORITY = {
+    "inertia_page": 95, "component": 90, "action": 85, "model": 84, "migration": 83, "form_request": 82, "service": 81,
+    "config_array": 79, "method": 80, "class": 70, "function": 60, "spec": 58,
+}
+OTHER_ANCHOR = 50
 
 
 def working_set(kept: DataFrame, edges: DataFrame, nodes: DataFrame, starts: list[int], k: int = MAX_FILES) -> DataFrame:
@@ -36,6 +43,15 @@ def working_set(kept: DataFrame, edges: DataFrame, nodes: DataFrame, starts: lis
     return rows.orderBy(F.desc("score"), "file_path").limit(k)
 
 
+def anchors(nodes: DataFrame, k: int = 3) -> DataFrame:
+    """(file_path, id, priority, rank): the foremost ``k`` nodes of every file by priority, then line; ties
+    go by id.  Spark applies the rank limit before its shuffle, so no file is too large."""
+    priority = F.when(F.endswith("symbol_name", F.lit(ENTRY_SYMBOL)), ENTRY_ANCHOR).otherwise(weight(F.col("kind"), ANCHOR_PRIORITY, OTHER_ANCHOR))
+    order = Window.partitionBy("file_path").orderBy(F.desc("priority"), "line_start", "id")
+    ranked = nodes.select("file_path", "id", "line_start", priority.alias("priority")).withColumn("rank", F.row_number().over(order))
+    return ranked.where(F.col("rank") <= k).select("file_path", "id", "priority", "rank")
+
+
 def constraints(rules: DataFrame, kinds: DataFrame, per_kind: int = 3, k: int = 6, least: float = PUBLIC) -> DataFrame:
     """The best rules of each preferred kind (``kinds``: kind), then the best of all."""
     order = Window.partitionBy("kind").orderBy(F.desc("confidence"), F.desc("frequency"), "property")

@@ -211,6 +211,7 @@ def test_impact_report(spark):
     target = nodes.where("id = 1").select("file_path")
     placed = impact.placed(edges, nodes, target)
     assert [tuple(r) for r in impact.counts(nodes, placed, target).collect()] == [(4, 4, 1, False)]
+    assert [tuple(r) for r in impact.files(nodes, placed, target).collect()] == [("b", "action", 2, "calls:1,renders:1"), ("c", "method,model", 2, "calls:1,imports:1"), ("d", "file", 0, "")]
     limit = impact.budget(summary=True, nodes=2, edges=4)
     kept = impact.kept_nodes(nodes, placed, target, limit)
     assert {(r["id"], r["weight"]) for r in kept.collect()} == {(1, 6), (2, 16), (3, 0), (4, 13), (5, 6)}
@@ -219,3 +220,10 @@ def test_impact_report(spark):
     named = spark.createDataFrame([("s", 3, "a", 1, None), ("s", 1, "a", 1, 1), ("s", 2, "b", 1, None), ("s", 4, "z", 1, None)], "spec string, pos int, file_path string, line_start int, line_end int")
     touched = impact.touchpoints(named, target, nodes)
     assert {(r["pos"], r["line_end"], r["status"]) for r in touched.collect()} == {(1, 1, "target"), (2, None, "impacted"), (4, None, "spec_related_not_impacted")}
+
+
+def test_anchors_of_files(spark):
+    rows = [(1, "a", "A::asController", "method", 9), (2, "a", "B", "component", 5), (3, "a", "C", "config_array", 1), (4, "a", "D", "method", 7), (5, "a", "E", "method", 6), (6, "b", "F", "odd", 3), (7, "b", "G", "odd", 3), (8, "b", None, "odd", None)]
+    nodes = spark.createDataFrame([(i, f, s, kind, "php", a, a, None) for i, f, s, kind, a in rows], NODE)
+    got = sorted((r["file_path"], r["rank"], r["id"], r["priority"]) for r in context.anchors(nodes).collect())
+    assert got == [("a", 1, 1, 100), ("a", 2, 2, 90), ("a", 3, 5, 80), ("b", 1, 8, 50), ("b", 2, 6, 50), ("b", 3, 7, 50)]
