@@ -6,6 +6,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tessera import catalogue
 from tessera.functions import text
@@ -227,3 +228,9 @@ def test_anchors_of_files(spark):
     nodes = spark.createDataFrame([(i, f, s, kind, "php", a, a, None) for i, f, s, kind, a in rows], NODE)
     got = sorted((r["file_path"], r["rank"], r["id"], r["priority"]) for r in context.anchors(nodes).collect())
     assert got == [("a", 1, 1, 100), ("a", 2, 2, 90), ("a", 3, 5, 80), ("b", 1, 8, 50), ("b", 2, 6, 50), ("b", 3, 7, 50)]
+
+
+def test_task_scores(spark):
+    rows = [("app/UserProfile.php", "Fix the userProfile"), ("app/superusers/x.ts", "user the user"), ("a/b", None), ("a/b", ""), (None, "user")]
+    df = spark.createDataFrame(rows, "path string, task string").select(impact.task_score(F.col("path"), impact.task_terms(F.col("task"))).alias("s"))
+    assert [r["s"] for r in df.collect()] == [36, 6, 0, 0, 0]
