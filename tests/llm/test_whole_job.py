@@ -124,3 +124,13 @@ def test_packer_counts_loss_apart_from_tokens(spark):
     for r in packing.pack(docs, queries.tokenizer_path("word_bpe_49k.json"), max_loss=4, loss="answer").collect():
         got[r["doc_id"]] += r["loss_tokens"]
     assert got == {0: 5, 1: 9, 2: 0}
+
+
+def test_toxicity_without_terms_or_with_few():
+    index = toxicity.Index({}, np.zeros(0), np.array([]), np.array([]), np.array([]), 0.25, none=0.25)
+    assert index.score([index.vector([b"a"]), index.vector([])]) == [(0.25, [])] * 2 and index.score([]) == []
+    index = toxicity.Index({b"a": 0, b"b": 1}, np.ones(2), np.arange(2), np.array([1, 0]), np.ones(2), 0.5)
+    vectors = [index.vector([b"a"]), index.vector([b"b"])]
+    index.build(vectors)
+    index.calibrate(vectors)
+    assert index.score([index.vector([b"b", b"a"]), index.vector([b"z"])]) == [(0.5, [0, 1]), (0.5, [])]
