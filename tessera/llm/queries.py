@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard_join, language_id, mixing, packing, quality, suffix_dedup, token_counts, toxicity, url_filters
+from . import bpe_codec, exact_dedup, jaccard_join, language_id, lexical_search, mixing, packing, quality, suffix_dedup, token_counts, toxicity, url_filters
 from .common import read
 
 
@@ -89,11 +89,29 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted.select("doc_id", held.alias("held_out"), f"{name}.*")
 
 
+def op11_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path("byte_bpe_50k.json")
+    encoded, made = bpe_codec.encode(read(spark, sf_dir, "documents"), path, carry=["doc_id"])
+    encoded = encoded.select("doc_id", f"{made}.ids")
+    decoded, made = bpe_codec.decode(encoded, path)
+    return decoded.select(
+        "doc_id",
+        F.expr("octet_length(ids) div 4").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col(f"{made}.decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_url_filters, op2_toxicity, op3_mixing, op4_suffix_dedup, op5_quality_rules,
         op6_exact_dedup, op7_token_counts, op8_jaccard_join, op9_packing, op10_language_id,
+        op11_bpe_codec, op12_lexical_search,
     )
 }
 
@@ -170,4 +188,30 @@ SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id IS NOT
 FROM grouped
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_url_filters": OP1_SQL, "op3_mixing": OP3_SQL, "op6_exact_dedup": OP6_SQL}
+OP12_SQL = r"""
+WITH terms AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents
+), tf AS (
+  SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY ALL
+), doc AS (
+  SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM tf GROUP BY doc_id
+), total AS (
+  SELECT count(*) AS n_all, CAST(sum(n) AS BIGINT) AS n_terms FROM doc
+), asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                     '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), weighed AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * n_all + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), total
+), scored AS (
+  SELECT item_id, tf.doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_all) // n_terms)))) AS BIGINT) AS score
+  FROM asked JOIN weighed USING (term) JOIN tf USING (term) JOIN doc ON doc.doc_id = tf.doc_id, total
+  GROUP BY item_id, tf.doc_id
+), ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank, doc_id, score FROM scored WHERE score > 0
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_url_filters": OP1_SQL, "op3_mixing": OP3_SQL, "op6_exact_dedup": OP6_SQL, "op12_lexical_search": OP12_SQL}
