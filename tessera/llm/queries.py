@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, exact_dedup, jaccard_join, language_id, lexical_search, mixing, packing, quality, suffix_dedup, token_counts, toxicity, url_filters
+from . import bpe_codec, conversation_repair, exact_dedup, jaccard_join, language_id, lexical_search, mixing, packing, quality, suffix_dedup, token_counts, toxicity, url_filters
 from .common import read
 
 
@@ -106,12 +106,31 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """``conversations`` with the contract's damage, and ``copies``: how often each row stands
+    (0: it is gone, its conversation is not)."""
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat(name("conv_id"), F.lit(":"), name("turn")).cast("binary")) % 20
+    text = F.when(kind == 1, "").when(kind == 2, F.translate(name("text"), ".!?", "")).otherwise(name("text"))
+    role = F.when(kind == 4, "user").otherwise(name("role"))
+    copies = F.when(kind == 0, 0).when(kind == 3, 2).otherwise(1)
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), copies.alias("copies"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = damaged(read(spark, sf_dir, "conversations"))
+    report, repaired = conversation_repair.repair(rows, copies="copies")
+    hashed = conversation_repair.digest(repaired).select(F.col("conv").alias("conv_id"), "audit", F.col("sha256").alias("repaired_sha256"))
+    counts = [c for c in report.columns if c != "conv"]
+    return hashed.join(report, F.col("conv_id").eqNullSafe(F.col("conv"))).select("conv_id", *counts, "audit", "repaired_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_url_filters, op2_toxicity, op3_mixing, op4_suffix_dedup, op5_quality_rules,
         op6_exact_dedup, op7_token_counts, op8_jaccard_join, op9_packing, op10_language_id,
-        op11_bpe_codec, op12_lexical_search,
+        op11_bpe_codec, op12_lexical_search, op13_conversation_repair,
     )
 }
 
@@ -214,4 +233,66 @@ WITH terms AS (
 SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_url_filters": OP1_SQL, "op3_mixing": OP3_SQL, "op6_exact_dedup": OP6_SQL, "op12_lexical_search": OP12_SQL}
+OP13_SQL = r"""
+WITH RECURSIVE crc AS (  -- the table of CRC-32, of polynomial 0xEDB88320
+  SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0],
+           lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), base AS (
+  SELECT conv_id, turn, COALESCE(role, ' ') AS role, COALESCE(text, ' ') AS text,
+         xor(list_reduce(list_prepend(4294967295, list_transform(string_split(COALESCE(CAST(conv_id AS VARCHAR), ' ') || ':' || COALESCE(CAST(turn AS VARCHAR), ' '), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+                         lambda c, b: xor(t[CAST(xor(c, b) & 255 AS INTEGER) + 1], c >> 8)), 4294967295) % 20 AS kind
+  FROM conversations, crc
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM base WHERE kind <> 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth,
+         regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS last_char,
+         CASE WHEN role[1] IN ('s', 'u', 'a') THEN role[1] ELSE '?' END AS initial
+  FROM damaged
+), judged AS (
+  SELECT *, CASE WHEN last_char = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN last_char NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+         lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS previous
+  FROM placed
+), inserted(q, inserts, cost, now, lines) AS (
+  VALUES ('', '', 0, '', ''), ('', 'I', 2, 'u', 'user:'), ('', 'II', 4, 'a', 'user:' || chr(10) || 'assistant:'),
+         ('s', '', 0, 's', ''), ('s', 'I', 2, 'u', chr(10) || 'user:'), ('s', 'II', 4, 'a', chr(10) || 'user:' || chr(10) || 'assistant:'),
+         ('u', '', 0, 'u', ''), ('u', 'I', 2, 'a', chr(10) || 'assistant:'),
+         ('a', '', 0, 'a', ''), ('a', 'I', 2, 'u', chr(10) || 'user:')
+), moved(q, letter, initial, cost, now) AS (
+  VALUES ('', 'K', 's', 0, 's'), ('', 'K', 'u', 0, 'u'), ('s', 'K', 'u', 0, 'u'), ('u', 'K', 'a', 0, 'a'), ('a', 'K', 'u', 0, 'u'),
+         ('', 'R', NULL, 2, 'u'), ('s', 'R', NULL, 2, 'u'), ('u', 'R', NULL, 2, 'a'), ('a', 'R', NULL, 2, 'u'),
+         ('', 'D', NULL, 3, ''), ('s', 'D', NULL, 3, 's'), ('u', 'D', NULL, 3, 'u'), ('a', 'D', NULL, 3, 'a')
+), paths AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, '' AS q, 0 AS cost, '' AS audit, '' AS lines FROM judged
+  UNION ALL
+  SELECT conv_id, i, q, cost, audit, lines FROM (
+    SELECT p.conv_id, j.i, m.now AS q, p.cost + n.cost + m.cost + CASE WHEN j.fault = 'truncated' AND m.letter <> 'D' THEN 1 ELSE 0 END AS cost,
+           p.audit || n.inserts || m.letter AS audit,
+           p.lines || n.lines || CASE m.letter WHEN 'D' THEN '' ELSE CASE WHEN m.q = '' THEN '' ELSE chr(10) END
+             || CASE m.letter WHEN 'K' THEN j.role WHEN 'R' THEN CASE m.now WHEN 'u' THEN 'user' ELSE 'assistant' END END || ':' || j.text END AS lines
+    FROM paths p JOIN judged j ON j.conv_id IS NOT DISTINCT FROM p.conv_id AND j.i = p.i + 1
+    JOIN inserted n ON n.q = p.q JOIN moved m ON m.q = n.now AND (m.initial IS NULL OR m.initial = j.initial)
+    WHERE m.letter = 'D' OR j.fault NOT IN ('blank', 'duplicate')
+    QUALIFY row_number() OVER (PARTITION BY p.conv_id, m.now ORDER BY p.cost + n.cost + m.cost + CASE WHEN j.fault = 'truncated' AND m.letter <> 'D' THEN 1 ELSE 0 END, p.audit || n.inserts || m.letter) = 1
+  )
+), ended AS (
+  SELECT p.conv_id, p.cost + n.cost AS cost, p.audit || n.inserts AS audit, p.lines || n.lines AS lines
+  FROM paths p JOIN (SELECT conv_id, max(i) AS i FROM judged GROUP BY conv_id) e ON e.conv_id IS NOT DISTINCT FROM p.conv_id AND e.i = p.i
+  JOIN inserted n ON n.q = p.q AND n.now IN ('', 'a')
+  QUALIFY row_number() OVER (PARTITION BY p.conv_id ORDER BY p.cost + n.cost, p.audit || n.inserts) = 1
+), counted AS (
+  SELECT conv_id, COALESCE(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+         count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (previous IS NOT NULL AND previous || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM judged GROUP BY conv_id
+)
+SELECT o.conv_id, CAST(COALESCE(gaps, 0) AS BIGINT) AS gaps, COALESCE(blank, 0) AS blank, COALESCE(duplicate, 0) AS duplicate, COALESCE(truncated, 0) AS truncated,
+       COALESCE(illegal, 0) AS illegal, CAST(COALESCE(cost, 0) AS BIGINT) AS cost, COALESCE(audit, '') AS audit, sha256(COALESCE(lines, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_url_filters": OP1_SQL, "op3_mixing": OP3_SQL, "op6_exact_dedup": OP6_SQL, "op12_lexical_search": OP12_SQL, "op13_conversation_repair": OP13_SQL}
