@@ -37,13 +37,19 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def names_rows(docs: DataFrame, key: str) -> bool:
+    """Whether ``key`` names each row of ``docs`` by a whole number of its own."""
+    if not isinstance(docs.schema[key].dataType, T.IntegralType):
+        return False
+    per_id = docs.groupBy(F.col(f"`{key}`").alias("_id")).agg(F.count(F.lit(1)).alias("_n"))
+    return per_id.where("_n > 1 or _id is null").isEmpty()
+
+
 def named_rows(docs: DataFrame, key: str) -> tuple[DataFrame, str]:
     """``docs`` and a column that names each of its rows by a whole number: ``key`` if it
     does, else the row's number in a written copy, under a name that is free."""
-    if isinstance(docs.schema[key].dataType, T.IntegralType):
-        per_id = docs.groupBy(F.col(f"`{key}`").alias("_id")).agg(F.count(F.lit(1)).alias("_n"))
-        if per_id.where("_n > 1 or _id is null").isEmpty():
-            return docs, key
+    if names_rows(docs, key):
+        return docs, key
     name = free_name(docs, "_row")
     return stash(docs.withColumn(name, F.monotonically_increasing_id()), "named-rows"), name
 

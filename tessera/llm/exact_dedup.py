@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, broadcast_if_small, named_rows, stash
+from .common import SPACE, broadcast_if_small, free_name, named_rows, stash
 
 
 def _decided(docs: DataFrame, key: str, text: str, row: str) -> DataFrame:
@@ -60,6 +60,7 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     """``docs`` with one row of each group of equal texts, the one that stays; where its id
     repeats, the first such row of the group."""
     named, row = named_rows(docs, key)
-    gone = stash(_decided(named, key, text, row).where("_row <> keep_row").select(F.col("_row").alias("_gone")), "exact-gone")
-    left = named.join(broadcast_if_small(gone), F.col(f"`{row}`") == F.col("_gone"), "left_anti")
+    own = free_name(named, "_gone")
+    gone = stash(_decided(named, key, text, row).where("_row <> keep_row").select(F.col("_row").alias(own)), "exact-gone")
+    left = named.join(broadcast_if_small(gone), F.col(f"`{row}`") == F.col(f"`{own}`"), "left_anti")
     return left.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, broadcast_if_small, chunks, gram_hashes, lean, mix64, named_rows, small_batches, stash, text_bytes
+from .common import WordHashes, broadcast_if_small, chunks, free_name, gram_hashes, lean, mix64, named_rows, small_batches, stash, text_bytes
 from .components import components
 
 SHINGLE = 5
@@ -498,9 +498,12 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     named, row = named_rows(docs, key)
     found = _components_of(_rows(named, row, text))
     if row == key:
-        gone = stash(found.where("component <> id").select(F.col("id").alias("_gone")), "jaccard-gone")
-        return docs.join(broadcast_if_small(gone), F.col(f"`{key}`") == F.col("_gone"), "left_anti")
+        mark = free_name(docs, "_gone")
+        gone = stash(found.where("component <> id").select(F.col("id").alias(mark)), "jaccard-gone")
+        return docs.join(broadcast_if_small(gone), F.col(f"`{key}`") == F.col(f"`{mark}`"), "left_anti")
     own = named.select(F.col(f"`{row}`").alias("id"), F.col(f"`{key}`").alias("_name"))
     first = F.min(F.struct(F.col("_name").isNull().alias("x"), F.col("_name").alias("y"), F.col("id").alias("stays")))
-    stay = stash(found.join(own, "id").groupBy("component").agg(first.alias("m")).select(F.col("m.stays").alias("_stays")), "jaccard-stay")
-    return named.join(stay, F.col(f"`{row}`") == F.col("_stays"), "left_semi").drop(row)
+    mark = free_name(named, "_stays")
+    stay = stash(found.join(own, "id").groupBy("component").agg(first.alias("m")).select(F.col("m.stays").alias(mark)), "jaccard-stay")
+    left = named.join(stay, F.col(f"`{row}`") == F.col(f"`{mark}`"), "left_semi")
+    return left.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -7,37 +7,35 @@ width w is a table of w x 256 weights, so convolving is looking up and adding;
 for speed, pairs of adjacent bytes are looked up at once.
 
 The network is trained in numpy on at most ``PER_LANGUAGE`` labelled texts for each
-language (chosen by a hash of the id; a documented bound), of each ``TRAIN_WINDOWS`` windows
-from anywhere in it, and broadcast: its size depends on the number of languages alone.  Prediction reads every byte.
+language and ``MAX_ROWS`` of all (chosen by a hash of the id; a documented bound), on all
+their windows, and broadcast: its size depends on the number of languages alone.  Prediction
+reads every byte.
 
 Edge cases: a null text or one without a letter is ``und`` with score 0.  A text shorter
 than a window is one padded window.  Very long texts form slices of their own.
 Without any labelled text every language is ``und``.  Null languages teach
-nothing; repeated rows are predicted alike; an empty table gives no rows.
+nothing; of rows that share an id and a language the least text teaches; repeated rows are
+predicted alike; languages of equal probability tie by name.  Other columns pass through, and
+one named like the result keeps its name.  An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import annotate, chunks, free_name, lean, mix64, small_batches, text_bytes
+from .common import annotate, free_name
 
-PER_LANGUAGE = 250
-#: Languages to tell apart, at most (of more, the most frequent).
-MAX_LANGUAGES = 500
+#: Rows that training uses: of a language, and of all (where there are many languages, each gets
+#: an equal part, down to one row; the most frequent come first).
+PER_LANGUAGE, MAX_ROWS = 100, 20_000
 WIDTHS = (2, 3, 4)
 FILTERS = 12
 WINDOW = 256
-#: Windows of a text that training uses at most (chosen by hash from the whole text).
-TRAIN_WINDOWS = 4
 EPOCHS, RATE, BATCH = 12, 0.05, 64
 
 RESULT = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
@@ -92,17 +90,10 @@ class Network:
         return z / z.sum(1, keepdims=True)
 
 
-def sampled(text: bytes) -> np.ndarray:
-    """TRAIN_WINDOWS windows of a text (all, if it has no more), by a hash of text and place."""
-    rows, _ = windows([text])
-    at = mix64(np.arange(len(rows), dtype=np.uint64) ^ np.uint64(xxhash.xxh3_64_intdigest(text)))
-    return rows[np.sort(np.argsort(at, kind="stable")[:TRAIN_WINDOWS])]
-
-
 def train(texts: list[bytes], labels: list[str], seed: int = 7) -> Network:
-    """A network from whole texts."""
-    own = [sampled(t) for t in texts]
-    return fit(np.concatenate(own) if own else np.empty((0, 0), np.uint8), [x for x, o in zip(labels, own, strict=True) for _ in o], seed)
+    """A network from all windows of texts."""
+    rows, own = windows(texts)
+    return fit(rows, [labels[i] for i in own.tolist()], seed)
 
 
 def fit(rows: np.ndarray, labels: list[str], seed: int = 7) -> Network:
@@ -145,34 +136,26 @@ def fit(rows: np.ndarray, labels: list[str], seed: int = 7) -> Network:
 
 
 def learn(docs: DataFrame, teach: Column, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Network:
-    """Train on at most PER_LANGUAGE texts of each language among the rows that
-    ``teach`` allows.  The choice looks at ids and languages alone, and Spark
-    limits each group before it shuffles (a rank filter); tasks take the windows of the
-    chosen rows, which (bounded) come to the driver, where training takes seconds."""
+    """Train on all windows of at most PER_LANGUAGE texts of each language among the rows
+    that ``teach`` allows.  The choice looks at ids and languages alone, and Spark limits
+    each group before it shuffles (a rank filter).  The chosen rows, one for each id, come to
+    the driver, where training takes seconds."""
     usable = docs.where(teach & F.col(f"`{lang}`").isNotNull() & F.col(f"`{text}`").isNotNull())
     ids = usable.select(F.col(f"`{key}`").alias("_id"), F.col(f"`{lang}`").alias("_lang"))
-    languages = [r["_lang"] for r in ids.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(MAX_LANGUAGES).collect()]
+    languages = [r["_lang"] for r in ids.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(MAX_ROWS).collect()]
+    each = min(PER_LANGUAGE, MAX_ROWS // max(1, len(languages)))
     order = Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
     ranked = ids.where(F.col("_lang").isin(languages)).withColumn("_n", F.row_number().over(order))
-    chosen = [(r["_id"], r["_lang"]) for r in ranked.where(F.col("_n") <= PER_LANGUAGE).collect()]
+    chosen = [(r["_id"], r["_lang"]) for r in ranked.where(F.col("_n") <= each).collect()]
     if not chosen:
         return train([], [])
     kinds = [T.StructField("_id", docs.schema[key].dataType), T.StructField("_lang", docs.schema[lang].dataType)]
     picked = F.broadcast(docs.sparkSession.createDataFrame(chosen, T.StructType(kinds)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in chunks(batch, "_t"):
-                own = [[w.tobytes() for w in sampled(t)] for t in text_bytes(part.column("_t"))]
-                yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_lang"), pa.array(own, pa.list_(pa.binary()))], ["_id", "_lang", "_w"])
-
     taught = usable.select(F.col(f"`{key}`").alias("_id"), F.col(f"`{lang}`").alias("_lang"), F.col(f"`{text}`").alias("_t"))
-    taught = taught.join(picked, ["_id", "_lang"], "left_semi").select("_id", "_lang", "_t")
-    schema = T.StructType([*kinds, T.StructField("_w", T.ArrayType(T.BinaryType()))])
-    rows = small_batches(taught).mapInArrow(lean(run), schema).collect()
-    rows.sort(key=lambda r: (r["_id"], r["_lang"], r["_w"]))
-    flat = np.frombuffer(b"".join(bytes(w) for r in rows for w in r["_w"]), np.uint8)
-    return fit(flat.reshape(-1, WINDOW + max(WIDTHS) - 1), [r["_lang"] for r in rows for _ in r["_w"]])
+    taught = taught.join(picked, ["_id", "_lang"], "left_semi").groupBy("_id", "_lang").agg(F.min("_t").alias("_t"))  # one text for an id
+    rows = sorted(taught.collect(), key=lambda r: (r["_id"], r["_lang"]))
+    return train([r["_t"].encode() for r in rows], [r["_lang"] for r in rows])
 
 
 def _has_letter(text: bytes) -> bool:

@@ -19,11 +19,14 @@ wherever it occurs.
    window is lost.
 4. Spans of a text are united.
 
-Edge cases: null and empty texts and those below MIN_WORDS have no spans.  A row
-with a null id is not reported, since nothing names it; rows that repeat with one id
-count as one text.  A match of a text with itself counts only where MIN_WORDS words do
-not overlap.  Very long texts form slices of their own.  An empty table gives
-no rows.  Columns other than id and text are not read.
+Where ids repeat, are null or no whole numbers, rows are numbered in the order of their
+ids (nulls last) and compared by number, so each row counts.
+
+Edge cases: null and empty texts and those below MIN_WORDS have no spans.  Rows that
+repeat wholly are texts that match each other, each reported under its id.  A match of a
+text with itself counts only where MIN_WORDS words do not overlap.  Very long texts form
+slices of their own.  An empty table gives no rows.  Columns other than id and text are
+not read; their names may clash with any used here.
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, chunks, gram_hashes, lean, mix64, small_batches, stash, text_bytes
+from .common import WordHashes, chunks, free_name, gram_hashes, lean, mix64, names_rows, small_batches, stash, text_bytes
 
 MIN_WORDS = 50
 K = 10
@@ -276,6 +279,14 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["id", "start_word", "end_word", "n_words", "other"])
 
 
+def _numbered(docs: DataFrame, key: str) -> tuple[DataFrame, str]:
+    """``docs`` and a column of different whole numbers that grow with ``key`` (nulls last)."""
+    if names_rows(docs, key):
+        return docs, key
+    name = free_name(docs, "_row")
+    return stash(docs.orderBy(F.asc_nulls_last(f"`{key}`")).withColumn(name, F.monotonically_increasing_id()), "suffix-rows"), name
+
+
 def _spans(docs: DataFrame, key: str, text: str, piece: int = PIECE) -> DataFrame:
     """(id, a, b, o): repeated spans, which may overlap, and another id that holds every
     window of MIN_WORDS in them.  Of a window's other ids the smallest is always named."""
@@ -283,10 +294,8 @@ def _spans(docs: DataFrame, key: str, text: str, piece: int = PIECE) -> DataFram
     all_ = stash(rows.mapInArrow(lean(_rows_of_minimisers), "id long, pos long, gram long"), "suffix-minimisers")
     again = stash(all_.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "suffix-repeated")
     kept = all_.join(again, "gram", "left_semi")
-    # one text may count a gram once: rows repeated with the same id are no match
     places = stash(kept.groupBy("id").agg(F.collect_list(F.struct("pos")).alias("at")), "suffix-places")
-    wanted = rows.join(places, "id").dropDuplicates(["id"]) if _repeats(places, rows) else rows.join(places, "id")
-    suffixes = stash(wanted.select("id", "text", "at").mapInArrow(lean(_rows_of_contexts), _SUFFIX), "suffix-contexts")
+    suffixes = stash(rows.join(places, "id").select("id", "text", "at").mapInArrow(lean(_rows_of_contexts), _SUFFIX), "suffix-contexts")
     order = ["gram", "after", "before", "id", "pos"]
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = suffixes.repartitionByRange(n, *order).sortWithinPartitions(*order)
@@ -309,14 +318,14 @@ def _united_spans(spans: DataFrame) -> DataFrame:
 def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", piece: int = PIECE) -> DataFrame:
     """(key, start_word, end_word, n_words, other_<key>): the passages of at least
     MIN_WORDS words that occur elsewhere, and the smallest id that holds one of
-    their parts (another one if that is the row's own).  ``key`` must be an integer."""
-    merged = _united_spans(_spans(docs, key, text, piece))
-    return merged.select(F.col("id").alias(key), "start_word", "end_word", "n_words", F.col("other").alias(f"other_{key}"))
-
-
-def _repeats(places: DataFrame, rows: DataFrame) -> bool:
-    """Whether an id names several rows, of those that matter."""
-    return not rows.select("id").join(places.select("id"), "id", "left_semi").groupBy("id").count().where("count > 1").isEmpty()
+    their parts (another one if that is the row's own)."""
+    named, row = _numbered(docs.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias(text)), key)
+    merged = _united_spans(_spans(named, row, text, piece))
+    if row == key:
+        return merged.select(F.col("id").alias(key), "start_word", "end_word", "n_words", F.col("other").alias(f"other_{key}"))
+    name = lambda number, wish: named.select(F.col(f"`{row}`").alias(number), F.col(f"`{key}`").alias(wish))
+    found = merged.join(name("id", "_name"), "id").join(name("other", "_other"), "other")
+    return found.select(F.col("_name").alias(key), "start_word", "end_word", "n_words", F.col("_other").alias(f"other_{key}"))
 
 
 def _superfluous(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,10 +357,12 @@ def cut(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with every repeated passage cut out but for the one in the
     smallest id, where each window of MIN_WORDS stays whole, also if a smaller id has a
     part of it; the words that stay are joined by single spaces where a text changes."""
-    grouped = _spans(docs, key, text).groupBy("id").agg(F.collect_list(F.struct("a", "b", "o")).alias("spans")).where(F.exists("spans", lambda s: s["o"] < F.col("id")))
+    named, row = _numbered(docs, key)
+    own, marks = free_name(named, "_id"), free_name(named, "_spans")
+    grouped = _spans(named, row, text).groupBy("id").agg(F.collect_list(F.struct("a", "b", "o")).alias("spans")).where(F.exists("spans", lambda s: s["o"] < F.col("id")))
     spans = grouped.mapInArrow(lean(_superfluous), "id long, start_word long, end_word long")
-    spans = spans.groupBy(F.col("id").alias("_id")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("_spans"))
+    spans = spans.groupBy(F.col("id").alias(own)).agg(F.collect_list(F.struct("start_word", "end_word")).alias(marks))
     words = F.filter(F.split(F.col(f"`{text}`"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    keep = F.filter(words, lambda w, i: ~F.exists("_spans", lambda s: (s["start_word"] <= i) & (i < s["end_word"])))
-    changed = F.when(F.col("_spans").isNull(), F.col(f"`{text}`")).otherwise(F.array_join(keep, " "))
-    return docs.join(spans, docs[f"`{key}`"] == spans["_id"], "left").withColumn(text, changed).select(*(F.col(f"`{c}`") for c in docs.columns))
+    keep = F.filter(words, lambda w, i: ~F.exists(F.col(f"`{marks}`"), lambda s: (s["start_word"] <= i) & (i < s["end_word"])))
+    changed = F.when(F.col(f"`{marks}`").isNull(), F.col(f"`{text}`")).otherwise(F.array_join(keep, " "))
+    return named.join(spans, F.col(f"`{row}`") == F.col(f"`{own}`"), "left").withColumn(text, changed).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -44,9 +44,6 @@ from pyspark.sql import types as T
 from .common import annotate, chunks, free_name, lean, small_batches, text_bytes
 
 PER_LABEL = 3_000
-MAX_TERMS = 4_096
-#: Chi-square with one degree of freedom at p = 0.05 / 1,000,000 terms.
-CHI_SQUARE = 29.7
 NEIGHBOURS = 15
 BLOCK = 32
 #: Terms whose lists are kept in blocks, a weight for each example: 8 * HEAD * examples bytes.
@@ -60,7 +57,9 @@ SLACK = 1e-9
 BINS = 10
 REMEMBER = 50_000
 
-RESULT = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("evidence", T.ArrayType(T.LongType()))])
+def result(id_type: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("evidence", T.ArrayType(id_type))])
+
 
 _TERM_BYTES = bytes((b + 32 if 65 <= b <= 90 else b) if chr(b).isalpha() or b >= 128 else 32 for b in range(256))
 
@@ -77,24 +76,6 @@ def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(lo - end + n, n) + np.arange(end[-1] if len(end) else 0), n
 
 
-def select_terms(words: list[set[bytes]], toxic: np.ndarray, limit: int = MAX_TERMS) -> list[bytes]:
-    """The terms that depend most on the label, by chi-square of presence (for reports: the
-    index holds all terms)."""
-    n, pos = len(words), int(toxic.sum())
-    if not 0 < pos < n:
-        return []
-    have = Counter(w for ws in words for w in ws)
-    in_toxic = Counter(w for ws, y in zip(words, toxic, strict=True) if y for w in ws)
-    found = []
-    for w, m in have.items():
-        a = in_toxic[w]
-        b, c, d = m - a, pos - a, n - pos - m + a
-        bottom = (a + b) * (c + d) * (a + c) * (b + d)
-        if bottom and (chi := n * (a * d - b * c) ** 2 / bottom) >= CHI_SQUARE:
-            found.append((-chi, w))
-    return [w for _, w in sorted(found)[:limit]]
-
-
 @dataclass
 class Index:
     vocabulary: dict[bytes, int]
@@ -112,6 +93,7 @@ class Index:
     edges: np.ndarray = field(default_factory=lambda: np.zeros(0))
     rates: np.ndarray = field(default_factory=lambda: np.zeros(0))
     none: float = 0.0
+    id_type: T.DataType = field(default_factory=T.LongType)
 
     def counts(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Terms of a text, ascending, and how often each occurs."""
@@ -242,16 +224,15 @@ def document_frequencies(docs: DataFrame, vocabulary: dict[bytes, int], text: st
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["term", "n"])
 
-    rows = small_batches(docs).select(F.col(f"`{text}`")).mapInArrow(lean(run), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    rows = small_batches(docs).select(F.col(f"`{text}`")).mapInArrow(lean(run), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(len(vocabulary) + 1, np.int64)
-    for r in rows:
-        out[r["term"]] = r["n"]
+    out[rows.column("term").to_numpy()] = rows.column("n").to_numpy()
     return out[:-1], int(out[-1])
 
 
 def example_terms(docs: DataFrame, chosen: list[tuple], key: str = "doc_id", text: str = "text") -> pa.Table:
-    """(_id, _y, terms, counts) of the rows whose ids are in ``chosen`` (id, label), over
-    their whole texts."""
+    """(_id, _y, terms, counts, digest) of a row for each id in ``chosen`` (id, label), over
+    whole texts; of rows that share an id, the one whose text has the least MD5."""
     id_ = T.StructField("_id", docs.schema[key].dataType)
     picked = F.broadcast(docs.sparkSession.createDataFrame(chosen, T.StructType([id_, T.StructField("_y", T.IntegerType())])))
     schema = T.StructType([id_, T.StructField("_y", T.IntegerType()), T.StructField("terms", T.ArrayType(T.BinaryType())), T.StructField("counts", T.ArrayType(T.LongType())), T.StructField("digest", T.BinaryType())])
@@ -266,7 +247,9 @@ def example_terms(docs: DataFrame, chosen: list[tuple], key: str = "doc_id", tex
                 yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_y"), *lists, digest], ["_id", "_y", "terms", "counts", "digest"])
 
     rows = docs.select(F.col(f"`{key}`").alias("_id"), F.col(f"`{text}`").alias("_t")).join(picked, "_id").select("_id", "_t", "_y")
-    return small_batches(rows).mapInArrow(lean(run), schema).toArrow().sort_by([("_id", "ascending"), ("digest", "ascending")]).combine_chunks()
+    counted = small_batches(rows).mapInArrow(lean(run), schema)
+    one = counted.groupBy("_id").agg(F.min(F.struct("digest", "_y", "terms", "counts")).alias("one")).select("_id", "one.*")
+    return one.toArrow().sort_by([("_id", "ascending")]).combine_chunks()
 
 
 def learn(docs: DataFrame, labels: DataFrame, teach: Column, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Index:
@@ -293,7 +276,7 @@ def learn(docs: DataFrame, labels: DataFrame, teach: Column, key: str = "doc_id"
     df, n = document_frequencies(docs, vocabulary, text) if vocabulary else (np.empty(0), 0)
     part = toxic.mean() if len(toxic) else 0.0
     vote = np.where(toxic == 1, rate / part if part else 0.0, (1 - rate) / (1 - part) if part < 1 else 0.0)
-    index = Index(vocabulary, np.log((1 + n) / (1 + df)) + 1.0, ids, toxic, vote, rate, none=rate)
+    index = Index(vocabulary, np.log((1 + n) / (1 + df)) + 1.0, ids, toxic, vote, rate, none=rate, id_type=docs.schema[key].dataType)
     if vocabulary:
         vectors = [index.weigh(*c) for c in counts]
         # neighbours in the index share their heaviest term, which keeps block maxima tight
@@ -327,4 +310,4 @@ def score(docs: DataFrame, index: Index, text: str = "text", carry: list[str] |
         return {"score": scores, "predicted": [int(s >= 0.5) for s in scores], "evidence": [e for _, e in out]}
 
     name = free_name(docs, "toxicity")
-    return annotate(docs, run, RESULT, name, carry, text), name
+    return annotate(docs, run, result(index.id_type), name, carry, text), name

@@ -29,7 +29,7 @@ def test_toxicity_learns_from_whole_texts(spark):
 
 
 def test_language_id_learns_from_whole_texts(spark):
-    """Texts of two languages that begin alike, for more than the windows that training takes."""
+    """Texts of two languages that begin alike, for many windows."""
     head = "0123456789 " * 120
     rows = [(i, head + ("der hund und die katze ist " if i % 2 else "le chat et la chienne est ") * 300, "de" if i % 2 else "fr") for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
@@ -39,7 +39,7 @@ def test_language_id_learns_from_whole_texts(spark):
 
 
 def test_language_id_takes_the_most_frequent_languages(spark, monkeypatch):
-    monkeypatch.setattr(language_id, "MAX_LANGUAGES", 2)
+    monkeypatch.setattr(language_id, "MAX_ROWS", 2)
     langs = ["aa"] + ["zz"] * 5 + ["mm"] * 4
     docs = spark.createDataFrame([(i, f"word {x}", x) for i, x in enumerate(langs)], "doc_id long, text string, lang string")
     assert language_id.learn(docs, F.lit(True)).languages == ["mm", "zz"]
