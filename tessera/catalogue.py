@@ -295,14 +295,6 @@ def enclosing_range_join(spark: SparkSession, d: str) -> DataFrame:
     return traverse.enclosing(nodes, points, ("part",))
 
 
-@_query(None)
-def traversal_parity_mode(spark: SparkSession, d: str) -> DataFrame:
-    edges = view.edges(spark, d)
-    starts = table(spark, d, "nation").select(view.node_id("nation", "n_nationkey").alias("start_id"))
-    found = stash(traverse.ball(edges, starts, 2), "ball")
-    return traverse.replay(edges, found, starts, 2)
-
-
 # -- resolution -------------------------------------------------------------
 
 
@@ -502,6 +494,42 @@ def override_wildcard_exclusion(spark: SparkSession, d: str) -> DataFrame:
     return mining.without_overrides(nodes, overrides).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Overrides with empty reasons, files, kinds and symbols among those that count.
+EMPTIES_SQL = """overrides AS (
+  SELECT CASE s_suppkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'parties/suppliers/' || s_name END AS file, CASE s_suppkey % 4 WHEN 0 THEN 'supplier' WHEN 1 THEN '' END AS kind,
+         CASE WHEN s_suppkey % 2 = 0 OR s_suppkey % 3 <> 1 THEN s_name ELSE '' END AS symbol, CASE s_suppkey % 5 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE 'why' END AS reason FROM supplier
+  UNION ALL SELECT NULL, 'customer', CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE 'nobody' END, 'why' FROM customer UNION ALL SELECT '', '', '', 'all, were an empty kind no kind' UNION ALL SELECT NULL, NULL, NULL, ''),
+  overridden AS (SELECT DISTINCT n.id FROM nodes n JOIN overrides o ON COALESCE(o.reason, '') <> '' AND (COALESCE(o.file, '') = '' OR o.file = n.file_path) AND (COALESCE(o.symbol, '') = '' OR o.symbol = n.symbol_name) AND (o.kind IS NULL OR o.kind = n.kind))"""
+
+
+def _empties(spark: SparkSession, d: str) -> DataFrame:
+    key = F.col("s_suppkey")
+    suppliers = table(spark, d, "supplier").select(
+        F.when(key % 3 == 0, "").when(key % 3 == 1, F.concat(F.lit("parties/suppliers/"), "s_name")).alias("file"), F.when(key % 4 == 0, "supplier").when(key % 4 == 1, "").alias("kind"),
+        F.when((key % 2 == 0) | (key % 3 != 1), F.col("s_name")).otherwise("").alias("symbol"), F.when(key % 5 == 0, "").when(key % 5 > 1, "why").alias("reason"),
+    )
+    customers = table(spark, d, "customer").select(F.lit(None), F.lit("customer"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).otherwise("nobody"), F.lit("why"))
+    every = spark.createDataFrame([("", "", "", "all, were an empty kind no kind"), (None, None, None, "")], suppliers.schema)
+    return suppliers.union(customers).union(every)
+
+
+@_query(f"WITH {VIEW_SQL}, {EMPTIES_SQL} SELECT id, kind FROM nodes WHERE id NOT IN (SELECT id FROM overridden)")
+def override_empty_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes left to mining by overrides of which fields and reasons are empty."""
+    return mining.without_overrides(view.nodes(spark, d), _empties(spark, d)).select("id", "kind")
+
+
+@_query(
+    f"""WITH {MATCH_SQL}, {EMPTIES_SQL}, kept AS (SELECT * FROM nodes WHERE id NOT IN (SELECT id FROM overridden))
+    SELECT kind, type, property, CAST(sum(n) AS BIGINT) AS frequency, any_value(total) AS total, CAST(sum(n) AS DOUBLE) / any_value(total) AS confidence
+    FROM matches JOIN (SELECT id FROM kept) USING (id) JOIN (SELECT kind, count(*) AS total FROM kept GROUP BY kind HAVING count(*) >= 2) USING (kind)
+    GROUP BY kind, type, property HAVING sum(n) >= 2 AND (type NOT IN ('naming', 'location', 'metadata') OR sum(n) >= 0.5 * any_value(total))"""
+)
+def mined_overridden(spark: SparkSession, d: str) -> DataFrame:
+    """Conventions of what overrides leave."""
+    return mining.mined(*_view(spark, d), _empties(spark, d))[1].drop("value_type")
+
+
 # -- validation -------------------------------------------------------------
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.storage import small, stash
+from . import overrides
 from .traverse import degrees
 
 #: Types whose properties must hold for half of a kind; for the others two nodes do.
@@ -88,11 +89,9 @@ def conventions(nodes: DataFrame, found: DataFrame) -> DataFrame:
     return rows.where(enough).withColumn("confidence", F.col("frequency") / F.col("total"))
 
 
-def without_overrides(nodes: DataFrame, overrides: DataFrame) -> DataFrame:
-    """Nodes that no override with a reason names (null fields fit anything)."""
-    o = overrides.where("reason is not null").select(F.col("file").alias("o_file"), F.col("kind").alias("o_kind"), F.col("symbol").alias("o_symbol"))
-    fits = [(F.col(f"o_{a}").isNull() | (F.col(f"o_{a}") == nodes[b])) for a, b in (("file", "file_path"), ("kind", "kind"), ("symbol", "symbol_name"))]
-    return nodes.join(o, fits[0] & fits[1] & fits[2], "left_anti")
+def without_overrides(nodes: DataFrame, named_by: DataFrame) -> DataFrame:
+    """Nodes that no override with a reason names; see :mod:`overrides` for what it names."""
+    return nodes.join(small(stash(overrides.fits(nodes, named_by, ["id"], empty_kind_fits=False), "overridden")), "id", "left_anti")
 
 
 def satisfied(nodes: DataFrame, found: DataFrame, rules: DataFrame) -> DataFrame:
@@ -142,13 +141,13 @@ def confidence_of_kind(rules: DataFrame, least: float = 0.7) -> DataFrame:
     return rules.groupBy("kind").agg(F.greatest(F.lit(least), F.max("confidence")).alias("confidence"))
 
 
-def mined(nodes: DataFrame, edges: DataFrame, overrides: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def mined(nodes: DataFrame, edges: DataFrame, named_by: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """What nodes meet (:func:`satisfied`) and conventions, both stashed for repeated use.  Nodes that
-    an override names don't count for conventions, but are checked."""
+    an override of ``named_by`` names don't count for conventions, but are checked."""
     found = stash(matches(nodes, edges), "matches")
     counted, kept = found, nodes
-    if overrides is not None:
-        kept = without_overrides(nodes, overrides)
+    if named_by is not None:
+        kept = stash(without_overrides(nodes, named_by), "counted")
         counted = found.join(kept.select("id"), "id", "left_semi")
     rules = stash(conventions(kept, counted), "conventions")
     return stash(satisfied(nodes, found, rules), "satisfied"), rules

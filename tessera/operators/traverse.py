@@ -7,9 +7,7 @@ Frontiers carry their start, so many starts run at once.
 
 from __future__ import annotations
 
-import heapq
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -231,40 +229,3 @@ def enclosing(nodes: DataFrame, points: DataFrame, kinds: tuple[str, ...] = ENCL
     out = points.join(inner, "q", "left").join(head, "file_path", "left")
     found = F.when(F.col("inner").isNotNull(), "symbol").when(F.col("head").isNotNull(), "first in file").otherwise("file")
     return out.select("q", F.coalesce("inner", "head").alias("id"), found.alias("found"))
-
-
-def replay(edges: DataFrame, found: DataFrame, starts: DataFrame, depth: int = DEPTH, hub: int = HUB) -> DataFrame:
-    """(start_id, id, depth) in the order of a priority queue: starts first, then nodes by
-    the layer of the edge that led there (1 for layers 1 and 2, else 2), first come
-    first served; the first visit sets the depth.  Only the edges inside a
-    start's ball are grouped by start (``found`` from :func:`ball`), and hubs are
-    marked beforehand, so a group is bounded by the ball."""
-    deg = hubs(edges, hub).select(F.col("id").alias("hub_id"))
-    at = found.select("start_id", F.col("id").alias("at"))
-    out = edges.select("source_id", "target_id", "relationship", "layer", "metadata")
-    both = out.select(F.col("source_id").alias("at"), F.col("target_id").alias("to"), F.lit(0).alias("side"), *out.columns).union(
-        out.select(F.col("target_id").alias("at"), F.col("source_id").alias("to"), F.lit(1).alias("side"), *out.columns)
-    )
-    # hubs are not left, so their edges are not needed
-    steps = at.join(small(stash(deg, "hubs")), (F.col("at") == F.col("hub_id")) & (F.col("at") != F.col("start_id")), "left_anti").join(both, "at")
-    steps = steps.join(found.select("start_id", F.col("id").alias("to")), ["start_id", "to"], "left_semi")
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        start = int(group["start_id"].iloc[0])
-        order = group.sort_values(["at", "side", "source_id", "target_id", "relationship", "metadata"], na_position="first")
-        adjacent = {k: list(zip(g["to"], g["layer"], strict=True)) for k, g in order.groupby("at")}
-        queue, arrival, seen = [(0, 0, start, 0)], 1, {}
-        while queue:
-            _, _, node, d = heapq.heappop(queue)
-            if node in seen:
-                continue
-            seen[node] = d
-            if d == depth:
-                continue
-            for to, layer in adjacent.get(node, ()):
-                if to not in seen:
-                    heapq.heappush(queue, (2 if layer == 3 else 1, arrival, int(to), d + 1))
-                    arrival += 1
-        return pd.DataFrame({"start_id": start, "id": list(seen), "depth": list(seen.values())})
-
-    return steps.groupBy("start_id").applyInPandas(run, "start_id long, id long, depth int")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.storage import small, stash
 from .mining import PUBLIC
+from .overrides import fits
 
 #: Kinds by path, in order of precedence (pattern, kind).
 PLANNED_KINDS = (
@@ -26,12 +27,10 @@ def _due(nodes: DataFrame, rules: DataFrame, overrides: DataFrame | None, least:
     due = nodes.select("id", "kind", "file_path", "symbol_name").join(public, "kind").withColumn("skipped", F.lit(False))
     if overrides is None:
         return due
-    o = overrides.where("coalesce(reason, '') <> ''").select(F.col("file").alias("o_file"), F.col("kind").alias("o_kind"), F.col("symbol").alias("o_symbol"), F.explode("skip").alias("o_property"))
-    fits = F.col("property") == F.col("o_property")
-    for a, b in (("file", "file_path"), ("kind", "kind"), ("symbol", "symbol_name")):
-        fits &= F.coalesce(F.col(f"o_{a}"), F.lit("")).isin("") | (F.col(f"o_{a}") == F.col(b))
-    o = small(stash(o, "overrides"))
-    return due.join(o, fits, "left_anti").union(due.join(o, fits, "left_semi").withColumn("skipped", F.lit(True)))
+    skips = overrides.withColumn("property", F.explode("skip"))
+    named = due.join(small(stash(skips.select("property").distinct(), "skips")), "property", "left_semi")
+    skipped = fits(named, skips, ["id", "property"], {"property": "property"}).withColumn("named", F.lit(True))
+    return due.join(small(stash(skipped, "skipped")), ["id", "property"], "left").withColumn("skipped", F.coalesce("named", F.lit(False))).select(due.columns)
 
 
 def violations(nodes: DataFrame, met: DataFrame, rules: DataFrame, overrides: DataFrame | None = None, least: float = PUBLIC) -> DataFrame:

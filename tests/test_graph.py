@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera import catalogue
 from tessera.functions import text
-from tessera.operators import context, impact, mining, refresh, resolve, store, traverse, validate
+from tessera.operators import context, impact, mining, overrides, refresh, resolve, store, traverse, validate
 from tessera.sources import graph_view
 
 SF = "/root/testdata/sf0.001"
@@ -69,15 +69,6 @@ def test_cycle_and_loop(spark):
     assert {(r["id"], r["depth"]) for r in traverse.ball(e, s, 1).collect()} == {(1, 0), (2, 1), (3, 1)}
 
 
-def test_replay_prefers_lower_layers(spark):
-    # 1 -(layer 3)-> 2 -> 4 and 1 -> 3 -> 4: the queue leaves 3 before 2
-    e = _edges(spark, [(1, 2, 3), (1, 3, 2), (3, 5, 2), (5, 2, 2)])
-    s = spark.createDataFrame([(1,)], "start_id long")
-    found = traverse.ball(e, s, 3)
-    got = {r["id"]: r["depth"] for r in traverse.replay(e, found, s, 3).collect()}
-    assert got == {1: 0, 3: 1, 5: 2, 2: 3}  # 2 is claimed by the longer path of lower layers
-
-
 def test_insert_absent_is_null_safe_and_first_wins(spark):
     old = _edges(spark, [(1, 2, 2)])
     new = _edges(spark, [(1, 2, 2), (1, 3, 2), (1, 3, 2)])
@@ -116,6 +107,20 @@ def test_mining_traps(spark):
     assert failed == {"app/jobs/f1": 0, "app/jobs/f2": 1, "app/jobs/f3": 1, "app/jobs/deep/f4": 0}
 
 
+def test_overrides_with_empty_fields(spark):
+    """An empty reason is none; an empty file or symbol fits anything; an empty kind does so in checks alone."""
+    nodes = spark.createDataFrame([(1, "f", "x", "k", "php", 1, 2, None), (2, "f", "y", "k", "php", 1, 2, None), (3, "g", "z", "l", "php", 1, 2, None)], NODE)
+    rows = [(None, None, "x", ""), ("", None, "y", "why"), ("", "", "z", "why"), ("h", "l", None, "why"), (None, "nothing", "", "why")]
+    named_by = spark.createDataFrame(rows, "file string, kind string, symbol string, reason string")
+    assert {r["id"] for r in mining.without_overrides(nodes, named_by).collect()} == {1, 3}
+    assert {r["id"] for r in overrides.fits(nodes, named_by, ["id"]).collect()} == {2, 3}
+    assert overrides.fits(nodes, named_by.limit(0), ["id"]).count() == 0
+    by_kind = spark.createDataFrame([("", "k", "", "why")], named_by.schema)
+    kept = mining.without_overrides(nodes, by_kind)
+    assert {r["id"] for r in kept.collect()} == {3}
+    assert "NestedLoop" not in kept._jdf.queryExecution().toString()
+
+
 def test_snapshot_and_update(spark):
     schema = "path string, mtime double, hash string"
     old = spark.createDataFrame([("a", 1.0, "x"), ("b", 1.0, "x"), ("c", 1.0, "x"), ("d", 1.0, "x")], schema)
