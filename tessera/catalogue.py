@@ -190,7 +190,14 @@ def impact_with_outgoing(spark: SparkSession, d: str) -> DataFrame:
     return nodes.join(found.select("id"), "id", "left_semi").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-CROSS_SQL = f"""{CLOSURE_SQL}, crossing AS (
+#: The same, and what the nation's own targets are reached by.
+OUTGOING_SQL = f"""RECURSIVE {VIEW_SQL}, walk(id) AS (
+  SELECT id FROM (SELECT CAST({NATION} AS BIGINT) AS id UNION SELECT target_id FROM edges WHERE source_id = {NATION})
+  UNION SELECT source_id FROM walk JOIN edges ON target_id = walk.id
+)"""
+
+
+CROSS_SQL = f"""{OUTGOING_SQL}, crossing AS (
   SELECT e.*, s.file_path AS source_file, s.kind AS source_kind, t.file_path AS target_file, t.kind AS target_kind,
          CASE WHEN relationship IN ('renders', 'routes_to') THEN 10 WHEN relationship = 'calls' THEN 3 ELSE 4 END AS w
   FROM edges e JOIN nodes s ON s.id = source_id JOIN nodes t ON t.id = target_id
@@ -200,7 +207,11 @@ CROSS_SQL = f"""{CLOSURE_SQL}, crossing AS (
 
 def _crossing(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     nodes, edges = _view(spark, d)
-    return traverse.cross_file(edges, nodes, traverse.closure(edges, _start(spark, NATION))), nodes
+    return traverse.cross_file(edges, nodes, traverse.closure(edges, _start(spark, NATION), outgoing_first=True)), nodes
+
+
+def _target(nodes: DataFrame) -> DataFrame:
+    return nodes.where(F.col("id") == NATION).select("file_path")
 
 
 @_query(f"WITH {CROSS_SQL} SELECT relationship, count(*) AS n_edges, count(DISTINCT source_file) AS n_files FROM crossing GROUP BY relationship")
@@ -211,20 +222,22 @@ def impact_cross_file(spark: SparkSession, d: str) -> DataFrame:
 @_query(
     f"""WITH {CROSS_SQL}, ends AS (SELECT source_file AS file, source_kind AS kind, relationship FROM crossing UNION ALL SELECT target_file, target_kind, relationship FROM crossing)
     SELECT file, count(*) AS n_edges, array_to_string(list_sort(list(DISTINCT kind)), ',') AS kinds, array_to_string(list_sort(list(DISTINCT relationship)), ',') AS relationships
-    FROM ends GROUP BY file ORDER BY n_edges DESC, file LIMIT 20"""
+    FROM ends WHERE file NOT IN (SELECT file_path FROM nodes WHERE id = {NATION}) GROUP BY file ORDER BY n_edges DESC, file LIMIT 20"""
 )
 def impact_top_files(spark: SparkSession, d: str) -> DataFrame:
-    return traverse.top_files(_crossing(spark, d)[0])
+    crossing, nodes = _crossing(spark, d)
+    return traverse.top_files(crossing, _target(nodes))
 
 
 @_query(
     f"""WITH {CROSS_SQL}, ends AS (SELECT source_id AS id, w FROM crossing UNION ALL SELECT target_id, w FROM crossing)
     SELECT id, kind, file_path, line_start, CAST(sum(w) AS BIGINT) AS weight,
            CAST(1 AS BIGINT) AS priority
-    FROM ends JOIN nodes USING (id) GROUP BY id, kind, file_path, line_start"""
+    FROM ends JOIN nodes USING (id) WHERE file_path NOT IN (SELECT file_path FROM nodes WHERE id = {NATION}) GROUP BY id, kind, file_path, line_start"""
 )
 def impact_rank_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return traverse.rank_nodes(*_crossing(spark, d))
+    crossing, nodes = _crossing(spark, d)
+    return traverse.rank_nodes(crossing, nodes, _target(nodes))
 
 
 @_query(

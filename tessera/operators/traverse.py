@@ -135,20 +135,23 @@ def cross_file(edges: DataFrame, nodes: DataFrame, reached: DataFrame) -> DataFr
     return inside.join(end("source"), "source_id").join(end("target"), "target_id").where("source_file <> target_file")
 
 
-def rank_nodes(crossing: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(id, weight): summed relationship weights over a node's crossing edges."""
+def rank_nodes(crossing: DataFrame, nodes: DataFrame, target_files: DataFrame) -> DataFrame:
+    """(id, kind, file_path, line_start, weight, priority) of the nodes beside the target files (file_path)
+    that edges cross to: the summed weights of those edges, and the rank of their kind."""
+    nodes = nodes.join(small(stash(target_files.select("file_path").distinct(), "targets")), "file_path", "left_anti")
     w = weight(F.col("relationship"), RELATIONSHIP_WEIGHT, OTHER_RELATIONSHIP)
     ends = crossing.select(F.explode(F.array("source_id", "target_id")).alias("id"), w.alias("w"))
     ranked = ends.groupBy("id").agg(F.sum("w").cast("long").alias("weight")).join(nodes, "id")
     return ranked.select("id", "kind", "file_path", "line_start", "weight", weight(F.col("kind"), KIND_PRIORITY, 1).cast("long").alias("priority"))
 
 
-def top_files(crossing: DataFrame, k: int = 20) -> DataFrame:
-    """Files by their crossing edges, with their kinds and relationships."""
+def top_files(crossing: DataFrame, target_files: DataFrame, k: int = 20) -> DataFrame:
+    """Files beside the target files (file_path) by their crossing edges, with their kinds and relationships."""
     ends = crossing.select(
         F.explode(F.array(F.struct(F.col("source_file").alias("file"), F.col("source_kind").alias("kind")), F.struct(F.col("target_file").alias("file"), F.col("target_kind").alias("kind")))).alias("e"),
         "relationship",
     ).select("e.file", "e.kind", "relationship")
+    ends = ends.join(small(stash(target_files.select(F.col("file_path").alias("file")).distinct(), "targets")), "file", "left_anti")
     by = ends.groupBy("file", "kind", "relationship").count()  # small before lists are made
     return (
         by.groupBy("file")
