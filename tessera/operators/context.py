@@ -100,10 +100,33 @@ def merge_candidates(rows: DataFrame, k: int) -> DataFrame:
 
 
 def similar_paths(planned: DataFrame, existing: DataFrame, k: int) -> DataFrame:
-    """(planned, existing, shared, rank): the other paths (``path``) that share most telling segments
-    with a planned one.  Paths are made distinct, then pairs come from an inverted index on
-    segments and are counted before they are ranked."""
-    words = lambda df, name: df.select("path").distinct().select(F.col("path").alias(name), F.explode(path_terms(F.col("path"))).alias("s"))
-    pairs = words(planned, "planned").join(words(existing, "existing"), "s").where("planned <> existing").groupBy("planned", "existing").agg(F.count(F.lit(1)).alias("shared"))
+    """(planned, existing, shared, rank): the ``k`` other paths (``path``) that share most telling segments
+    with a planned one, the first of equal ones by path.
+
+    A planned path probes its segments from the rarest on.  After the r-th of m, a path not yet met
+    shares m - r at most, so a path is done once its k-th shares more.  At its last segment a path
+    not met shares that one alone, so the first 2k + 1 by path are enough, however many hold it: a
+    segment that all paths share is never spread out."""
+    segments = lambda df, name: df.select("path").distinct().select(F.col("path").alias(name), path_terms(F.col("path")).alias("segments"))
+    have = stash(segments(existing, "existing"), "similar-existing")
+    index = stash(have.select(F.explode("segments").alias("s"), "existing", F.col("segments").alias("theirs")), "similar-index")
+    often = index.groupBy("s").agg(F.count(F.lit(1)).alias("n"))
+    each = segments(planned, "planned").select("planned", "segments", F.explode("segments").alias("s")).join(often, "s")
+    probes = each.groupBy("planned").agg(F.first("segments").alias("segments"), F.array_sort(F.collect_list(F.struct("n", "s"))).alias("probe"))
+    left = stash(probes.select("planned", "segments", F.col("probe.s").alias("probe"), F.size("probe").alias("m")), "similar-planned")
+    first = Window.partitionBy("s").orderBy("existing")
+    heads = stash(index.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= 2 * k + 1).drop("rank"), "similar-heads")
+    most = left.agg(F.max("m")).first()[0] or 0  # segments of one path
     order = Window.partitionBy("planned").orderBy(F.desc("shared"), "existing")
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    top = None
+    for r in range(1, most + 1):
+        asked = left.withColumn("s", F.element_at("probe", r))
+        met = asked.where(F.col("m") > r).join(index, "s").unionByName(asked.where(F.col("m") == r).join(heads, "s"))
+        met = met.where("planned <> existing").select("planned", "existing", F.size(F.array_intersect("segments", "theirs")).cast("long").alias("shared"))
+        every = met if top is None else met.unionByName(top.drop("rank")).distinct()
+        top = stash(every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), "similar-top")
+        done = top.where(F.col("rank") == k).select("planned", F.col("shared").alias("kth"))
+        left = stash(left.join(done, "planned", "left").where((F.col("m") > r) & (F.coalesce("kth", F.lit(0)) <= F.col("m") - r)).drop("kth"), "similar-left")
+        if left.isEmpty():
+            break
+    return planned.select(F.col("path").alias("planned"), F.col("path").alias("existing"), F.lit(0).cast("long").alias("shared"), F.lit(0).alias("rank")).limit(0) if top is None else top

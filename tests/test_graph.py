@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import random
 
 import duckdb
 import pytest
@@ -121,6 +122,22 @@ def test_overrides_with_empty_fields(spark):
     assert "NestedLoop" not in kept._jdf.queryExecution().toString()
 
 
+def test_similar_paths_equal_all_pairs(spark):
+    """Segments that all, many and few paths hold; paths without any; fewer partners than k."""
+    draw = random.Random(10)
+    words = [f"seg{c}" for c in "abcdefgh"]
+    paths = sorted({"hot/" + "/".join(draw.sample(words, draw.randint(0, 4))) + f"/x{i % 7}.php" for i in range(80)} | {"alone/only.ts", "ab.php", "hot/zz.ts"})
+    split = {p: {w for w in p.rsplit(".", 1)[0].split("/") if len(w) >= 3} for p in paths}
+    for planned, existing, k in ((paths, paths, 3), (paths[::3], paths[::2], 50), (paths[:5], [], 2), ([], paths, 2)):
+        df = lambda rows: spark.createDataFrame([(p,) for p in rows], "path string")
+        got = {(r["planned"], r["rank"]): (r["existing"], r["shared"]) for r in context.similar_paths(df(planned), df(existing), k).collect()}
+        want = {}
+        for p in planned:
+            best = sorted((-len(split[p] & split[e]), e) for e in existing if e != p and split[p] & split[e])[:k]
+            want |= {(p, i): (e, -n) for i, (n, e) in enumerate(best, 1)}
+        assert got == want
+
+
 def test_snapshot_and_update(spark):
     schema = "path string, mtime double, hash string"
     old = spark.createDataFrame([("a", 1.0, "x"), ("b", 1.0, "x"), ("c", 1.0, "x"), ("d", 1.0, "x")], schema)
