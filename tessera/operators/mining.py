@@ -74,9 +74,27 @@ def neighbour_kinds(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return _row(found, "relationship", F.concat("relationship", F.lit(" with "), "other"))
 
 
+def edge_matches(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """What :func:`edge_types` of both sides and :func:`neighbour_kinds` find, from one pass over the
+    ends of all edges."""
+    kinds = small(stash(nodes.select("id", "kind"), "kinds"))
+    end = lambda own, other, side: F.struct(F.col(own).alias("id"), F.col(other).alias("other_id"), F.lit(side).alias("side"))
+    ends = edges.select("relationship", F.explode(F.array(end("source_id", "target_id", "out"), end("target_id", "source_id", "in"))).alias("e")).select("e.*", "relationship")
+    other = kinds.select(F.col("id").alias("other_id"), F.col("kind").alias("other"))
+    seen = ends.join(other, "other_id", "left").groupBy("id", "side", "relationship", "other").agg(F.lit(1).alias("one")).drop("one").join(kinds, "id")
+    seen = stash(seen, "ends")
+    types = seen.where("side = 'in' or relationship <> 'extends'").select("id", "kind", "side", "relationship").distinct()
+    near = seen.where("other is not null").select("id", "kind", "relationship", "other").distinct()
+    by_type = types.select("id", "kind", F.concat(F.lit("edge_"), "side").alias("type"), F.concat_ws(" ", "side", "relationship").alias("property"))
+    by_kind = near.select("id", "kind", F.lit("relationship").alias("type"), F.concat_ws(" with ", "relationship", "other").alias("property"))
+    return by_type.unionByName(by_kind).select("*", F.lit(1).cast("long").alias("n"), F.lit(None).cast("string").alias("value_type"))
+
+
 def matches(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, kind, type, property, n, value_type) for all types; the last is that of a trait's value."""
-    return reduce(DataFrame.unionByName, [extends(nodes, edges), edge_types(nodes, edges, "out"), edge_types(nodes, edges, "in"), naming(nodes, "prefix"), naming(nodes, "suffix"), location(nodes), metadata(nodes), neighbour_kinds(nodes, edges)])
+    """(id, kind, type, property, n, value_type) for all types; the last is that of a trait's value.  The
+    edges, which may be an aggregate, are made once."""
+    edges = stash(edges.select("source_id", "target_id", "relationship"), "edges")
+    return reduce(DataFrame.unionByName, [extends(nodes, edges), edge_matches(nodes, edges), naming(nodes, "prefix"), naming(nodes, "suffix"), location(nodes), metadata(nodes)])
 
 
 def conventions(nodes: DataFrame, found: DataFrame) -> DataFrame:
