@@ -850,4 +850,4 @@ def issue_breakdown_top8(spark: SparkSession, d: str) -> DataFrame:
     return refresh.breakdown(table(spark, d, "events"), F.concat_ws(" / ", "event_type", (F.col("user_id") % 10).cast("string")), 8)
 
 
-from . import catalogue_fields, catalogue_impact, catalogue_links, catalogue_rules, catalogue_store, catalogue_text  # noqa: E402, F401  (register their queries)
+from . import catalogue_fields, catalogue_impact, catalogue_links, catalogue_rules, catalogue_store, catalogue_tasks, catalogue_text  # noqa: E402, F401  (register their queries)
