@@ -150,3 +150,27 @@ def reference_status(spark: SparkSession, d: str) -> DataFrame:
     """Whether the files that specs name exist, are to be made, or look wrong."""
     files = _project_files(spark, d)
     return specs.status(specs.normalise(_spec_references(spark, d), files), files)
+
+
+TAGS = ("nav", "article", "head", "script", "ul")
+
+
+@_query(
+    f"""WITH l AS (SELECT page_id, list_transform(string_split(replace(replace(html, '><', '>' || chr(10) || '<'), '</', chr(10) || '</'), chr(10)), lambda s: lower(trim(s, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)))) AS lines FROM pages),
+    t AS (SELECT page_id, lines, tag, list_position(list_transform(lines, lambda s: regexp_matches(s, '^<' || tag || '\\b')), true) AS a FROM l, (VALUES {', '.join(f"('{t}')" for t in TAGS)}) AS tags(tag)),
+    e AS (SELECT page_id, tag, a, list_position(lines[a + 1:], '</' || tag || '>') AS n FROM t WHERE a > 0)
+    SELECT page_id, tag, CAST(a AS INTEGER) AS line_start, CAST(a + n AS INTEGER) AS line_end FROM e WHERE n > 0"""
+)
+def block_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """Line ranges of the first block of some tags, in pages with a line for each tag."""
+    html = F.replace(F.replace("html", F.lit("><"), F.lit(">\n<")), F.lit("</"), F.lit("\n</"))
+    return documents.named_blocks(table(spark, d, "pages").select("page_id", html.alias("html")), TAGS, "page_id", "html")
+
+
+@_query(
+    """SELECT c_custkey AS task, unnest(['L' || c_nationkey, 'M' || lower(c_mktsegment)]) AS layout FROM customer"""
+)
+def page_layouts(spark: SparkSession, d: str) -> DataFrame:
+    """Layouts that pages name, one in their options and one by assignment."""
+    script = F.concat(F.lit("defineOptions({\n  name: 'x', layout: L"), F.col("c_nationkey").cast("string"), F.lit(" })\npage.layout = M"), F.lower("c_mktsegment"), F.lit("; Page.layout = L"), F.col("c_nationkey").cast("string"), F.lit("; nolayout: N"))
+    return documents.layouts(table(spark, d, "customer").select(F.col("c_custkey").alias("task"), script.alias("text")), "task")

@@ -85,3 +85,26 @@ def interpolate(template: str, captures: dict[str, Column], current_file: Column
         out = F.replace(out, F.lit(f"{{@{name}}}"), F.coalesce(value.cast("string"), F.lit("")))
     out = F.regexp_replace(out, r"\{@[A-Za-z0-9_]+\}", "")
     return F.replace(out, F.lit("{current_file}"), F.coalesce(current_file, F.lit("")))
+
+
+#: Where a page names the layout it stands in.
+LAYOUTS = (r"defineOptions\s*\(\s*\{[\s\S]*?\blayout\s*:\s*([A-Za-z_$][A-Za-z0-9_$]*)", r"\b(?:[A-Za-z_$][A-Za-z0-9_$]*)\.layout\s*=\s*([A-Za-z_$][A-Za-z0-9_$]*)")
+
+
+def named_blocks(docs: DataFrame, tags: tuple[str, ...], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, tag, line_start, line_end) of the first block of each tag: from the first line that
+    opens it to the first line behind that closes it and holds nothing else, case aside.  A
+    block that is never closed, or that closes on its first line, is none."""
+    lines = F.transform(F.split(F.col(text), "\n", -1), lambda s: F.lower(F.regexp_replace(s, r"^\s+|\s+$", "")))
+    each = docs.select(key, lines.alias("lines"), F.explode(F.array(*map(F.lit, tags))).alias("tag"))
+    opens = F.transform("lines", lambda s: F.rlike(s, F.concat(F.lit("^<"), F.lower("tag"), F.lit(r"\b"))))
+    each = each.withColumn("line_start", F.array_position(opens, True).cast("int")).where("line_start > 0")
+    rest = F.slice("lines", F.col("line_start") + 1, F.size("lines"))
+    closes = F.array_position(rest, F.concat(F.lit("</"), F.lower("tag"), F.lit(">"))).cast("int")
+    return each.withColumn("n", closes).where("n > 0").select(key, "tag", "line_start", (F.col("line_start") + F.col("n")).alias("line_end"))
+
+
+def layouts(docs: DataFrame, key: str = "file_path", text: str = "text") -> DataFrame:
+    """(key, layout): the layouts that a page's script names in its options or assigns, each once."""
+    names = F.array_distinct(F.concat(*(F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in LAYOUTS)))
+    return docs.select(key, F.explode(names).alias("layout"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from tessera.operators import specs
+from tessera.operators import documents, specs
 
 
 @pytest.mark.parametrize(
@@ -71,3 +71,9 @@ def test_status_of_references(spark):
 
 def test_no_references(spark):
     assert normalised(spark, []) == ({}, {})
+
+
+def test_named_blocks(spark):
+    text = "<template lang='x'>\n <Script setup>\n a\n</script>\n<templates>\n  </TEMPLATE>  \n<style></style>\n<open>\n</open >"
+    got = documents.named_blocks(spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string"), ("template", "script", "style", "open", "none"))
+    assert {tuple(r) for r in got.collect()} == {(1, "template", 1, 6), (1, "script", 2, 4)}
