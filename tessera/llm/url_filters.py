@@ -9,8 +9,9 @@ The index is a literal array of buckets in the plan: every rule lies in the
 bucket of its rarest complete literal token (rarest by its count over all the
 URLs).  A URL's tokens are hashed to buckets, which fetches its candidate rules;
 only those run their regular expression.  Everything is a projection: no
-shuffle, no Python.  The rule list is a parameter and part of the plan, hence
-``MAX_RULES``.
+shuffle, no Python.  Rules without a whole literal token run on every URL.  Beyond
+``MAX_RULES`` rules the index is a table instead, which the tokens of each different
+(host, path) are joined with; it gives the same answers.
 
 Edge cases: a null URL or one without ``://`` has an empty host and path; no
 anchored rule fits it.  Repeated rows are judged one by one, an empty table
@@ -97,36 +98,58 @@ def token_counts(tokens: DataFrame, wanted: list[str]) -> dict[str, int]:
     return {r["token"]: r["count"] for r in rows}
 
 
+def _fields(rule: Rule, token: str) -> tuple[str, str, str, str | None, int]:
+    return token, rule.regex(), rule.verdict, rule.listed, len(rule.listed) if rule.listed is not None else -1
+
+
+def _literal(rule: Rule, token: str) -> Column:
+    return F.struct(*(F.lit(x).alias(n) for x, n in zip(_fields(rule, token), ("token", "regex", "verdict", "listed", "rank"), strict=True)))
+
+
+def _judge_by_table(parts: DataFrame, index: dict[str, list[Rule]], always: list[Rule], key: str) -> DataFrame:
+    """The same with the index as a table.  Each different (host, path) is judged once."""
+    rows = [_fields(r, token) for token, own in index.items() for r in own] + [_fields(r, "") for r in always]
+    table = parts.sparkSession.createDataFrame(rows, "token string, regex string, verdict string, listed string, rank int")
+    once = parts.select("host", "path").distinct()
+    asked = once.select("host", "path", F.explode(F.concat(_tokens(F.col("host"), F.col("path")), F.array(F.lit("")))).alias("token"))  # "" is every URL's
+    met = asked.join(table, "token")
+    fits = F.regexp_like(F.concat(F.lit("."), F.col("host"), F.col("path")), F.col("regex"))
+    rule = F.struct("rank", (F.col("verdict") == "block").alias("block"), "listed", "verdict")
+    judged = met.groupBy("host", "path").agg(F.max(F.when(fits, rule)).alias("best"), F.count(F.lit(1)).alias("n"))
+    verdict, n = F.coalesce(F.col("best.verdict"), F.lit("allow")).alias("verdict"), F.coalesce("n", F.lit(0)).cast("long").alias("n_candidates")
+    return parts.join(judged, ["host", "path"], "left").select(F.col(f"`{key}`"), "host", "path", F.col("best.listed").alias("rule"), verdict, n)
+
+
 def judge(pages: DataFrame, rules: list[Rule], key: str = "page_id", url: str = "url") -> DataFrame:
     """(key, host, path, rule, verdict, n_candidates) for every row of ``pages``.
 
     ``rule`` is the listed name of the rule that decided, else null; the
     verdict is that rule's, else block where an unlisted rule fits, else allow."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; a plan holds {MAX_RULES}")
-    literal = {r: r.tokens() for r in rules}
-    if bad := [r.pattern for r, t in literal.items() if not t]:
-        raise ValueError(f"patterns without a whole literal token: {bad}")
+    literal = {r: t for r in rules if (t := r.tokens())}
+    always = sorted((r for r in rules if r not in literal), key=lambda r: r.pattern)
     parts = pages.select(F.col(f"`{key}`"), url_host(F.col(f"`{url}`")).alias("host"), url_path(F.col(f"`{url}`")).alias("path"))
     tokens = parts.select(_tokens(F.col("host"), F.col("path")).alias("tokens"))
-    seen = token_counts(tokens, sorted({t for ts in literal.values() for t in ts})) if rules else {}
+    seen = token_counts(tokens, sorted({t for ts in literal.values() for t in ts})) if literal else {}
     index: dict[str, list[Rule]] = defaultdict(list)
     for rule, ts in literal.items():
         index[min(ts, key=lambda t: (seen.get(t, 0), t))].append(rule)
+    if len(rules) > MAX_RULES:
+        return _judge_by_table(parts, index, always, key)
 
     # token -> array of its rules, chosen by hash: one array access for each URL token
     kinds = "array<struct<token:string,regex:string,verdict:string,listed:string,rank:int>>"
     slots: list[list[Column]] = [[] for _ in range(BUCKETS)]
     for token, own in sorted(index.items()):
         for r in sorted(own, key=lambda r: r.pattern):
-            rank = len(r.listed) if r.listed is not None else -1
-            slots[_bucket(token)].append(F.struct(*(F.lit(x).alias(n) for x, n in ((token, "token"), (r.regex(), "regex"), (r.verdict, "verdict"), (r.listed, "listed"), (rank, "rank")))))
+            slots[_bucket(token)].append(_literal(r, token))
     table = F.array(*(F.array(*s).cast(kinds) if s else F.array().cast(kinds) for s in slots))
 
     def candidates(t: Column) -> Column:
         return F.filter(F.element_at(table, (F.crc32(t.cast("binary")) % BUCKETS + 1).cast("int")), lambda r: r["token"] == t)
 
     fetched = F.flatten(F.transform(_tokens(F.col("host"), F.col("path")), candidates))
+    if always:
+        fetched = F.concat(fetched, F.array(*(_literal(r, "") for r in always)).cast(kinds))
     subject = F.concat(F.lit("."), F.col("host"), F.col("path"))
     fits = F.filter(F.col("candidates"), lambda r: F.regexp_like(subject, r["regex"]))
     order = F.transform(F.col("fits"), lambda r: F.struct(r["rank"].alias("rank"), (r["verdict"] == "block").alias("block"), r["listed"].alias("listed"), r["verdict"].alias("verdict")))

@@ -43,8 +43,22 @@ def test_url_filters(spark):
         5: (None, "allow"), 6: (None, "allow"), 7: (None, "block"), 8: (None, "allow"), 9: ("com/", "allow"),
     }
     assert url_filters.judge(pages.limit(0), rules).count() == 0
-    with pytest.raises(ValueError):
-        url_filters.judge(pages, [url_filters.Rule("*a*", "block")])
+
+
+def test_url_rules_without_tokens_and_as_a_table(spark, monkeypatch):
+    """A rule without a whole token runs on every URL; an index in a table gives the answers of one in the plan."""
+    urls = ["http://x.com/apple", "http://y.com/b", "http://x.com/apple", None, "http://z.net/es/ads/", "http://a.example.com/en/t"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rules = [url_filters.Rule.host_path(*r) for r in queries.LISTED_RULES] + [*url_filters.DEFAULT_RULES, url_filters.Rule("*ppl*", "block"), url_filters.Rule("*", "allow"), url_filters.Rule("||y.com^", "block")]
+    plan = sorted(map(tuple, url_filters.judge(pages, rules).collect()), key=str)
+    assert [(r[0], r[3], r[4]) for r in plan] == [(0, "com/", "allow"), (1, "com/", "allow"), (2, "com/", "allow"), (3, None, "allow"), (4, "net/es/", "block"), (5, "example.com/en/", "block")]
+    unlisted = [r for r in rules if r.listed is None]
+    verdicts = [r["verdict"] for r in url_filters.judge(pages, unlisted).orderBy("page_id").collect()]
+    assert verdicts == ["block", "block", "block", "allow", "block", "allow"]
+    monkeypatch.setattr(url_filters, "MAX_RULES", 0)
+    assert sorted(map(tuple, url_filters.judge(pages, rules).collect()), key=str) == plan
+    assert [r["verdict"] for r in url_filters.judge(pages, unlisted).orderBy("page_id").collect()] == verdicts
+    assert url_filters.judge(pages.limit(0), rules).count() == 0 and len(url_filters.judge(pages, []).collect()) == 6
 
 
 def test_quality_against_brute_force():
