@@ -8,9 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Extensions that count, and directories that do not.
+#: Extensions that count, and directories that do not (our own store among them).
 EXTENSIONS = (".php", ".ts", ".tsx", ".js", ".jsx", ".vue", ".py", ".md")
-EXCLUDED = ("node_modules", "vendor", "dist", ".git", ".weave", "public/build")
+EXCLUDED = ("node_modules", "vendor", "dist", ".git", ".tessera", "public/build")
 
 
 def _relative(root: str) -> Column:
