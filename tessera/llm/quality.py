@@ -71,9 +71,11 @@ def _dense(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _repeated(rank: np.ndarray, doc: np.ndarray, upto: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """For h = 2, 4, ... upto: positions whose h-gram occurs again in the same
-    text, and the gram's number.  Only survivors of h go on to 2h."""
+    text, and the gram's number.  Words that do not (rank -1) are in no such gram,
+    and only survivors of h go on to 2h."""
     n = len(rank)
-    group, at = rank, np.arange(n)
+    at = np.flatnonzero(rank >= 0)
+    group = rank[at]
     out, h = {}, 1
     while h < upto:
         nxt = at + h

@@ -78,6 +78,19 @@ def test_quality_against_brute_force():
     assert got["n_dup_lines"][-1] == 1 and got["n_symbols"][-1] == 3 and got["word_chars"][-1] == 3 * 8
 
 
+def test_quality_windows_that_start_with_words_found_once():
+    """Two windows that differ in one word, found once each, are not one window found twice."""
+    body = " ".join("abcdefghij")
+    texts = [f"one {body} two {body}", f"one {body[:13]} two {body[:13]}", f"{body} one", f"x y {body} z"]
+    got = quality.measure([t.encode() for t in texts])
+    assert got["n_words"].tolist() == [22, 16, 11, 13]
+    assert got["n_repeat_words"].tolist() == [20, 0, 0, 0]
+    assert got["base_failed"].tolist() == [True, True, True, True]
+    once = " ".join(f"w{i}" for i in range(8))
+    [failed] = quality.measure([f"one {body[:13]} {once} two {body[:13]}".encode()])["base_failed"].tolist()
+    assert not failed
+
+
 def test_exact_dedup(spark):
     texts = ["a b", "ab", "a  b ", None, "", "c", " \n"]
     got = {r["doc_id"]: r for r in exact_dedup.decide(docs_of(spark, texts)).collect()}
