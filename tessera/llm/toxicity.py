@@ -4,8 +4,10 @@
   the id (a documented bound).  Tasks count the terms of the whole texts; ids never
   enter a score.
 * Terms: runs of letters.  All terms of the examples make the vector space (others
-  would scale a document's cosines alike); inverse document frequencies are counted
-  over all documents.
+  would scale a document's cosines alike).  A term weighs (1 + ln tf) * idf * sqrt(1 + chi²):
+  inverse document frequencies are counted over all documents, chi² says how unevenly the
+  examples' labels hold the term, so that a few telling words outweigh a long text's others.
+  No term is left out, and one that tells nothing keeps its TF-IDF.
 * Search: the ``NEIGHBOURS`` examples with the largest TF-IDF cosine, exactly, by
   a block-max inverted index.  The lists of the rarer terms are read in full; the ``HEAD``
   longest lists are cut into blocks of examples and keep their largest weight in each.  A
@@ -13,8 +15,8 @@
   their bound, in growing steps, until it falls below the k-th best score.  Texts are searched
   ``TOGETHER``, so that an opened block serves all that want it.
 * Score: the neighbours vote with their cosine as weight, and votes are
-  calibrated (monotone bins) on the examples themselves, each left out of its
-  own vote.  The ids of the neighbours are the evidence.
+  calibrated (monotone bins of the distinct votes) on the examples themselves, each left
+  out of its own vote.  The ids of the neighbours are the evidence.
 
 The index is of bounded size and broadcast; scoring is one pass over the texts.
 
@@ -79,7 +81,7 @@ def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 @dataclass
 class Index:
     vocabulary: dict[bytes, int]
-    idf: np.ndarray
+    worth: np.ndarray  # of a term: its idf times its contrast
     ids: np.ndarray  # of the examples, in index order
     toxic: np.ndarray
     vote: np.ndarray  # an example's class weight
@@ -105,8 +107,8 @@ class Index:
         return at[order], n[order]
 
     def weigh(self, at: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Terms and unit weights: (1 + ln tf) * idf."""
-        w = (1 + np.log(tf)) * self.idf[at]
+        """Terms and unit weights: (1 + ln tf) * worth."""
+        w = (1 + np.log(tf)) * self.worth[at]
         return at, w / (np.linalg.norm(w) or 1.0)
 
     def vector(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -188,7 +190,8 @@ class Index:
         empty = np.array([not len(at) for at, _ in vectors], bool)
         self.none = share(empty)
         seen = raw >= 0
-        self.edges = np.unique(np.quantile(raw[seen], np.linspace(0, 1, BINS + 1)[1:-1])) if seen.any() else np.zeros(0)
+        # of the distinct votes: most are the same (0), which would leave one bin to all others
+        self.edges = np.unique(np.quantile(np.unique(raw[seen]), np.linspace(0, 1, BINS + 1)[1:-1])) if seen.any() else np.zeros(0)
         bins = np.searchsorted(self.edges, raw, side="right")
         groups = [[share(seen & (bins == b)), float(self.vote[seen & (bins == b)].sum()) + 1e-9, 1] for b in range(len(self.edges) + 1)]
         merged: list[list[float]] = []
@@ -208,6 +211,16 @@ class Index:
         return out
 
 
+def contrast(counts: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, size: int) -> np.ndarray:
+    """sqrt(1 + chi²) of each term: chi² of its presence in the examples against their labels."""
+    bad, good = (np.bincount(np.concatenate([at for (at, _), y in zip(counts, toxic, strict=True) if y == label]), minlength=size) for label in (1, 0))
+    n_bad, n = float(toxic.sum()), float(len(toxic))
+    n_good, held = n - n_bad, (bad + good).astype(float)
+    part = held * (n - held) * n_bad * n_good
+    chi = np.divide(n * (bad * n_good - good * n_bad) ** 2, part, out=np.zeros(size), where=part > 0)
+    return np.sqrt(1 + chi)
+
+
 def document_frequencies(docs: DataFrame, vocabulary: dict[bytes, int], text: str = "text") -> tuple[np.ndarray, int]:
     """Documents with each term, over all of ``docs``, and their number.  Tasks send one
     row per term; what comes to the driver is bounded by the vocabulary."""
@@ -276,7 +289,8 @@ def learn(docs: DataFrame, labels: DataFrame, teach: Column, key: str = "doc_id"
     df, n = document_frequencies(docs, vocabulary, text) if vocabulary else (np.empty(0), 0)
     part = toxic.mean() if len(toxic) else 0.0
     vote = np.where(toxic == 1, rate / part if part else 0.0, (1 - rate) / (1 - part) if part < 1 else 0.0)
-    index = Index(vocabulary, np.log((1 + n) / (1 + df)) + 1.0, ids, toxic, vote, rate, none=rate, id_type=docs.schema[key].dataType)
+    worth = (np.log((1 + n) / (1 + df)) + 1.0) * (contrast(counts, toxic, len(vocabulary)) if vocabulary else 1.0)
+    index = Index(vocabulary, worth, ids, toxic, vote, rate, none=rate, id_type=docs.schema[key].dataType)
     if vocabulary:
         vectors = [index.weigh(*c) for c in counts]
         # neighbours in the index share their heaviest term, which keeps block maxima tight

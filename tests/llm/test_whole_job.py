@@ -58,6 +58,30 @@ def test_toxicity_neighbours_are_those_of_all_terms(spark):
     assert all(got[i][0] == got[i + 100][0] == i for i in range(20))
 
 
+def test_toxicity_of_long_texts_with_one_toxic_word(spark):
+    """One toxic word among 80 others, which clean texts share: held-out texts of both labels are told apart."""
+    rng = random.Random(11)
+    common = letters(rng, 300)
+    words = [rng.choices(common, k=80) + ([rng.choice(["vile", "filth", "scum"])] if i % 5 == 0 else []) for i in range(500)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(words)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(500)], LABELS)
+    scored, name = toxicity.score(docs, toxicity.learn(docs, labels, F.col("doc_id") < 350))
+    got = {r["doc_id"]: r[name]["predicted"] for r in scored.where("doc_id >= 350").collect()}
+    assert np.mean([got[i] for i in range(350, 500, 5)]) >= 0.95 and np.mean([got[i] for i in range(350, 500) if i % 5]) <= 0.02
+
+
+def test_toxicity_calibration_where_most_votes_are_zero():
+    """Votes of 30 examples in 400 lie between 0 and 1; those near 0.6 are mostly toxic."""
+    index = toxicity.Index({}, np.zeros(0), np.arange(400), np.array([0] * 372 + [1] * 28), np.ones(400), 0.07)
+    raw = np.zeros(400)
+    raw[370:] = np.linspace(0.5, 0.7, 30)
+    near = np.array([0, 399])
+    index.nearest = lambda part, skip: [(near, np.array([1 - raw[i], raw[i]])) for i in skip]
+    index.calibrate([(np.array([0]), np.ones(1))] * 400)
+    low, high = (index.rates[np.searchsorted(index.edges, v, side="right")] for v in (0.0, 0.6))
+    assert low < 0.02 and high > 0.5
+
+
 @pytest.mark.parametrize("head", [0, 20, 512])
 def test_toxicity_index_equals_all_cosines(monkeypatch, head):
     """More blocks than a search's first steps open; terms in blocks, in plain lists, and in both."""
