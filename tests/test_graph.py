@@ -286,3 +286,12 @@ def test_task_scores(spark):
     rows = [("app/UserProfile.php", "Fix the userProfile"), ("app/superusers/x.ts", "user the user"), ("a/b", None), ("a/b", ""), (None, "user")]
     df = spark.createDataFrame(rows, "path string, task string").select(impact.task_score(F.col("path"), impact.task_terms(F.col("task"))).alias("s"))
     assert [r["s"] for r in df.collect()] == [36, 6, 0, 0, 0]
+
+
+def test_starts_are_settled_before_their_pairs(spark):
+    nodes = spark.createDataFrame([(i, "a", "s" if i % 2 else "t", "k", "php", 1, 1, None) for i in range(60)] + [(90, "b", None, "k", "php", 1, 1, None)], NODE)
+    refs = spark.createDataFrame([("f", "a"), ("s", "a:s"), ("m", "a:missing"), ("x", "nowhere:t"), ("n", "t"), ("b", "b:u"), ("z", None)], "q string, value string")
+    found = impact.starts(nodes, refs)
+    n = {(r["q"], r["found"]): r["count"] for r in found.groupBy("q", "found").count().collect()}
+    assert n == {("f", "file"): 60, ("s", "symbol in file"): 30, ("m", "file of symbol"): 60, ("x", "symbol"): 30, ("n", "symbol"): 30, ("b", "file of symbol"): 1}
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()  # nothing is counted over pairs
