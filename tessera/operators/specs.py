@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.storage import stash
 from . import documents
 
 _EXT = "|".join(documents.EXTENSIONS)
@@ -35,6 +36,7 @@ MADE = (
 )
 DEFAULT_PLACE = r"^resources/js/Components/[^/]+\.(?:vue|js|ts)$|^resources/js/composables/[^/]+\.(?:js|ts)$|^app/Actions/[^/]+Action\.php$|^app/Models/[^/]+\.php$"
 CONFIG_TREE, CONFIG_NAME = r"^config/.+\.php$", r"^[a-z0-9_-]+\.php$"
+UNRESOLVED = r"(^|/)\.{0,2}(/|$)"
 PROJECT_PATH = r"/|^(?:app\.|use|[A-Z]|config\.|database\.)"
 
 
@@ -90,11 +92,12 @@ def references(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
 def joined(folder: Column, path: Column) -> Column:
     """``path`` below ``folder`` with its ``.`` and ``..`` resolved."""
-    parts = F.split(F.concat_ws("/", folder, path), "/")
+    whole = F.concat_ws("/", folder, path)
+    parts = F.split(whole, "/")
     none = F.array().cast("array<string>")
     up = lambda acc: F.when((F.size(acc) > 0) & (F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit("")) != ".."), F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(F.lit(".."))))
     step = lambda acc, s: F.when(s.isin("", "."), acc).when(s == "..", up(acc)).otherwise(F.concat(acc, F.array(s)))
-    return F.array_join(F.aggregate(parts, none, step), "/")
+    return F.when(whole.rlike(UNRESOLVED), F.array_join(F.aggregate(parts, none, step), "/")).otherwise(whole)
 
 
 def base_name(path: Column) -> Column:
@@ -115,24 +118,27 @@ def _made(ref: Column) -> Column:
 def normalise(references: DataFrame, files: DataFrame) -> DataFrame:
     """(spec, reference, path, found) of references (spec: the spec's own path, reference) to files
     (path): the file each means, or the path at which it would be made.  ``found`` is exact, relative,
-    name or null; what looks like a package is left out."""
+    name or null; what looks like a package is left out.  A reference means the same in all specs of a
+    folder, so it is looked up once for each of them."""
+    every = stash(references.select("spec", "reference").distinct().withColumn("folder", F.coalesce(F.regexp_extract("spec", "^(.*)/[^/]*$", 1), F.lit(""))), "references")
     ref = F.regexp_replace("reference", r":[0-9]+(-[0-9]+)?$", "")
-    rows = references.select("spec", "reference").distinct().withColumn("bare", ref)
+    rows = every.select("folder", "reference").distinct().withColumn("bare", ref)
     clean = F.regexp_replace(F.regexp_replace("bare", r"^\./+", ""), "^@/", "resources/js/")
     rows = rows.withColumn("clean", clean)
-    folder = F.regexp_extract("spec", "^(.*)/[^/]*$", 1)
     named = ~F.col("clean").contains("/") & ~F.col("clean").rlike(AMBIGUOUS)
     key = lambda rank, kind, value: F.struct(F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), value.alias("value"))
-    keys = F.array(key(0, "path", F.col("bare")), key(1, "path", F.col("clean")), key(2, "path", joined(folder, F.col("clean"))), key(3, "name", F.when(named, F.col("clean"))))
-    asked = rows.select("spec", "reference", F.explode(keys).alias("k")).select("spec", "reference", "k.rank", "k.kind", "k.value").where("value is not null")
+    keys = F.array(key(0, "path", F.col("bare")), key(1, "path", F.col("clean")), key(2, "path", joined(F.col("folder"), F.col("clean"))), key(3, "name", F.when(named, F.col("clean"))))
+    rows = stash(rows.withColumn("keys", keys), "lookups")
+    asked = rows.select("folder", "reference", F.explode("keys").alias("k")).select("folder", "reference", "k.rank", "k.kind", "k.value").where("value is not null")
     paths = files.select("path").distinct()
     names = paths.groupBy(base_name(F.col("path")).alias("value")).agg(F.min(F.struct(F.length("path").alias("n"), "path")).alias("m"))
     index = paths.select(F.lit("path").alias("kind"), F.col("path").alias("value"), "path").union(names.select(F.lit("name"), "value", "m.path"))
-    hit = asked.join(index, ["kind", "value"]).groupBy("spec", "reference").agg(F.min(F.when(F.col("rank") > 0, F.struct("rank", "path"))).alias("m"), F.min("rank").alias("least"))
-    out = rows.join(hit, ["spec", "reference"], "left")
+    hit = asked.join(index, ["kind", "value"]).groupBy("folder", "reference").agg(F.min(F.when(F.col("rank") > 0, F.struct("rank", "path"))).alias("m"), F.min("rank").alias("least"))
+    out = rows.join(hit, ["folder", "reference"], "left")
     package = ~F.col("bare").contains("/") & F.col("bare").rlike(PACKAGE_LIKE) & ~F.col("bare").rlike(HOOK) & (F.coalesce("least", F.lit(9)) > 0)
     found = F.when(F.col("m.rank") == 1, "exact").when(F.col("m.rank") == 2, "relative").when(F.col("m.rank") == 3, "name")
-    return out.where(~package).select("spec", "reference", F.coalesce("m.path", _made(F.col("clean"))).alias("path"), found.alias("found"))
+    meant = out.where(~package).select("folder", "reference", F.coalesce("m.path", _made(F.col("clean"))).alias("path"), found.alias("found"))
+    return every.join(stash(meant, "meant"), ["folder", "reference"]).select("spec", "reference", "path", "found")
 
 
 def status(normalised: DataFrame, files: DataFrame) -> DataFrame:
@@ -140,15 +146,18 @@ def status(normalised: DataFrame, files: DataFrame) -> DataFrame:
     like a path of the project), contextual (a bare name that a path of the spec explains) or
     suspicious.  A file at the default place of its name goes where the spec also names one
     of that name deeper down."""
-    rows = normalised.select("spec", "path").distinct().withColumn("name", base_name(F.col("path"))).withColumn("depth", F.size(F.split("path", "/")))
+    rows = normalised.select("spec", "path").distinct()
+    rows = rows.join(files.select("path").distinct().withColumn("exists", F.lit(True)), "path", "left").withColumn("name", base_name(F.col("path"))).withColumn("depth", F.size(F.split("path", "/")))
     deepest = F.max("depth").over(Window.partitionBy("spec", "name"))
     rows = rows.withColumn("deepest", deepest).where(~F.col("path").rlike(DEFAULT_PLACE) | (F.col("depth") >= F.col("deepest")))
-    rows = rows.join(files.select("path").distinct().withColumn("exists", F.lit(True)), "path", "left")
     rows = rows.withColumn("kind", F.when(F.col("exists"), "existing").when(F.col("path").rlike(PROJECT_PATH), "likely new").otherwise("suspicious"))
+    rows = stash(rows.select("spec", "path", "name", "kind"), "named-files")
+    bare = (F.col("kind") == "suspicious") & ~F.col("path").contains("/")
     project = rows.where("kind <> 'suspicious'")
     explained = project.where(F.col("path").contains("/")).select("spec", "name").distinct().withColumn("explained", F.lit(True))
     config = project.where(F.col("path").rlike(CONFIG_TREE)).select("spec").distinct().withColumn("config", F.lit(True))
-    rows = rows.join(explained, ["spec", "name"], "left").join(config, "spec", "left")
+    asked = rows.where(bare).join(explained, ["spec", "name"], "left").join(config, "spec", "left")
     by_config = F.col("config") & (F.col("path") != "index.php") & F.col("path").rlike(CONFIG_NAME)
-    contextual = (F.col("kind") == "suspicious") & ~F.col("path").contains("/") & F.coalesce(F.col("explained") | by_config, F.col("explained"), by_config, F.lit(False))
-    return rows.select("spec", "path", F.when(contextual, "contextual").otherwise(F.col("kind")).alias("status"))
+    contextual = F.coalesce(F.col("explained") | by_config, F.col("explained"), by_config, F.lit(False))
+    asked = asked.select("spec", "path", F.when(contextual, "contextual").otherwise(F.col("kind")).alias("status"))
+    return asked.union(rows.where(~bare).select("spec", "path", F.col("kind").alias("status")))

@@ -77,3 +77,15 @@ def test_named_blocks(spark):
     text = "<template lang='x'>\n <Script setup>\n a\n</script>\n<templates>\n  </TEMPLATE>  \n<style></style>\n<open>\n</open >"
     got = documents.named_blocks(spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string"), ("template", "script", "style", "open", "none"))
     assert {tuple(r) for r in got.collect()} == {(1, "template", 1, 6), (1, "script", 2, 4)}
+
+
+def test_references_are_looked_up_once(spark):
+    files = spark.createDataFrame([(f,) for f in FILES], "path string")
+    asked = [(f"docs/{folder}/{n}.md", r) for folder in ("a", "a/b") for n in range(5) for r in ("../notes.md", "../../notes.md", "app.php", ".//x/./Same.vue", "..", "Login.vue")]
+    rows = specs.normalise(spark.createDataFrame(asked, "spec string, reference string"), files)
+    got = {(r["spec"].rsplit("/", 1)[0], r["reference"]): (r["path"], r["found"]) for r in rows.collect()}
+    assert rows.count() == len(asked)
+    assert got["docs/a", "../notes.md"] == got["docs/a/b", "../../notes.md"] == ("docs/notes.md", "relative") and got["docs/a/b", "../notes.md"] == ("../notes.md", None)
+    assert got["docs/a", "app.php"] == ("config/app.php", "name")
+    plan = specs.status(rows, files)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction" not in plan  # paths are taken apart in one step, not in each use of it
