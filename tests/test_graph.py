@@ -295,3 +295,13 @@ def test_starts_are_settled_before_their_pairs(spark):
     n = {(r["q"], r["found"]): r["count"] for r in found.groupBy("q", "found").count().collect()}
     assert n == {("f", "file"): 60, ("s", "symbol in file"): 30, ("m", "file of symbol"): 60, ("x", "symbol"): 30, ("n", "symbol"): 30, ("b", "file of symbol"): 1}
     assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()  # nothing is counted over pairs
+
+
+def test_facts_of_edges_are_read_once(spark):
+    nodes = spark.createDataFrame([(1, "a", "A", "k", "php", 1, 2, None), (2, "b", "B", "k", "php", 1, 2, None), (3, "c", "B", "k", "vue", 1, 2, None)], NODE)
+    facts = spark.range(4).selectExpr("concat('f', id) as fact_id", "'a' as file_path", "'php' as language", "'calls' as relationship", "array(if(id = 3, 'no', 'A')) as sources", "array(element_at(array('B', 'C', 'x::B', 'C'), int(id + 1)), 'C') as targets")
+    edges, misses = resolve.resolve_edges(facts, nodes)
+    assert [tuple(r) for r in edges.collect()] == [(1, 2, "calls")]
+    assert {tuple(r)[::2] for r in misses.collect()} == {("f1", "target_missing"), ("f2", "target_missing"), ("f3", "both_missing")}
+    for df in (edges, misses):
+        assert "Range" not in df._jdf.queryExecution().optimizedPlan().toString()
